@@ -98,7 +98,12 @@ def battery(candidate: str) -> tuple[str, float, float, float] | None:
 
 
 def log10_p(p: tuple[float, ...]) -> float:
-    """Fisher's combination, log10 of the chi-squared tail with 2 degrees a test; no test alone decides."""
+    """Fisher's combination, log10 of the chi-squared tail with 2 degrees a test; no test alone decides.
+
+    ``p[0]`` is of uniformity: symbols as uneven as language's end the matter.
+    """
+    if p[0] > 0.5:
+        return 0.0
     half = -sum(math.log(max(x, LEAST_P)) for x in p)
     tail = sum(half**i / math.factorial(i) for i in range(len(p)))
     return min(0.0, (-half + math.log(tail)) / math.log(10))
