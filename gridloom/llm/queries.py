@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixture, secrets, simhash, token_counts
+from . import decontaminate, language, mixture, ngram_model, repeats, secrets, simhash, spotsigs, token_counts, training_order
 from .shared import crc_remainder, documents
 
 TOKENIZER = "word_bpe_49k.json"
-TOKEN_LIMIT = 2048
+TOKEN_LIMIT, END_TOKEN = 2048, 49407
+
+
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(documents(spark, sf_dir), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixture.plan_mixture(documents(spark, sf_dir), weights=(5, 2, 1), most=3.0)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,6 +70,19 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_TOKEN)
+
+
+def op8_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)))
+    return ngram_model.score(docs, docs.where(~F.col("held_out")))
+
+
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     remainder = crc_remainder("doc_id", 5)
@@ -71,6 +93,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op4_source_mixture, op5_secret_scan, op6_simhash_groups, op10_language)
+    for f in (
+        op1_repeated_strings, op2_token_counts, op3_benchmark_leaks, op4_source_mixture, op5_secret_scan,
+        op6_simhash_groups, op7_training_order, op8_model_scores, op9_spot_signatures, op10_language,
+    )
 }
 ORACLE_SQL = {"op4_source_mixture": OP4_SQL}

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch between JVM and Python; whole texts can be long.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch between JVM and Python; whole texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +46,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_columns(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+def map_columns(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` where ``work`` sees and yields dicts of columns (Arrow arrays in, lists or arrays out)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,3 +84,35 @@ def crc_remainder(column: str, modulus: int):
 def file_count(df: DataFrame) -> int:
     """Input splits of a scan: a number of tasks that grows with the input."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def hold_splits(spark: SparkSession) -> None:
+    """Make a scan's splits depend on its files and this setting alone, not on which executors are up."""
+    held = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(held, None):
+        spark.conf.set(held, str(spark.sparkContext.defaultParallelism))
+
+
+def file_system(path: str):
+    """Arrow's file system of a path in the shared folder, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def write_whole(path: str, data: bytes) -> None:
+    """A file that is there completely or not at all, however often the task runs."""
+    store, at = file_system(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, at)
+
+
+def read_whole(path: str) -> bytes | None:
+    store, at = file_system(path)
+    if not store.get_file_info(at).is_file:
+        return None
+    with store.open_input_stream(at) as f:
+        return f.read()

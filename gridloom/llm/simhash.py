@@ -1,12 +1,17 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A 64-bit fingerprint is embedded as the bit counts of its 32 two-bit segments.
-The Manhattan distance of two embeddings is never more than the Hamming distance
-of the fingerprints. The axes are dealt into ``groups``; two points within
-distance ``r`` agree on at least ``groups - r`` groups entirely, so each point
-goes into one grid cell for every choice of that many groups, and every pair in
-range shares a cell. In a cell, pairs pass the Manhattan bound first and the
-exact Hamming distance after it.
+A fingerprint of 64 bits a lane is embedded as the bit counts of its two-bit
+segments, 32 axes a lane. The Manhattan distance of two embeddings is never more
+than the Hamming distance of the fingerprints. A grid lays cells over choices of
+axes; points that agree on all axes of a choice share its cell. In a cell, pairs
+pass the Manhattan bound first and the exact Hamming distance after it.
+
+``link`` has one lane and a small radius ``r``: the axes are dealt into groups,
+two points within distance ``r`` agree on at least ``groups - r`` of them
+entirely, and every choice of that many groups is a grid, so no pair in range is
+missed. ``near_copies`` is stated by a similarity instead: four lanes, the radius
+that the similarity's angle gives, and as many random choices of axes as find a
+pair at just that similarity with probability ``FOUND``.
 
 Equal fingerprints are one point, so copies cost nothing. A cell yields a
 spanning star of each of its linked sets and no list of pairs; the components
@@ -16,11 +21,13 @@ Defined results: a null or empty text, or one of white space, has fingerprint 0
 and links like any other; fewer words than a shingle's make one shingle of all;
 a null id never becomes a component's id unless all its ids are null; repeated
 rows are copies of each other; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored by ``link`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -30,11 +37,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import map_columns, stage, texts
+from .wordhash import mix
 
 SEGMENTS = 32
+#: Lanes of a fingerprint that stands for a similarity, and the chance that a pair at just that similarity shares a cell.
+LANES, FOUND = 4, 0.98
 _PAIRS = 0x5555555555555555
-#: Points of a cell up to which pairs are compared at every distance at once.
-SMALL_CELL = 64
+#: Points of a cell up to which pairs are compared at every distance at once, and links held before they are joined.
+SMALL_CELL, LINKS = 256, 500_000
 
 
 def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
@@ -48,46 +58,73 @@ def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(line[s:e], seed) for s, e in zip(starts, ends)), np.uint64, len(ends))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Bits set in over half of the hashes."""
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
+def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """Bits set in over half of the hashes, a 64-bit number a lane; the first lane is of the hashes as they are."""
+    if not len(hashes):
+        return np.zeros(lanes, np.uint64)
+    total = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 255 * 16):
+        h = hashes[at : at + 255 * 16]
+        wide = np.stack([h, *(mix(h + np.uint64(i)) for i in range(1, lanes))], axis=1)
+        bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
+        for i in range(0, len(h), 255):  # sums of 255 bits fit a byte
+            total += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, fp`` (the fingerprint as a signed long) for every row."""
+def fingerprints(docs: DataFrame, size: int, lanes: int = 1, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, fp0, ...`` (a signed long a lane) for every row; with ``repeats``, a shingle counts as often as it occurs."""
+    names, of = [f"fp{i}" for i in range(lanes)], (lambda h: h) if repeats else np.unique
 
     def work(batches):
         for b in batches:
-            found = [fingerprint(shingle_hashes(t, size)) for t in texts(b["text"])]
-            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": np.array(found, np.uint64).view(np.int64)}
+            found = np.array([fingerprint(of(shingle_hashes(t, size)), lanes) for t in texts(b["text"])], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"]} | {n: found[:, i] for i, n in enumerate(names)}
 
     kind = docs.schema[id_col].dataType.simpleString()
     asked = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return map_columns(asked, work, f"doc_id {kind}, text_hash long, fp long")
+    return map_columns(asked, work, f"doc_id {kind}, text_hash long, " + ", ".join(f"{n} long" for n in names))
 
 
-def grid_shape(points: int, radius: int) -> tuple[int, int]:
-    """(groups, groups that a cell fixes): the fewest cells a point that keep chance neighbours below 64 a cell.
+@dataclass
+class Grid:
+    """Choices of axes, each a mask a lane over the packed embedding, and the radius to verify."""
+
+    lanes: int
+    radius: int
+    choices: list[tuple[int, ...]]
 
-    A two-bit segment's count has 1.5 bits of entropy.
-    """
-    for groups in range(radius + 1, SEGMENTS):
-        fixed = groups - radius
-        if points / 2 ** (1.5 * SEGMENTS * fixed / groups) <= 64:
-            return groups, fixed
-    return SEGMENTS, SEGMENTS - radius
 
+def exact_grid(points: int, radius: int) -> Grid:
+    """Every pair within ``radius`` bits: the fewest cells a point that keep chance neighbours below 64 a cell.
 
-def axis_masks(groups: int) -> list[int]:
-    """Of a 64-bit embedding, two bits an axis: the axes of each group."""
+    A two-bit segment's count has 1.5 bits of entropy.
+    """
+    groups = next((g for g in range(radius + 1, SEGMENTS) if points / 2 ** (1.5 * SEGMENTS * (g - radius) / g) <= 64), SEGMENTS)
     masks = [0] * groups
     for axis in range(SEGMENTS):
         masks[axis % groups] |= 3 << (2 * axis)
-    return masks
+    return Grid(1, radius, [(sum(masks[i] for i in c),) for c in combinations(range(groups), groups - radius)])
+
+
+def similarity_grid(points: int, similarity: float, seed: int = 1) -> Grid:
+    """Pairs of a Jaccard similarity: the share of differing bits is its angle's, and 2.5 deviations more are let in.
+
+    Choices have 11 axes, more only where chance neighbours would exceed 256 a cell.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * LANES
+    radius = round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+    axes = max(11, math.ceil(math.log2(max(points, 1) / 256 + 1) / 1.5))
+    agree = ((1 - share) ** 2 + share**2 / 2) ** axes
+    rng = np.random.default_rng(seed)
+    choices = []
+    for _ in range(math.ceil(math.log(1 - FOUND) / math.log(1 - agree))):
+        masks = [0] * LANES
+        for axis in rng.choice(SEGMENTS * LANES, axes, replace=False).tolist():
+            masks[axis // SEGMENTS] |= 3 << (2 * (axis % SEGMENTS))
+        choices.append(tuple(masks))
+    return Grid(LANES, radius, choices)
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -104,48 +141,49 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near(a, b, ea, eb, radius: int) -> np.ndarray:
-    found = np.flatnonzero(manhattan(ea, eb) <= radius)
-    return found[np.bitwise_count(a[found] ^ (b[found] if np.ndim(b) else b)) <= radius]
+    """Rows of ``a`` (a column a lane) within ``radius`` bits of ``b``'s, which may be one row."""
+    found = np.flatnonzero(manhattan(ea, eb).sum(axis=1, dtype=np.int64) <= radius)
+    other = b[found] if np.ndim(b) > 1 else b
+    return found[np.bitwise_count(a[found] ^ other).sum(axis=1, dtype=np.int64) <= radius]
 
 
-def cell_stars(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fp, root) that connect what is linked inside each cell. Equal cells are adjacent."""
+def cell_stars(cells: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, root) that connect what is linked inside each cell. Equal cells are adjacent; ``fps`` has a column a lane."""
     e = embed(fps)
     bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
     sizes = np.diff(bounds)
     root = np.arange(len(fps))
     of = np.repeat(np.arange(len(sizes)), sizes)
-    small = np.flatnonzero(sizes[of] <= SMALL_CELL)
-    links = []
-    left = small
+    left, links = np.flatnonzero(sizes[of] <= SMALL_CELL), []
     for step in range(1, int(min(SMALL_CELL, sizes.max(initial=0)))):
-        left = left[(left + step < len(fps))]
+        left = left[left + step < len(fps)]
         left = left[of[left + step] == of[left]]
         if not len(left):
             break
         hit = left[near(fps[left], fps[left + step], e[left], e[left + step], radius)]
         links.append((hit, hit + step))
-    if links:
-        _union(root, np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
+        if sum(len(x) for x, _ in links) > LINKS:
+            links = _union(root, links)
+    _union(root, links)
     for k in np.flatnonzero(sizes > SMALL_CELL):
         _flood(root, np.arange(bounds[k], bounds[k + 1]), fps, e, radius)
     linked = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[linked], fps[root[linked]]
+    return ids[linked], ids[root[linked]]
 
 
-def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Least index reachable over the links, in place."""
+def _union(root: np.ndarray, links: list) -> list:
+    """Least index reachable over the links, in place; no links are left."""
+    a = np.concatenate([np.empty(0, np.int64), *(x for x, _ in links)])
+    b = np.concatenate([np.empty(0, np.int64), *(x for _, x in links)])
     while len(a):
         low = np.minimum(root[a], root[b])
-        before = root.copy()
         np.minimum.at(root, root[a], low)
         np.minimum.at(root, root[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
         while not np.array_equal(root, root[root]):
             root[:] = root[root]
-        if np.array_equal(before, root):
-            return
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    return []
 
 
 def _flood(root: np.ndarray, members: np.ndarray, fps: np.ndarray, e: np.ndarray, radius: int) -> None:
@@ -163,60 +201,78 @@ def _flood(root: np.ndarray, members: np.ndarray, fps: np.ndarray, e: np.ndarray
                 rest = np.delete(rest, hit)
 
 
-def grid_edges(points: DataFrame, radius: int, n_points: int) -> DataFrame:
-    """``points(fp long)``, distinct, to edges ``(a, b)`` with the components of all pairs within ``radius`` bits."""
-    groups, fixed = grid_shape(n_points, radius)
-    masks = axis_masks(groups)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    choices = [sum(masks[i] for i in c) for c in combinations(range(groups), fixed)]
-    low, high = F.col("fp").bitwiseAND(F.lit(_PAIRS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_PAIRS))
-    packed = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # their sum, field by field
-    cells = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(signed(m)).cast("long").alias("m")) for i, m in enumerate(choices)]), lambda c: F.xxhash64(c["i"], c["m"].bitwiseAND(F.col("packed"))))
+def grid_edges(points: DataFrame, grid: Grid) -> DataFrame:
+    """``points(point, fp0, ...)``, distinct, to edges ``(a, b)`` with the components of all pairs that the grid finds."""
+    names = [f"fp{i}" for i in range(grid.lanes)]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    choices = F.array(*[F.struct(F.lit(i).alias("i"), *[signed(m).alias(n) for m, n in zip(c, names)]) for i, c in enumerate(grid.choices)])
     # Only the hash of the cell travels: cells that share one are compared together, which adds no wrong pair.
-    placed = points.withColumn("packed", packed).select(F.explode(cells).alias("cell"), "fp")
+    cells = F.transform(choices, lambda c: F.xxhash64(c["i"], *[c[n].bitwiseAND(F.col(f"packed_{n}")) for n in names]))
+    packed = points.select("point", *names, *[_packed(n).alias(f"packed_{n}") for n in names])
+    placed = packed.select(F.explode(cells).alias("cell"), "point", *names)
 
     def work(batches):
-        cells, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        cells, ids, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, grid.lanes), np.uint64)
         for b in batches:
-            cells = np.r_[cells, b["cell"].to_numpy()]
-            fps = np.r_[fps, b["fp"].to_numpy().view(np.uint64)]
-            if len(fps) < 50_000:
+            cells, ids = np.r_[cells, b["cell"].to_numpy()], np.r_[ids, b["point"].to_numpy()]
+            fps = np.vstack([fps, np.column_stack([b[n].to_numpy().view(np.uint64) for n in names])])
+            if len(cells) < 50_000:
                 continue
             whole = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on
             if whole:
-                yield _edges(cells[:whole], fps[:whole], radius)
-                cells, fps = cells[whole:], fps[whole:]
-        if len(fps):
-            yield _edges(cells, fps, radius)
+                yield _edges(cells[:whole], ids[:whole], fps[:whole], grid.radius)
+                cells, ids, fps = cells[whole:], ids[whole:], fps[whole:]
+        if len(cells):
+            yield _edges(cells, ids, fps, grid.radius)
 
-    return map_columns(placed.repartition("cell").sortWithinPartitions("cell"), work, "a long, b long")
+    return map_columns(placed.repartition("cell").sortWithinPartitions("cell"), work, "a long, b long", rows=20_000)
 
 
-def _edges(cells, fps, radius):
-    a, b = cell_stars(cells, fps, radius)
-    return {"a": a.view(np.int64), "b": b.view(np.int64)}
+def _packed(name: str):
+    """Bit counts of the two-bit segments, packed: low bit and high bit added field by field."""
+    low, high = F.col(name).bitwiseAND(F.lit(_PAIRS)), F.shiftrightunsigned(name, 1).bitwiseAND(F.lit(_PAIRS))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def _edges(cells, ids, fps, radius):
+    a, b = cell_stars(cells, ids, fps, radius)
+    return {"a": a, "b": b}
 
 
 def link(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, fp, component_id, first`` for every row; ``first``: whether it is its component's first document."""
-    prints = stage(fingerprints(docs, size, id_col, text_col), "fingerprints")
+    """Documents within ``radius`` of 64 bits: ``doc_id, text_hash, fp, component_id, first`` for every row.
+
+    ``first``: whether it is its component's first document.
+    """
+    return _linked(fingerprints(docs, size, 1, True, id_col, text_col), lambda n: exact_grid(n, radius)).withColumnRenamed("fp0", "fp")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents whose fingerprints say that their shingles have ``similarity``: ``doc_id, text_hash, component_id, first``."""
+    return _linked(fingerprints(docs, size, LANES, False, id_col, text_col), lambda n: similarity_grid(n, similarity)).drop(*[f"fp{i}" for i in range(LANES)])
+
+
+def _linked(found: DataFrame, grid_for) -> DataFrame:
+    names = [n for n in found.columns if n.startswith("fp")]
+    point = F.col("fp0") if len(names) == 1 else F.xxhash64(*names)
+    prints = stage(found.withColumn("point", point), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    points = stage(prints.groupBy("fp").agg(F.min(order).alias("least")), "points")
-    roots = components(grid_edges(points.select("fp"), radius, points.count()))
-    rooted = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    points = stage(prints.groupBy("point", *names).agg(F.min(order).alias("least")), "points")
+    roots = components(grid_edges(points.select("point", *names), grid_for(points.count())))
+    rooted = points.join(roots, points.point == roots.node, "left").select("point", "least", F.coalesce("root", "point").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    classes = rooted.join(firsts, "root").select("fp", F.col("first").alias("__first"))
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", F.col("__first.doc_id").alias("component_id"), (order == F.col("__first")).alias("first"))
+    classes = rooted.join(firsts, "root").select("point", F.col("first").alias("__first"))
+    return prints.join(classes, "point").select("doc_id", "text_hash", *names, F.col("__first.doc_id").alias("component_id"), (order == F.col("__first")).alias("first"))
 
 
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near-duplicates: of each group the document of the least id (nulls last) stays, once."""
+def one_of_each(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the near-duplicates that ``link`` or ``near_copies`` found: each group's first document stays, once."""
     names = docs.columns
-    kept = link(docs, radius, size, id_col, text_col).where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    kept = linked.where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     rows = docs.withColumn("__text", F.xxhash64(text_col))
     rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
     return rows.dropDuplicates([id_col, "__text"]).select(*names)

@@ -74,7 +74,7 @@ def test_grid_finds_every_pair_in_range(spark):
     points = sorted(points)
     signed = np.array(points, np.uint64).view(np.int64).tolist()
     for size in (1000, 10**8):  # another shape of the grid
-        edges = simhash.grid_edges(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, size)
+        edges = simhash.grid_edges(spark.createDataFrame([(x, x) for x in signed], "point long, fp0 long"), simhash.exact_grid(size, 4))
         root = {r.node % 2**64: r.root for r in components(edges).collect()}
         want = plain_components(list(enumerate(points)))
         got = {}
@@ -87,16 +87,46 @@ def test_large_cells():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 5, dtype=np.uint64)
     fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 12, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 12, 300).astype(np.uint64)) for b in base]))
-    a, b = simhash.cell_stars(np.zeros(len(fps), np.int64), fps, 4)
+    a, b = simhash.cell_stars(np.zeros(len(fps), np.int64), fps, fps[:, None], 4)
     assert len(a) <= len(fps)
     want = plain_components(list(enumerate(fps.tolist())))
     root = dict(zip(a.tolist(), b.tolist()))
     assert len({root.get(x, x) for x in fps.tolist()}) == len(set(want))
 
 
+def test_embedding_bounds_the_distance():
+    x = np.random.default_rng(1).integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    e = simhash.embed(x)
+    axes = lambda v: [(v >> (2 * i) & 3).bit_count() for i in range(32)]
+    for i in range(0, 200, 2):
+        a, b = int(x[i]), int(x[i + 1])
+        assert [int(e[i]) >> (2 * k) & 3 for k in range(32)] == axes(a)
+        assert int(simhash.manhattan(e[i], e[i + 1])) == sum(abs(p - q) for p, q in zip(axes(a), axes(b))) <= (a ^ b).bit_count()
+
+
+def test_near_copies_by_similarity(spark):
+    """Copies with a Jaccard index of 0.85 or more are found; unrelated texts are left alone."""
+    rng, rows, pairs = random.Random(8), [], []
+    for i in range(120):
+        words = prose(rng, 150, 10_000).split()
+        rows.append(document(2 * i, " ".join(words)))
+        if i % 2:
+            for _ in range(rng.randrange(1, 3)):
+                words[rng.randrange(150)] = "changed"
+            rows.append(document(2 * i + 1, " ".join(words) + " " + words[0]))
+            pairs.append((2 * i, 2 * i + 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    linked = simhash.near_copies(docs)
+    got = {r.doc_id: r.component_id for r in linked.collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= len(pairs) - 1
+    assert all(got[2 * i] == 2 * i for i in range(120))
+    kept = {r.doc_id for r in simhash.one_of_each(docs, linked).collect()}
+    assert kept == {d for d, c in got.items() if d == c}
+
+
 def test_one_of_each(spark, odd, empty):
-    kept = simhash.one_of_each(odd)
-    ids = sorted(str(r.doc_id) for r in kept.collect())
+    kept = simhash.one_of_each(odd, simhash.link(odd))
     assert kept.columns == odd.columns
-    assert ids == sorted(["1", "4", "6", "7", "8", "9", "None"])  # 1 stands for all without words
-    assert simhash.one_of_each(empty).count() == 0
+    # 1 stands for all without words
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "6", "7", "8", "9", "None"])
+    assert simhash.one_of_each(empty, simhash.near_copies(empty)).count() == 0
