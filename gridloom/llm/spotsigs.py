@@ -148,14 +148,15 @@ def near_pairs(sets: DataFrame, least: float = 0.8) -> DataFrame:
     classes = sets.groupBy("sigs").agg(F.min("doc_id").alias("class"))
     n = F.size("sigs")
     part = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / least)) + 1e-9)
-    spread = classes.select("class", "sigs", n.alias("n"), part.alias("part"), F.explode("sigs").alias("sig"))
+    classes = classes.select("class", "sigs", F.xxhash64("sigs").alias("set"), n.alias("n"), part.alias("part"))
+    spread = classes.select("*", F.explode("sigs").alias("sig"))
     common = spread.groupBy("sig").count()
-    ranked = spread.join(common, "sig").groupBy("class", "n", "part").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("by"), F.first("sigs").alias("sigs"))
+    ranked = spread.join(common, "sig").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("by"), *[F.first(c).alias(c) for c in ("class", "sigs", "n", "part")])
     keep = (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")
     keyed = ranked.select("class", "n", "part", "sigs", F.explode(F.slice("by", F.lit(1), keep)).alias("k")).select("class", "n", "part", "sigs", F.col("k.sig").alias("sig"))
     right = keyed.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("sigs").alias("sigs_b"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
     left = keyed.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("sigs").alias("sigs_a"), "sig", "part")
-    earlier = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
+    earlier = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("sigs_a") < F.col("sigs_b")))
     both = F.size(F.array_intersect("sigs_a", "sigs_b"))
     jaccard = both / (F.col("n_a") + F.col("n_b") - both)
     pairs = left.join(right, ["sig", "part"]).where(earlier & (F.col("n_a") >= least * F.col("n_b")) & (jaccard >= least))
