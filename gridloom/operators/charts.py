@@ -97,3 +97,28 @@ def gap_segments(points: DataFrame, line: list[str], order: list[str], value: st
     """``segment``: pieces of a line between missing points; ``zeroed``: missing points as 0."""
     w = Window.partitionBy(*line).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return points.withColumn("segment", F.count_if(F.col(value).isNull()).over(w)).withColumn("zeroed", F.coalesce(F.col(value), F.lit(0.0)))
+
+
+def chart_kind(kind: Column, direction: Column, grouping: Column) -> Column:
+    """One name for a chart's type, direction and grouping."""
+    stacked = F.when(grouping == "stacked", "stacked").when(grouping == "percentStacked", "percent").otherwise("plain")
+    bar = F.concat(F.when(direction == "bar", "bar-").otherwise("column-"), stacked)
+    return F.when(kind == "barChart", bar).when(kind.isin("lineChart", "areaChart"), F.concat(F.replace(kind, F.lit("Chart"), F.lit("-")), stacked)).otherwise(F.replace(kind, F.lit("Chart"), F.lit("")))
+
+
+def radar(points: DataFrame, chart: list[str], index: str, value: str) -> DataFrame:
+    """``angle`` (radians, clockwise from the top) and ``radius`` (share of the largest value)."""
+    w = Window.partitionBy(*chart)
+    angle = 2 * F.pi() * F.try_divide(F.col(index), F.count("*").over(w)) - F.pi() / 2
+    return points.withColumn("angle", angle).withColumn("radius", F.coalesce(F.try_divide(F.col(value), F.max(value).over(w)), F.lit(0.0)))
+
+
+def scatter_x(text: Column, index: Column) -> Column:
+    """A point's x: its text as a number, or its position."""
+    return F.coalesce(text.try_cast("double"), (index + 1).cast("double"))
+
+
+def ticks(low: Column, high: Column, step: Column) -> Column:
+    """Axis values from low to high."""
+    n = F.floor((high - low) / step + 1e-9).cast("int")
+    return F.transform(F.sequence(F.lit(0), n), lambda i: low + i * step)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Styles that a chain may have; cyclic ones end here.
-DEEPEST = 32
+DEEPEST = 12
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, on: str, key: str, values: dict[str, Column]) -> DataFrame:

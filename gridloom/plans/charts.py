@@ -67,15 +67,15 @@ def chart_pie_share(spark, sf_dir):
 
 @_r.query("""
 with p as (select p_brand, p_size::int as s, avg(p_retailprice) as v from part group by all), d as (select p_brand, stddev_pop(v) as sd, count(*) as n from p group by p_brand)
-select p_brand, s, round(v + sd, 4) as sd_high, round(v - sd, 4) as sd_low, round(v + sd / sqrt(n), 4) as se_high, round(v + abs(v) * 0.05, 4) as pct_high, round(v + 10, 4) as fixed_high from p join d using (p_brand)
+select p_brand, s, round(v + sd, 6) as sd_high, round(v - sd, 6) as sd_low, round(v + sd / sqrt(n), 6) as se_high, round(v + abs(v) * 0.05, 6) as pct_high, round(v + 10, 6) as fixed_high from p join d using (p_brand)
 """)
 def chart_error_bars(spark, sf_dir):
     points = table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").alias("s")).agg(F.avg("p_retailprice").alias("v"))
     over, v = Window.partitionBy("p_brand"), F.col("v")
     amount = lambda kind, n=1.0: charts.error_amount(kind, v, n, over)
     return points.select(
-        "p_brand", "s", F.round(v + amount("stdDev"), 4).alias("sd_high"), F.round(v - amount("stdDev"), 4).alias("sd_low"), F.round(v + amount("stdErr"), 4).alias("se_high"),
-        F.round(v + amount("percentage", 5), 4).alias("pct_high"), F.round(v + amount("fixedVal", 10), 4).alias("fixed_high"),
+        "p_brand", "s", F.round(v + amount("stdDev"), 6).alias("sd_high"), F.round(v - amount("stdDev"), 6).alias("sd_low"), F.round(v + amount("stdErr"), 6).alias("se_high"),
+        F.round(v + amount("percentage", 5), 6).alias("pct_high"), F.round(v + amount("fixedVal", 10), 6).alias("fixed_high"),
     )
 
 
@@ -148,3 +148,53 @@ def sparkline_gaps(spark, sf_dir):
     points = _daily(spark, sf_dir)
     every = points.select("user_id").distinct().withColumn("d", F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-10')")))
     return charts.gap_segments(every.join(points, ["user_id", "d"], "left"), ["user_id"], ["d"], "v").select("user_id", "d", "v", "segment", "zeroed")
+
+
+@_r.query("""
+with p as (select o_orderpriority as s, count(*)::double as v from orders group by all), r as (select *, row_number() over (order by s) - 1 as i, count(*) over () as n, max(v) over () as top from p)
+select s, round(2 * pi() * i / n - pi() / 2, 6) as angle, round(v / top, 6) as radius from r
+""")
+def chart_radar(spark, sf_dir):
+    points = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("s")).agg(F.count("*").cast("double").alias("v"), F.lit(1).alias("chart"))
+    placed = points.withColumn("i", F.row_number().over(Window.partitionBy("chart").orderBy("s")) - 1)  # a row a priority
+    found = charts.radar(placed, ["chart"], "i", "v")
+    return found.select("s", F.round("angle", 6).alias("angle"), F.round("radius", 6).alias("radius"))
+
+
+@_r.query("""
+select p_partkey, coalesce(try_cast(case when p_size % 5 = 0 then p_name else p_size::varchar end as double), p_partkey + 1)::double as x, p_retailprice as y from part
+""")
+def chart_scatter(spark, sf_dir):
+    label = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", charts.scatter_x(label, F.col("p_partkey")).alias("x"), F.col("p_retailprice").alias("y"))
+
+
+@_r.query("""
+with p as (select p_brand, max(p_retailprice) as hi from part group by p_brand) select p_brand, unnest(range(0, (floor(hi / 200))::bigint + 1)) * 200.0::double as tick from p
+""")
+def chart_ticks(spark, sf_dir):
+    points = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_retailprice").alias("hi"))
+    return points.select("p_brand", F.explode(charts.ticks(F.lit(0.0), F.col("hi"), F.lit(200.0))).alias("tick"))
+
+
+@_r.query("""
+with p as (select distinct ts::date as d, user_id from events), r as (select user_id, d, row_number() over (partition by user_id order by d) - 1 as i, count(*) over (partition by user_id) as n from p)
+select user_id, d, i % greatest(1, ceil(n / 8.0)::bigint) = 0 as shown, left(strftime(d, '%Y-%m-%d') || ' label', 12) as label from r
+""")
+def chart_label_thinning(spark, sf_dir):
+    """Every ceil(n / 8)-th label is shown, cut to 12 characters."""
+    from ..functions.labels import thinned
+
+    w = Window.partitionBy("user_id")
+    days = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("d"), "user_id").distinct()
+    placed = days.withColumn("i", F.row_number().over(w.orderBy("d")) - 1).withColumn("n", F.count("*").over(w))
+    return placed.select("user_id", "d", thinned(F.col("i"), F.col("n")).alias("shown"), F.substring(F.concat(F.col("d").cast("string"), F.lit(" label")), 1, 12).alias("label"))
+
+
+@_r.query("""
+select * from (values ('barChart', 'bar', 'stacked', 'bar-stacked'), ('barChart', 'col', 'clustered', 'column-plain'), ('lineChart', null, 'percentStacked', 'line-percent'), ('areaChart', null, 'standard', 'area-plain'), ('pieChart', null, null, 'pie')) v(kind, direction, grouping, name)
+""")
+def chart_kinds(spark, sf_dir):
+    rows = [("barChart", "bar", "stacked"), ("barChart", "col", "clustered"), ("lineChart", None, "percentStacked"), ("areaChart", None, "standard"), ("pieChart", None, None)]
+    t = spark.createDataFrame(rows, "kind string, direction string, grouping string")
+    return t.withColumn("name", charts.chart_kind(F.col("kind"), F.col("direction"), F.col("grouping")))

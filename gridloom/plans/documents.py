@@ -85,3 +85,41 @@ select conv_id, turn, page, case when page = 1 then 'first' when page % 2 = 0 th
 def page_explicit_breaks(spark, sf_dir):
     found = documents.pages(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.char_length("text") % 4 == 0)
     return found.select("conv_id", "turn", "page", documents.header_kind(F.col("page"), True, True).alias("header"))
+
+
+@_r.query("""
+select * from (values (1, 'I', 'a', 'a'), (4, 'IV', 'd', 'd'), (9, 'IX', 'i', 'i'), (27, 'XXVII', 'aa', 'aa'), (28, 'XXVIII', 'bb', 'ab'), (53, 'LIII', 'aaa', 'ba'), (1994, 'MCMXCIV', null, 'bxr'), (4000, '4000', null, 'ewv')) v(n, roman, doubled, letters)
+""")
+def list_number_styles(spark, sf_dir):
+    from ..functions.labels import letters, roman
+
+    n = F.col("n")
+    return spark.createDataFrame([(1,), (4,), (9,), (27,), (28,), (53,), (1994,), (4000,)], "n int").select("n", roman(n).alias("roman"), F.when(n < 100, letters(n)).alias("doubled"), letters(n, repeat=False).alias("letters"))
+
+
+@_r.query("""
+with recursive g("group", parent, off, ext, ch_off, ch_ext) as (values (1, null, 100.0, 200.0, 0.0, 400.0), (2, 1, 40.0, 80.0, 10.0, 40.0)),
+s as (select n_nationkey as shape, n_nationkey::double as x, 10.0 as w, case n_nationkey % 3 when 0 then null else n_nationkey % 3 end as "group" from nation),
+u as (select * from s union all select shape, g.off + (x - g.ch_off) * g.ext / g.ch_ext, w * g.ext / g.ch_ext, g.parent from u join g on u."group" = g."group")
+select shape, round(x, 6)::double as x, round(w, 6)::double as w from u where "group" is null
+""")
+def shape_group_positions(spark, sf_dir):
+    """Shapes in nested groups, moved and scaled up the tree."""
+    from ..operators.packages import absolute_positions
+
+    groups = spark.createDataFrame([(1, None, 100.0, 200.0, 0.0, 400.0), (2, 1, 40.0, 80.0, 10.0, 40.0)], "group int, parent int, off double, ext double, ch_off double, ch_ext double")
+    key = F.col("n_nationkey")
+    shapes = table(spark, sf_dir, "nation").select(key.alias("shape"), key.cast("double").alias("x"), F.lit(10.0).alias("w"), F.nullif(key % 3, F.lit(0)).alias("group"))
+    found = absolute_positions(shapes, F.broadcast(groups))
+    return found.select("shape", F.round("x", 6).alias("x"), F.round("w", 6).alias("w"))
+
+
+@_r.query("""
+select * from (values (0, 'a', 'Sheet1!$A$1'), (0, 'b', 'own'), (1, 'a', 'Sheet1!$A$1'), (1, 'b', 'later')) v(sheet_idx, name, formula)
+""")
+def lookup_defined_names(spark, sf_dir):
+    from ..operators.packages import names_of_sheet
+
+    names = spark.createDataFrame([("f", "A", None, "Sheet1!$A$1", 0), ("f", "b", None, "first", 1), ("f", "B", None, "later", 2), ("f", "b", 0, "own", 3)], "file_path string, name string, local_sheet int, formula string, ord int")
+    sheets = spark.createDataFrame([("f", 0), ("f", 1)], "file_path string, sheet_idx int")
+    return names_of_sheet(names, sheets, ["file_path"]).select("sheet_idx", "name", "formula")

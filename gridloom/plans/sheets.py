@@ -64,7 +64,7 @@ def grid_tsv(spark, sf_dir):
 with g as (select row_number() over (order by n_nationkey) as "row", n_name from nation),
 c as (select "row", unnest([1, 2, 3]) as col, n_name from g),
 m as (select * from (values (2, 1, 3, 3), (7, 2, 7, 3), (10, 1, 14, 1)) v("top", "left", bottom, "right"))
-select c."row", c.col, n_name, case when m."top" is null then 'plain' when c."row" = m."top" and c.col = m."left" then 'anchor' else 'covered' end as cover
+select c."row"::int as "row", c.col, n_name, case when m."top" is null then 'plain' when c."row" = m."top" and c.col = m."left" then 'anchor' else 'covered' end as cover
 from c left join m on c."row" between m."top" and m.bottom and c.col between m."left" and m."right"
 """)
 def grid_merge_cover(spark, sf_dir):
@@ -141,20 +141,20 @@ def fx_count_family(spark, sf_dir):
 
 @_r.query("""
 select c_custkey, floor(c_acctbal + 0.5)::bigint as r0, case when c_acctbal >= 0 then floor(c_acctbal) else ceil(c_acctbal) end::bigint as down, case when c_acctbal >= 0 then ceil(c_acctbal) else floor(c_acctbal) end::bigint as up,
-  floor(c_acctbal)::bigint as int_, round(ceil(c_acctbal / 50.0) * 50, 4) as ceiling50, round(c_acctbal - floor(c_acctbal / 7.0) * 7, 4) as mod7, round(c_acctbal - floor(c_acctbal / -7.0) * -7, 4) as mod_7,
+  floor(c_acctbal)::bigint as int_, round(ceil(c_acctbal / 50.0) * 50, 4) + 0.0 as ceiling50, round(c_acctbal - floor(c_acctbal / 7.0) * 7, 4) as mod7, round(c_acctbal - floor(c_acctbal / -7.0) * -7, 4) as mod_7,
   case when c_acctbal >= 0 then round(sqrt(c_acctbal), 4) end as root, case when c_acctbal > 0 then round(ln(c_acctbal), 4) end as log_, sign(c_acctbal)::int as sign_ from customer
 """)
 def fx_math(spark, sf_dir):
     x = F.col("c_acctbal")
     return table(spark, sf_dir, "customer").select(
         "c_custkey", numbers.round_half_up(x).cast("long").alias("r0"), numbers.round_down(x).cast("long").alias("down"), numbers.round_up(x).cast("long").alias("up"), F.floor(x).alias("int_"),
-        F.round(numbers.ceiling(x, F.lit(50.0)), 4).alias("ceiling50"), F.round(numbers.modulo(x, F.lit(7.0)), 4).alias("mod7"), F.round(numbers.modulo(x, F.lit(-7.0)), 4).alias("mod_7"),
+        (F.round(numbers.ceiling(x, F.lit(50.0)), 4) + 0.0).alias("ceiling50"), F.round(numbers.modulo(x, F.lit(7.0)), 4).alias("mod7"), F.round(numbers.modulo(x, F.lit(-7.0)), 4).alias("mod_7"),
         F.round(numbers.square_root(x), 4).alias("root"), F.round(numbers.natural_log(x), 4).alias("log_"), F.signum(x).cast("int").alias("sign_"),
     )
 
 
 @_r.query(r"""
-select p_partkey, length(p_name) as n, left(p_name, 4) as l4, right(p_name, 3) as r3, substr(p_type, 3, 5) as m, upper(p_brand) as u, nullif(instr(p_type, 'E'), 0) as found, nullif(instr(lower(p_type), 'e'), 0) as searched,
+select p_partkey, length(p_name)::int as n, left(p_name, 4) as l4, right(p_name, 3) as r3, substr(p_type, 3, 5) as m, upper(p_brand) as u, nullif(instr(p_type, 'E'), 0)::int as found, nullif(instr(lower(p_type), 'e'), 0)::int as searched,
   trim(regexp_replace('  ' || p_name || '   ' || p_type, '\s+', ' ', 'g')) as trimmed, p_brand || '/' || p_size as joined from part
 """)
 def fx_text(spark, sf_dir):
@@ -256,7 +256,7 @@ def border_neighbours(spark, sf_dir):
 
 @_r.query("""
 with recursive s(style, parent, bold, size) as (values ('base', null, false, 10.0), ('head', 'base', true, null), ('head1', 'head', null, 20.0), ('quote', 'base', null, null), ('loop', 'loop', null, 9.0)),
-c as (select style as leaf, style, parent, 0 as depth, bold, size from s union all select c.leaf, s.style, s.parent, depth + 1, s.bold, s.size from c join s on c.parent = s.style where depth < 32)
+c as (select style as leaf, style, parent, 0 as depth, bold, size from s union all select c.leaf, s.style, s.parent, depth + 1, s.bold, s.size from c join s on c.parent = s.style where depth < 12)
 select leaf as style, max(depth)::int as depth, arg_min(bold, depth) filter (where bold is not null) as bold, arg_min(size, depth) filter (where size is not null)::double as size from c group by leaf
 """)
 def style_chain_recursive(spark, sf_dir):
