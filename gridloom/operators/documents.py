@@ -62,3 +62,11 @@ def field_results(runs: DataFrame, document: list[str], order: str, kind: str, t
     marked = runs.withColumn("field", begun).withColumn("__open", begun - ended).withColumn("__result", parted - ended)
     part = F.when(F.col("__open") <= 0, "body").when(F.col("__result") >= F.col("__open"), "result").otherwise("code")
     return marked.withColumn("part", part).where(F.col(kind) == "text").drop("__open", "__result")
+
+
+def table_matrices(runs: DataFrame, document: list[str], table: str = "tbl") -> DataFrame:
+    """Tables as arrays of rows of cell texts; a cell's paragraphs are joined by line feeds."""
+    paragraphs_ = joined_text(runs.where(F.col(table).isNotNull()), [*document, table, "trow", "tcol", "part"], ["run"], F.coalesce("text", F.lit("")), "")
+    cells = joined_text(paragraphs_, [*document, table, "trow", "tcol"], ["part"], F.col("text"))
+    rows = cells.groupBy(*document, table, "trow").agg(F.transform(F.array_sort(F.collect_list(F.struct("tcol", "text"))), lambda c: c["text"]).alias("cells"))
+    return rows.groupBy(*document, table).agg(F.transform(F.array_sort(F.collect_list(F.struct("trow", "cells"))), lambda r: r["cells"]).alias("rows"))

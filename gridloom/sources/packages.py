@@ -44,13 +44,16 @@ class Package:
             raise PackageError(f"{path} declares entities")
         return ElementTree.fromstring(data)
 
-    def relations(self, part: str) -> dict[str, str]:
-        """Relationship id -> part path, inside the package only."""
+    def relations(self, part: str, external: bool = False) -> dict[str, str]:
+        """Relationship id -> part path, inside the package only, or also ``external`` targets as they are."""
         folder, name = posixpath.split(part)
         root, out = self.xml(f"{folder}/_rels/{name}.rels" if folder else f"_rels/{name}.rels"), {}
         for r in root if root is not None else ():
             target = r.get("Target", "")
-            if r.get("TargetMode") != "External":
+            if r.get("TargetMode") == "External":
+                if external:
+                    out[r.get("Id")] = target
+            else:
                 path = posixpath.normpath(target[1:] if target.startswith("/") else posixpath.join(folder, target))
                 if not path.startswith(".."):
                     out[r.get("Id")] = path

@@ -110,3 +110,89 @@ def _names(package: Package):
 def defined_names(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _names, "name string, local_sheet int, formula string")
 
+
+
+def _dims(package: Package):
+    for i, _, part in _sheets(package):
+        root = package.xml(part) if part else None
+        for c in below(root, "col") if root is not None else ():
+            for n in range(int(c.get("min")), int(c.get("max")) + 1):
+                yield i, "col", n, float(c.get("width")) if c.get("width") else None, c.get("hidden") in ("1", "true")
+        for r in below(root, "row") if root is not None else ():
+            if r.get("ht") or r.get("hidden"):
+                yield i, "row", int(r.get("r")), float(r.get("ht")) if r.get("ht") else None, r.get("hidden") in ("1", "true")
+
+
+def dimensions(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Sizes and visibility of rows and columns: ``sheet_idx, axis, index, size, hidden``."""
+    return read_packages(spark, path, "*.xlsx", _dims, "sheet_idx int, axis string, index int, size double, hidden boolean")
+
+
+def visible(cells: DataFrame, dims: DataFrame) -> DataFrame:
+    """Cells that are in no hidden row or column."""
+    gone = dims.where("hidden")
+    for axis in ("row", "col"):
+        hidden = gone.where(F.col("axis") == axis).select("file_path", "sheet_idx", F.col("index").alias(axis))
+        cells = cells.join(hidden, ["file_path", "sheet_idx", axis], "left_anti")
+    return cells
+
+
+def _rules(package: Package):
+    for i, _, part in _sheets(package):
+        root = package.xml(part) if part else None
+        for b, block in enumerate(below(root, "conditionalFormatting") if root is not None else ()):
+            for r, rule in enumerate(e for e in block if local(e) == "cfRule"):
+                stops = [(v.get("type"), v.get("val")) for v in below(rule, "cfvo")]
+                colors = [c.get("rgb") for c in below(rule, "color")]
+                yield (
+                    i, b, r, block.get("sqref"), rule.get("type"), int(rule.get("priority") or 0), rule.get("operator"), [f.text for f in rule if local(f) == "formula"], int(rule.get("dxfId")) if rule.get("dxfId") else None,
+                    rule.get("stopIfTrue") in ("1", "true"), int(rule.get("rank")) if rule.get("rank") else None, rule.get("percent") in ("1", "true"), rule.get("bottom") in ("1", "true"),
+                    [t for t, _ in stops], [v for _, v in stops], colors,
+                )
+
+
+def format_rules(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return read_packages(
+        spark, path, "*.xlsx", _rules,
+        "sheet_idx int, cf_idx int, rule_idx int, sqref string, type string, priority int, operator string, formulas array<string>, dxf_id int, stop_if_true boolean, rank int, percent boolean, bottom boolean, stop_types array<string>, stop_values array<string>, colors array<string>",
+    )
+
+
+def _links(package: Package):
+    for i, _, part in _sheets(package):
+        root = package.xml(part) if part else None
+        if root is None:
+            continue
+        relations = package.relations(part, external=True)
+        for h in below(root, "hyperlink"):
+            yield i, h.get("ref").split(":")[0], relations.get(next((v for k, v in h.attrib.items() if k.endswith("}id")), None), h.get("location"))
+
+
+def hyperlinks(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """First cell of each link and its target."""
+    return read_packages(spark, path, "*.xlsx", _links, "sheet_idx int, ref string, target string")
+
+
+def _tables(package: Package):
+    for i, _, part in _sheets(package):
+        for target in package.relations(part).values() if part else ():
+            root = package.xml(target) if "/tables/" in target else None
+            if root is not None:
+                style = child(root, "tableStyleInfo")
+                yield (
+                    i, root.get("displayName") or root.get("name"), root.get("ref"), int(root.get("headerRowCount") or 1), int(root.get("totalsRowCount") or 0),
+                    style.get("name") if style is not None else None, style is not None and style.get("showRowStripes") == "1", [c.get("name") for c in below(root, "tableColumn")],
+                )
+
+
+def tables(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return read_packages(spark, path, "*.xlsx", _tables, "sheet_idx int, name string, ref string, header_rows int, totals_rows int, style string, row_stripes boolean, columns array<string>")
+
+
+def resolve_sheet(sheets_: DataFrame, identifier: str) -> DataFrame:
+    """The sheet of a 0-based index if the identifier is a number, else of the name."""
+    return sheets_.where(F.col("sheet_idx") == int(identifier) if identifier.isdigit() else F.col("name") == identifier)
+
+
+def formulas(cells_: DataFrame) -> DataFrame:
+    return cells_.where(F.col("formula").isNotNull())
