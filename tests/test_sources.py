@@ -89,7 +89,7 @@ def test_workbook_tables(spark, folder):
 def test_side_tables(spark, folder):
     fine = lambda df: df.where("error is null")
     dims = fine(spreadsheets.dimensions(spark, folder))
-    assert {(r.sheet_idx, r.axis, r.index, r.size, r.hidden) for r in dims.collect()} == {(1, "col", 2, 9.0, True), (1, "col", 3, 9.0, True)}
+    assert {(r.sheet_idx, r.axis, r["index"], r["size"], r.hidden) for r in dims.collect()} == {(1, "col", 2, 9.0, True), (1, "col", 3, 9.0, True)}
     cells = spreadsheets.cells(spark, folder)
     assert spreadsheets.visible(cells, dims).count() == cells.count() - 1 and spreadsheets.formulas(cells).count() == 1
     rules = {r.type: r for r in fine(spreadsheets.format_rules(spark, folder)).collect()}
