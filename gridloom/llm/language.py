@@ -31,8 +31,8 @@ from .shared import map_columns, texts
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 #: Bounds of the training sample: rows, and bytes of each.
 SAMPLE, TRAIN_BYTES = 6000, 4000
-EPOCHS, RATE, BATCH = 6, 4.0, 32
-#: Part of the left-out rows that the rejection may cost, divided by the safety factor below.
+EPOCHS, RATE = 4, 0.5
+#: Part of the left-out rows that the rejection may cost at most.
 REJECTED = 0.001
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -116,10 +116,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     z = np.array([model.logits(rows[i][0]) for i in left]) if len(left) else np.zeros((0, k))
     if len(left):
         loss = lambda t: -np.mean((z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True))[np.arange(len(left)), label[left]])
-        model.temperature = float(min(np.geomspace(0.05, 20, 80), key=loss))
+        model.temperature = float(min(np.geomspace(0.02, 500, 160), key=loss))
         best = np.exp((z / model.temperature).max(1) - np.logaddexp.reduce(z / model.temperature, axis=1))
-        # No stricter than an even split between the languages with a margin.
-        model.least = float(min(np.quantile(best, REJECTED), (1 + 1 / k) / 2) * 0.9)
+        # Never above a tie of two languages: a document that one of them clearly leads is kept.
+        model.least = float(min(np.quantile(best, REJECTED), 0.5) * 0.9)
     return model
 
 

@@ -16,6 +16,21 @@ def test_held_out_accuracy(spark):
     assert sum(r.rejected for r in said) <= 0.02 * len(said)
 
 
+def test_scores_are_calibrated_and_gibberish_is_rejected():
+    import random
+
+    rng = random.Random(1)
+    stock = {"en": ["the", "of", "and", "that", "with"], "de": ["der", "und", "nicht", "ein", "auch"], "fr": ["les", "une", "dans", "qui", "pour"]}
+    noisy = lambda g: " ".join(rng.choice(stock[g if rng.random() < 0.6 else rng.choice(list(stock))]) for _ in range(8))
+    rows = [(noisy(g), g) for g in stock for _ in range(300)]
+    model = language.fit(rows)
+    said = [(g, *model.predict(noisy(g))) for g in stock for _ in range(300)]
+    right, confident = sum(g == p for g, p, *_ in said) / len(said), sum(s for *_, s, _ in said) / len(said)
+    assert right > 0.8 and abs(right - confident) < 0.08
+    assert model.predict("12 34 --")[2] and not model.predict("the of and that with the of and")[2]
+    assert 0 < model.least < 0.5
+
+
 def test_odd_rows(spark, odd, empty):
     model = language.train(odd)
     rows = language.identify(odd, model, keep=["doc_id", "text"]).collect()
