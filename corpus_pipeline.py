@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, language, mixture, simhash, training_order
-from gridloom.llm.queries import END_TOKEN, TOKENIZER
+from gridloom.llm.queries import END_TOKEN, SEQUENCE_TOKENIZER
 from gridloom.llm.shared import documents, stage
 
 
@@ -38,7 +38,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences in training order, written as fixed-stride shards; their index."""
-    return training_order.materialise(docs, public_tokenizers.path(TOKENIZER), END_TOKEN)
+    return training_order.materialise(docs, public_tokenizers.path(SEQUENCE_TOKENIZER), END_TOKEN)
 
 
 STAGES = [

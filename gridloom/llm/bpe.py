@@ -1,4 +1,4 @@
-"""Token counts and ids from public tokenizer files, as the tokenizers library gives them.
+"""Token counts and ids from public tokenizer files, as their libraries give them: tokenizers for .json, sentencepiece for .model.
 
 A tokenizer whose rules never look across ASCII white space (it is dropped, and
 no added token or pre-tokenizer pattern contains it) encodes a text as the
@@ -18,13 +18,13 @@ import numpy as np
 #: Pieces that a worker remembers; it starts anew beyond that, with the same results.
 REMEMBERED = 400_000
 
-_open: dict[str, PieceTokenizer] = {}
+_open: dict[str, PieceTokenizer | SentenceTokenizer] = {}
 
 
-def tokenizer(path: str) -> PieceTokenizer:
+def tokenizer(path: str) -> PieceTokenizer | SentenceTokenizer:
     """One per worker process and file."""
     if path not in _open:
-        _open[path] = PieceTokenizer(path)
+        _open[path] = (SentenceTokenizer if path.endswith(".model") else PieceTokenizer)(path)
     return _open[path]
 
 
@@ -54,6 +54,7 @@ class PieceTokenizer:
         with open(path, encoding="utf-8") as f:
             self.by_piece = drops_white_space(json.load(f))
         self.inner = Tokenizer.from_file(path)
+        self.size = self.inner.get_vocab_size()
         self.inner.no_truncation()
         self.inner.no_padding()
         self._lengths: dict[bytes, int] = {}
@@ -88,3 +89,22 @@ class PieceTokenizer:
             known.clear()
         new = list(seen.difference(known))
         known.update(zip(new, (keep(x) for x in self.encode([p.decode() for p in new])), strict=True))
+
+
+class SentenceTokenizer:
+    by_piece = False
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.inner = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = self.inner.get_piece_size()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.inner.encode(texts, num_threads=1) if texts else []
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(x) for at in range(0, len(texts), 64) for x in self.encode(texts[at : at + 64])]
+
+    def ids(self, texts: list[str], kind=np.uint16) -> list[np.ndarray]:
+        return [np.array(x, kind) for at in range(0, len(texts), 64) for x in self.encode(texts[at : at + 64])]

@@ -10,7 +10,9 @@ from . import decontaminate, language, mixture, ngram_model, repeats, secrets, s
 from .shared import crc_remainder, documents
 
 TOKENIZER = "word_bpe_49k.json"
-TOKEN_LIMIT, END_TOKEN = 2048, 49407
+TOKEN_LIMIT = 2048
+#: Tokenizer and end token of the written sequences.
+SEQUENCE_TOKENIZER, END_TOKEN = "piece_bpe_32k.model", 2
 
 
 def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.materialise(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_TOKEN)
+    return training_order.materialise(documents(spark, sf_dir), public_tokenizers.path(SEQUENCE_TOKENIZER), END_TOKEN)
 
 
 def op8_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,11 @@ class Grid:
     lanes: int
     radius: int
     choices: list[tuple[int, ...]]
+    #: Choices of the first round. What it links is one label after it, so large groups send no more edges in the second.
+    first: int | None = None
+
+    def rounds(self) -> list[list[tuple[int, ...]]]:
+        return [r for r in (self.choices[: self.first], self.choices[len(self.choices) if self.first is None else self.first :]) if r]
 
 
 def exact_grid(points: int, radius: int) -> Grid:
@@ -124,7 +129,7 @@ def similarity_grid(points: int, similarity: float, seed: int = 1) -> Grid:
         for axis in rng.choice(SEGMENTS * LANES, axes, replace=False).tolist():
             masks[axis // SEGMENTS] |= 3 << (2 * (axis % SEGMENTS))
         choices.append(tuple(masks))
-    return Grid(LANES, radius, choices)
+    return Grid(LANES, radius, choices, first=4)
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -148,7 +153,7 @@ def near(a, b, ea, eb, radius: int) -> np.ndarray:
 
 
 def cell_stars(cells: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, root) that connect what is linked inside each cell. Equal cells are adjacent; ``fps`` has a column a lane."""
+    """Edges (id, root's id) that connect what is linked inside each cell. Equal cells are adjacent; ``fps`` has a column a lane; rows of one id are linked already."""
     e = embed(fps)
     bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
     sizes = np.diff(bounds)
@@ -167,7 +172,7 @@ def cell_stars(cells: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int)
     _union(root, links)
     for k in np.flatnonzero(sizes > SMALL_CELL):
         _flood(root, np.arange(bounds[k], bounds[k + 1]), fps, e, radius)
-    linked = np.flatnonzero(root != np.arange(len(fps)))
+    linked = np.flatnonzero(ids != ids[root])
     return ids[linked], ids[root[linked]]
 
 
@@ -201,20 +206,20 @@ def _flood(root: np.ndarray, members: np.ndarray, fps: np.ndarray, e: np.ndarray
                 rest = np.delete(rest, hit)
 
 
-def grid_edges(points: DataFrame, grid: Grid) -> DataFrame:
-    """``points(point, fp0, ...)``, distinct, to edges ``(a, b)`` with the components of all pairs that the grid finds."""
+def grid_edges(points: DataFrame, grid: Grid, chosen: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """``points(label, fp0, ...)``, distinct, to edges ``(a, b)`` between labels with the components of all pairs that the choices find."""
     names = [f"fp{i}" for i in range(grid.lanes)]
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
-    choices = F.array(*[F.struct(F.lit(i).alias("i"), *[signed(m).alias(n) for m, n in zip(c, names)]) for i, c in enumerate(grid.choices)])
+    choices = F.array(*[F.struct(F.lit(i).alias("i"), *[signed(m).alias(n) for m, n in zip(c, names)]) for i, c in enumerate(chosen or grid.choices)])
     # Only the hash of the cell travels: cells that share one are compared together, which adds no wrong pair.
     cells = F.transform(choices, lambda c: F.xxhash64(c["i"], *[c[n].bitwiseAND(F.col(f"packed_{n}")) for n in names]))
-    packed = points.select("point", *names, *[_packed(n).alias(f"packed_{n}") for n in names])
-    placed = packed.select(F.explode(cells).alias("cell"), "point", *names)
+    packed = points.select("label", *names, *[_packed(n).alias(f"packed_{n}") for n in names])
+    placed = packed.select(F.explode(cells).alias("cell"), "label", *names)
 
     def work(batches):
         cells, ids, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, grid.lanes), np.uint64)
         for b in batches:
-            cells, ids = np.r_[cells, b["cell"].to_numpy()], np.r_[ids, b["point"].to_numpy()]
+            cells, ids = np.r_[cells, b["cell"].to_numpy()], np.r_[ids, b["label"].to_numpy()]
             fps = np.vstack([fps, np.column_stack([b[n].to_numpy().view(np.uint64) for n in names])])
             if len(cells) < 50_000:
                 continue
@@ -257,9 +262,13 @@ def _linked(found: DataFrame, grid_for) -> DataFrame:
     point = F.col("fp0") if len(names) == 1 else F.xxhash64(*names)
     prints = stage(found.withColumn("point", point), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    points = stage(prints.groupBy("point", *names).agg(F.min(order).alias("least")), "points")
-    roots = components(grid_edges(points.select("point", *names), grid_for(points.count())))
-    rooted = points.join(roots, points.point == roots.node, "left").select("point", "least", F.coalesce("root", "point").alias("root"))
+    points = stage(prints.groupBy("point", *names).agg(F.min(order).alias("least")).withColumn("label", F.col("point")), "points")
+    grid = grid_for(points.count())
+    for chosen in grid.rounds():
+        roots = components(grid_edges(points.select("label", *names), grid, chosen))
+        joined = points.join(roots, points.label == roots.node, "left")
+        points = stage(joined.select("point", *names, "least", F.coalesce("root", "label").alias("label")), "points")
+    rooted = points.select("point", "least", F.col("label").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
     classes = rooted.join(firsts, "root").select("point", F.col("first").alias("__first"))
     return prints.join(classes, "point").select("doc_id", "text_hash", *names, F.col("__first.doc_id").alias("component_id"), (order == F.col("__first")).alias("first"))

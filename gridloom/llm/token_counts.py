@@ -36,7 +36,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     asked = stage(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest")), "digests")
 
     append(spark, docs.select(body.alias("body")).withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)), tokenizer_path, version, cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).dropDuplicates(["digest"])
+    # Written first: the join's sides then come straight from shuffles, and Spark can split a hot digest.
+    counts = stage(read_cache(spark, cache_path).where(F.col("tokenizer") == version).dropDuplicates(["digest"]), "counts")
     return asked.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 

@@ -122,7 +122,7 @@ def _rows(rows, first, length, end_token, total, key):
 
 
 def id_type(tokenizer_path: str) -> np.dtype:
-    return np.dtype("<u2" if bpe.tokenizer(tokenizer_path).inner.get_vocab_size() <= 1 << 16 else "<u4")
+    return np.dtype("<u2" if bpe.tokenizer(tokenizer_path).size <= 1 << 16 else "<u4")
 
 
 def shard_name(shard: int) -> str:

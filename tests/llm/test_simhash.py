@@ -74,7 +74,7 @@ def test_grid_finds_every_pair_in_range(spark):
     points = sorted(points)
     signed = np.array(points, np.uint64).view(np.int64).tolist()
     for size in (1000, 10**8):  # another shape of the grid
-        edges = simhash.grid_edges(spark.createDataFrame([(x, x) for x in signed], "point long, fp0 long"), simhash.exact_grid(size, 4))
+        edges = simhash.grid_edges(spark.createDataFrame([(x, x) for x in signed], "label long, fp0 long"), simhash.exact_grid(size, 4))
         root = {r.node % 2**64: r.root for r in components(edges).collect()}
         want = plain_components(list(enumerate(points)))
         got = {}
