@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,10 +33,15 @@ def scale_color(x: Column, stops: list[tuple[Column, str]]) -> Column:
 
 def tint(color: Column, amount: float) -> Column:
     """Lightness in HLS moved toward white (positive) or black (negative)."""
+    return relight(color, lambda light: light * (1.0 + amount) if amount < 0 else light * (1.0 - amount) + amount)
+
+
+def relight(color: Column, change: Callable[[Column], Column]) -> Column:
+    """The colour with another lightness, its hue and saturation as they are."""
     r, g, b = [channel(color, i) / 255.0 for i in range(3)]
     high, low = F.greatest(r, g, b), F.least(r, g, b)
     light, span = (high + low) / 2, high - low
-    new = light * (1.0 + amount) if amount < 0 else light * (1.0 - amount) + amount
+    new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), change(light)))
     saturation = F.when(span == 0, 0.0).when(light <= 0.5, F.try_divide(span, high + low)).otherwise(F.try_divide(span, 2.0 - high - low))
     sixth = F.when(span == 0, 0.0).when(high == r, F.try_divide(g - b, span)).when(high == g, 2.0 + F.try_divide(b - r, span)).otherwise(4.0 + F.try_divide(r - g, span))
     hue = F.pmod(F.coalesce(sixth, F.lit(0.0)) / 6.0, F.lit(1.0))
@@ -47,3 +53,46 @@ def tint(color: Column, amount: float) -> Column:
         return F.when(h < 1 / 6, m1 + (m2 - m1) * h * 6.0).when(h < 0.5, m2).when(h < 2 / 3, m1 + (m2 - m1) * (2 / 3 - h) * 6.0).otherwise(m1)
 
     return from_channels([F.floor(part(hue + d) * 255.0 + 0.5) for d in (1 / 3, 0.0, -1 / 3)])
+
+
+def light_modulated(color: Column, share: Column) -> Column:
+    """``lumMod``: lightness times a share."""
+    return relight(color, lambda light: light * share)
+
+
+def light_offset(color: Column, share: Column) -> Column:
+    """``lumOff``: lightness plus a share."""
+    return relight(color, lambda light: light + share)
+
+
+def shaded(color: Column, share: Column) -> Column:
+    """``shade``: each channel times a share; 1 changes nothing, 0 is black."""
+    return from_channels([F.floor(channel(color, i) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) + 0.5) for i in range(3)])
+
+
+def linear_tinted(color: Column, share: Column) -> Column:
+    """``tint``: a step of ``share`` toward white in linear light."""
+
+    def moved(c: Column) -> Column:
+        x = c / 255.0
+        linear = F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4)))
+        to = linear + (1.0 - linear) * share
+        return F.when(to <= 0.0031308, to * 12.92).otherwise(1.055 * F.pow(to, F.lit(1 / 2.4)) - 0.055)
+
+    return from_channels([F.floor(moved(channel(color, i)) * 255.0 + 0.5) for i in range(3)])
+
+
+#: Changes by the names that colour definitions give them.
+CHANGES = {"lumMod": light_modulated, "lumOff": light_offset, "shade": shaded, "tint": linear_tinted}
+
+
+def changed(color: Column, steps: list[tuple[str, float]]) -> Column:
+    """Changes applied in the order in which they stand; ``alpha`` is appended as two more digits, other names are left out."""
+    opacity = 1.0
+    for name, share in steps:
+        if name == "alpha":
+            opacity = share
+        elif name in CHANGES:
+            color = CHANGES[name](color, F.lit(share))
+    shown = round(max(0.0, min(1.0, opacity)) * 255)
+    return color if shown == 255 else F.concat(color, F.lit(f"{shown:02X}"))

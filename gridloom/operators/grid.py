@@ -29,6 +29,11 @@ def numbered(df: DataFrame, order: list[str], sheet: list[str] | None = None) ->
     return df.withColumn("row", F.row_number().over(Window.partitionBy(*(sheet or [F.lit(0)])).orderBy(*order)))
 
 
+def first_rows(df: DataFrame, order: list[str], last: int) -> DataFrame:
+    """Rows 1 to ``last`` of a table as a sheet, numbered: partitions hand on no more than that many rows each."""
+    return numbered(df.orderBy(*order).limit(last), order)
+
+
 def cell_range(cells: DataFrame, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
     """Cells between two (row, col) corners, given in any order."""
     (r1, c1), (r2, c2) = first, last

@@ -44,3 +44,33 @@ def table_band(row: Column, first: int, last: int, header: int, totals: int) ->
     """Part of a table that a row belongs to: header, totals, band1 or band2."""
     data = row - first - header
     return F.when(row < first + header, "header").when(row > last - totals, "totals").when(data % 2 == 1, "band2").otherwise("band1")
+
+
+def merged_font(own: Column, rule: Column, table_bold: Column, names: tuple[str, ...] = ("bold", "italic", "underline", "strike")) -> list[Column]:
+    """Toggles of a cell's font, a rule's and a table part's add up: each is set if any layer sets it."""
+    set_ = lambda c: F.coalesce(c, F.lit(False))
+    return [(set_(own[n]) | set_(rule[n]) | (set_(table_bold) if n == "bold" else F.lit(False))).alias(n) for n in names]
+
+
+def dxf_fill(foreground: Column, background: Column) -> Column:
+    """A differential fill with a background alone shows it as its foreground."""
+    return F.coalesce(foreground, background)
+
+
+def merged_border(merges: DataFrame, cells: DataFrame, sheet: list[str]) -> DataFrame:
+    """``right`` and ``bottom`` edges of merged rectangles: of the cell at that end, then of the far corner, then of the anchor.
+
+    ``merges``: ``sheet, top, left, bottom, right``; ``cells``: ``sheet, row, col, right_edge, bottom_edge``.
+    Three equi-joins by position; a rectangle of one cell keeps its own edges.
+    """
+    def at(row: str, col: str, tag: str) -> DataFrame:
+        return cells.select(*sheet, F.col("row").alias(row), F.col("col").alias(col), F.col("right_edge").alias(f"__r_{tag}"), F.col("bottom_edge").alias(f"__b_{tag}"))
+
+    found = merges
+    for row, col, tag in (("top", "right", "end"), ("bottom", "left", "foot"), ("bottom", "right", "corner"), ("top", "left", "anchor")):
+        found = found.join(at(row, col, tag), [*sheet, row, col], "left")
+    return found.select(
+        *merges.columns,
+        F.coalesce("__r_end", "__r_corner", "__r_anchor").alias("right_edge"),
+        F.coalesce("__b_foot", "__b_corner", "__b_anchor").alias("bottom_edge"),
+    )

@@ -1,6 +1,6 @@
 """The registered queries and the SQL that they are checked against."""
 
-from . import charts, documents, general, rules, sheets
+from . import charts, documents, general, looks, rules, sheets
 
-QUERIES = {n: f for m in (sheets, rules, charts, documents, general) for n, f in m.QUERIES.items()}
-ORACLE_SQL = {n: s for m in (sheets, rules, charts, documents, general) for n, s in m.ORACLE_SQL.items()}
+QUERIES = {n: f for m in (sheets, rules, charts, documents, looks, general) for n, f in m.QUERIES.items()}
+ORACLE_SQL = {n: s for m in (sheets, rules, charts, documents, looks, general) for n, s in m.ORACLE_SQL.items()}

@@ -227,7 +227,7 @@ select unnest([1, 2, 3, 4, 5, 6]) as pos, unnest(v) as value from (select [max(s
 """)
 def range_values_row_major(spark, sf_dir):
     """Values of a 3 by 2 range in row-major order; texts are null."""
-    cells = grid.as_cells(grid.numbered(table(spark, sf_dir, "supplier"), ["s_suppkey"]).where("row between 2 and 4"), ["row"], ["s_acctbal", "s_name"])
+    cells = grid.as_cells(grid.first_rows(table(spark, sf_dir, "supplier"), ["s_suppkey"], 4).where("row between 2 and 4"), ["row"], ["s_acctbal", "s_name"])
     every = spark.range(6).select((F.col("id").cast("int") + 1).alias("pos"), (F.floor(F.col("id") / 2) + 2).alias("row"), (F.col("id") % 2 + 1).alias("col"))
     return every.join(cells, ["row", "col"], "left").select("pos", F.col("v_num").alias("value"))
 

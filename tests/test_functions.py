@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.functions import a1, colors, criteria, dates, formats, labels, numbers, register, text
+from gridloom.functions import a1, colors, criteria, dates, eras, formats, guides, kinds, labels, numbers, register, text
 from gridloom.operators import joins, order_stats
 
 
@@ -122,3 +122,31 @@ def test_salted_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k int, i int")
     right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "k int, s string")
     assert sorted(joins.salted(left, right, "k", 4).collect()) == sorted(left.join(right, "k").select("k", "i", "s").collect())
+
+
+def test_color_changes(spark):
+    c = F.lit("#156082")
+    got = values(spark, colors.changed(c, [("shade", 0.0)]), colors.changed(c, [("shade", 1.0)]), colors.changed(c, [("tint", 0.0)]), colors.changed(c, [("tint", 1.0)]), colors.changed(c, [("lumMod", 1.0), ("alpha", 0.5)]), colors.changed(c, [("lumOff", 1.0)]), colors.changed(c, [("unknown", 3.0)]))
+    assert got == ["#000000", "#156082", "#156082", "#FFFFFF", "#15608280", "#FFFFFF", "#156082"]
+
+
+def test_eras(spark):
+    days = {"2019-04-30": ("平成", 31), "2019-05-01": ("令和", 1), "1989-01-07": ("昭和", 64), "1912-07-30": ("大正", 1), "1867-05-05": ("明治", 1867)}
+    got = values(spark, *[c for d in days for c in (eras.era_name(F.lit(d).cast("date")), eras.era_year(F.lit(d).cast("date")))])
+    assert got == [x for pair in days.values() for x in pair]
+    assert values(spark, eras.weekday_name(F.lit("2024-01-03").cast("date")), eras.weekday_name(F.lit("2024-01-07").cast("date"), True)) == ["水", "日曜日"]
+
+
+def test_guides(spark):
+    shape = spark.createDataFrame([(100.0, 50.0)], "w double, h double")
+    steps = [("a", "pin 0 60000 50000"), ("x", "*/ ss a 100000"), ("y", "+- r 0 x"), ("z", "?: l x y"), ("s", "sin 10 5400000"), ("q", "at2 1 1"), ("n", "*/ 1 1 0"), ("c", "val 3cd4")]
+    row = guides.guides(shape, "w", "h", steps).collect()[0]
+    assert (row.a, row.x, row.y, row.z, row.n, row.c) == (50000, 25, 75, 75, None, 16_200_000)
+    assert (round(row.s, 9), round(row.q, 3)) == (10, 2_700_000)
+    with pytest.raises(ValueError, match="unknown operator"):
+        guides.formula("pow 2 3", {})
+
+
+def test_kinds(spark):
+    none, text_, flag = F.lit(None).cast("double"), F.lit("12x"), F.lit(True)
+    assert values(spark, kinds.value(none, text_), kinds.n(none, flag), kinds.t(F.lit(None)), kinds.is_error(none, F.lit(None)), kinds.log10(F.lit(-1.0)), kinds.first_true((F.lit(False), F.lit(1)), (F.lit(True), F.lit(2)))) == [12, 1, "", True, None, 2]
