@@ -51,3 +51,69 @@ def titles(texts: DataFrame) -> DataFrame:
     """First title with a text on each slide; null without one."""
     title = F.col("placeholder").isin("title", "ctrTitle", "centeredTitle") & (F.trim("text") != "")
     return texts.groupBy("file_path", "slide").agg(F.min_by(F.when(title, F.trim("text")), F.when(title, F.struct("shape", "ord"))).alias("title"))
+
+
+def _slides(package: Package):
+    root = package.xml(DECK)
+    if root is None:
+        raise PackageError("no presentation")
+    targets = package.relations(DECK)
+    for n, s in enumerate(below(root, "sldId")):
+        part = targets.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None))
+        layout = next((t for t in package.relations(part).values() if "/slideLayouts/" in t), None) if part else None
+        master = next((t for t in package.relations(layout).values() if "/slideMasters/" in t), None) if layout else None
+        yield n, part, layout, master
+
+
+def slides(spark: SparkSession, path: str) -> DataFrame:
+    """Slides in order with their layout and master."""
+    return read_packages(spark, path, "*.pptx", _slides, "slide int, part string, layout string, master string")
+
+
+def _tree(element, group=None, count=None):
+    """(ordinal, ordinal of the group, element) of a shape tree, groups before what they hold."""
+    count = count if count is not None else iter(range(1 << 30))
+    for e in element:
+        if local(e) in ("sp", "pic", "cxnSp", "graphicFrame", "grpSp"):
+            at = next(count)
+            yield at, group, e
+            if local(e) == "grpSp":
+                yield from _tree(e, at, count)
+
+
+def _elements(package: Package):
+    for part in sorted(n for n in package.names if n.startswith("ppt/slide") and n.endswith(".xml")):
+        root, targets = package.xml(part), package.relations(part)
+        for tree in below(root, "spTree"):
+            for at, group, e in _tree(tree):
+                own = next((c for c in e if local(c) in ("nvSpPr", "nvPicPr", "nvCxnSpPr", "nvGraphicFramePr", "nvGrpSpPr")), None)
+                name = next((attribute(c, "name") for c in below(own, "cNvPr")), None) if own is not None else None
+                place = next(below(own, "ph"), None) if own is not None else None
+                holder = next((c for c in e if local(c) in ("spPr", "grpSpPr")), e)
+                frame = child(holder, "xfrm")
+                box = [int(attribute(c, a)) if frame is not None and (c := child(frame, tag)) is not None else None for tag, a in (("off", "x"), ("off", "y"), ("ext", "cx"), ("ext", "cy"), ("chOff", "x"), ("chOff", "y"), ("chExt", "cx"), ("chExt", "cy"))]
+                rid = next((v for b in below(e, "blip") for a, v in b.attrib.items() if a.endswith("}embed")), None) if local(e) == "pic" else None
+                kind = (attribute(place, "type") or "body") if place is not None else None
+                yield part, at, group, local(e), name, kind, int(attribute(place, "idx") or 0) if place is not None else None, *box, targets.get(rid)
+
+
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    """Shapes, pictures, connectors, frames and groups of slides, layouts and masters; lengths in English metric units."""
+    return read_packages(
+        spark, path, "*.pptx", _elements,
+        "part string, shape int, group int, kind string, name string, placeholder string, idx int, x long, y long, w long, h long, ch_x long, ch_y long, ch_w long, ch_h long, target string",
+    )
+
+
+def inherited_positions(slides_: DataFrame, elements_: DataFrame) -> DataFrame:
+    """Positions of the slides' placeholders: their own, else the layout's by index, else by type, else the master's by type."""
+    box = ("x", "y", "w", "h")
+    own = slides_.where("error is null").join(elements_.where("error is null and placeholder is not null"), ["file_path", "part"])
+
+    def layer(tag: str, by: str):
+        held = elements_.where("error is null and placeholder is not null and x is not null").groupBy("file_path", "part", by).agg(F.min_by(F.struct(*box), "shape").alias(tag))
+        return held.withColumnRenamed("part", "layout" if tag != "__master" else "master")
+
+    found = own.join(layer("__idx", "idx"), ["file_path", "layout", "idx"], "left").join(layer("__type", "placeholder"), ["file_path", "layout", "placeholder"], "left").join(layer("__master", "placeholder"), ["file_path", "master", "placeholder"], "left")
+    first = F.coalesce(F.when(F.col("x").isNotNull(), F.struct(*box)), "__idx", "__type", "__master")
+    return found.select("file_path", "slide", "shape", "placeholder", "idx", *[first[b].alias(b) for b in box])

@@ -111,7 +111,6 @@ def defined_names(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _names, "name string, local_sheet int, formula string")
 
 
-
 def _dims(package: Package):
     for i, _, part in _sheets(package):
         root = package.xml(part) if part else None
@@ -196,3 +195,157 @@ def resolve_sheet(sheets_: DataFrame, identifier: str) -> DataFrame:
 
 def formulas(cells_: DataFrame) -> DataFrame:
     return cells_.where(F.col("formula").isNotNull())
+
+
+def _fonts(package: Package):
+    root = package.xml("xl/styles.xml")
+    fonts = child(root, "fonts") if root is not None else None
+    for i, font in enumerate(fonts if fonts is not None else ()):
+        name, size, color = (child(font, n) for n in ("name", "sz", "color"))
+        toggles = [None if (e := child(font, n)) is None else (e.get("val") or "1") not in ("0", "false", "none") for n in ("b", "i", "u", "strike")]
+        yield i, name.get("val") if name is not None else None, float(size.get("val")) if size is not None else None, *toggles, color.get("rgb") if color is not None else None, int(color.get("theme")) if color is not None and color.get("theme") else None
+
+
+def fonts(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Toggles honour their values and are null where they are missing."""
+    return read_packages(spark, path, "*.xlsx", _fonts, "font_id int, name string, size double, bold boolean, italic boolean, underline boolean, strike boolean, rgb string, theme int")
+
+
+def _cell_formats(package: Package):
+    root = package.xml("xl/styles.xml")
+    xfs = child(root, "cellXfs") if root is not None else None
+    for i, xf in enumerate(xfs if xfs is not None else ()):
+        align = child(xf, "alignment")
+        ids = [int(xf.get(n) or 0) for n in ("numFmtId", "fontId", "fillId", "borderId")]
+        yield i, *ids, align.get("horizontal") if align is not None else None, align is not None and align.get("wrapText") in ("1", "true")
+
+
+def cell_formats(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return read_packages(spark, path, "*.xlsx", _cell_formats, "style_index int, num_fmt_id int, font_id int, fill_id int, border_id int, horizontal string, wrap boolean")
+
+
+def _fills(package: Package):
+    root = package.xml("xl/styles.xml")
+    for differs, holder in ((False, child(root, "fills")), (True, child(root, "dxfs"))) if root is not None else ():
+        for i, fill in enumerate(holder if holder is not None else ()):
+            pattern = next(below(fill, "patternFill"), None)
+            if pattern is not None:
+                front, back = child(pattern, "fgColor"), child(pattern, "bgColor")
+                yield differs, i, pattern.get("patternType"), front.get("rgb") if front is not None else None, back.get("rgb") if back is not None else None
+
+
+def fills(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Pattern fills of cell formats, and of rules (``differential``)."""
+    return read_packages(spark, path, "*.xlsx", _fills, "differential boolean, fill_id int, pattern string, foreground string, background string")
+
+
+def _borders(package: Package):
+    root = package.xml("xl/styles.xml")
+    holder = child(root, "borders") if root is not None else None
+    for i, border in enumerate(holder if holder is not None else ()):
+        for edge in border:
+            color = child(edge, "color")
+            if edge.get("style"):
+                yield i, local(edge), edge.get("style"), color.get("rgb") if color is not None else None
+
+
+def borders(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """A row for each edge that has a style."""
+    return read_packages(spark, path, "*.xlsx", _borders, "border_id int, edge string, style string, rgb string")
+
+
+def _related(package: Package, kind: str):
+    """(sheet, part, root) of the parts that sheets refer to, by a piece of their path."""
+    for i, _, part in _sheets(package):
+        for target in package.relations(part).values() if part else ():
+            root = package.xml(target) if kind in target else None
+            if root is not None:
+                yield i, target, root
+
+
+def _comments(package: Package):
+    for i, _, root in _related(package, "comments"):
+        authors = [a.text for a in below(root, "author")]
+        for c in below(root, "comment"):
+            author = int(c.get("authorId") or 0)
+            yield i, c.get("ref"), authors[author] if author < len(authors) else None, "".join(t.text or "" for t in below(c, "t"))
+
+
+def comments(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return read_packages(spark, path, "*.xlsx", _comments, "sheet_idx int, ref string, author string, text string")
+
+
+def _anchors(package: Package):
+    for i, part, root in _related(package, "/drawings/drawing"):
+        targets = package.relations(part)
+        for k, anchor in enumerate(e for e in root if local(e).endswith("Anchor")):
+            ends = [[int(x.text) if (x := child(end, n)) is not None else None for n in ("row", "col")] if (end := child(anchor, tag)) is not None else [None, None] for tag in ("from", "to")]
+            held = next((e for e in anchor if local(e) in ("pic", "graphicFrame", "sp", "grpSp", "cxnSp")), None)
+            if held is not None:
+                name = next((e.get("name") for e in below(held, "cNvPr")), None)
+                rid = next((v for e in held.iter() for a, v in e.attrib.items() if a.endswith(("}embed", "}id"))), None)
+                yield i, k, local(held), name, *ends[0], *ends[1], targets.get(rid)
+
+
+def anchors(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Pictures, charts, shapes and groups with the 0-based cells of their corners and the part that they show."""
+    return read_packages(spark, path, "*.xlsx", _anchors, "sheet_idx int, ord int, kind string, name string, from_row int, from_col int, to_row int, to_col int, target string")
+
+
+def _sparklines(package: Package):
+    for i, _, part in _sheets(package):
+        root = package.xml(part) if part else None
+        for g, group in enumerate(below(root, "sparklineGroup") if root is not None else ()):
+            for line in below(group, "sparkline"):
+                values, place = child(line, "f"), child(line, "sqref")
+                yield i, g, group.get("type") or "line", group.get("displayEmptyCellsAs") or "gap", values.text if values is not None else None, place.text if place is not None else None
+
+
+def sparklines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """``values_ref`` may name another sheet; its numbers are a range join into ``cells``."""
+    return read_packages(spark, path, "*.xlsx", _sparklines, "sheet_idx int, line_group int, kind string, gaps string, values_ref string, ref string")
+
+
+def _views(package: Package):
+    for i, _, part in _sheets(package):
+        root = package.xml(part) if part else None
+        if root is None:
+            continue
+        view, pane, filtered = (next(below(root, n), None) for n in ("sheetView", "pane", "autoFilter"))
+        frozen = [int(float(pane.get(n) or 0)) if pane is not None and pane.get("state") in ("frozen", "frozenSplit") else 0 for n in ("ySplit", "xSplit")]
+        yield i, *frozen, view is None or view.get("showZeros") not in ("0", "false"), view is None or view.get("showGridLines") not in ("0", "false"), filtered.get("ref") if filtered is not None else None
+
+
+def views(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Frozen rows and columns, shown zeros and grid lines, the filter's range."""
+    return read_packages(spark, path, "*.xlsx", _views, "sheet_idx int, frozen_rows int, frozen_cols int, show_zeros boolean, grid_lines boolean, filter_ref string")
+
+
+def _pivot_items(package: Package):
+    for part in sorted(n for n in package.names if "/pivotCacheDefinition" in n and n.endswith(".xml")):
+        for f, field in enumerate(below(package.xml(part), "cacheField")):
+            items = child(field, "sharedItems")
+            for k, item in enumerate(items if items is not None else ()):
+                yield part, f, field.get("name"), k, item.get("v")
+
+
+def pivot_items(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Shared values of pivot caches; slicers refer to them by position."""
+    return read_packages(spark, path, "*.xlsx", _pivot_items, "part string, field_idx int, field string, pos int, value string")
+
+
+def _slicer_items(package: Package):
+    for part in sorted(n for n in package.names if "/slicerCache" in n and n.endswith(".xml")):
+        root = package.xml(part)
+        for k, item in enumerate(below(root, "i")):
+            yield part, root.get("name"), root.get("sourceName"), k, int(item.get("x") or 0), item.get("s") in ("1", "true")
+
+
+def slicer_items(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return read_packages(spark, path, "*.xlsx", _slicer_items, "part string, name string, field string, ord int, pos int, selected boolean")
+
+
+def named_slicer_items(slicers: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Slicer items with their field's values."""
+    values = pivots.where("error is null").select("file_path", "field", "pos", F.col("value").alias("text"))
+    return slicers.where("error is null").join(values, ["file_path", "field", "pos"], "left")

@@ -95,3 +95,76 @@ def _styles(package: Package):
 
 def styles(spark: SparkSession, path: str) -> DataFrame:
     return read_packages(spark, path, "*.docx", _styles, "style string, type string, based_on string, bold boolean, italic boolean, size double, space_after double")
+
+
+def _numbering(package: Package):
+    root = package.xml("word/numbering.xml")
+    if root is None:
+        return
+    shared = {attribute(a, "abstractNumId"): list(below(a, "lvl")) for a in root if local(a) == "abstractNum"}
+    value = lambda e, name: attribute(child(e, name), "val") if child(e, name) is not None else None
+    for num in (e for e in root if local(e) == "num"):
+        starts = {attribute(o, "ilvl"): value(o, "startOverride") for o in below(num, "lvlOverride")}
+        for level in shared.get(value(num, "abstractNumId"), ()):
+            at = attribute(level, "ilvl")
+            yield int(attribute(num, "numId")), int(at), value(level, "numFmt") or "decimal", value(level, "lvlText"), int(starts.get(at) or value(level, "start") or 1)
+
+
+def numbering(spark: SparkSession, path: str) -> DataFrame:
+    """Levels of each list, start overrides applied."""
+    return read_packages(spark, path, "*.docx", _numbering, "list_id int, level int, format string, pattern string, start int")
+
+
+def _sections(package: Package):
+    root = package.xml(BODY)
+    for k, section in enumerate(below(root, "sectPr") if root is not None else ()):
+        size, margins = child(section, "pgSz"), child(section, "pgMar")
+        points = lambda e, name: int(attribute(e, name)) / 20 if e is not None and attribute(e, name) else None
+        kind = child(section, "type")
+        yield k, points(size, "w"), points(size, "h"), *(points(margins, n) for n in ("top", "bottom", "left", "right")), attribute(kind, "val") if kind is not None else "nextPage", child(section, "titlePg") is not None
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """Page sizes and margins in points."""
+    return read_packages(spark, path, "*.docx", _sections, "section int, width double, height double, top double, bottom double, left double, right double, starts_on string, own_first boolean")
+
+
+def _headers(package: Package):
+    root, targets = package.xml(BODY), package.relations(BODY)
+    for k, section in enumerate(below(root, "sectPr") if root is not None else ()):
+        for e in section:
+            if local(e) in ("headerReference", "footerReference"):
+                part = targets.get(next((v for a, v in e.attrib.items() if a.endswith("}id")), None))
+                held = package.xml(part) if part else None
+                text = "\n".join("".join(_run_text(r) for r in _inner(p) if local(r) == "r") for p in below(held, "p")) if held is not None else None
+                yield k, local(e).removesuffix("Reference"), attribute(e, "type") or "default", part, text
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """Headers and footers of the sections: ``section, kind, pages, part, text``."""
+    return read_packages(spark, path, "*.docx", _headers, "section int, kind string, pages string, part string, text string")
+
+
+def even_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Whether even pages have headers of their own."""
+    def read(package: Package):
+        root = package.xml("word/settings.xml")
+        yield (bool(_on(root, "evenAndOddHeaders")),)
+
+    return read_packages(spark, path, "*.docx", read, "even boolean")
+
+
+def _drawings(package: Package):
+    root, targets = package.xml(BODY), package.relations(BODY)
+    body = child(root, "body") if root is not None else None
+    for n, block in enumerate(_inner(body) if body is not None else ()):
+        for held in (e for e in block.iter() if local(e) in ("inline", "anchor")):
+            extent, name = child(held, "extent"), next((e.get("name") for e in below(held, "docPr")), None)
+            rid = next((v for e in below(held, "blip") for a, v in e.attrib.items() if a.endswith("}embed")), None)
+            size = [int(extent.get(a)) / 12700 if extent is not None else None for a in ("cx", "cy")]
+            yield n, local(held), name, *size, targets.get(rid)
+
+
+def drawings(spark: SparkSession, path: str) -> DataFrame:
+    """Inline and anchored drawings, sizes in points."""
+    return read_packages(spark, path, "*.docx", _drawings, "block int, kind string, name string, width double, height double, target string")
