@@ -58,4 +58,4 @@ def number_text(x: Column) -> Column:
     """Whole numbers below 1e15 without a point, others in their shortest plain form."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
     plain = F.rtrim(F.format_string("%.10f", x), F.lit("0"))
-    return F.when(whole, F.floor(x).cast("string")).otherwise(F.rtrim(plain, F.lit(".")))
+    return F.when(whole, F.floor(x).cast("string")).when(x.isNotNull(), F.rtrim(plain, F.lit(".")))
