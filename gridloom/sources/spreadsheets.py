@@ -1,8 +1,8 @@
-"""Spreadsheets: raw cells from the workers; shared strings and number formats by join."""
+"""Spreadsheets: typed cells, and the tables that they refer to."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.a1 import column_number, row_number
@@ -27,12 +27,17 @@ def sheets(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 
 def _cells(package: Package):
-    for i, _, part in _sheets(package):
+    strings = dict(_strings(package))
+    for i, name, part in _sheets(package):
         root = package.xml(part) if part else None
         for c in below(root, "c") if root is not None else ():
             value, formula, inline = child(c, "v"), child(c, "f"), child(c, "is")
-            text = "".join(t.text or "" for t in below(inline, "t")) if inline is not None else None
-            yield i, c.get("r"), c.get("t"), value.text if value is not None else None, text, int(c.get("s") or 0), formula.text if formula is not None else None
+            raw, kind, text = value.text if value is not None else None, c.get("t"), None
+            if kind == "s" and raw is not None:
+                text = strings.get(int(raw), "") if raw.isdigit() else ""
+            elif inline is not None:
+                text = "".join(t.text or "" for t in below(inline, "t"))
+            yield i, name, c.get("r"), kind, raw, text, int(c.get("s") or 0), formula.text if formula is not None else None
 
 
 def _strings(package: Package):
@@ -63,11 +68,12 @@ def number_formats(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 
 def cells(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """``file_path, sheet_idx, row, col, ref, v_type, v_num, v_text, v_bool, v_err, style_index, formula`` of all sheets."""
-    raw = read_packages(spark, path, "*.xlsx", _cells, "sheet_idx int, ref string, t string, raw string, inline string, style_index int, formula string").where("error is null and ref is not null")
-    strings = shared_strings(spark, path).where("error is null").select(F.col("file_path").alias("__file"), F.col("idx").alias("__idx"), F.col("text").alias("__text"))
-    index = F.when(F.col("t") == "s", F.expr("try_cast(raw as int)"))
-    found = raw.join(strings, (F.col("file_path") == F.col("__file")) & (index == F.col("__idx")), "left")
+    """``file_path, sheet_idx, sheet, row, col, ref, v_type, v_num, v_text, v_bool, v_err, style_index, formula`` of all sheets.
+
+    A file's shared strings are looked up where the file is read, so cells don't
+    move; a missing string is empty.
+    """
+    raw = read_packages(spark, path, "*.xlsx", _cells, "sheet_idx int, sheet string, ref string, t string, raw string, held string, style_index int, formula string").where("error is null and ref is not null")
     number = F.expr("try_cast(raw as double)")
     kind = (
         F.when(F.col("t") == "inlineStr", "text")
@@ -78,9 +84,9 @@ def cells(spark: SparkSession, path: str | DataFrame) -> DataFrame:
         .when(number.isNotNull(), "number")
         .otherwise("text")
     )
-    text = F.when(F.col("t") == "inlineStr", F.col("inline")).when(F.col("t") == "s", F.coalesce("__text", F.lit(""))).otherwise(F.col("raw"))
-    return found.withColumn("v_type", kind).select(
-        "file_path", "sheet_idx", row_number(F.col("ref")).alias("row"), column_number(F.col("ref")).alias("col"), "ref", "v_type",
+    text = F.when(F.col("t").isin("inlineStr", "s"), F.col("held")).otherwise(F.col("raw"))
+    return raw.withColumn("v_type", kind).select(
+        "file_path", "sheet_idx", "sheet", row_number(F.col("ref")).alias("row"), column_number(F.col("ref")).alias("col"), "ref", "v_type",
         F.when(F.col("v_type") == "number", number).alias("v_num"),
         F.when(F.col("v_type") == "text", text).alias("v_text"),
         F.when(F.col("v_type") == "bool", F.col("raw") == "1").alias("v_bool"),
@@ -190,7 +196,11 @@ def tables(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 def resolve_sheet(sheets_: DataFrame, identifier: str) -> DataFrame:
     """The sheet of a 0-based index if the identifier is a number, else of the name."""
-    return sheets_.where(F.col("sheet_idx") == int(identifier) if identifier.isdigit() else F.col("name") == identifier)
+    return sheets_.where(is_sheet(identifier, "name"))
+
+
+def is_sheet(identifier: str, name: str = "sheet") -> Column:
+    return F.col("sheet_idx") == int(identifier) if identifier.isdigit() else F.col(name) == identifier
 
 
 def formulas(cells_: DataFrame) -> DataFrame:

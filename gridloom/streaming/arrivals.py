@@ -16,8 +16,6 @@ def on_new_packages(spark: SparkSession, path: str, checkpoint: str, work: Calla
     files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.xlsx").load(path)
 
     def batch(found: DataFrame, number: int) -> None:
-        found = found.persist()  # read once for the cells and once for the shared strings
         work(spreadsheets.cells(found.sparkSession, found), number)
-        found.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -26,14 +26,14 @@ def shown() -> Column:
 
 
 def _matches(hits: DataFrame) -> DataFrame:
-    """``match_count``: hits of the same file; counted apart, so a file's hits stay spread."""
-    return hits.join(hits.groupBy("file_path").agg(F.count("*").alias("match_count")), "file_path")
+    """``match_count``: hits of the same file, which one task has read already; no file is read twice."""
+    return hits.withColumn("match_count", F.count("*").over(Window.partitionBy("file_path")))
 
 
 def _sheet_cells(spark: SparkSession, path: str, sheet: str | None) -> DataFrame:
-    sheets = _fine(spreadsheets.sheets(spark, path))
-    chosen = sheets if sheet is None else spreadsheets.resolve_sheet(sheets, sheet)
-    return chosen.select("file_path", "sheet_idx", F.col("name").alias("sheet")).join(spreadsheets.cells(spark, path), ["file_path", "sheet_idx"]).withColumn("value", shown())
+    cells = spreadsheets.cells(spark, path)
+    chosen = cells if sheet is None else cells.where(spreadsheets.is_sheet(sheet))
+    return chosen.withColumn("value", shown())
 
 
 def xlsx_parse(spark: SparkSession, path: str) -> DataFrame:
