@@ -7,11 +7,12 @@ number to its global slot. Range partitions of the slots write one binary file
 a shard: record ``slot % per_shard`` starts at that many strides, so any run of
 slots is read sequentially and a reader resumes anywhere.
 
-Splits are numbered by a first pass that counts tokens. Both passes read the
-same Parquet scan; ``spark.sql.files.minPartitionNum`` is held so that its splits
-don't depend on which executors are up, and the second pass fails loudly if a
-split has other counts than before. Shard files are renamed into place when
-complete, so a repeated task can only write the same file again.
+Each document is tokenised once: sequences carry their split and their number in
+it, are written to the shared folder, and counted there, which gives every split
+its first number. ``spark.sql.files.minPartitionNum`` is held so that splits, and
+with them the order, don't depend on which executors are up. Shard files are
+renamed into place when complete, so a repeated task can only write the same file
+again.
 
 Defined results: a null or empty text is an end token alone; null ids are kept
 as null; repeated rows are repeated in the sequences; an empty table gives no
@@ -58,67 +59,58 @@ def feistel(numbers: np.ndarray, count: int, key: bytes) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _split_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``split, n_tokens``, end tokens included."""
+def packed(docs: DataFrame, tokenizer_path: str, end_token: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``split, number, n_tokens, doc_ids, ids``: sequences numbered within each split of the input; ids are little-endian uint16 or uint32."""
+    kind, dtype = docs.schema[id_col].dataType.simpleString(), id_type(tokenizer_path)
+    names = ("split", "number", "n_tokens", "doc_ids", "ids")
 
     def work(batches):
-        total = 0
-        for b in batches:
-            n = bpe.tokenizer(tokenizer_path).counts(texts(b["text"]))
-            total += sum(n) + len(n)
-        yield {"split": [TaskContext.get().partitionId()], "n_tokens": [total]}
-
-    return map_columns(docs.select("text"), work, "split int, n_tokens long")
+        split, number, end = TaskContext.get().partitionId(), 0, np.array([end_token], dtype)
+        open_, open_ids, filled = [], [], 0
 
+        def rows(full):
+            nonlocal number
+            numbers = range(number, number := number + len(full))
+            padded = [np.concatenate([t, np.full(length - len(t), end_token, dtype)]).tobytes() for t, _ in full]
+            return dict(zip(names, ([split] * len(full), list(numbers), [len(t) for t, _ in full], [d for _, d in full], padded), strict=True))
 
-def sequences(docs: DataFrame, tokenizer_path: str, end_token: int, length: int = LENGTH, key: bytes = b"order", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``slot, n_tokens, doc_ids, ids`` (little-endian uint16 or uint32 records) and the number of sequences."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hold_splits(spark)
-    counts = {r["split"]: r["n_tokens"] for r in _split_counts(docs, tokenizer_path).collect()}  # a row a split
-    base, total = {}, 0
-    for split in sorted(counts):
-        base[split] = (total, counts[split])
-        total += -(-counts[split] // length)
-    held = spark.sparkContext.broadcast(base)
-    dtype = id_type(tokenizer_path)
-
-    def work(batches):
-        split = TaskContext.get().partitionId()
-        first, expected = held.value[split]
-        last = first + -(-expected // length)
-        end, seen, open_, open_ids = np.array([end_token], dtype), 0, [], []
-        filled = 0
         for b in batches:
-            rows = []
+            full = []
             for doc_id, ids in zip(b["doc_id"].to_pylist(), bpe.tokenizer(tokenizer_path).ids(texts(b["text"]), dtype), strict=True):
                 ids = np.concatenate([ids, end])
-                seen += len(ids)
                 while len(ids):
                     part, ids = ids[: length - filled], ids[length - filled :]
                     open_.append(part)
                     open_ids.append(doc_id)
                     filled += len(part)
                     if filled == length:
-                        rows.append((np.concatenate(open_), open_ids))
+                        full.append((np.concatenate(open_), open_ids))
                         open_, open_ids, filled = [], [], 0
-            if rows:
-                yield _rows(rows, first, length, end_token, total, key)
-                first += len(rows)
+            yield rows(full)
         if open_:
-            yield _rows([(np.concatenate(open_), open_ids)], first, length, end_token, total, key)
-            first += 1
-        if seen != expected or first != last:
-            raise RuntimeError(f"split {split} has {seen} tokens, {expected} when it was counted: write the documents as Parquet first")
+            yield rows([(np.concatenate(open_), open_ids)])
 
-    return map_columns(docs, work, f"slot long, n_tokens int, doc_ids array<{kind}>, ids binary"), total
+    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_columns(asked, work, f"split int, number long, n_tokens int, doc_ids array<{kind}>, ids binary")
 
 
-def _rows(rows, first, length, end_token, total, key):
-    slots = feistel(np.arange(first, first + len(rows)), total, key)
-    full = [np.concatenate([t, np.full(length - len(t), end_token, t.dtype)]).tobytes() for t, _ in rows]
-    return {"slot": slots, "n_tokens": [len(t) for t, _ in rows], "doc_ids": [d for _, d in rows], "ids": full}
+def sequences(docs: DataFrame, tokenizer_path: str, end_token: int, length: int = LENGTH, key: bytes = b"order", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """``slot, n_tokens, doc_ids, ids`` and the number of sequences."""
+    spark = docs.sparkSession
+    hold_splits(spark)
+    rows = stage(packed(docs, tokenizer_path, end_token, length, id_col, text_col), "sequences", "zstd")
+    base, total = {}, 0
+    for split, n in sorted(map(tuple, rows.groupBy("split").count().collect())):  # a row a split
+        base[split] = total
+        total += n
+    held = spark.sparkContext.broadcast(base)
+
+    def work(batches):
+        for b in batches:
+            first = np.array([held.value[s] for s in b["split"].to_pylist()], np.int64)
+            yield {"slot": feistel(first + b["number"].to_numpy(), total, key)} | {n: b[n] for n in ("n_tokens", "doc_ids", "ids")}
+
+    return map_columns(rows, work, f"slot long, n_tokens int, doc_ids {rows.schema['doc_ids'].dataType.simpleString()}, ids binary"), total
 
 
 def id_type(tokenizer_path: str) -> np.dtype:
