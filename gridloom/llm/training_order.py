@@ -27,14 +27,17 @@ import zlib
 from functools import reduce
 
 import numpy as np
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import file_system, hold_splits, map_columns, stage, stage_path, texts
+from .shared import file_system, hold_splits, map_columns, stage, stage_path, texts, write_whole
 
 LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
+#: Records in a batch, of which those of one shard travel together.
+GATHERED = 8000
 
 
 def feistel(numbers: np.ndarray, count: int, key: bytes) -> np.ndarray:
@@ -121,46 +124,66 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def gathered(rows: DataFrame, per_shard: int) -> DataFrame:
+    """``shard, slots, n_tokens, doc_ids, blob``: a batch's records of one shard in slot order, compressed together, so that little is shuffled."""
+    kind = rows.schema["doc_ids"].dataType.simpleString()
+
+    def work(batches):
+        for b in batches:
+            slots = b["slot"].to_numpy()
+            order = np.argsort(slots)
+            shards = slots[order] // per_shard
+            parts = np.split(order, np.flatnonzero(np.diff(shards)) + 1) if len(order) else []
+            pick = lambda values: [[values[i] for i in part.tolist()] for part in parts]
+            ids = b["ids"].to_pylist()
+            yield {
+                "shard": [int(slots[part[0]]) // per_shard for part in parts], "slots": [slots[part] for part in parts],
+                "n_tokens": pick(b["n_tokens"].to_pylist()), "doc_ids": pick(b["doc_ids"].to_pylist()),
+                "blob": [zstandard.compress(b"".join(ids[i] for i in part.tolist())) for part in parts],
+            }
+
+    return map_columns(rows, work, f"shard long, slots array<long>, n_tokens array<int>, doc_ids array<{kind}>, blob binary", GATHERED)
+
+
 def write_shards(rows: DataFrame, total: int, path: str, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write the shards below ``path``; ``slot, shard, byte_offset, n_bytes, n_tokens, doc_ids, crc32`` of every record, staged."""
+    """Write the shards below ``path``; ``slot, shard, byte_offset, n_bytes, n_tokens, doc_ids, crc32`` of every record, staged.
+
+    A task holds one shard at a time: ``per_shard`` records.
+    """
     spark = rows.sparkSession
     kind = rows.schema["doc_ids"].dataType.simpleString()
     n_shards = max(1, -(-total // per_shard))
     # No more partitions than shards; a partition writes whole shards one after the other.
-    dealt = rows.withColumn("shard", F.expr(f"slot div {per_shard}"))
     parts = min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shards // 8))
-    dealt = dealt.repartitionById(parts, F.expr(f"cast(shard * {parts} div {n_shards} as int)")).sortWithinPartitions("slot")
+    dealt = gathered(rows, per_shard).repartitionById(parts, F.expr(f"cast(shard * {parts} div {n_shards} as int)")).sortWithinPartitions("shard")
+
+    def written(shard, held):
+        records = sorted((r for piece in held for r in piece), key=lambda r: r[0])
+        if [r[0] for r in records] != list(range(shard * per_shard, shard * per_shard + len(records))):
+            raise RuntimeError(f"shard {shard} lacks slots")
+        write_whole(posixpath.join(path, shard_name(shard)), b"".join(r[3] for r in records))
+        sizes = [len(r[3]) for r in records]
+        return {
+            "slot": [r[0] for r in records], "shard": [shard] * len(records), "byte_offset": [i * sizes[0] for i in range(len(records))], "n_bytes": sizes,
+            "n_tokens": [r[1] for r in records], "doc_ids": [r[2] for r in records], "crc32": [zlib.crc32(r[3]) for r in records],
+        }
 
     def work(batches):
-        store, root = file_system(path)
-        store.create_dir(root, recursive=True)
-        out = name = None
-        shard, at = -1, 0
-
-        def close():
-            if out:
-                out.close()
-                store.move(name, posixpath.join(root, shard_name(shard)))
-
+        at, held = None, []
         for b in batches:
-            offsets, sums = [], []
-            for s, slot, ids in zip(b["shard"].to_pylist(), b["slot"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                if s != shard:
-                    close()
-                    shard, at = s, 0
-                    name = posixpath.join(root, f".{shard_name(s)}.{TaskContext.get().taskAttemptId()}")
-                    out = store.open_output_stream(name)
-                offsets.append(at)
-                sums.append(zlib.crc32(ids))
-                out.write(ids)
-                at += len(ids)
-                if offsets[-1] != (slot - s * per_shard) * len(ids):
-                    raise RuntimeError(f"slot {slot} is not where its stride says")
-            yield {"slot": b["slot"], "shard": b["shard"], "byte_offset": offsets, "n_bytes": [len(x) for x in b["ids"].to_pylist()], "n_tokens": b["n_tokens"], "doc_ids": b["doc_ids"], "crc32": sums}
-        close()
+            for shard, slots, n_tokens, doc_ids, blob in zip(*(b[n].to_pylist() for n in ("shard", "slots", "n_tokens", "doc_ids", "blob")), strict=True):
+                if shard != at:
+                    if held:
+                        yield written(at, held)
+                    at, held = shard, []
+                data = zstandard.decompress(blob)
+                size = len(data) // len(slots)
+                held.append([(s, n, d, data[i * size : (i + 1) * size]) for i, (s, n, d) in enumerate(zip(slots, n_tokens, doc_ids, strict=True))])
+        if held:
+            yield written(at, held)
 
     schema = f"slot long, shard long, byte_offset long, n_bytes int, n_tokens int, doc_ids {kind}, crc32 long"
-    return stage(map_columns(dealt, work, schema), "shard-index")
+    return stage(map_columns(dealt, work, schema, GATHERED), "shard-index")
 
 
 def read_slots(path: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD, dtype="<u2") -> np.ndarray:
