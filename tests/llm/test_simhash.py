@@ -130,3 +130,51 @@ def test_one_of_each(spark, odd, empty):
     # 1 stands for all without words
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "6", "7", "8", "9", "None"])
     assert simhash.one_of_each(empty, simhash.near_copies(empty)).count() == 0
+
+
+def test_near_copies_against_brute_force(spark, odd):
+    """Links are exact Jaccard indices: pairs of 0.6 to 0.78 stay apart, and so do their ends in a chain."""
+    rng, rows, n = random.Random(11), [], 100
+    for i in range(150):
+        words = prose(rng, 200, 10_000).split()
+        for changed in ((0, 2, 9) if i % 3 else (0, 2, 4)):  # places apart from each other: five shingles each
+            copy = list(words)
+            for k in range(changed):
+                copy[10 + 20 * k] = f"x{n}"
+            rows.append(document(n, " ".join(copy)))
+            n += 1
+    docs = spark.createDataFrame(rows, DOCS).union(odd)
+    sets = [(r.doc_id, frozenset(simhash.shingle_hashes(r.text or "", 5).tolist())) for r in docs.collect()]
+    root = list(range(len(sets)))
+    between = 0
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            jaccard = len(a & b) / len(a | b) if a | b else 1.0
+            between += 0.6 <= jaccard < 0.8
+            if jaccard >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    groups = {}
+    for (d, _), r in zip(sets, root):
+        groups.setdefault(r, []).append(d)
+    want = sorted((str(d), str(min((x for x in groups[r] if x is not None), default=None))) for (d, _), r in zip(sets, root))
+    assert between > 100
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_copies(docs).collect()) == want
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        for _ in range(rng.integers(1, 30)):
+            kept = base.copy()
+            kept[rng.integers(0, 40, rng.integers(0, 6))] = rng.integers(0, 2**63, dtype=np.uint64)
+            sets.append(np.unique(kept))
+    sets = [np.array(x, np.uint64) for x in sorted({tuple(x.tolist()) for x in sets})]
+    got, want = simhash.similar_sets(sets, 0.8), list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            shared = len(np.intersect1d(a, b))
+            if shared / (len(a) + len(b) - shared) >= 0.8:
+                want = [min(want[i], want[j]) if r in (want[i], want[j]) else r for r in want]
+    assert len(set(want)) == len(set(got.tolist())) == len(set(zip(want, got.tolist()))) < len(sets)
