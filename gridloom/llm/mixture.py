@@ -9,7 +9,8 @@ the one across the cut in part.
 Defined results: a null text has size 0 and takes 0; null is a source of its
 own, the last; documents with equal or null ids lie next to each other and each
 counts; an empty table gives an empty result; other columns are ignored by
-``plan_mixture`` and kept by ``apply_mixture``.
+``plan_mixture`` and kept by ``apply_mixture``, where a row is known by its id,
+source and text and its rank among rows that are equal in these.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
 
 
 def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row."""
+    """``doc_id, source, size, source_size, target, taken, text_hash`` for every row."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     sized = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), key.alias("key")).withColumn("key_range", F.substring("key", 1, RANGE_DIGITS)),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("text_hash")).withColumn("key_range", F.substring("key", 1, RANGE_DIGITS)),
         "sizes",
     )
     ranges = sized.groupBy("source", "key_range").agg(F.sum("size").alias("range_size"))
@@ -66,24 +67,30 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: fl
     same = F.col("ranges.source").eqNullSafe(F.col("sources.source"))
     cuts = ranges.alias("ranges").join(sources.alias("sources"), same).select("ranges.source", "key_range", "range_start", "source_size", "target")
 
-    inside = Window.partitionBy("source", "key_range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "key_range").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("docs")
     joined = placed.join(cuts.alias("cuts"), F.col("docs.source").eqNullSafe(F.col("cuts.source")) & (F.col("docs.key_range") == F.col("cuts.key_range")))
     budget = F.floor("target")
     epochs = F.expr("floor(target) div greatest(source_size, 1)")
     rest = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("in_range")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return joined.select("doc_id", "docs.source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "docs.source", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash")
 
 
-def apply_mixture(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_mixture(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: a row for each epoch of a document; the last may be cut to its first words, space-joined, if the budget ends there.
 
-    ``docs`` has one row an id; rows of which nothing is taken go. Columns stay as they are.
+    ``docs`` has the rows of the plan; those of which nothing is taken go. Columns stay as they are.
     """
     names = docs.columns
-    share = plan.where(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.join(share, F.col(id_col).eqNullSafe(F.col("__id")))
+    equal = Window.partitionBy("__id", "__source", "__hash")
+    share = plan.where(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    share = share.withColumn("__rank", F.row_number().over(equal.orderBy("__taken"))).alias("share")
+    rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__hash": F.xxhash64(text_col)})
+    rows = rows.withColumn("__rank", F.row_number().over(equal.orderBy(F.lit(0)))).alias("rows")  # equal texts: any order
+    same = [F.col(f"rows.{n}").eqNullSafe(F.col(f"share.{n}")) for n in ("__id", "__source")]
+    same += [F.col(f"rows.{n}") == F.col(f"share.{n}") for n in ("__hash", "__rank")]
+    rows = rows.join(share, same).select(*[F.col(f"rows.`{n}`") for n in names], "__size", "__taken")
     epochs = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1), epochs)))
     left = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")

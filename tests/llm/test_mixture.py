@@ -5,6 +5,8 @@ import pytest
 
 from gridloom.llm import mixture, queries
 
+from .conftest import DOCS, document
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -58,6 +60,30 @@ def test_apply(spark, odd):
         assert words.get(r.source, 0) == int(r.target)
 
 
+def test_apply_with_repeated_and_null_ids(spark, odd):
+    rows = [document(None, f"w{i} " * (i + 1), source="a" if i % 2 else None) for i in range(12)]
+    rows += [document(100, " ".join(f"v{k}" for k in range(i + 3)), source="b") for i in range(6)]
+    rows += [document(101, "the same text each time", source=s) for s in ("a", "a", "b", "b", None, None)]
+    docs = spark.createDataFrame(rows, DOCS).union(odd)
+    plan = mixture.plan_mixture(docs)
+    mixed = mixture.apply_mixture(docs, plan)
+    assert mixed.columns == docs.columns
+    words, times = {}, {}
+    for r in mixed.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.encode().split())
+    for r in plan.select("source", "target").distinct().collect():
+        assert words.get(r.source, 0) == int(r.target)
+    whole = {(r.doc_id, r.source, r.text) for r in docs.collect()}
+    for r in mixed.collect():
+        full = [t for d, s, t in whole if (d, s) == (r.doc_id, r.source) and t and t.split()[: len(r.text.split())] == r.text.split()]
+        assert full, r
+        times[r.doc_id, r.source, r.text] = times.get((r.doc_id, r.source, r.text), 0) + 1
+    copies = {}
+    for r in docs.collect():
+        copies[r.doc_id, r.source, r.text] = copies.get((r.doc_id, r.source, r.text), 0) + 1
+    assert all(n <= 3 * copies[k] for k, n in times.items() if k in copies)
+
+
 def test_sql(spark):
     got = queries.op4_source_mixture(spark, SF).toPandas().sort_values("doc_id")
     duckdb.sql(f"create or replace view documents as from '{SF}/documents.parquet'")
