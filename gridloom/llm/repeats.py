@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_count, hold_splits, map_columns, read_whole, stage_path, texts, write_whole
+from .shared import file_count, map_columns, read_whole, settle, stage_path, texts, write_whole
 from .wordhash import mix
 
 LENGTH, WINDOW, GRAM = 400, 96, 16
@@ -294,7 +294,7 @@ class Shard:
 def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; spans are byte ranges that ``length``-byte repeats cover."""
     spark, kind, rounds = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), depth(length)
-    hold_splits(spark)
+    settle(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shards = file_count(docs)
     slices, root = 2 * shards, stage_path(spark, "repeats")

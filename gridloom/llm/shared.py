@@ -17,15 +17,19 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch between JVM and Python; whole texts can be long.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Splits of a small input at least; those of a large one are of ``spark.sql.files.maxPartitionBytes``.
+LEAST_SPLITS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; own one only if the session names none."""
+    """The folder that driver and executors share; own one only if the session names none and everything runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         path = context.getCheckpointDir()
         if not path:
+            if not context.master.startswith("local["):
+                raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
             path = context.getCheckpointDir()
     return path.rstrip("/")
@@ -46,20 +50,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_columns(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` where ``work`` sees and yields dicts of columns (Arrow arrays in, lists or arrays out)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def settle(spark: SparkSession) -> None:
+    """Settings that results or memory rest on, given fixed values once where the session has none.
+
+    Batches are bounded by rows and bytes; a scan's splits follow from its files and not from which executors are up.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.files.minPartitionNum", LEAST_SPLITS)):
+        if not spark.conf.get(key, None):
+            spark.conf.set(key, str(value))
+
+
+def map_columns(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str, rows: int = 0) -> DataFrame:
+    """``mapInArrow`` where ``work`` sees and yields dicts of columns (Arrow arrays in, lists or arrays out); small rows can be put together ``rows`` at a time."""
+    settle(df.sparkSession)
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ({n: b.column(n) for n in b.schema.names} for b in batches)
+        columns = ({n: b.column(n) for n in b.schema.names} for b in (_together(batches, rows) if rows else batches))
         for out in work(columns):
             yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= 4 * BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
@@ -86,13 +110,6 @@ def file_count(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def hold_splits(spark: SparkSession) -> None:
-    """Make a scan's splits depend on its files and this setting alone, not on which executors are up."""
-    held = "spark.sql.files.minPartitionNum"
-    if not spark.conf.get(held, None):
-        spark.conf.set(held, str(spark.sparkContext.defaultParallelism))
-
-
 def file_system(path: str):
     """Arrow's file system of a path in the shared folder, and the path in it."""
     from pyarrow import fs

@@ -9,8 +9,8 @@ slots is read sequentially and a reader resumes anywhere.
 
 Each document is tokenised once: sequences carry their split and their number in
 it, are written to the shared folder, and counted there, which gives every split
-its first number. ``spark.sql.files.minPartitionNum`` is held so that splits, and
-with them the order, don't depend on which executors are up. Shard files are
+its first number. Splits follow from the files and fixed settings (``settle``), so
+the order is the same on every cluster that reads the same files. Shard files are
 renamed into place when complete, so a repeated task can only write the same file
 again.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import file_system, hold_splits, map_columns, stage, stage_path, texts, write_whole
+from .shared import file_system, map_columns, settle, stage, stage_path, texts, write_whole
 
 LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
 #: Records in a batch, of which those of one shard travel together.
@@ -100,7 +100,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_token: int, length: int = L
 def sequences(docs: DataFrame, tokenizer_path: str, end_token: int, length: int = LENGTH, key: bytes = b"order", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """``slot, n_tokens, doc_ids, ids`` and the number of sequences."""
     spark = docs.sparkSession
-    hold_splits(spark)
+    settle(spark)
     rows = stage(packed(docs, tokenizer_path, end_token, length, id_col, text_col), "sequences", "zstd")
     base, total = {}, 0
     for split, n in sorted(map(tuple, rows.groupBy("split").count().collect())):  # a row a split

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -39,3 +41,11 @@ def test_counts_and_cache(spark, odd):
 
 def test_empty(spark, empty):
     assert token_counts.count_tokens(empty, PATH, token_counts.new_cache(spark)).count() == 0
+
+
+def test_words_of_a_sentence_model_are_its_texts():
+    rng, model = random.Random(3), bpe.SentenceTokenizer(public_tokenizers.path("piece_bpe_32k.model"))
+    assert model.by_word
+    parts = [*map(chr, range(1, 400)), "▁", "́", "中", "\U0001f600", "‍", "ﬁ", "the", "<s>", "</s>", "<unk>", "<0x0A>", "  ", ""]
+    found = ["", " ", " a", "a ", "a  b", *("".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(12))) for _ in range(3000))]
+    assert [x.tolist() for x in model.ids(found)] == model.inner.encode(found)
