@@ -1,27 +1,36 @@
 """Exact repeats of long byte strings, by merging shard Burrows-Wheeler transforms.
 
-The texts are read as strings of phrases. A window of ``WINDOW`` positions picks
-the position of its least ``GRAM``-byte hash; picked positions (anchors) cut a
-text into phrases, and equal byte strings are cut alike inside. A repeated string
-of ``length`` bytes so has its first anchor within a window of its start and at
-least ``depth`` whole phrases from there on.
-
-Each input split is a shard with the sorted order of its phrase suffixes. The
-shards' orders are merged by interleave refinement: in round i a shard names the
-intervals of its suffixes that share i phrases, by prepending a phrase to the
-next suffix's interval of round i - 1 (the step that a Burrows-Wheeler transform
-makes). Slices of the name space interleave the shards' sorted names and answer
-each shard with one bit a name: whether the interval has more than one suffix.
-Intervals of one suffix are closed and never looked at again, so nothing is
-sorted anew but what is still open. After ``depth`` rounds the open intervals are
-the common prefixes of all candidates.
-
-Positions whose first anchor is open are decided exactly: their ``length``-byte
-strings' hashes are interleaved the same way, and those that occur once are
-answered. Copies are one name in a shard, so hot groups meet as one entry a shard.
+The texts are read as strings of phrases. A window of positions (``window``, 128
+for 400 bytes) picks the position of its least ``GRAM``-byte hash; picked positions (anchors) and the
+starts of texts cut a text into phrases, each ``GRAM`` bytes into the next. Equal
+byte strings are cut alike inside, away from their first window.
+
+Each input split is a shard. Its transform has, for every phrase suffix, the
+phrase before it, and the suffixes' order. The shards' orders are merged by
+iterative interleave refinement: round 0 interleaves the phrases themselves;
+round j takes what round j - 1 says of the suffixes (their interval in the
+interleave) and prepends the transform's symbol, so a pair (symbol, interval of
+the suffix after it) is the next name, and pairs in order are the refined
+interleave. Slices of the name space merge the shards' sorted names and answer
+with the place of each interval that has more than one suffix. Intervals of one
+suffix are closed and never looked at again; nothing is sorted anew but what is
+still open. The round in which a suffix closes is its longest common prefix with
+any other, in phrases, at most ``ROUNDS``.
+
+A suffix whose common prefix spans ``length`` bytes is a repeated interval: all
+its bytes go. What is left are the windows of ``length`` bytes at the ends of
+repeated stretches. Any repeated string holds, a window from its start, a whole
+phrase that repeats, so windows without one are out; the others, and those in
+repeated intervals with the same phrase at that place, are interleaved once by
+themselves. Copies are one name in a shard, so hot groups meet as one entry a shard.
+
+Phrases and windows are equal where 128 bits of XXH3 are; places in the
+interleave are exact from there on. A row that travels is one shard's names in
+one slice; slices are of ``SLICE`` bytes of text, so there are never more rows
+than names and no task's memory grows with the input.
 
 Side files of the shards lie in the shared folder and are written whole; a
-repeated task writes the same ones. Hashes have 64 bits.
+repeated task writes the same ones.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose
 nothing; repeated rows are copies of each other and lose what they share; null
@@ -31,342 +40,438 @@ ids are kept; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import io
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_count, map_columns, read_whole, settle, stage_path, texts, write_whole
+from .shared import file_count, map_columns, read_whole, stage, stage_path, texts, write_whole
 from .wordhash import mix
 
-LENGTH, WINDOW, GRAM = 400, 96, 16
-#: Bytes of texts that are hashed together.
-BLOCK = 1 << 19
-_BASE = 0xD1342543DE82EF95  # 5 modulo 8
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_G = np.uint64(0x9E3779B97F4A7C15)
-_INDEX_BITS = 31
-_symbols = mix(np.arange(1, 257, dtype=np.uint64) * _G)
-
-
-def depth(length: int) -> int:
-    """Whole phrases that a string of ``length`` bytes has after its first anchor, at least."""
-    span = length - GRAM - 2 * (WINDOW - 1)
-    if span <= 0:
-        raise ValueError("the strings are too short for the window")
-    return -(-span // WINDOW)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as many as have been needed."""
-
-    def __init__(self):
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def upto(self, n: int):
-        if n > len(self.up):
-            n = max(n, 2 * BLOCK)
-            powers = []
-            for base in (_BASE, _INVERSE):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                powers.append(np.multiply.accumulate(steps))
-            self.up, self.down = powers
-        return self.up, self.down
-
-
-_powers = _Powers()
-
-
-class Block:
-    """Some texts, one after the other, with hashes of any of their byte strings."""
-
-    def __init__(self, parts: list[bytes]):
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
-        self.stops = np.cumsum([len(p) for p in parts])
-        self.starts = self.stops - [len(p) for p in parts]
-        n = len(self.data)
-        self.up, down = _powers.upto(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_symbols[self.data] * down[:n], out=self.sums[1:])
-
-    def hashes(self, start, stop):
-        return (self.sums[stop] - self.sums[start]) * self.up[start]
-
-    def positions(self, reach: int) -> np.ndarray:
-        """All positions with ``reach`` bytes of their text from there on."""
-        n = np.maximum(self.stops - self.starts - reach + 1, 0)
-        first = np.repeat(self.starts - (np.cumsum(n) - n), n)
-        return np.arange(len(first)) + first
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The anchor of each position's window, all anchors, and the text that each belongs to."""
-        n = len(self.data) - GRAM + 1
-        if n < WINDOW:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        grams = (self.sums[GRAM:] - self.sums[:-GRAM]) * self.up[:n]
-        low = mix(grams) >> np.uint64(_INDEX_BITS) << np.uint64(_INDEX_BITS) | np.arange(n, dtype=np.uint64)
-        width = 1
-        while 2 * width <= WINDOW:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < WINDOW:
-            rest = WINDOW - width
-            low = np.minimum(low[:-rest], low[rest:])
-        of = (low & np.uint64((1 << _INDEX_BITS) - 1)).astype(np.int64)
-        picked = np.zeros(len(self.data), bool)
-        picked[of[self.positions(WINDOW + GRAM - 1)]] = True
-        found = np.flatnonzero(picked)
-        return of, found, np.searchsorted(self.stops, found, side="right")
-
-    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``anchors()``'s first, each phrase's anchor, its hash, and whether it is its text's last."""
-        of, found, text = self.anchors()
-        if not len(found):
-            return of, found, np.empty(0, np.uint64), np.empty(0, bool)
-        inside = text[1:] == text[:-1]
-        start, stop = found[:-1][inside], found[1:][inside] + GRAM
-        last = np.r_[text[:-1][inside][1:] != text[:-1][inside][:-1], True] if len(start) else np.empty(0, bool)
-        return of, start, mix(self.hashes(start, stop) + (stop - start).astype(np.uint64) * _G), last
-
-
-def blocks(batches):
-    """(ids, Block) of the rows of Arrow batches."""
-    for b in batches:
-        ids, parts, size, held = b["doc_id"].to_pylist(), [], 0, []
-        for i, t in zip(ids, texts(b["text"]), strict=True):
-            held.append(i)
-            parts.append(t.encode())
-            size += len(parts[-1])
-            if size >= BLOCK:
-                yield held, Block(parts)
-                parts, size, held = [], 0, []
-        if parts:
-            yield held, Block(parts)
-
-
-def pack(values: np.ndarray, many: np.ndarray) -> bytes:
-    """Sorted distinct values and whether each occurs more than once; six bytes a value where the steps allow it."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    narrow = not len(values) or int(steps[1:].max(initial=0)) < 1 << 48
-    body = values[:1].tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if narrow else values.tobytes()
-    return np.array([narrow, len(values)], np.uint64).tobytes() + body + np.packbits(many).tobytes()
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    narrow, n = (int(x) for x in np.frombuffer(data, np.uint64, 2))
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    if narrow:
-        steps = np.zeros((n, 8), np.uint8)
-        steps[0] = np.frombuffer(data, np.uint8, 8, 16)
-        steps[1:, :6] = np.frombuffer(data, np.uint8, 6 * (n - 1), 24).reshape(-1, 6)
-        values, at = np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), 24 + 6 * (n - 1)
-    else:
-        values, at = np.frombuffer(data, np.uint64, n, 16), 16 + 8 * n
-    return values, np.unpackbits(np.frombuffer(data, np.uint8, -1, at), count=n).astype(bool)
-
-
-def named(values: np.ndarray, slices: int, shard: int) -> dict:
-    """A shard's sorted names, a row for each slice of the name space."""
-    values, counts = np.unique(values, return_counts=True)
-    cuts = np.searchsorted(values >> np.uint64(40), np.arange(1, slices, dtype=np.uint64) * np.uint64(1 << 24) // np.uint64(slices))
-    rows = [(i, pack(v, c > 1)) for i, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
+LENGTH, GRAM = 400, 8
+#: Phrases of a common prefix that are told apart: about what ``LENGTH`` bytes and a phrase have.
+ROUNDS = 9
+#: Bytes of texts that are cut together; bytes of text that a slice of the names stands for; windows that are named together.
+BLOCK, SLICE, CHUNK = 1 << 19, 16 << 20, 1 << 22
+_INDEX_BITS, _PLACE_BITS, _CHUNK_BITS = 31, 40, 12
+_digest = xxhash.xxh3_128_digest
+
+
+def window(length: int) -> int:
+    """The greatest power of two of which a string of ``length`` bytes holds three and a gram."""
+    if length < 3 * 16 + GRAM:
+        raise ValueError("the strings are too short for a window")
+    return 1 << (((length - GRAM + 1) // 3).bit_length() - 1)
+
+
+def cut(parts: list[bytes], width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined texts, and the start and stop of every phrase and its text's index."""
+    data = b"".join(parts)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    stops = np.cumsum(sizes)
+    starts = stops - sizes
+    bounds = np.union1d(starts[sizes > 0], anchors(data, starts, sizes, width))
+    text = np.searchsorted(stops, bounds, side="right")
+    after = np.r_[bounds[1:], len(data)]
+    return data, bounds, np.minimum(after + GRAM * (after < stops[text]), stops[text]), text
+
+
+def anchors(data: bytes, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """Positions that some window inside a text picks."""
+    n = len(data) - GRAM + 1
+    if n < window:
+        return np.empty(0, np.int64)
+    grams, width = np.frombuffer(data, np.uint8).astype(np.uint64), 1
+    while width < GRAM:
+        grams = grams[:-width] | grams[width:] << np.uint64(8 * width)
+        width *= 2
+    low = mix(grams) >> np.uint64(_INDEX_BITS) << np.uint64(_INDEX_BITS) | np.arange(n, dtype=np.uint64)
+    width = 1
+    while width < window:  # a power of two
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    many = np.maximum(sizes - window - GRAM + 2, 0)
+    windows = np.arange(many.sum()) + np.repeat(starts - (np.cumsum(many) - many), many)
+    picked = np.zeros(len(data), bool)
+    picked[(low[windows] & np.uint64((1 << _INDEX_BITS) - 1)).astype(np.int64)] = True
+    return np.flatnonzero(picked)
+
+
+def digests(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    view = memoryview(data)
+    both = np.frombuffer(b"".join([_digest(view[s:e]) for s, e in zip(starts.tolist(), stops.tolist())]), ">u8").astype(np.uint64)
+    return both[::2], both[1::2]
+
+
+def in_order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    order = np.argsort(high, kind="stable")
+    h, x = high[order], low[order]
+    return np.lexsort((low, high)) if ((h[1:] == h[:-1]) & (x[1:] < x[:-1])).any() else order
+
+
+def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, whether each occurs more than once, and the place of every input pair among them."""
+    order = in_order(high, low)
+    h, x = high[order], low[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])]) if len(h) else np.empty(0, np.int64)
+    counts, at = np.diff(np.r_[first, len(h)]), np.empty(len(h), np.int64)
+    at[order] = np.repeat(np.arange(len(first)), counts)
+    return h[first], x[first], counts > 1, at
+
+
+def even_slice(high: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of a digest."""
+    return (high >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+
+
+def place_slice(high: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of a place in the interleave."""
+    return high >> np.uint64(_PLACE_BITS)
+
+
+NAMED = "slice int, shard long, blob binary"
+ANSWERED = "shard long, slice int, blob binary"
+
+
+def named(high, low, many, shard: int, slices: int, slice_of=even_slice) -> dict:
+    """A shard's sorted names, a row for each slice that has some."""
+    of = slice_of(high, slices)
+    cuts = np.flatnonzero(of[1:] != of[:-1]) + 1 if len(of) else []
+    rows = []
+    for h, x, m in zip(np.split(high, cuts), np.split(low, cuts), np.split(many, cuts)) if len(high) else ():
+        head = np.array([len(h)], np.uint64).tobytes()
+        rows.append((int(slice_of(h[:1], slices)[0]), zstandard.compress(head + np.diff(h, prepend=np.uint64(0)).tobytes() + x.tobytes() + np.packbits(m).tobytes(), 1)))
     return {"slice": [r[0] for r in rows], "shard": [shard] * len(rows), "blob": [r[1] for r in rows]}
 
 
-NAMED = "slice int, shard int, blob binary"
+def names_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.decompress(blob)
+    n = int(np.frombuffer(data, np.uint64, 1)[0])
+    high = np.cumsum(np.frombuffer(data, np.uint64, n, 8), dtype=np.uint64)
+    return high, np.frombuffer(data, np.uint64, n, 8 + 8 * n), np.unpackbits(np.frombuffer(data, np.uint8, -1, 8 + 16 * n), count=n).astype(bool)
 
 
-def interleave(names: DataFrame, answer, folder: str) -> int:
-    """Merge the shards' sorted names slice by slice and leave each shard's answers in ``folder``; the number of answered shards.
+def dealt(rows: DataFrame, of: str, count: int, *order: str) -> DataFrame:
+    """Rows of one ``of`` (0 to ``count`` - 1) together, in order; a task takes one after another."""
+    parts = min(count, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 16))
+    return rows.repartitionById(parts, F.expr(f"cast({of} * {parts} div {count} as int)")).sortWithinPartitions(*order)
+
+
+def grouped(batches, key: str):
+    """(key, its rows) of sorted batches, rows as tuples of the other columns."""
+    at, held = None, []
+    for b in batches:
+        others = [b[n].to_pylist() for n in b if n != key]
+        for k, *row in zip(b[key].to_pylist(), *others, strict=True):
+            if k != at:
+                if held:
+                    yield at, held
+                at, held = k, []
+            held.append(row)
+    if held:
+        yield at, held
 
-    ``answer(values, many)`` makes a shard's answer: its names of the slice, and
-    which of them occur more than once in all shards together.
-    """
+
+def interleave(names: DataFrame, slices: int, meeting: bool = True) -> DataFrame:
+    """The shards' sorted names, merged slice by slice; each shard gets the places of its names that are not alone (or, unless ``meeting``, that any shard has marked)."""
 
     def merge(batches):
-        at, held = None, []
-        for b in batches:
-            for part, shard, blob in zip(b["slice"].to_pylist(), b["shard"].to_pylist(), b["blob"].to_pylist(), strict=True):
-                if part != at:
-                    if held:
-                        yield answers(at, held)
-                    at, held = part, []
-                held.append((shard, *unpack(blob)))
-        if held:
-            yield answers(at, held)
-
-    def answers(part, held):
-        values = np.concatenate([v for _, v, _ in held])
-        order = np.argsort(values, kind="stable")  # merges the sorted runs
-        ordered = values[order]
-        same = ordered[1:] == ordered[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
-        many = np.concatenate([m for *_, m in held])
-        many[order] |= shared
-        cuts = np.cumsum([len(v) for _, v, _ in held])[:-1]
-        rows = [(s, answer(v, m)) for (s, v, _), m in zip(held, np.split(many, cuts), strict=True)]
-        return {"shard": [s for s, _ in rows], "slice": [part] * len(rows), "blob": [a for _, a in rows]}
-
-    def keep(batches):
-        at, held, n = None, [], 0
-        for b in batches:
-            for shard, blob in zip(b["shard"].to_pylist(), b["blob"].to_pylist(), strict=True):
-                if shard != at:
-                    if held:
-                        write_whole(f"{folder}/{at}", zstandard.compress(b"".join(held), 1))
-                        n += 1
-                    at, held = shard, []
-                held.append(len(blob).to_bytes(8, "big") + blob)
-        if held:
-            write_whole(f"{folder}/{at}", zstandard.compress(b"".join(held), 1))
-            n += 1
-        yield {"n": [n]}
-
-    merged = map_columns(names.repartition("slice").sortWithinPartitions("slice"), merge, "shard int, slice int, blob binary")
-    written = map_columns(merged.repartition("shard").sortWithinPartitions("shard", "slice"), keep, "n long")
-    return written.agg(F.sum("n")).collect()[0][0] or 0
-
-
-def answers_of(folder: str, shard: int) -> list[bytes]:
-    """A shard's answers, in the order of the slices."""
-    data, out, at = read_whole(f"{folder}/{shard}"), [], 0
-    data = zstandard.decompress(data) if data else b""
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "big")
-        out.append(data[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
-
-
-def bits(values: np.ndarray, many: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "big") + np.packbits(many).tobytes()
-
-
-def single(values: np.ndarray, many: np.ndarray) -> bytes:
-    return values[~many].tobytes()
-
-
-class Shard:
-    """The phrases of one split, and what the rounds have told of them."""
-
-    def __init__(self, root: str, number: int):
-        self.root, self.number = root, number
-        data = zstandard.decompress(read_whole(f"{root}/phrases/{number}"))
-        n = int.from_bytes(data[:8], "big")
-        self.symbols = np.frombuffer(data, np.uint64, n, 8)
-        self.last = np.unpackbits(np.frombuffer(data, np.uint8, -1, 8 + 8 * n), count=n).astype(bool)
-
-    @staticmethod
-    def keep(root: str, number: int, symbols: np.ndarray, last: np.ndarray) -> None:
-        write_whole(f"{root}/phrases/{number}", zstandard.compress(len(symbols).to_bytes(8, "big") + symbols.tobytes() + np.packbits(last).tobytes(), 1))
-
-    def refine(self, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the intervals that share ``rounds + 1`` phrases, and which suffixes are still open (before their answer)."""
-        names, open_ = self.symbols, np.ones(len(self.symbols), bool)
-        for i in range(rounds):
-            open_ = open_.copy()
-            open_[open_] = self._answered(i, names[open_])
-            follow = np.r_[open_[1:], False] & ~self.last if len(names) else open_
-            names = np.r_[mix(names[1:] + self.symbols[:-1] * _G), np.uint64(0)] if len(names) else names
-            open_ = open_ & follow
-        return names, open_
-
-    def repeated(self, rounds: int) -> np.ndarray:
-        """Suffixes whose first ``rounds`` phrases occur elsewhere too."""
-        names, open_ = self.refine(rounds - 1)
-        open_ = open_.copy()
-        open_[open_] = self._answered(rounds - 1, names[open_])
-        return open_
-
-    def _answered(self, i: int, names: np.ndarray) -> np.ndarray:
-        distinct, at = np.unique(names, return_inverse=True)
-        told = [np.unpackbits(np.frombuffer(a, np.uint8, -1, 8), count=int.from_bytes(a[:8], "big")) for a in answers_of(f"{self.root}/round-{i}", self.number)]
-        many = np.concatenate(told).astype(bool) if told else np.empty(0, bool)
-        if len(many) != len(distinct):
-            raise RuntimeError(f"shard {self.number} has {len(distinct)} names and {len(many)} answers: write the documents as Parquet first")
-        return many[at]
+        for part, rows in grouped(batches, "slice"):
+            held = [(shard, *names_of(blob)) for shard, blob in rows]
+            high, low = np.concatenate([h for _, h, *_ in held]), np.concatenate([x for *_, x, _ in held])
+            many = np.concatenate([m for *_, m in held])
+            order = in_order(high, low)
+            h, x = high[order], low[order]
+            same = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
+            first = np.flatnonzero(np.r_[True, ~same])
+            sizes = np.diff(np.r_[first, len(h)])
+            told = np.maximum.reduceat(many[order], first) | (meeting & (sizes > 1))
+            place = np.empty(len(h), np.uint32)
+            many[order], place[order] = np.repeat(told, sizes), np.repeat(first, sizes)
+            cuts = np.cumsum([len(v) for _, v, *_ in held])[:-1]
+            blobs = [zstandard.compress(np.array([len(m)], np.uint64).tobytes() + np.packbits(m).tobytes() + p[m].tobytes(), 1) for m, p in zip(np.split(many, cuts), np.split(place, cuts))]
+            yield {"shard": [s for s, *_ in held], "slice": [part] * len(held), "blob": blobs}
+
+    return map_columns(dealt(names, "slice", slices, "slice").select("slice", "shard", "blob"), merge, ANSWERED)
+
+
+def answered(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of a shard's names is not alone, and its place in the interleave if so."""
+    flags, places = [np.empty(0, bool)], [np.empty(0, np.uint64)]
+    for part, blob in rows:
+        data = zstandard.decompress(blob)
+        n = int(np.frombuffer(data, np.uint64, 1)[0])
+        m = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), 8), count=n).astype(bool)
+        p = np.zeros(n, np.uint64)
+        p[m] = np.frombuffer(data, np.uint32, -1, 8 + -(-n // 8)).astype(np.uint64) + (np.uint64(part) << np.uint64(_PLACE_BITS))
+        flags.append(m)
+        places.append(p)
+    return np.concatenate(flags), np.concatenate(places)
+
+
+class Side:
+    """Arrays of a shard in the shared folder."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def keep(self, name: str, shard: int, **arrays: np.ndarray) -> None:
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        write_whole(f"{self.root}/{name}/{shard}", zstandard.compress(out.getvalue(), 1))
+
+    def load(self, name: str, shard: int) -> dict[str, np.ndarray] | None:
+        data = read_whole(f"{self.root}/{name}/{shard}")
+        return None if data is None else dict(np.load(io.BytesIO(zstandard.decompress(data))))
+
+    def phrases(self, shard: int) -> Phrases:
+        held = self.load("phrases", shard)
+        prefix = np.zeros(len(held["start"]), np.int64)
+        for i in range(ROUNDS):
+            found = self.load(f"open-{i}", shard)
+            if found:
+                prefix[found["open"]] = i + 1
+        return Phrases(held["start"].astype(np.int64), held["size"].astype(np.int64), held["count"].astype(np.int64), prefix)
+
+
+class Phrases:
+    """A shard's phrases in order, and the common prefix of the suffix at each (in phrases)."""
+
+    def __init__(self, start, size, count, prefix):
+        self.start, self.stop, self.prefix = start, start + size, prefix
+        self.to = np.cumsum(count)
+        self.first = self.to - count
+        #: Where the common prefix ends, in bytes of the text; its start if there is none.
+        self.reach = np.where(prefix > 0, self.stop[np.arange(len(start)) + np.maximum(prefix, 1) - 1], start) if len(start) else start
+        gain = np.r_[self.reach - start, 0]
+        self.longest = np.where(count > 0, np.maximum.reduceat(gain, self.first), 0) if len(count) else count
+        self.bytes = np.where(count > 0, np.r_[self.stop, 0][self.to - 1], 0)
+
+    def live(self, rows: np.ndarray, length: int) -> np.ndarray:
+        """Texts of ``rows`` that may lose bytes."""
+        return rows[(self.longest[rows] > 0) & (self.bytes[rows] >= length)]
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; spans are byte ranges that ``length``-byte repeats cover."""
-    spark, kind, rounds = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), depth(length)
-    settle(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_repeat, spans`` for every row.
+
+    Spans are the byte ranges that repeats of ``length`` bytes cover. ``longest_repeat``
+    is the longest common prefix of the text's phrase suffixes with any other
+    suffix, in bytes of whole phrases, ``ROUNDS`` at most: shorter repeats show in it.
+    """
+    spark, kind, width = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), window(length)
+    # Written first: the passes over the texts must see the same splits.
+    docs = stage(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), "texts")
     shards = file_count(docs)
-    slices, root = 2 * shards, stage_path(spark, "repeats")
+    slices = 1 + (docs.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0) // SLICE
+    side = Side(stage_path(spark, "repeats"))
 
     def parse(batches):
-        shard, symbols, last = TaskContext.get().partitionId(), [np.empty(0, np.uint64)], [np.empty(0, bool)]
-        for _, block in blocks(batches):
-            *_, s, end = block.phrases()
-            symbols.append(s)
-            last.append(end)
-        symbols, last = np.concatenate(symbols), np.concatenate(last)
-        Shard.keep(root, shard, symbols, last)
-        yield named(symbols, slices, shard)
-
-    interleave(map_columns(docs, parse, NAMED), bits, f"{root}/round-0")
-
-    numbers = spark.range(0, shards, 1, shards).select(F.col("id").cast("int").alias("shard"))
-    for i in range(1, rounds):
-
-        def refine(batches, i=i):
-            for b in batches:
-                for shard in b["shard"].to_pylist():
-                    names, open_ = Shard(root, shard).refine(i)
-                    yield named(names[open_], slices, shard)
-
-        interleave(map_columns(numbers, refine, NAMED), bits, f"{root}/round-{i}")
-
-    def candidates(batches):
-        """(ids, block, positions whose first anchor is open, hashes of their strings)."""
-        open_, at = Shard(root, TaskContext.get().partitionId()).repeated(rounds), 0
-        for ids, block in blocks(batches):
-            of, start, _, _ = block.phrases()
-            flags = open_[at : at + len(start)]
-            at += len(start)
-            live = np.zeros(len(block.data), bool)
-            live[start[flags]] = True
-            p = block.positions(length)
-            p = p[live[of[p]]] if flags.any() else p[:0]
-            yield ids, block, p, mix(block.hashes(p, p + length))
-        if at != len(open_):
-            raise RuntimeError("the split has other texts than before: write the documents as Parquet first")
-
-    def strings(batches):
-        found = [h for *_, h in candidates(batches)]
-        yield named(np.concatenate([np.empty(0, np.uint64), *found]), slices, TaskContext.get().partitionId())
-
-    interleave(map_columns(docs, strings, NAMED), single, f"{root}/strings")
+        shard, found = TaskContext.get().partitionId(), {k: [] for k in ("start", "size", "count", "high", "low")}
+
+        def add(parts):
+            data, start, stop, text = cut(parts, width)
+            sizes = np.array([len(p) for p in parts])
+            found["start"].append((start - (np.cumsum(sizes) - sizes)[text]).astype(np.uint32))
+            found["size"].append((stop - start).astype(np.uint32))
+            found["count"].append(np.bincount(text, minlength=len(parts)).astype(np.uint32))
+            for k, v in zip(("high", "low"), digests(data, start, stop)):
+                found[k].append(v)
+
+        for b in batches:
+            parts, size = [], 0
+            for t in b["text"].to_pylist():
+                parts.append(t.encode())
+                size += len(parts[-1])
+                if size >= BLOCK:
+                    add(parts)
+                    parts, size = [], 0
+            if parts:
+                add(parts)
+        all_ = {k: np.concatenate(v) if v else np.empty(0, np.uint64 if k in ("high", "low") else np.uint32) for k, v in found.items()}
+        high, low, many, at = distinct(all_.pop("high"), all_.pop("low"))
+        side.keep("phrases", shard, **all_)
+        side.keep("round-0", shard, suffix=np.arange(len(at), dtype=np.uint32), at=at.astype(np.uint32))
+        yield named(high, low, many, shard, slices)
+
+    def refine(i):
+        def advance(batches):
+            for shard, rows in grouped(batches, "shard"):
+                many, place = answered(rows)
+                held = side.load(f"round-{i}", shard)
+                live = many[held["at"]]
+                suffix, interval = held["suffix"][live].astype(np.int64), place[held["at"][live]]
+                side.keep(f"open-{i}", shard, open=suffix.astype(np.uint32))
+                if i == 0:
+                    side.keep("symbols", shard, suffix=suffix.astype(np.uint32), symbol=interval)
+                if i + 1 == ROUNDS:
+                    continue
+                symbols = side.load("symbols", shard)
+                last = np.cumsum(side.load("phrases", shard)["count"].astype(np.int64)) - 1
+                # Before an open suffix, an open suffix of the same text: its symbol is prepended.
+                before = (suffix[1:] - suffix[:-1] == 1) & ~np.isin(suffix[:-1], last) if len(suffix) else np.empty(0, bool)
+                at = suffix[:-1][before]
+                high, low, many, of = distinct(symbols["symbol"][np.searchsorted(symbols["suffix"], at)], interval[1:][before])
+                side.keep(f"round-{i + 1}", shard, suffix=at.astype(np.uint32), at=of.astype(np.uint32))
+                yield named(high, low, many, shard, slices, place_slice)
+
+        return advance
+
+    names = map_columns(docs, parse, NAMED)
+    for i in range(ROUNDS):
+        answers = dealt(interleave(names, slices), "shard", shards, "shard", "slice").select("shard", "slice", "blob")
+        names = map_columns(answers, refine(i), NAMED)
+    names.agg(F.count("*")).collect()
+
+    def open_ends(batches):
+        for b in batches:
+            for shard in b["shard"].to_pylist():
+                held, symbols = side.phrases(shard), side.load("symbols", shard)
+                if symbols is None:
+                    continue
+                ends = np.zeros(len(held.start), bool)
+                live = held.live(np.arange(len(held.to)), length)
+                for some in np.split(live, np.flatnonzero(np.diff(np.cumsum(held.bytes[live]) // BLOCK)) + 1):
+                    *_, at, undecided = _windows(held, some, length, width)
+                    ends[at[undecided]] = True
+                high, low, _, of = distinct(symbols["symbol"], np.zeros(len(symbols["symbol"]), np.uint64))
+                marked = np.zeros(len(high), bool)
+                marked[of[ends[symbols["suffix"]]]] = True
+                side.keep("ends", shard, of=of.astype(np.uint32))
+                yield named(high, low, marked, shard, slices, place_slice)
+
+    def mark_ends(batches):
+        for shard, rows in grouped(batches, "shard"):
+            marked, _ = answered(rows)
+            side.keep("marked", shard, suffix=side.load("symbols", shard)["suffix"][marked[side.load("ends", shard)["of"]]])
+        yield {"n": []}
+
+    numbers = spark.range(0, shards, 1, shards).select(F.col("id").alias("shard"))
+    told_ends = dealt(interleave(map_columns(numbers, open_ends, NAMED), slices, meeting=False), "shard", shards, "shard", "slice")
+    map_columns(told_ends.select("shard", "slice", "blob"), mark_ends, "n long").agg(F.count("*")).collect()
+
+    def edges(batches):
+        """(phrases, ids, texts, their numbers, which may lose bytes, those joined, their offsets, steps of what repeated intervals cover, windows to be told) of some texts."""
+        shard, at = TaskContext.get().partitionId(), 0
+        held, marked = side.phrases(shard), side.load("marked", shard)
+        asked = np.zeros(len(held.start), bool)
+        if marked is not None:
+            asked[marked["suffix"]] = True
+
+        def found(ids, parts):
+            nonlocal at
+            rows = np.arange(at, at + len(parts))
+            at += len(parts)
+            if rows[-1] >= len(held.to):
+                raise RuntimeError("the split has other texts than before")
+            live = held.live(rows, length)
+            return ids, parts, rows, live, b"".join([parts[i] for i in (live - rows[0]).tolist()]), *_windows(held, live, length, width, asked)[:3]
+
+        for b in batches:
+            ids, parts, size, n = b["doc_id"].to_pylist(), [], 0, 0
+            for t in texts(b["text"]):
+                parts.append(t.encode())
+                size += len(parts[-1])
+                if size >= BLOCK:
+                    yield held, *found(ids[n : n + len(parts)], parts)
+                    n += len(parts)
+                    parts, size = [], 0
+            if parts:
+                yield held, *found(ids[n:], parts)
+
+    def windows(batches):
+        shard, chunk, waiting, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            high, low, many, at = distinct(*(np.concatenate(x) for x in zip(*waiting)))
+            number = shard << _CHUNK_BITS | chunk
+            side.keep("windows", number, at=at.astype(np.uint32))
+            return named(high, low, many, number, slices)
+
+        for *_, data, _, _, p in edges(batches):
+            waiting.append(digests(data, p, p + length))
+            n += len(p)
+            if n >= CHUNK:
+                yield flush()
+                chunk, waiting, n = chunk + 1, [], 0
+        if waiting:
+            yield flush()
+
+    def told(batches):
+        for number, rows in grouped(batches, "shard"):
+            many, _ = answered(rows)
+            side.keep("told", number, many=np.packbits(many[side.load("windows", number)["at"]]))
+        yield {"n": []}
+
+    asked = dealt(interleave(map_columns(docs, windows, NAMED), slices), f"shiftright(shard, {_CHUNK_BITS})", shards, "shard", "slice")
+    map_columns(asked.select("shard", "slice", "blob"), told, "n long").agg(F.count("*")).collect()
 
     def remove(batches):
-        once = np.frombuffer(b"".join(answers_of(f"{root}/strings", TaskContext.get().partitionId())), np.uint64)
-        for ids, block, p, h in candidates(batches):
-            if len(once):
-                where = np.searchsorted(once, h)
-                p = p[once[np.minimum(where, len(once) - 1)] != h]
-            change = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(change, p, 1)
-            np.add.at(change, p + length, -1)
-            covered = np.cumsum(change)[:-1] > 0
-            yield {"doc_id": ids} | _removed(block, covered)
-
-    return map_columns(docs, remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>")
-
-
-def _removed(block: Block, covered: np.ndarray) -> dict:
-    out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-    for s, e in zip(block.starts.tolist(), block.stops.tolist(), strict=True):
-        gone = covered[s:e]
-        edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-        kept = block.data[s:e] if not len(edges) else block.data[s:e][~gone]
-        out["n_bytes"].append(e - s)
-        out["n_removed"].append(e - s - len(kept))
-        out["n_spans"].append(len(edges) // 2)
-        out["kept_sha256"].append(hashlib.sha256(kept.tobytes()).hexdigest())
-        out["spans"].append([{"start": int(a), "stop": int(b)} for a, b in edges.reshape(-1, 2)])
-    return out
+        shard, chunk, flags = TaskContext.get().partitionId(), 0, np.empty(0, bool)
+        for held, ids, parts, rows, live, data, offset, change, p in edges(batches):
+            taken = []
+            while len(p) > sum(map(len, taken)):
+                if not len(flags):
+                    number = shard << _CHUNK_BITS | chunk
+                    flags = np.unpackbits(side.load("told", number)["many"], count=len(side.load("windows", number)["at"])).astype(bool)
+                    chunk += 1
+                need = len(p) - sum(map(len, taken))
+                taken.append(flags[:need])
+                flags = flags[need:]
+            hit = p[np.concatenate(taken)] if taken else p
+            np.add.at(change, hit, 1)
+            np.add.at(change, hit + length, -1)
+            covered, where = np.cumsum(change)[:-1] > 0, dict(zip(live.tolist(), offset.tolist()))
+            out = [_removed(part, covered[where[r] : where[r] + len(part)] if r in where else None) for r, part in zip(rows.tolist(), parts, strict=True)]
+            yield {"doc_id": ids, "longest_repeat": held.longest[rows]} | {k: [x[i] for x in out] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"))}
+
+    return map_columns(docs, remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_repeat long, spans array<struct<start: long, stop: long>>")
+
+
+def _windows(held: Phrases, live: np.ndarray, length: int, window: int, asked: np.ndarray | None = None):
+    """Of the texts ``live``, joined: their offsets, steps of what repeated intervals cover, windows that these don't decide or that have a phrase in ``asked``.
+
+    And the texts' suffixes, and which of them are the first beyond such a window's start.
+    """
+    sizes = held.bytes[live]
+    offset = np.cumsum(sizes) - sizes
+    count = held.to[live] - held.first[live]
+    at = np.arange(count.sum()) + np.repeat(held.first[live] - (np.cumsum(count) - count), count)
+    shift, end = np.repeat(offset, count), np.repeat(sizes, count)
+    start, reach, prefix = held.start[at], held.reach[at], held.prefix[at]
+
+    def marks(low, high, which):
+        """Steps of the positions from ``low`` to ``high`` - 1 inside the text."""
+        low, high = np.maximum(low, 0)[which], np.clip(high, 0, end)[which]
+        some, out = low < high, np.zeros(int(sizes.sum()) + 1, np.int32)
+        np.add.at(out, (low + shift[which])[some], 1)
+        np.add.at(out, (high + shift[which])[some], -1)
+        return out
+
+    within = lambda *ranges: np.cumsum(marks(*ranges))[:-1] > 0
+    interval = reach - start >= length
+    covered = marks(start, reach, interval)
+    # The first anchor a window beyond a string's start begins a phrase inside it; an anchor before that, two.
+    low, high, begins = np.r_[0, start[:-1]] - window + 2, start - window + 2, (prefix > 0) & (start > 0)
+    open_ = within(low, high, begins) & within(start - window + 1, start + 1, prefix > 1)
+    left = ~within(start, reach - length + 1, interval)
+    if asked is not None:
+        left |= within(low, high, begins & asked[at])
+    valid = np.zeros(int(sizes.sum()) + 1, np.int32)
+    np.add.at(valid, offset, 1)
+    np.add.at(valid, offset + sizes - length + 1, -1)
+    open_ &= left & (np.cumsum(valid)[:-1] > 0)
+    before = np.r_[0, np.cumsum(open_)]
+    low, high = np.minimum(np.maximum(low, 0), end) + shift, np.clip(high, 0, end) + shift
+    return offset, covered, np.flatnonzero(open_), at, begins & (before[np.maximum(high, low)] > before[low])
+
+
+def _removed(part: bytes, gone: np.ndarray | None) -> tuple:
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)) if gone is not None and gone.any() else np.empty(0, np.int64)
+    kept = np.frombuffer(part, np.uint8)[~gone].tobytes() if len(edges) else part
+    spans = [{"start": int(a), "stop": int(b)} for a, b in edges.reshape(-1, 2)]
+    return len(part), len(part) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans

@@ -56,15 +56,33 @@ def test_exactly_at_the_length(spark):
         assert [r[2] for r in got(repeats.find_repeats(docs))] == [removed, removed]
 
 
-def test_packing():
-    for values in ([], [5], [1, 2, 2**63], list(range(0, 10**6, 999))):
-        v = np.array(values, np.uint64)
-        many = np.arange(len(v)) % 3 == 0
-        a, b = repeats.unpack(repeats.pack(v, many))
-        assert a.tolist() == v.tolist() and b.tolist() == many.tolist()
+def test_names_travel():
+    rng = np.random.default_rng(1)
+    for values in ([], [5], [1, 2, 2**63, 2**63], list(range(0, 10**6, 999))):
+        high = np.array(values, np.uint64)
+        high, low, many, at = repeats.distinct(high, rng.integers(0, 3, len(high)).astype(np.uint64))
+        rows = repeats.named(high, low, many, 3, 7)
+        found = [repeats.names_of(x) for x in rows["blob"]]
+        assert rows["slice"] == sorted(set(rows["slice"])) and set(rows["shard"]) <= {3}
+        for i, want in enumerate((high, low, many)):
+            assert np.concatenate([want[:0], *(f[i] for f in found)]).tolist() == want.tolist()
+        assert sorted(set(at.tolist())) == list(range(len(high)))
+
+
+def test_common_prefixes(spark):
+    """Shorter repeats show in ``longest_repeat``: never more than the longest common string, and close to it."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = letters(360)
+    rows = [document(1, letters(900) + passage + letters(300)), document(2, letters(70) + passage), document(3, letters(2000)), document(4, "tiny"), document(5, "tiny")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3, "doc_id").cache()
+    found = {r.doc_id: (r.n_removed, r.longest_repeat) for r in repeats.find_repeats(docs).collect()}
+    assert all(x[0] == 0 for x in found.values())
+    assert found[3][1] == 0 and found[4][1] == found[5][1] == 4
+    assert all(100 <= found[i][1] <= 360 for i in (1, 2))
 
 
 def test_empty_and_short_lengths(spark, empty):
     assert repeats.find_repeats(empty).count() == 0
     with pytest.raises(ValueError):
-        repeats.depth(100)
+        repeats.window(50)
