@@ -16,7 +16,7 @@ SEQUENCE_TOKENIZER, END_TOKEN = "piece_bpe_32k.model", 2
 
 
 def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.find_repeats(documents(spark, sf_dir), length=400)
+    found = repeats.find_repeats(documents(spark, sf_dir), length=400, scan=True)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_repeat")
 
 

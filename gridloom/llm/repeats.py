@@ -24,8 +24,8 @@ phrase that repeats, so windows without one are out; the others, and those in
 repeated intervals with the same phrase at that place, are interleaved once by
 themselves. Copies are one name in a shard, so hot groups meet as one entry a shard.
 
-Phrases and windows are equal where 128 bits of XXH3 are; places in the
-interleave are exact from there on. A row that travels is one shard's names in
+Phrases are equal where 128 bits of XXH3 are, and places in the interleave are
+exact from there on. Windows are equal where they have one place and 64 bits. A row that travels is one shard's names in
 one slice; slices are of ``SLICE`` bytes of text, so there are never more rows
 than names and no task's memory grows with the input.
 
@@ -53,7 +53,7 @@ from .shared import file_count, map_columns, read_whole, stage, stage_path, text
 from .wordhash import mix
 
 LENGTH, GRAM = 400, 8
-#: Phrases of a common prefix that are told apart: about what ``LENGTH`` bytes and a phrase have.
+#: Phrases of a common prefix that are told apart: what ``LENGTH`` bytes and a phrase have, at 53 bytes on average.
 ROUNDS = 9
 #: Bytes of texts that are cut together; bytes of text that a slice of the names stands for; windows that are named together.
 BLOCK, SLICE, CHUNK = 1 << 19, 16 << 20, 1 << 22
@@ -213,6 +213,11 @@ def answered(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flags), np.concatenate(places)
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences, which pack well."""
+    return np.diff(ascending, prepend=0).astype(np.uint32)
+
+
 class Side:
     """Arrays of a shard in the shared folder."""
 
@@ -234,7 +239,7 @@ class Side:
         for i in range(ROUNDS):
             found = self.load(f"open-{i}", shard)
             if found:
-                prefix[found["open"]] = i + 1
+                prefix[np.cumsum(found["open"])] = i + 1
         return Phrases(held["start"].astype(np.int64), held["size"].astype(np.int64), held["count"].astype(np.int64), prefix)
 
 
@@ -249,23 +254,26 @@ class Phrases:
         self.reach = np.where(prefix > 0, self.stop[np.arange(len(start)) + np.maximum(prefix, 1) - 1], start) if len(start) else start
         gain = np.r_[self.reach - start, 0]
         self.longest = np.where(count > 0, np.maximum.reduceat(gain, self.first), 0) if len(count) else count
+        self.deepest = np.where(count > 0, np.maximum.reduceat(np.r_[prefix, 0], self.first), 0) if len(count) else count
         self.bytes = np.where(count > 0, np.r_[self.stop, 0][self.to - 1], 0)
 
     def live(self, rows: np.ndarray, length: int) -> np.ndarray:
         """Texts of ``rows`` that may lose bytes."""
-        return rows[(self.longest[rows] > 0) & (self.bytes[rows] >= length)]
+        return rows[(self.deepest[rows] > 1) & (self.bytes[rows] >= length)]
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_repeat, spans`` for every row.
 
     Spans are the byte ranges that repeats of ``length`` bytes cover. ``longest_repeat``
     is the longest common prefix of the text's phrase suffixes with any other
     suffix, in bytes of whole phrases, ``ROUNDS`` at most: shorter repeats show in it.
+    The texts are read three times and must come in the same splits: say ``scan`` if
+    ``docs`` comes straight from files, else it is written first.
     """
     spark, kind, width = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), window(length)
-    # Written first: the passes over the texts must see the same splits.
-    docs = stage(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), "texts")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = docs if scan else stage(docs, "texts")
     shards = file_count(docs)
     slices = 1 + (docs.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0) // SLICE
     side = Side(stage_path(spark, "repeats"))
@@ -295,7 +303,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         all_ = {k: np.concatenate(v) if v else np.empty(0, np.uint64 if k in ("high", "low") else np.uint32) for k, v in found.items()}
         high, low, many, at = distinct(all_.pop("high"), all_.pop("low"))
         side.keep("phrases", shard, **all_)
-        side.keep("round-0", shard, suffix=np.arange(len(at), dtype=np.uint32), at=at.astype(np.uint32))
+        side.keep("round-0", shard, suffix=steps(np.arange(len(at))), at=at.astype(np.uint32))
         yield named(high, low, many, shard, slices)
 
     def refine(i):
@@ -304,8 +312,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 many, place = answered(rows)
                 held = side.load(f"round-{i}", shard)
                 live = many[held["at"]]
-                suffix, interval = held["suffix"][live].astype(np.int64), place[held["at"][live]]
-                side.keep(f"open-{i}", shard, open=suffix.astype(np.uint32))
+                suffix, interval = np.cumsum(held["suffix"])[live].astype(np.int64), place[held["at"][live]]
+                side.keep(f"open-{i}", shard, open=steps(suffix))
                 if i == 0:
                     side.keep("symbols", shard, suffix=suffix.astype(np.uint32), symbol=interval)
                 if i + 1 == ROUNDS:
@@ -316,7 +324,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 before = (suffix[1:] - suffix[:-1] == 1) & ~np.isin(suffix[:-1], last) if len(suffix) else np.empty(0, bool)
                 at = suffix[:-1][before]
                 high, low, many, of = distinct(symbols["symbol"][np.searchsorted(symbols["suffix"], at)], interval[1:][before])
-                side.keep(f"round-{i + 1}", shard, suffix=at.astype(np.uint32), at=of.astype(np.uint32))
+                side.keep(f"round-{i + 1}", shard, suffix=steps(at), at=of.astype(np.uint32))
                 yield named(high, low, many, shard, slices, place_slice)
 
         return advance
@@ -326,6 +334,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         answers = dealt(interleave(names, slices), "shard", shards, "shard", "slice").select("shard", "slice", "blob")
         names = map_columns(answers, refine(i), NAMED)
     names.agg(F.count("*")).collect()
+    del names, answers
 
     def open_ends(batches):
         for b in batches:
@@ -357,19 +366,20 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     def edges(batches):
         """(phrases, ids, texts, their numbers, which may lose bytes, those joined, their offsets, steps of what repeated intervals cover, windows to be told) of some texts."""
         shard, at = TaskContext.get().partitionId(), 0
-        held, marked = side.phrases(shard), side.load("marked", shard)
-        asked = np.zeros(len(held.start), bool)
+        held, marked, symbols = side.phrases(shard), side.load("marked", shard), side.load("symbols", shard)
+        asked, place = np.zeros(len(held.start), bool), np.zeros(len(held.start), np.uint64)
         if marked is not None:
             asked[marked["suffix"]] = True
+            place[symbols["suffix"]] = symbols["symbol"]
 
         def found(ids, parts):
             nonlocal at
             rows = np.arange(at, at + len(parts))
             at += len(parts)
-            if rows[-1] >= len(held.to):
+            if rows[-1] >= len(held.to) or (held.bytes[rows] != [len(p) for p in parts]).any():
                 raise RuntimeError("the split has other texts than before")
             live = held.live(rows, length)
-            return ids, parts, rows, live, b"".join([parts[i] for i in (live - rows[0]).tolist()]), *_windows(held, live, length, width, asked)[:3]
+            return ids, parts, rows, live, b"".join([parts[i] for i in (live - rows[0]).tolist()]), *_windows(held, live, length, width, asked, place)[:4]
 
         for b in batches:
             ids, parts, size, n = b["doc_id"].to_pylist(), [], 0, 0
@@ -392,8 +402,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             side.keep("windows", number, at=at.astype(np.uint32))
             return named(high, low, many, number, slices)
 
-        for *_, data, _, _, p in edges(batches):
-            waiting.append(digests(data, p, p + length))
+        for *_, data, _, _, p, place in edges(batches):
+            view = memoryview(data)
+            waiting.append((np.array([xxhash.xxh3_64_intdigest(view[q : q + length]) for q in p.tolist()], np.uint64), place))
             n += len(p)
             if n >= CHUNK:
                 yield flush()
@@ -412,7 +423,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     def remove(batches):
         shard, chunk, flags = TaskContext.get().partitionId(), 0, np.empty(0, bool)
-        for held, ids, parts, rows, live, data, offset, change, p in edges(batches):
+        for held, ids, parts, rows, live, _, offset, change, p, _ in edges(batches):
             taken = []
             while len(p) > sum(map(len, taken)):
                 if not len(flags):
@@ -432,10 +443,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     return map_columns(docs, remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_repeat long, spans array<struct<start: long, stop: long>>")
 
 
-def _windows(held: Phrases, live: np.ndarray, length: int, window: int, asked: np.ndarray | None = None):
+def _windows(held: Phrases, live: np.ndarray, length: int, window: int, asked: np.ndarray | None = None, place: np.ndarray | None = None):
     """Of the texts ``live``, joined: their offsets, steps of what repeated intervals cover, windows that these don't decide or that have a phrase in ``asked``.
 
-    And the texts' suffixes, and which of them are the first beyond such a window's start.
+    And the ``place`` of each window's phrase, the texts' suffixes, and which of them begin such a phrase.
     """
     sizes = held.bytes[live]
     offset = np.cumsum(sizes) - sizes
@@ -467,7 +478,8 @@ def _windows(held: Phrases, live: np.ndarray, length: int, window: int, asked: n
     open_ &= left & (np.cumsum(valid)[:-1] > 0)
     before = np.r_[0, np.cumsum(open_)]
     low, high = np.minimum(np.maximum(low, 0), end) + shift, np.clip(high, 0, end) + shift
-    return offset, covered, np.flatnonzero(open_), at, begins & (before[np.maximum(high, low)] > before[low])
+    many = np.where(begins, before[np.maximum(high, low)] - before[low], 0)  # each window has one phrase
+    return offset, covered, np.flatnonzero(open_), None if place is None else np.repeat(place[at], many), at, many > 0
 
 
 def _removed(part: bytes, gone: np.ndarray | None) -> tuple:
