@@ -6,23 +6,23 @@ each level up to its own. A reader asks for level 1, 2, ... until a probe fails
 and so gets the quantised count; errors only ever raise it. The probability of a
 word after another is the Dirichlet-smoothed quotient of such counts.
 
-Counts travel as sorted blobs, a slice of the hash space each, so a shuffled row
-holds thousands of them. Every training document is counted. The filter is
-broadcast and has a bound, ``FILTER_BYTES``: it has ``BITS`` bits an entry, and
-where that exceeds the bound the least count that gets into it rises. The
-exact unigram base score needs every word's count: words of high counts
-(``HEAD_WORDS`` at most) are broadcast, the occurrences of all others are joined.
+Every n-gram of every training document is in the filter, ``BITS`` bits an entry,
+so it grows with the corpus and can't be broadcast whole. It is cut by hash into
+slices of ``SLICE`` bytes of text, and the probes are brought to the slices: a
+chunk of documents sends its sorted distinct n-grams with their training counts,
+a slice adds the counts up, builds its part of the filter, probes it, and answers
+each chunk with levels (and with the exact counts of words, for the base score).
+A second pass over the chunk's texts adds up the scores. No task's memory grows
+with the input, and a row that travels is a chunk's n-grams in one slice.
 
 Defined results: a null or empty text is its end token alone; rows with a null
-id are training rows; without training rows every count is 0; repeated rows are
-counted and scored each; an empty table gives an empty result; other columns are
-ignored.
+``held_out`` are training rows; without training rows every count is 0; repeated
+rows are counted and scored each; null ids are kept; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import xxhash
 import zstandard
@@ -30,20 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_count, map_columns, stage, texts
+from .shared import Side, dealt, file_count, grouped, map_columns, stage, stage_path, texts
 from .wordhash import mix
 
 BASE, BITS, PROBES = 1.5, 8, 4
-FILTER_BYTES, HEAD_WORDS = 128 << 20, 1 << 17
 #: Weight of the lower order, in words.
 KAPPA = 8.0
-#: Tokens whose counts a task holds before it hands them on.
-CHUNK = 6_000_000
+#: Tokens that are counted together; bytes of text that a slice stands for.
+CHUNK, SLICE = 4_000_000, 16 << 20
 #: The end token; no word is a line feed.
 END = xxhash.xxh64_intdigest(b"\n")
 REMEMBERED = 400_000
-#: Counts at which thresholds are tried.
-STEPS = np.array([*range(1, 65), *(1 << i for i in range(7, 60))], np.int64)
+_CHUNK_BITS = 20
 _G = np.uint64(0x9E3779B97F4A7C15)
 #: n-grams of two words are kept by 48 bits, so that sorted differences fit 32 bits.
 WIDTHS = {1: 64, 2: 48}
@@ -122,86 +120,6 @@ def level_count(levels: np.ndarray) -> np.ndarray:
     return table[np.minimum(levels, 199)]
 
 
-def count_ngrams(training: DataFrame, slices: int, text_col: str = "text") -> DataFrame:
-    """``order, slice, blob, n, total, steps, entries`` of all counts; one row a slice and order, staged.
-
-    ``steps``: values with a count of at least ``STEPS[i]``; ``entries``: their levels added up.
-    """
-
-    def local(batches):
-        held, size = [], 0
-        for b in batches:
-            for t in texts(b["text"]):
-                held.append(tokens(t))
-                size += len(held[-1])
-            if size >= CHUNK:
-                yield from flush(held)
-                held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    def flush(held):
-        one, _, two = run(held)
-        for order, values in ((1, one), (2, two)):
-            values, counts = np.unique(values, return_counts=True)
-            cuts = np.searchsorted(slice_of(values, WIDTHS[order], slices), np.arange(1, slices))
-            parts = list(zip(np.split(values, cuts), np.split(counts, cuts)))
-            full = [i for i, (v, _) in enumerate(parts) if len(v)]
-            yield {"order": [order] * len(full), "slice": full, "blob": [packed(*parts[i]) for i in full]}
-
-    def merge(batches):
-        at, held = None, []
-        for b in batches:
-            for order, part, blob in zip(b["order"].to_pylist(), b["slice"].to_pylist(), b["blob"].to_pylist(), strict=True):
-                if (order, part) != at:
-                    if held:
-                        yield row(at, held)
-                    at, held = (order, part), []
-                held.append(unpacked(blob))
-                if sum(len(h[0]) for h in held) > CHUNK:
-                    held = [merged(held)]
-        if held:
-            yield row(at, held)
-
-    def row(at, held):
-        values, counts = merged(held)
-        ordered = np.sort(counts)
-        over = np.searchsorted(ordered, STEPS)
-        below = np.concatenate([[0], np.cumsum(level(ordered))])
-        return {"order": [at[0]], "slice": [at[1]], "blob": [packed(values, counts)], "n": [len(values)], "total": [int(counts.sum())], "steps": [(len(counts) - over).tolist()], "entries": [(below[-1] - below[over]).tolist()]}
-
-    blobs = map_columns(training.select(F.col(text_col).alias("text")), local, "order int, slice int, blob binary")
-    dealt = blobs.repartition("order", "slice").sortWithinPartitions("order", "slice")
-    return stage(map_columns(dealt, merge, "order int, slice int, blob binary, n long, total long, steps array<long>, entries array<long>"), "ngrams")
-
-
-def at_least(counts: DataFrame, column: str, most: int) -> int:
-    """The least count at which ``column`` sums to ``most`` or less."""
-    sums = counts.select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-    return next((int(STEPS[r["at"]]) for r in sums if r["x"] <= most), int(STEPS[-1]))
-
-
-@dataclass
-class Filter:
-    """A Bloom filter of the n-grams of one order, in slices of 64-bit words; an entry's bits lie in one word."""
-
-    width: int  # bits of a value
-    starts: np.ndarray
-    sizes: np.ndarray
-    words: np.ndarray
-
-    def levels(self, values: np.ndarray) -> np.ndarray:
-        """Quantised counts, by probing one level after another."""
-        part = slice_of(values, self.width, len(self.sizes))
-        out, open_, step = np.zeros(len(values), np.int64), np.arange(len(values)), 1
-        while len(open_):
-            place, bits = probe(values[open_], np.uint64(step), self.sizes[part[open_]])
-            open_ = open_[self.words[self.starts[part[open_]] + place] & bits == bits]
-            out[open_] = step
-            step += 1
-        return out
-
-
 def slice_of(values: np.ndarray, width: int, slices: int) -> np.ndarray:
     bits = int(slices).bit_length() - 1
     return (values >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
@@ -216,126 +134,141 @@ def probe(values: np.ndarray, levels, size) -> tuple[np.ndarray, np.ndarray]:
     return (h % size).astype(np.int64), bits
 
 
-def build_filters(counts: DataFrame, least: int, slices: int) -> dict[int, Filter]:
-    """Each slice of the counts makes its slice of the filter; the words of all are collected: about ``FILTER_BYTES`` at most."""
-
-    def make(batches):
-        for b in batches:
-            for order, part, blob in zip(b["order"].to_pylist(), b["slice"].to_pylist(), b["blob"].to_pylist(), strict=True):
-                values, n = unpacked(blob)
-                used = n >= (least if order == 2 else 1)
-                values, top = values[used], level(n[used].astype(np.int64))
-                size = max(1, -(-int(top.sum()) * BITS // 64))
-                words = np.zeros(size, np.uint64)
-                for step in range(1, int(top.max(initial=0)) + 1):
-                    place, bits = probe(values[top >= step], np.uint64(step), np.uint64(size))
-                    np.bitwise_or.at(words, place, bits)
-                yield {"order": [order], "slice": [part], "words": [words.tobytes()]}
-
-    made = {(r["order"], r["slice"]): np.frombuffer(r["words"], np.uint64) for r in map_columns(counts.select("order", "slice", "blob"), make, "order int, slice int, words binary").collect()}
-    out = {}
-    for order, width in WIDTHS.items():
-        words = [made.pop((order, i), np.zeros(1, np.uint64)) for i in range(slices)]
-        sizes = np.array([len(w) for w in words], np.int64)
-        out[order] = Filter(width, np.cumsum(sizes) - sizes, sizes.astype(np.uint64), np.concatenate(words))
+def filter_words(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The 64-bit words of a slice of the filter; an entry's bits lie in one word."""
+    size = max(1, -(-int(levels.sum()) * BITS // 64))
+    words = np.zeros(size, np.uint64)
+    for step in range(1, int(levels.max(initial=0)) + 1):
+        place, bits = probe(values[levels >= step], np.uint64(step), np.uint64(size))
+        np.bitwise_or.at(words, place, bits)
+    return words
+
+
+def probed(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Quantised counts, by probing one level after another."""
+    out, open_, step = np.zeros(len(values), np.uint8), np.arange(len(values)), 1
+    while len(open_):
+        place, bits = probe(values[open_], np.uint64(step), np.uint64(len(words)))
+        open_ = open_[words[place] & bits == bits]
+        out[open_] = step
+        step += 1
     return out
 
 
-@dataclass
-class Model:
-    filters: dict[int, Filter]  # by order
-    head: np.ndarray  # hashes of the words of high counts, sorted
-    head_counts: np.ndarray
-    total: int
-    distinct: int
-
-    @property
-    def floor(self) -> float:
-        return self.total + self.distinct + 1.0
-
-    def log10_probability(self, words: np.ndarray, before: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Of each token, by the filter alone."""
-        kinds, at = np.unique(np.concatenate([words, np.array([END])]), return_inverse=True)
-        ones = level_count(self.filters[1].levels(kinds))
-        kinds2, at2 = np.unique(two, return_inverse=True)
-        twos = level_count(self.filters[2].levels(kinds2))[at2]
-        unigram = (ones[at[:-1]] + 1) / self.floor
-        context = ones[np.searchsorted(kinds, before)]
-        return np.log10((np.minimum(twos, context) + KAPPA * unigram) / (context + KAPPA))
-
-
-def train(training: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the staged counts that it was made from."""
-    slices = 1 << (max(4, min(1 << 14, 2 * file_count(training))) - 1).bit_length()
-    counts = count_ngrams(training, slices, text_col)
-    ones = counts.where("order = 1")
-    total, distinct = ones.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
-    least = at_least(counts.where("order = 2"), "entries", FILTER_BYTES * 8 // BITS)
-    made = build_filters(counts, least, slices)
-    high = at_least(ones, "steps", HEAD_WORDS)
-
-    def head(batches):
-        for b in batches:
-            parts = [unpacked(x) for x in b["blob"].to_pylist()]
-            yield {"blob": [packed(v[n >= high], n[n >= high]) for v, n in parts if (n >= high).any()]}
-
-    top = [unpacked(r["blob"]) for r in map_columns(ones.select("blob"), head, "blob binary").collect()]
-    values, n = merged(top) if top else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    return Model(made, values, n, int(total), int(distinct)), counts
-
-
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``docs`` has ``held_out`` beside id and text."""
-    model, counts = train(training, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+def log10_probability(levels: np.ndarray, context: np.ndarray, both: np.ndarray, floor: float) -> np.ndarray:
+    """Of tokens, from the levels of the word, of the word before it and of the pair."""
+    context = level_count(context)
+    unigram = (level_count(levels) + 1) / floor
+    return np.log10((np.minimum(level_count(both), context) + KAPPA * unigram) / (context + KAPPA))
+
+
+def counted(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each is in training."""
+    out, counts = np.unique(values), None
+    known, n = np.unique(values[training], return_counts=True)
+    counts = np.zeros(len(out), np.int64)
+    counts[np.searchsorted(out, known)] = n
+    return out, counts
+
+
+def chunked(batches):
+    """(number in the split, batches, tokens of each text) of whole batches of ``CHUNK`` tokens or more."""
+    number, rows, held, size = 0, [], [], 0
+    for b in batches:
+        rows.append(b)
+        for t in texts(b["text"]):
+            held.append(tokens(t))
+            size += len(held[-1])
+        if size >= CHUNK:
+            yield number, rows, held
+            number, rows, held, size = number + 1, [], [], 0
+    if held:
+        yield number, rows, held
+
+
+def tell(docs: DataFrame, slices: int) -> DataFrame:
+    """``chunk, order, slice, blob, n, total`` of every chunk and slice: levels (and counts of words) of the chunk's n-grams; the slice's distinct n-grams and tokens in training."""
+
+    def count(batches):
+        shard = TaskContext.get().partitionId()
+        for number, rows, held in chunked(batches):
+            one, _, two = run(held)
+            lengths = np.fromiter(map(len, held), np.int64, len(held))
+            training = np.repeat(np.concatenate([~np.array(b["held_out"].to_pylist(), bool) for b in rows]), lengths)
+            for order, values in ((1, one), (2, two)):
+                values, n = counted(values, training)
+                cuts = np.searchsorted(slice_of(values, WIDTHS[order], slices), np.arange(1, slices))
+                parts = [(i, v, c) for i, (v, c) in enumerate(zip(np.split(values, cuts), np.split(n, cuts))) if len(v)]
+                yield {"order": [order] * len(parts), "slice": [p[0] for p in parts], "chunk": [shard << _CHUNK_BITS | number] * len(parts), "blob": [packed(v, c) for _, v, c in parts]}
+
+    def answer(batches):
+        for part, rows in grouped(batches, "part"):
+            order = part % 2 + 1
+            held = [(chunk, *unpacked(blob)) for chunk, blob in rows]
+            values, n = merged([x[1:] for x in held])
+            known = n > 0
+            words = filter_words(values[known], level(n[known]))
+            levels = probed(words, values)
+            blobs = []
+            for _, asked, _ in held:
+                at = np.searchsorted(values, asked)
+                blobs.append(zstandard.compress(levels[at].tobytes() + (n[at].tobytes() if order == 1 else b""), 1))
+            many = len(held)
+            yield {"chunk": [x[0] for x in held], "order": [order] * many, "slice": [part // 2] * many, "blob": blobs, "n": [int(known.sum())] * many, "total": [int(n.sum())] * many}
+
+    blobs = map_columns(docs, count, "order int, slice int, chunk long, blob binary").withColumn("part", F.expr("2 * slice + order - 1"))
+    asked = dealt(blobs, "part", 2 * slices, "part").select("part", "chunk", "blob")
+    return map_columns(asked, answer, "chunk long, order int, slice int, blob binary, n long, total long")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_col: str = "held_out", scan: bool = False) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of all rows, by a model of those that aren't held out.
+
+    The texts are read twice and must come in the same splits: say ``scan`` if
+    ``docs`` comes straight from files, else it is written first.
+    """
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out_col, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    docs = docs if scan else stage(docs, "texts")
+    shards = file_count(docs)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    slices = 1 << int(size // SLICE).bit_length()
+    told = stage(tell(docs, slices), "told")
+    sums = told.where("order = 1").groupBy("slice").agg(F.first("n").alias("n"), F.first("total").alias("total")).agg(F.sum("n"), F.sum("total")).collect()[0]
+    distinct, total = (int(x or 0) for x in sums)
+    floor, side = total + distinct + 1.0, Side(stage_path(spark, "levels"))
+
+    def keep(batches):
+        for chunk, rows in grouped(batches, "chunk"):
+            parts = {1: [], 2: []}
+            for order, blob in rows:
+                parts[order].append(zstandard.decompress(blob))
+            one = [(np.frombuffer(x, np.uint8, len(x) // 9), np.frombuffer(x, np.int64, -1, len(x) // 9)) for x in parts[1]]
+            side.keep("told", chunk, one=np.concatenate([x for x, _ in one]), counts=np.concatenate([x for _, x in one]), two=np.concatenate([np.frombuffer(x, np.uint8) for x in parts[2]]))
+        yield {"n": []}
+
+    kept = dealt(told.select("chunk", "order", "slice", "blob"), f"shiftright(chunk, {_CHUNK_BITS})", shards, "chunk", "order", "slice")
+    map_columns(kept.select("chunk", "order", "blob"), keep, "n long").agg(F.count("*")).collect()
 
     def work(batches):
-        m, row = held.value, TaskContext.get().partitionId() << 33
-        for b in batches:
-            texts_, out = texts(b["text"]), {k: [] for k in ("row", "n_tokens", "known", "base", "score", "rest", "rest_n")}
-            for at in range(0, len(texts_), 100):
-                batch = [tokens(t) for t in texts_[at : at + 100]]
-                words, before, two = run(batch)
-                logs = m.log10_probability(words, before, two)
-                where = np.searchsorted(m.head, words)
-                there = m.head[np.minimum(where, len(m.head) - 1)] == words if len(m.head) else np.zeros(len(words), bool)
-                base = np.zeros(len(words))
-                base[there] = np.log10((m.head_counts[where[there]] + 1) / m.floor)
-                stop = np.cumsum([len(x) for x in batch])
-                for s, e in zip(stop - [len(x) for x in batch], stop):
-                    rest, n = np.unique(words[s:e][~there[s:e]], return_counts=True)
-                    out["row"].append(row)
-                    row += 1
-                    out["n_tokens"].append(int(e - s))
-                    out["known"].append(int(there[s:e].sum()))
-                    out["base"].append(float(base[s:e].sum()))
-                    out["score"].append(float(logs[s:e].sum()))
-                    out["rest"].append(rest.view(np.int64))
-                    out["rest_n"].append(n)
-            yield {"doc_id": b["doc_id"], "held_out": b["held_out"]} | out
-
-    asked = docs.select(F.col(id_col).alias("doc_id"), "held_out", F.col(text_col).alias("text"))
-    first = stage(map_columns(asked, work, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, rest array<long>, rest_n array<long>"), "scores")
-
-    least = int(model.head_counts.min()) if len(model.head_counts) else 1 << 62
-
-    def rare(batches):
-        for b in batches:
-            for blob in b["blob"].to_pylist():
-                v, n = unpacked(blob)
-                low = n.astype(np.int64) < least
-                yield {"word": v[low].view(np.int64), "c": n[low].astype(np.int64)}
-
-    seldom = map_columns(counts.where("order = 1").select("blob"), rare, "word long, c long")
-    rest = first.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    summed = rest.join(seldom, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 1) / F.lit(model.floor))).alias("rest_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rest_known"))
-    zero = F.lit(0)
-    return first.join(summed, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("rest_known", zero)).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+        shard = TaskContext.get().partitionId()
+        for number, rows, held in chunked(batches):
+            words, _, two = run(held)
+            told_ = side.load("told", shard << _CHUNK_BITS | number)
+            kinds, at = np.unique(words, return_inverse=True)
+            kinds2, at2 = np.unique(two, return_inverse=True)
+            if told_ is None or len(told_["one"]) != len(kinds) or len(told_["two"]) != len(kinds2):
+                raise RuntimeError("the split has other texts than before")
+            levels, counts = told_["one"], told_["counts"]
+            logs = log10_probability(levels[at], levels[np.r_[at[-1], at[:-1]]], told_["two"][at2], floor)  # the chunk ends in an end token
+            lengths = np.fromiter(map(len, held), np.int64, len(held))
+            starts = np.cumsum(lengths) - lengths
+            each = lambda x: np.add.reduceat(x[at], starts)
+            sums = {"n_tokens": lengths, "n_known": each((counts > 0).astype(np.int64)), "base_score": each(np.log10((counts + 1) / floor)), "score": np.add.reduceat(logs, starts)}
+            first = 0
+            for b in rows:
+                some = slice(first, first + len(b["doc_id"]))
+                first = some.stop
+                yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "train_tokens": [total] * (some.stop - some.start)} | {k: v[some] for k, v in sums.items()}
+
+    return map_columns(docs, work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -40,7 +40,6 @@ ids are kept; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import io
 
 import numpy as np
 import xxhash
@@ -49,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_count, map_columns, read_whole, stage, stage_path, texts, write_whole
+from .shared import Side, dealt, file_count, grouped, map_columns, stage, stage_path, texts
 from .wordhash import mix
 
 LENGTH, GRAM = 400, 8
@@ -155,27 +154,6 @@ def names_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return high, np.frombuffer(data, np.uint64, n, 8 + 8 * n), np.unpackbits(np.frombuffer(data, np.uint8, -1, 8 + 16 * n), count=n).astype(bool)
 
 
-def dealt(rows: DataFrame, of: str, count: int, *order: str) -> DataFrame:
-    """Rows of one ``of`` (0 to ``count`` - 1) together, in order; a task takes one after another."""
-    parts = min(count, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 16))
-    return rows.repartitionById(parts, F.expr(f"cast({of} * {parts} div {count} as int)")).sortWithinPartitions(*order)
-
-
-def grouped(batches, key: str):
-    """(key, its rows) of sorted batches, rows as tuples of the other columns."""
-    at, held = None, []
-    for b in batches:
-        others = [b[n].to_pylist() for n in b if n != key]
-        for k, *row in zip(b[key].to_pylist(), *others, strict=True):
-            if k != at:
-                if held:
-                    yield at, held
-                at, held = k, []
-            held.append(row)
-    if held:
-        yield at, held
-
-
 def interleave(names: DataFrame, slices: int, meeting: bool = True) -> DataFrame:
     """The shards' sorted names, merged slice by slice; each shard gets the places of its names that are not alone (or, unless ``meeting``, that any shard has marked)."""
 
@@ -218,31 +196,6 @@ def steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=0).astype(np.uint32)
 
 
-class Side:
-    """Arrays of a shard in the shared folder."""
-
-    def __init__(self, root: str):
-        self.root = root
-
-    def keep(self, name: str, shard: int, **arrays: np.ndarray) -> None:
-        out = io.BytesIO()
-        np.savez(out, **arrays)
-        write_whole(f"{self.root}/{name}/{shard}", zstandard.compress(out.getvalue(), 1))
-
-    def load(self, name: str, shard: int) -> dict[str, np.ndarray] | None:
-        data = read_whole(f"{self.root}/{name}/{shard}")
-        return None if data is None else dict(np.load(io.BytesIO(zstandard.decompress(data))))
-
-    def phrases(self, shard: int) -> Phrases:
-        held = self.load("phrases", shard)
-        prefix = np.zeros(len(held["start"]), np.int64)
-        for i in range(ROUNDS):
-            found = self.load(f"open-{i}", shard)
-            if found:
-                prefix[np.cumsum(found["open"])] = i + 1
-        return Phrases(held["start"].astype(np.int64), held["size"].astype(np.int64), held["count"].astype(np.int64), prefix)
-
-
 class Phrases:
     """A shard's phrases in order, and the common prefix of the suffix at each (in phrases)."""
 
@@ -262,6 +215,16 @@ class Phrases:
         return rows[(self.deepest[rows] > 1) & (self.bytes[rows] >= length)]
 
 
+def phrases_of(side: Side, shard: int) -> Phrases:
+    held = side.load("phrases", shard)
+    prefix = np.zeros(len(held["start"]), np.int64)
+    for i in range(ROUNDS):
+        found = side.load(f"open-{i}", shard)
+        if found:
+            prefix[np.cumsum(found["open"])] = i + 1
+    return Phrases(held["start"].astype(np.int64), held["size"].astype(np.int64), held["count"].astype(np.int64), prefix)
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_repeat, spans`` for every row.
 
@@ -339,7 +302,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     def open_ends(batches):
         for b in batches:
             for shard in b["shard"].to_pylist():
-                held, symbols = side.phrases(shard), side.load("symbols", shard)
+                held, symbols = phrases_of(side, shard), side.load("symbols", shard)
                 if symbols is None:
                     continue
                 ends = np.zeros(len(held.start), bool)
@@ -366,7 +329,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     def edges(batches):
         """(phrases, ids, texts, their numbers, which may lose bytes, those joined, their offsets, steps of what repeated intervals cover, windows to be told) of some texts."""
         shard, at = TaskContext.get().partitionId(), 0
-        held, marked, symbols = side.phrases(shard), side.load("marked", shard), side.load("symbols", shard)
+        held, marked, symbols = phrases_of(side, shard), side.load("marked", shard), side.load("symbols", shard)
         asked, place = np.zeros(len(held.start), bool), np.zeros(len(held.start), np.uint64)
         if marked is not None:
             asked[marked["suffix"]] = True

@@ -58,7 +58,7 @@ FALSE_DISCOVERIES = 0.01
 #: Length at which a candidate has weight 1.
 USUAL_LENGTH = 32
 
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base array<string>, candidates array<struct<start: int, stop: int, encoding: string, bin: int>>"
+SCANNED = "n_assign long, n_access long, n_hex long, base array<string>, candidates array<struct<start: int, stop: int, encoding: string, bin: int>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -144,7 +144,7 @@ def threshold(histogram: dict[int, int], rate: float = FALSE_DISCOVERIES) -> int
 
 def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random`` for every row."""
-    scanned = stage(map_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scan, SCANNED), "secrets")
+    scanned = stage(map_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCANNED}"), "secrets")
     bins = scanned.select(F.explode("candidates").alias("c")).groupBy("c.bin").count()
     least = threshold({r[0]: r[1] for r in bins.collect()}, rate)  # at most BINS rows
     random = F.filter("candidates", lambda c: c["bin"] >= least)

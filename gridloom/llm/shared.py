@@ -7,11 +7,14 @@ lost executor costs at most the tasks of the running stage.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +137,40 @@ def read_whole(path: str) -> bytes | None:
         return None
     with store.open_input_stream(at) as f:
         return f.read()
+
+
+class Side:
+    """Arrays of a shard in the shared folder."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def keep(self, name: str, shard: int, **arrays: np.ndarray) -> None:
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        write_whole(f"{self.root}/{name}/{shard}", zstandard.compress(out.getvalue(), 1))
+
+    def load(self, name: str, shard: int) -> dict[str, np.ndarray] | None:
+        data = read_whole(f"{self.root}/{name}/{shard}")
+        return None if data is None else dict(np.load(io.BytesIO(zstandard.decompress(data))))
+
+
+def dealt(rows: DataFrame, of: str, count: int, *order: str) -> DataFrame:
+    """Rows of one ``of`` (0 to ``count`` - 1) together, in order; a task takes one after another."""
+    parts = min(count, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 16))
+    return rows.repartitionById(parts, F.expr(f"cast({of} * {parts} div {count} as int)")).sortWithinPartitions(*order)
+
+
+def grouped(batches, key: str):
+    """(key, its rows) of sorted batches, rows as tuples of the other columns."""
+    at, held = None, []
+    for b in batches:
+        others = [b[n].to_pylist() for n in b if n != key]
+        for k, *row in zip(b[key].to_pylist(), *others, strict=True):
+            if k != at:
+                if held:
+                    yield at, held
+                at, held = k, []
+            held.append(row)
+    if held:
+        yield at, held

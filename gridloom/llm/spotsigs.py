@@ -9,7 +9,8 @@ threshold.
 
 Defined results: a null or empty text has the one signature 0, so such texts are
 alike; a text without any anchor has one signature of all its words; null ids
-come last in descending order; rows of one id are ordered by their text's hash;
+come last in descending order, ids of any type as Spark orders them; rows of one
+id are ordered by their text's hash;
 a single document is followed by itself; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -20,10 +21,11 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .shared import file_count, map_columns, texts
+from .shared import file_count, map_columns, stage, texts
 from .wordhash import chain, mix, word_hashes
 
 # Common words of English, German, French and Spanish.
@@ -77,24 +79,32 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The first row of each range is also sent to the range before it (``halo``);
     that of the first range, to the last. Texts are shuffled once.
     """
-    spark, key = docs.sparkSession, F.coalesce(F.col(id_col), F.lit(_LEAST_ID))
-    ids = docs.select(key.alias("k"))
+    key = F.coalesce(_long(docs, id_col), F.lit(_LEAST_ID))
+    ids = docs.select(key.alias("k"), F.col(id_col).alias("id"))
     n = min(MOST_BUCKETS, file_count(docs))
     cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n + 100)).collect()[0][0] or []
     bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]).cast("array<long>")
     bucket = lambda k: F.size(F.filter(bounds, lambda c: c < k))
-    heads = ids.withColumn("bucket", bucket(F.col("k"))).groupBy("bucket").agg(F.max("k").alias("head"))
+    heads = ids.withColumn("bucket", bucket(F.col("k"))).groupBy("bucket").agg(F.max("id").alias("head"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("bucket"))  # a row for each range: at most MOST_BUCKETS
     whole = Window.partitionBy(F.lit(0))
     heads = heads.withColumn("before", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(whole)))
     heads = heads.select(F.col("bucket").alias("of"), "head", "before")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("k"))
     rows = rows.withColumn("bucket", bucket(F.col("k"))).join(F.broadcast(heads), F.col("bucket") == F.col("of"))
-    to = F.when(F.col("k") == F.col("head"), F.array(F.struct(F.col("bucket"), F.lit(False).alias("halo")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("halo"))))
+    to = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("bucket"), F.lit(False).alias("halo")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("halo"))))
     rows = rows.withColumn("to", F.explode(F.coalesce(to, F.array(F.struct(F.col("bucket"), F.lit(False).alias("halo"))))))
-    rows = rows.select("doc_id", "text", "k", "to.bucket", "to.halo")
+    rows = rows.select("doc_id", "text", "to.bucket", "to.halo")
     dealt = rows.repartitionById(len(set(cuts)) + 1, F.col("bucket").cast("int"))
-    return dealt.sortWithinPartitions("bucket", "halo", F.col("k").desc(), F.xxhash64("text")), docs.schema[id_col].dataType.simpleString()
+    return dealt.sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")), docs.schema[id_col].dataType.simpleString()
+
+
+def _long(docs: DataFrame, id_col: str) -> Column:
+    """Never falls as the id rises."""
+    if isinstance(docs.schema[id_col].dataType, NumericType):
+        return F.col(id_col).cast("long")
+    first = F.hex(F.substring(F.col(id_col).cast("string").cast("binary"), 1, 7))
+    return F.conv(F.rpad(first, 14, "0"), 16, 10).cast("long")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,26 +148,31 @@ def signature_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def near_pairs(sets: DataFrame, least: float = 0.8) -> DataFrame:
-    """``class_a, class_b, likeness`` of distinct signature sets with Jaccard at least ``least``; a class is the least id of its set.
+    """``key_a, class_a, key_b, class_b, likeness`` of distinct signature sets with Jaccard at least ``least``.
+
+    A key is the digest of a set, a class the least id that has it (null if none has an id).
 
     Sets are partitioned by the logarithm of their length (base 1/``least``), so a
     partner lies in the same partition or the next. There, the rarest signatures
     of each set (as many as must hold one in common) are the candidates' keys,
-    lengths prune, and the Jaccard index decides. Equal sets are one class.
+    lengths prune, and the Jaccard index decides. Equal sets are one class. Keys
+    travel alone; sets are fetched for candidates. Skewed signatures are left to
+    the skew handling of adaptive joins.
     """
-    classes = sets.groupBy("sigs").agg(F.min("doc_id").alias("class"))
     n = F.size("sigs")
     part = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / least)) + 1e-9)
-    classes = classes.select("class", "sigs", F.xxhash64("sigs").alias("set"), n.alias("n"), part.alias("part"))
-    spread = classes.select("*", F.explode("sigs").alias("sig"))
-    common = spread.groupBy("sig").count()
-    ranked = spread.join(common, "sig").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("by"), *[F.first(c).alias(c) for c in ("class", "sigs", "n", "part")])
+    keyed = sets.withColumn("key", F.md5(F.concat_ws(",", F.col("sigs").cast("array<string>")).cast("binary")))
+    classes = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("class"), F.first("sigs").alias("sigs")).withColumn("n", n).withColumn("part", part), "classes")
+    spread = classes.select("key", "n", "part", F.explode("sigs").alias("sig"))
+    ranked = spread.join(spread.groupBy("sig").count(), "sig").groupBy("key", "n", "part").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("by"))  # a set's own signatures
     keep = (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")
-    keyed = ranked.select("class", "n", "part", "sigs", F.explode(F.slice("by", F.lit(1), keep)).alias("k")).select("class", "n", "part", "sigs", F.col("k.sig").alias("sig"))
-    right = keyed.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("sigs").alias("sigs_b"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
-    left = keyed.select(F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("sigs").alias("sigs_a"), "sig", "part")
-    earlier = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("sigs_a") < F.col("sigs_b")))
+    rare = ranked.select("key", "n", "part", F.explode(F.slice("by", F.lit(1), keep)).alias("k")).select("key", "n", "part", "k.sig")
+    left = rare.select(F.col("key").alias("key_a"), F.col("n").alias("n_a"), "sig", "part")
+    right = rare.select(F.col("key").alias("key_b"), F.col("n").alias("n_b"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
+    earlier = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    pairs = left.join(right, ["sig", "part"]).where(earlier & (F.col("n_a") >= least * F.col("n_b"))).select("key_a", "key_b").distinct()
+    for side in "ab":
+        pairs = pairs.join(classes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("key", "class", "sigs")]), f"key_{side}")
     both = F.size(F.array_intersect("sigs_a", "sigs_b"))
-    jaccard = both / (F.col("n_a") + F.col("n_b") - both)
-    pairs = left.join(right, ["sig", "part"]).where(earlier & (F.col("n_a") >= least * F.col("n_b")) & (jaccard >= least))
-    return pairs.select("class_a", "class_b", jaccard.alias("likeness")).distinct()
+    jaccard = both / (F.size("sigs_a") + F.size("sigs_b") - both)
+    return pairs.select("key_a", "class_a", "key_b", "class_b", jaccard.alias("likeness")).where(F.col("likeness") >= least)

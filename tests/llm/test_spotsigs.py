@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -60,26 +61,25 @@ def test_signatures():
 
 def test_pairs_against_brute_force(spark, odd, empty):
     rng, rows = random.Random(7), []
-    for i in range(40):
+    for i in range(80):
         words = text(rng, 120).split()
         rows.append(document(100 + 2 * i, " ".join(words)))
         words[rng.randrange(120)] = "w"
         rows.append(document(101 + 2 * i, " ".join(words)))
     docs = spark.createDataFrame(rows, DOCS).union(odd)
     sets = spotsigs.signature_sets(docs)
-    got = {(r.class_a, r.class_b): r.likeness for r in spotsigs.near_pairs(sets).collect()}
+    got = {frozenset([(r.key_a, r.class_a), (r.key_b, r.class_b)]): r.likeness for r in spotsigs.near_pairs(sets).collect()}
     classes = {}
     for r in sets.collect():
-        key = tuple(r.sigs)
-        classes[key] = min([x for x in (classes.get(key), r.doc_id) if x is not None], default=None)
+        classes.setdefault(tuple(r.sigs), []).append(r.doc_id)
+    named = {a: (hashlib.md5(",".join(map(str, a)).encode()).hexdigest(), min((x for x in ids if x is not None), default=None)) for a, ids in classes.items()}
     want = {}
-    for a, x in classes.items():
-        for b, y in classes.items():
-            if (len(a), x) < (len(b), y):
-                j = len(set(a) & set(b)) / len(set(a) | set(b))
-                if j >= 0.8:
-                    want[x, y] = j
+    for a, b in combinations(named, 2):
+        j = len(set(a) & set(b)) / len(set(a) | set(b))
+        if j >= 0.8:
+            want[frozenset([named[a], named[b]])] = j
     assert got == pytest.approx(want) and len(want) > 20
+    assert any(None in ids and len(set(ids)) == 1 for ids in classes.values())
     assert spotsigs.near_pairs(spotsigs.signature_sets(empty)).count() == 0
 
 
@@ -87,3 +87,15 @@ def test_one_and_none(spark, empty):
     one = spotsigs.compare_edited(spark.createDataFrame([document(5, "the only one of its kind")], DOCS)).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert spotsigs.compare_edited(empty).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    rows = [(f"d{i:03d}", f"the text of number {i} and no other") for i in range(50)] + [("", "the one with an empty id"), (None, "the one without")]
+    for kind, name in (("string", str), ("double", lambda x: None if not x else float(x[1:]))):
+        docs = spark.createDataFrame([(name(i) if i is not None else None, t) for i, t in rows], f"doc_id {kind}, text string").repartition(3)
+        got = {r.doc_id: r.edited_sha256 for r in spotsigs.compare_edited(docs).collect()}
+        ordered = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id if r.doc_id is not None else 0, ), reverse=True) if kind == "string" else []
+        for a, b in zip(ordered, [*ordered[1:], ordered[0]] if ordered else []):
+            third = len(a.text) // 3
+            assert got[a.doc_id] == hashlib.sha256((a.text[: len(a.text) - third] + b.text[:third]).encode()).hexdigest()
+        assert len(got) >= 50
