@@ -1,25 +1,28 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-Candidates are runs of 20 or more characters of the usual encodings. The
-narrowest encoding that holds a candidate (hex, base32, alphanumeric, base64) is
-inferred, and three tests ask whether it looks like written language rather than
-random symbols of that alphabet:
-
-* chi-squared uniformity over the alphabet: language has at least ``DIVERGENCE``
-  of divergence a symbol, so its statistic is noncentral in proportion to length;
-* runs: language changes between lower case, upper case, digits and signs at a
-  rate of at most ``CHANGE_RATE``;
-* serial correlation: neighbouring symbol values are no more correlated than in
-  random order, judged together with the other two.
-
-Each p-value has the candidate's own length in it, so short candidates can't be
-found on thin evidence. Fisher's method combines them, and Benjamini-Hochberg
-over all candidates of all documents decides, with a weight that grows with the
-length. Its threshold comes from a histogram of the p-values in fixed bins.
+Candidates are runs of 20 or more characters of the usual encodings that no fixed
+pattern has. The narrowest encoding that holds a candidate (hex, letters of one case, base32,
+alphanumeric, base64) is inferred, and three tests ask whether its
+symbols are random there:
+
+* chi-squared uniformity over the alphabet;
+* runs: the number of changes between lower case, upper case, digits and signs;
+* serial correlation of neighbouring symbol values.
+
+A candidate that fails one of them (at ``FIT``, shared among the three) is no
+random key: patterns, counters and sorted or repeated symbols end there. What
+passes is weighed against written text. There the chi-squared statistic is
+noncentral, by at least what an index of coincidence of ``COINCIDENCE`` gives over
+that alphabet and length, and kinds change at a rate of ``CHANGE_RATE`` at most;
+the two tails are combined by Fisher's method to the p-value that text looks so
+random. It has the length in it, so short candidates can't be found on thin
+evidence. Weighted Benjamini-Hochberg over all candidates of all documents
+decides; weights grow with the length and average 1. Its threshold comes from a
+histogram of the p-values in fixed bins.
 
 Defined results: a null or empty text has no spans; repeated rows each get their
-spans; null ids are kept; an empty table gives an empty result; other columns
-are ignored. Positions are code points, ends exclusive.
+spans; ids of any type, nulls among them, are kept; an empty table gives an empty
+result; other columns are ignored. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -42,23 +45,27 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = (
-    ("hex", "0123456789abcdef"),
-    ("hex", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"),
+    ("hex", _DIGITS + "abcdef"),
+    ("hex", _DIGITS + "ABCDEF"),
+    ("lower", _LOWER),
+    ("upper", _LOWER.upper()),
+    ("base32", _LOWER.upper() + "234567"),
+    ("alnum", _DIGITS + _LOWER.upper() + _LOWER),
+    ("base64", _DIGITS + _LOWER.upper() + _LOWER + "+/_-"),
 )
-DIVERGENCE, CHANGE_RATE = 1.0, 0.12
-#: What one test can say at most: a strict pattern fails two of them and isn't carried by the third.
-LEAST_P = 1e-3
-#: Steps of log10 p in the histogram; p-values are never under 10**-8.
-BIN, BINS = 0.05, 200
+#: Written text: its index of coincidence at least, over hex digits the divergence from uniformity, and the rate at which kinds of characters change at most.
+COINCIDENCE, HEX_DIVERGENCE, CHANGE_RATE = 0.055, 1.0, 0.25
+#: Part of random keys that the battery may lose.
+FIT = 1e-3
+#: Steps of -log10 p in the histogram.
+BIN, BINS = 0.05, 800
 FALSE_DISCOVERIES = 0.01
-#: Length at which a candidate has weight 1.
-USUAL_LENGTH = 32
+#: Length from which the weight of a candidate grows no more.
+MOST_LENGTH = 128
 
-SCANNED = "n_assign long, n_access long, n_hex long, base array<string>, candidates array<struct<start: int, stop: int, encoding: string, bin: int>>"
+SCANNED = "n_assign long, n_access long, n_hex long, base array<string>, candidates array<struct<start: int, stop: int, encoding: string, evidence: double>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -74,45 +81,70 @@ def upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(candidate: str) -> tuple[str, float, float, float] | None:
-    """Encoding, and the p-values of uniformity, runs and serial correlation against written language."""
+def chi_z(x: float, degrees: float) -> float:
+    """Wilson and Hilferty's normal score of a chi-squared value."""
+    return ((x / degrees) ** (1 / 3) - (1 - 2 / (9 * degrees))) / math.sqrt(2 / (9 * degrees))
+
+
+def binomial_tail(least: int, n: int, p: float) -> float:
+    """Of ``least`` or more successes."""
+    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(least, n + 1)))
+
+
+def kind(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+_kinds = {a: np.array([kind(c) for c in a]) for _, a in ALPHABETS}
+
+
+def encoding(body: str) -> tuple[str, str] | None:
+    """Name and alphabet of the narrowest encoding; none for digits alone, which tell nothing."""
+    if len(body) < 2 or body.isdigit():
+        return None
+    return next(((name, a) for name, a in ALPHABETS if set(body) <= set(a)), None)
+
+
+def battery(candidate: str) -> tuple[str, tuple[float, float, float], tuple[float, float]] | None:
+    """Encoding; p-values of uniformity, runs and serial correlation for random symbols; those of uniformity and runs for written text."""
     body = candidate.rstrip("=")
-    fits = next(((name, a) for name, a in ALPHABETS if set(body) <= set(a)), None)
-    if not fits or len(body) < 2:
+    fits = encoding(body)
+    if not fits:
         return None
     name, alphabet = fits
-    n, k = len(body), len(alphabet)
+    n, k, kinds = len(body), len(alphabet), _kinds[alphabet]
     value = np.array([alphabet.index(c) for c in body])
-    counts = np.bincount(value, minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
-    shift = n * DIVERGENCE  # noncentrality that language has at least
-    uniform = upper_tail((k - 1 + shift - chi) / math.sqrt(2 * (k - 1) + 4 * shift))
-    kinds = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body])
-    changes, mean = int((kinds[1:] != kinds[:-1]).sum()), (n - 1) * CHANGE_RATE
-    runs = upper_tail((changes - mean - 0.5) / math.sqrt(mean * (1 - CHANGE_RATE)))
+    chi = float(((np.bincount(value, minlength=k) - n / k) ** 2).sum() * k / n)
+    uniform = upper_tail(chi_z(chi, k - 1))
+    shift = n * (HEX_DIVERGENCE if name == "hex" else k * COINCIDENCE - 1)  # noncentrality of text
+    scale, degrees = (k - 1 + 2 * shift) / (k - 1 + shift), (k - 1 + shift) ** 2 / (k - 1 + 2 * shift)  # Patnaik's central equivalent
+    text_uniform = upper_tail(-chi_z(chi / scale, degrees))
+
+    of = kinds[value]
+    changes, share = int((of[1:] != of[:-1]).sum()), np.bincount(kinds) / k
+    same, thrice = float((share**2).sum()), float((share**3).sum())
+    rate, both = 1 - same, 1 - 2 * same + thrice  # of a change, and of two in a row
+    variance = (n - 1) * rate * (1 - rate) + 2 * (n - 2) * (both - rate * rate)
+    runs = 1.0 if variance < 1e-9 else 2 * upper_tail(max(0.0, abs(changes - (n - 1) * rate) - 0.5) / math.sqrt(variance))
+    text_runs = binomial_tail(changes, n - 1, CHANGE_RATE) if rate else 1.0
+
     x, y = value[:-1] - value[:-1].mean(), value[1:] - value[1:].mean()
     spread = math.sqrt(float((x * x).sum() * (y * y).sum()))
     r = float((x * y).sum()) / spread if spread else 1.0
-    serial = upper_tail((0.5 - abs(r)) * math.sqrt(n - 1))  # language of sorted or repeated symbols: at least 0.5
-    return name, uniform, runs, serial
+    serial = 2 * upper_tail(abs(r + 1 / n) * math.sqrt(n))
+    return name, (uniform, min(1.0, runs), serial), (text_uniform, text_runs)
 
 
-def log10_p(p: tuple[float, ...]) -> float:
-    """Fisher's combination, log10 of the chi-squared tail with 2 degrees a test; no test alone decides.
-
-    ``p[0]`` is of uniformity: symbols as uneven as language's end the matter.
-    """
-    if p[0] > 0.5:
-        return 0.0
-    half = -sum(math.log(max(x, LEAST_P)) for x in p)
-    tail = sum(half**i / math.factorial(i) for i in range(len(p)))
-    return min(0.0, (-half + math.log(tail)) / math.log(10))
-
-
-def weighted_bin(p: float, length: int) -> int:
-    """Bin of log10(p / weight); longer candidates have more weight, up to 4."""
-    weight = min(4.0, length / USUAL_LENGTH)
-    return max(0, min(BINS - 1, int(-(p - math.log10(weight)) / BIN)))
+def evidence(candidate: str) -> tuple[str, float] | None:
+    """Encoding, and -log10 of the p-value that text looks so random: 0 for what isn't random."""
+    tested = battery(candidate)
+    if not tested:
+        return None
+    name, random, text = tested
+    if min(random) < FIT / len(random):
+        return name, 0.0
+    half = -sum(math.log(max(p, 1e-300)) for p in text)  # Fisher: two tests
+    return name, max(0.0, (half - math.log1p(half)) / math.log(10))
 
 
 def scan(batches):
@@ -125,9 +157,8 @@ def scan(batches):
             rows["base"].append([f"{KINDS[k]}:{s}:{e}" for s, k, e in base])
             tried = []
             for m in CANDIDATE.finditer(text):
-                if result := battery(m[0]):
-                    at = weighted_bin(log10_p(result[1:]), m.end() - m.start())
-                    tried.append({"start": m.start(), "stop": m.end(), "encoding": result[0], "bin": at})
+                if not any(x <= m.start() and m.end() <= e for x, _, e in base) and (result := evidence(m[0])):
+                    tried.append({"start": m.start(), "stop": m.end(), "encoding": result[0], "evidence": result[1]})
             rows["candidates"].append(tried)
         yield {"doc_id": ids} | rows
 
@@ -145,12 +176,16 @@ def threshold(histogram: dict[int, int], rate: float = FALSE_DISCOVERIES) -> int
 def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random`` for every row."""
     scanned = stage(map_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCANNED}"), "secrets")
-    bins = scanned.select(F.explode("candidates").alias("c")).groupBy("c.bin").count()
+    weigh = lambda c: F.least(c["stop"] - c["start"], F.lit(MOST_LENGTH)).cast("double")
+    each = scanned.select(F.explode("candidates").alias("c"))
+    mean = each.agg(F.avg(weigh(F.col("c")))).collect()[0][0] or 1.0
+    place = lambda c: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((c["evidence"] + F.log10(weigh(c) / mean)) / BIN))).cast("int")
+    bins = each.groupBy(place(F.col("c")).alias("bin")).count()
     least = threshold({r[0]: r[1] for r in bins.collect()}, rate)  # at most BINS rows
-    random = F.filter("candidates", lambda c: c["bin"] >= least)
+    random = F.filter("candidates", lambda c: place(c) >= least)
     named = F.transform(random, lambda c: F.concat_ws(":", F.lit("random"), c["start"].cast("string"), c["stop"].cast("string")))
-    place = lambda s: F.element_at(F.split(s, ":"), 2).cast("int") * 4 + F.array_position(F.array(*map(F.lit, KINDS)), F.element_at(F.split(s, ":"), 1)).cast("int") - 1
-    spans = F.array_sort(F.concat("base", named), lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
+    order = lambda s: F.element_at(F.split(s, ":"), 2).cast("long") * 4 + F.array_position(F.array(*map(F.lit, KINDS)), F.element_at(F.split(s, ":"), 1)).cast("int") - 1
+    spans = F.array_sort(F.concat("base", named), lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0))
     return scanned.select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(F.concat_ws(",", "base").cast("binary"), 256).alias("base_sha256"),

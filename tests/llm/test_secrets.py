@@ -62,3 +62,48 @@ def test_threshold():
     assert secrets.threshold({}) > secrets.BINS
     assert secrets.threshold({0: 99}) > secrets.BINS
     assert secrets.threshold({0: 99, 100: 1}) == 100
+
+
+def joined_words(rng, n):
+    """Runs of a document's words without the spaces, 20 characters or more."""
+    import pyarrow.parquet as pq
+
+    out, texts = [], [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t and len(t) > 500]
+    while len(out) < n:
+        words = re.findall(r"[A-Za-z]+", rng.choice(texts))
+        at = rng.randrange(max(1, len(words) - 12))
+        run = rng.choice(["", "", "_", "-"]).join(words[at : at + rng.randrange(3, 9)])
+        if len(run) >= 20:
+            out.append(run)
+    return out
+
+
+def test_p_values_of_random_symbols_are_even():
+    rng = random.Random(8)
+    for name, alphabet in dict(secrets.ALPHABETS).items():
+        found = [secrets.battery("".join(rng.choice(alphabet) for _ in range(rng.randrange(30, 90)))) for _ in range(1500)]
+        tests = [t for got, t, _ in found if got == name]
+        assert len(tests) > 1000
+        for i, test in enumerate(("uniform", "runs", "serial")):
+            low = sum(t[i] < 0.05 for t in tests) / len(tests)
+            assert (low < 0.09 and (low > 0.02 or i == 1)), (name, test, low)
+        assert sum(min(t) < secrets.FIT / 3 for t in tests) / len(tests) < 0.01
+
+
+def test_text_is_no_evidence():
+    tried = [secrets.evidence(x) for x in joined_words(random.Random(4), 3000)]
+    scores = [x[1] for x in tried if x]
+    assert len(scores) > 2500
+    for level in (1, 2, 3, 4):
+        assert sum(s >= level for s in scores) / len(scores) <= 10**-level
+
+
+def test_few_keys_among_much_text(spark):
+    rng = random.Random(9)
+    b64 = string.ascii_letters + string.digits + "+/"
+    keys = ["".join(rng.choice(b64) for _ in range(n)) for n in [32, 40, 44, 64] * 5]
+    ordinary = joined_words(rng, 20_000)
+    rows = [document(i, " ".join(ordinary[i::1000] + ([keys[i // 50]] if i % 50 == 0 else []))) for i in range(1000)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, DOCS)).collect()
+    hits = [rows[r.doc_id][1][int(s.split(":")[1]) : int(s.split(":")[2])] for r in found for s in r.spans.split(",") if s.startswith("random")]
+    assert len(set(keys) & set(hits)) >= 19 and len(set(hits) - set(keys)) <= 1
