@@ -22,7 +22,8 @@ def plain_best(docs, items, least):
     for _, h, _ in hashed:
         for x in set(h):
             df[x] = df.get(x, 0) + 1
-    weight = lambda x: 1 + math.log((1 + len(hashed)) / (1 + df.get(x, 0)))
+    # A shingle that the item lacks weighs as if no item had it.
+    weight = lambda x, h: 1 + math.log((1 + len(hashed)) / (1 + (df[x] if x in h else 0)))
     out = {}
     for d, t in docs:
         words = word_hashes(t or "")
@@ -33,7 +34,7 @@ def plain_best(docs, items, least):
                 if not set(h) & set(w):
                     continue
                 both = set(h) | set(w)
-                sim = sum(weight(x) * min(h.count(x), w.count(x)) for x in both) / sum(weight(x) * max(h.count(x), w.count(x)) for x in both)
+                sim = sum(weight(x, h) * min(h.count(x), w.count(x)) for x in both) / sum(weight(x, h) * max(h.count(x), w.count(x)) for x in both)
                 sim = round(sim, 12)
                 if sim >= least and sim > out.get((d, i), (0,))[0]:
                     out[d, i] = (sim, s, size)
@@ -80,18 +81,57 @@ def test_kept(spark, leaky, empty):
 
 def test_blocks_of_items(spark, leaky, monkeypatch):
     docs, items, _ = leaky
-    whole = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    rows = lambda: sorted(tuple(r) for r in decontaminate.find_leaks(docs, items).collect())
+    whole = rows()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
     assert len(decontaminate.blocks(items, "item_id", "text")) > 2
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == whole
+    assert rows() == whole
+
+
+def benchmark(items):
+    rows = []
+    for i, t in items:
+        h, n = np.unique(shingles(word_hashes(t), 5), return_counts=True)
+        rows.append((i, len(word_hashes(t)), h.tolist(), n.tolist(), [1] * len(h)))
+    return decontaminate.Benchmark(rows, len(rows))
 
 
 def test_multi_index_misses_nothing_within_the_radius():
-    rng = random.Random(3)
-    block = decontaminate.Benchmark([(i, prose(rng, 30, 3000)) for i in range(200)])
-    for _ in range(300):
-        fp = rng.choice(block.prints)
-        for bit in rng.sample(range(64), rng.randrange(0, 30)):
-            fp ^= 1 << bit
-        assert block.within(fp) == {k for k, p in enumerate(block.prints) if (p ^ fp).bit_count() <= decontaminate.RADIUS}
-    assert decontaminate.packed(np.array([[1.0] + [-1.0] * 63])).tolist() == [1 << 63]
+    rng = np.random.default_rng(3)
+    block = benchmark([(i, prose(random.Random(i), 30, 3000)) for i in range(300)])
+    asked = block.prints[rng.integers(0, 300, 200)].copy()
+    for row in asked:
+        for bit in rng.choice(128, rng.integers(0, 40), replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1 << (bit % 64))
+    apart = np.bitwise_count(asked[:, None, :] ^ block.prints[None, :, :]).sum(axis=2)
+    assert set(zip(*(x.tolist() for x in block.within(asked)))) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS))))
+    assert decontaminate.packed(np.array([[1.0] + [-1.0] * 127])).tolist() == [[1 << 63, 0]]
+
+
+def test_the_index_is_selective():
+    """Of 20,000 random fingerprints, the blocks hold a small part for a window."""
+    rng = np.random.default_rng(4)
+    block = benchmark([(0, "some words of one item")])
+    block.ids = list(range(20_000))
+    block.index(rng.integers(0, 2**64, (20_000, 2), dtype=np.uint64))
+    asked = rng.integers(0, 2**64, (20, 2), dtype=np.uint64).view(np.uint16).reshape(20, 8)
+    met = sum(int((block.begins[b][(asked[:, b, None] ^ decontaminate._BALL).astype(int) + 1] - block.begins[b][asked[:, b, None] ^ decontaminate._BALL]).sum()) for b in range(8))
+    assert met / (20 * 20_000) < 0.1
+
+
+def test_recall_at_the_similarity():
+    """Windows of just the similarity are within the radius."""
+    rng, found, tried = random.Random(12), 0, 0
+    for n in [12, 20, 40, 80] * 40:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        block = benchmark([(0, " ".join(words))])
+        last = words  # words after the cut are others: the longest cut that stays at 0.8
+        for cut in range(1, n):
+            other = words[:-cut] + [f"x{rng.randrange(10**6)}" for _ in range(cut)]
+            if block.similarity(0, shingles(word_hashes(" ".join(other)), 5).tolist()) < 0.8:
+                break
+            last = other
+        if block.similarity(0, shingles(word_hashes(" ".join(last)), 5).tolist()) < 1:
+            tried += 1
+            found += bool(block.search("before " + " ".join(last) + " after it", 0.8))
+    assert tried > 100 and found / tried >= 0.97
