@@ -8,8 +8,9 @@ whole (``BUCKETS`` x languages, bounded). A temperature fitted on rows left out
 the training calibrates the scores, and the threshold of the rejection is taken
 from the same rows.
 
-The training sample is bounded: ``sample`` labelled rows of lowest id hash, and
-``TRAIN_BYTES`` of each in training alone; predictions read whole texts.
+The training sample is bounded: the ``sample`` labelled rows of lowest hash, equal
+rows once, whole texts. Tasks count their n-grams, so that the driver gets
+``BUCKETS`` counts a row at most. Predictions read whole texts.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with
 score 0 and rejected; labels that are null are not learned; without any labelled
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .shared import map_columns, texts
 
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
-#: Bounds of the training sample: rows, and bytes of each.
-SAMPLE, TRAIN_BYTES = 6000, 4000
+#: Bound of the training sample: rows.
+SAMPLE = 6000
 EPOCHS, RATE = 4, 0.5
 #: Part of the left-out rows that the rejection may cost at most.
 REJECTED = 0.001
@@ -55,6 +56,15 @@ def encoded(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode(), np.uint8)
 
 
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams and how often each occurs, in blocks: memory is bounded for any length."""
+    data, total, block = encoded(text), np.zeros(BUCKETS, np.int64), 1 << 16
+    for at in range(0, max(1, len(data)), block):
+        total += np.bincount(buckets(data[at : at + block + GRAMS[-1] - 1], block), minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, total[ids]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -64,13 +74,11 @@ class Model:
     least: float  # scores below are rejected
 
     def logits(self, text: str) -> np.ndarray:
-        """Average over all n-grams, in blocks: memory is bounded for any length."""
-        data, total, n, block = encoded(text), np.zeros(len(self.languages)), 0, 1 << 16
-        for at in range(0, max(1, len(data)), block):
-            b = buckets(data[at : at + block + GRAMS[-1] - 1], block)
-            total += np.bincount(b, minlength=BUCKETS).astype(np.float32) @ self.table
-            n += len(b)
-        return total / max(n, 1) + self.bias
+        ids, counts = features(text)
+        return self.averaged(ids, counts)
+
+    def averaged(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return counts.astype(np.float32) @ self.table[ids] / max(counts.sum(), 1) + self.bias
 
     def predict(self, text: str) -> tuple[str, float, bool]:
         if not self.languages or not LETTER.search(text):
@@ -82,15 +90,13 @@ class Model:
         return self.languages[best], float(p[best]), bool(p[best] < self.least)
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """``rows`` of (text, language); a fifth is left out for the calibration."""
-    rows = [(t, g) for t, g in rows if t and g and LETTER.search(t)]
-    languages = sorted({g for _, g in rows})
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model:
+    """``rows`` of (buckets, counts, language); a fifth is left out for the calibration."""
+    languages = sorted({g for *_, g in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    features = [np.unique(buckets(np.frombuffer(t.lower().encode()[:TRAIN_BYTES], np.uint8)), return_counts=True) for t, _ in rows]
-    label = np.array([languages.index(g) for _, g in rows])
+    label = np.array([languages.index(g) for *_, g in rows])
     k = len(languages)
     embed, out, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), np.zeros((WIDTH, k)), np.zeros(k)
     out += rng.normal(0, 0.1, out.shape)
@@ -99,7 +105,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     steps, done = EPOCHS * max(1, len(used)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(used):
-            ids, counts = features[i]
+            ids, counts, _ = rows[i]
             share = (counts / counts.sum())[:, None]
             hidden = (embed[ids] * share).sum(0)
             z = hidden @ out + bias
@@ -113,7 +119,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             embed[ids] -= rate * share * back * min(len(ids), 100)
             done += 1
     model = Model(languages, (embed @ out).astype(np.float32), bias, 1.0, 0.0)
-    z = np.array([model.logits(rows[i][0]) for i in left]) if len(left) else np.zeros((0, k))
+    z = np.array([model.averaged(*rows[i][:2]) for i in left]) if len(left) else np.zeros((0, k))
     if len(left):
         loss = lambda t: -np.mean((z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True))[np.arange(len(left)), label[left]])
         model.temperature = float(min(np.geomspace(0.02, 500, 160), key=loss))
@@ -124,14 +130,22 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the ``sample`` labelled rows of lowest id hash."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # First the ids alone, then the texts of those: only the sample's texts travel.
-    chosen = labelled.select(F.xxhash64(F.col(id_col), F.lit(11)).alias("key")).orderBy("key").limit(sample).agg(F.max("key")).collect()[0][0]
+    """Fit on the ``sample`` labelled rows of lowest hash."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # First the keys alone, then the texts of those: only the sample's texts travel.
+    chosen = labelled.select("key").orderBy("key").limit(sample).agg(F.max("key")).collect()[0][0]
     if chosen is None:
         return fit([])
-    rows = labelled.where(F.xxhash64(F.col(id_col), F.lit(11)) <= chosen).select(F.substring(text_col, 1, TRAIN_BYTES).alias("text"), F.col(lang_col).alias("lang")).limit(2 * sample)
-    return fit(sorted((r["text"], r["lang"]) for r in rows.collect()))
+
+    def count(batches):
+        for b in batches:
+            found = [features(t) for t in b["text"].to_pylist()]
+            yield {"key": b["key"], "ids": [x for x, _ in found], "counts": [x for _, x in found], "lang": b["lang"]}
+
+    rows = labelled.where(F.col("key") <= chosen).dropDuplicates(["key", "lang"])
+    found = map_columns(rows, count, "key long, ids array<int>, counts array<int>, lang string").orderBy("key", "lang").limit(sample).collect()
+    return fit([(np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["lang"]) for r in found])
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"

@@ -1,28 +1,30 @@
 """Mixing sources to target weights by exact word budgets.
 
-Each document gets a hash-random key, the MD5 of its id. Sources are cut in key
+Each document gets a hash-random key, the MD5 of its id and its text's MD5. Sources are cut in key
 order: distributed prefix sums of sizes (sums of key ranges first, then a window
 within each range) say where a document lies in its source, and the budget says
 how much of it is taken: whole epochs first, then the documents below the rest,
 the one across the cut in part.
 
 Defined results: a null text has size 0 and takes 0; null is a source of its
-own, the last; documents with equal or null ids lie next to each other and each
-counts; an empty table gives an empty result; other columns are ignored by
+own, the last; rows with equal or null ids each count, and equal rows lie next to
+each other; an empty table gives an empty result; other columns are ignored by
 ``plan_mixture`` and kept by ``apply_mixture``, where a row is known by its id,
 source and text and its rank among rows that are equal in these.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the key that name a key range; a source's largest range is about its 4096th part.
-RANGE_DIGITS = 3
+#: Rows of a key range, about, and the hex digits of the key that name one at least.
+RANGE_ROWS, RANGE_DIGITS = 100_000, 3
 
 
 def words(text: str) -> Column:
@@ -55,11 +57,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
 
 def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, text_hash`` for every row."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).cast("binary"))
     sized = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("text_hash")).withColumn("key_range", F.substring("key", 1, RANGE_DIGITS)),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("text_hash")),
         "sizes",
     )
+    digits = max(RANGE_DIGITS, math.ceil(math.log(max(1, sized.count() / RANGE_ROWS), 16)))
+    sized = sized.withColumn("key_range", F.substring("key", 1, digits))
     ranges = sized.groupBy("source", "key_range").agg(F.sum("size").alias("range_size"))
     below = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(below), F.lit(0)))

@@ -36,7 +36,7 @@ def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 with sized as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as key,
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key,
          cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
   from documents),
 sources as (select source, cast(sum(size) as bigint) as source_size from sized group by source),

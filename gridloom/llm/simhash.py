@@ -14,7 +14,8 @@ that the similarity's angle gives, and random choices of axes find candidates;
 the shingle sets of what hangs together by them are compared, and only an exact
 Jaccard index of the similarity or more links. Measured on random sets of 10 to
 1000 shingles, the candidates have README's share of the pairs at just the
-similarity. One task holds the sets of what hangs together by candidates.
+similarity. What hangs together by candidates is compared in blocks of about
+``GROUP`` sets, two blocks a task, so a large group neither fills a task nor loses a link.
 
 Equal fingerprints are one point, so copies cost nothing. A cell yields a
 spanning star of each of its linked sets and no list of pairs; the components
@@ -48,6 +49,8 @@ LANES, FOUND = 4, 0.999
 _PAIRS = 0x5555555555555555
 #: Points of a cell up to which pairs are compared at every distance at once, and links held before they are joined.
 SMALL_CELL, LINKS = 256, 500_000
+#: Sets of a block in which those of a large group are compared.
+GROUP = 500
 
 
 def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
@@ -271,30 +274,36 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col:
     prints, rooted = _candidates(fingerprints(docs, size, LANES, False, id_col, text_col), lambda n: similarity_grid(n, similarity))
     order = _order()
     sets = stage(prints.join(rooted.select("point", "root"), "point").groupBy("root", "shingles").agg(F.min(order).alias("least")), "sets")
-    several = sets.groupBy("root").count().where("count > 1").select("root")
-    asked = sets.join(several, "root").select("root", "shingles", F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
+    several = sets.groupBy("root").count().where("count > 1").select("root", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks"))
+    asked = sets.join(several, "root").select("root", "shingles", "blocks", F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("root", "shingles", "text")
+    rows = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    # Each block of a group meets each other block (and itself) in one task.
+    own = F.pmod(F.xxhash64("shingles"), F.col("blocks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least(c, own).alias("low"), F.greatest(c, own).alias("high")))
+    rows = rows.select("root", "shingles", "text", F.explode(met).alias("met")).select("root", "met.low", "met.high", "shingles", "text")
 
     def verify(batches):
         at, held = None, {}
         for b in batches:
-            for root, name, text in zip(b["root"].to_pylist(), b["shingles"].to_pylist(), texts(b["text"]), strict=True):
-                if root != at:
+            for *key, name, text in zip(*(b[n].to_pylist() for n in ("root", "low", "high", "shingles")), texts(b["text"]), strict=True):
+                if key != at:
                     if held:
-                        yield heads(held)
-                    at, held = root, {}
+                        yield links(held)
+                    at, held = key, {}
                 if name not in held:
                     held[name] = np.unique(shingle_hashes(text, size))
         if held:
-            yield heads(held)
+            yield links(held)
 
-    def heads(held):
+    def links(held):
         names = np.array(list(held), np.int64)
-        return {"shingles": names, "head": names[similar_sets(list(held.values()), similarity)]}
+        heads = names[similar_sets(list(held.values()), similarity)]
+        return {"a": names[heads != names], "b": heads[heads != names]}
 
-    verified = stage(map_columns(rows.repartition("root").sortWithinPartitions("root"), verify, "shingles long, head long"), "heads")
-    linked = sets.join(verified, "shingles", "left").select("shingles", "least", F.coalesce("head", "shingles").alias("head"))
+    edges = map_columns(rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high"), verify, "a long, b long")
+    heads = components(edges).select(F.col("node").alias("shingles"), F.col("root").alias("head"))
+    linked = sets.join(heads, "shingles", "left").select("shingles", "least", F.coalesce("head", "shingles").alias("head"))
     firsts = linked.groupBy("head").agg(F.min("least").alias("__first"))
     classes = linked.join(firsts, "head").select("shingles", "__first")
     return prints.join(classes, "shingles").select("doc_id", "text_hash", F.col("__first.doc_id").alias("component_id"), (order == F.col("__first")).alias("first"))

@@ -13,6 +13,7 @@ kept; other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +43,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
 
 
 def append(spark, bodies: DataFrame, tokenizer_path: str, version: str, cache_path: str) -> None:
-    distinct = bodies.dropDuplicates(["digest"])
+    """Encode what the cache lacks. Digests alone are compared with it; only the texts of misses travel."""
     if has_cache(spark, cache_path):
         stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
-        distinct = distinct.join(stored, "digest", "left_anti")
+        missing = stage(bodies.select("digest").distinct().join(stored, "digest", "left_anti"), "missing")
+        if missing.isEmpty():
+            return
+        bodies = bodies.join(missing, "digest", "left_semi")
+    distinct = bodies.dropDuplicates(["digest"])
 
     def encode(batches):
         for b in batches:
@@ -60,8 +65,13 @@ def read_cache(spark, path: str) -> DataFrame:
 
 
 def has_cache(spark, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    try:
+        spark.read.schema(CACHE).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def new_cache(spark) -> str:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from gridloom.llm import simhash
@@ -132,8 +133,10 @@ def test_one_of_each(spark, odd, empty):
     assert simhash.one_of_each(empty, simhash.near_copies(empty)).count() == 0
 
 
-def test_near_copies_against_brute_force(spark, odd):
-    """Links are exact Jaccard indices: pairs of 0.6 to 0.78 stay apart, and so do their ends in a chain."""
+@pytest.mark.parametrize("group", [500, 3])
+def test_near_copies_against_brute_force(spark, odd, monkeypatch, group):
+    """Links are exact Jaccard indices: pairs of 0.6 to 0.78 stay apart, and so do their ends in a chain; blocks of a large group lose none."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng, rows, n = random.Random(11), [], 100
     for i in range(150):
         words = prose(rng, 200, 10_000).split()
@@ -143,6 +146,10 @@ def test_near_copies_against_brute_force(spark, odd):
                 copy[10 + 20 * k] = f"x{n}"
             rows.append(document(n, " ".join(copy)))
             n += 1
+    words = prose(rng, 200, 10_000).split()
+    for i in range(40):  # one large group: neighbours are near, ends are not
+        words[5 * i : 5 * i + 5] = [f"y{i}"] * 5
+        rows.append(document(n + i, " ".join(words)))
     docs = spark.createDataFrame(rows, DOCS).union(odd)
     sets = [(r.doc_id, frozenset(simhash.shingle_hashes(r.text or "", 5).tolist())) for r in docs.collect()]
     root = list(range(len(sets)))
