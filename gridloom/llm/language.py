@@ -9,8 +9,8 @@ the training calibrates the scores, and the threshold of the rejection is taken
 from the same rows.
 
 The training sample is bounded: the ``sample`` labelled rows of lowest hash, equal
-rows once, whole texts. Tasks count their n-grams, so that the driver gets
-``BUCKETS`` counts a row at most. Predictions read whole texts.
+rows once, whole texts. Tasks count their n-grams (``BUCKETS`` counts a row at
+most), one task fits them, and the driver gets the model. Predictions read whole texts.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with
 score 0 and rejected; labels that are null are not learned; without any labelled
@@ -20,6 +20,7 @@ rows are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -141,11 +142,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     def count(batches):
         for b in batches:
             found = [features(t) for t in b["text"].to_pylist()]
-            yield {"key": b["key"], "ids": [x for x, _ in found], "counts": [x for _, x in found], "lang": b["lang"]}
+            yield {"key": b["key"], "ids": [x.astype(np.uint16).tobytes() for x, _ in found], "counts": [x.astype(np.uint32).tobytes() for _, x in found], "lang": b["lang"]}
+
+    def learn(batches):
+        rows = [(np.frombuffer(i, np.uint16), np.frombuffer(c, np.uint32), g) for b in batches for i, c, g in zip(*(b[n].to_pylist() for n in ("ids", "counts", "lang")), strict=True)]
+        yield {"model": [pickle.dumps(fit(rows[:sample]))]}
 
     rows = labelled.where(F.col("key") <= chosen).dropDuplicates(["key", "lang"])
-    found = map_columns(rows, count, "key long, ids array<int>, counts array<int>, lang string").orderBy("key", "lang").limit(sample).collect()
-    return fit([(np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["lang"]) for r in found])
+    counted = map_columns(rows, count, "key long, ids binary, counts binary, lang string")
+    fitted = map_columns(counted.repartition(1).sortWithinPartitions("key", "lang").select("ids", "counts", "lang"), learn, "model binary")  # ``sample`` rows
+    return pickle.loads(fitted.collect()[0][0])
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"
