@@ -26,8 +26,8 @@ def number_rule(x: Column, operator: str, *args: float) -> Column:
     return F.coalesce(_COMPARE[operator](x, a, b), F.lit(False))
 
 
-def text_rule(x: Column, operator: str, arg: str) -> Column:
-    s, a = F.lower(F.coalesce(x, F.lit(""))), F.lit(arg.lower())
+def text_rule(x: Column, operator: str, arg: str, second: str = "") -> Column:
+    s, a, b = F.lower(F.coalesce(x, F.lit(""))), F.lit(arg.lower()), F.lit(second.lower())
     return {
         "equal": s == a,
         "notEqual": s != a,
@@ -35,16 +35,15 @@ def text_rule(x: Column, operator: str, arg: str) -> Column:
         "notContains": ~F.contains(s, a),
         "beginsWith": F.startswith(s, a),
         "endsWith": F.endswith(s, a),
+        "between": (s >= a) & (s <= b),
+        "notBetween": (s < a) | (s > b),
     }[operator]
 
 
 def matches(x: Column, criteria: str, numeric: bool) -> Column:
     """``>5``, ``<>x`` or a plain value; case-sensitive, no wildcards. Numbers compare only with numbers."""
     operator, value = re.fullmatch(r"(<=|>=|<>|<|>|=)?(.*)", criteria, re.S).groups()
-    try:
-        number = float(value)
-    except ValueError:
-        number = None
+    number = float(value) if re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", value.strip()) else None
     text = F.coalesce(x.cast("string"), F.lit(""))
     a, b = (x, F.lit(number)) if numeric and number is not None else (text, F.lit(value))
     found = {"<=": a <= b, ">=": a >= b, "<>": a != b, "<": a < b, ">": a > b}.get(operator, a == b)

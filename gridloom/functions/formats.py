@@ -72,22 +72,22 @@ def _digits(x: Column, spec: str) -> Column:
     least = max(1, whole.count("0")) if "0" in whole else 1
     if exponent:
         power = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")
+        power = power + F.when(F.round(x / F.pow(F.lit(10.0), power), len(fraction)) >= 10, 1).otherwise(0)
         sign = F.when(power < 0, "-").otherwise("+" if exponent[0] == "+" else "")
         return F.concat(_fixed(x / F.pow(F.lit(10.0), power), len(fraction), least, False), F.lit("E"), sign, F.lpad(F.abs(power).cast("string"), len(exponent) - 1, "0"))
     return _fixed(x, len(fraction), least, "," in whole)
 
 
 def _fixed(x: Column, decimals: int, least: int, thousands: bool) -> Column:
-    """Halves up on the decimal value."""
-    rounded = F.round(x.cast("decimal(38,12)"), decimals)
-    whole = F.floor(rounded).cast("decimal(26,0)")
-    shown = F.lpad(whole.cast("string"), least, "0") if least > 1 else whole.cast("string")
+    """Halves up on the decimal value; numbers too large for one have no fraction to round."""
+    exact = F.round(x.try_cast("decimal(38,12)"), decimals).cast("string")
+    shown = F.coalesce(exact, F.when(x.isNotNull(), F.format_string(f"%.{decimals}f", x.cast("double"))))
+    whole = F.substring_index(shown, ".", 1)
+    if least > 1:
+        whole = F.when(F.length(whole) < least, F.lpad(whole, least, "0")).otherwise(whole)
     if thousands:
-        shown = F.regexp_replace(shown, r"(?<=\d)(?=(?:\d{3})+$)", ",")
-    if not decimals:
-        return shown
-    fraction = ((rounded - whole) * F.lit(10**decimals).cast("decimal(20,0)")).cast("long").cast("string")
-    return F.concat(shown, F.lit("."), F.lpad(fraction, decimals, "0"))
+        whole = F.regexp_replace(whole, r"(?<=\d)(?=(?:\d{3})+$)", ",")
+    return F.concat(whole, F.lit("."), F.substring_index(shown, ".", -1)) if decimals else whole
 
 
 def format_date(n: Column, code: str) -> Column:

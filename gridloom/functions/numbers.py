@@ -55,7 +55,20 @@ def natural_log(x: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Whole numbers below 1e15 without a point, others in their shortest plain form."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    plain = F.rtrim(F.format_string("%.10f", x), F.lit("0"))
-    return F.when(whole, F.floor(x).cast("string")).when(x.isNotNull(), F.rtrim(plain, F.lit(".")))
+    """The shortest digits that give the number back, plain from 1e-7 to 1e21 and with an exponent beyond."""
+    shown = F.abs(x.cast("double")).cast("string")  # such as 12.5, 1.25E-9
+    mantissa, exponent = F.substring_index(shown, "E", 1), F.coalesce(F.regexp_extract(shown, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    whole = F.substring_index(mantissa, ".", 1)
+    raw = F.concat(whole, F.substring_index(mantissa, ".", -1))
+    digits = F.regexp_replace(raw, r"^0+|0+$", "")
+    n, k = F.length(whole) + exponent - F.length(F.regexp_extract(raw, r"^0*", 0)), F.length(digits)  # 0.digits times 10 to the n
+    rest = F.when(k > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+    plain = (
+        F.when(k == 0, "0")
+        .when((k <= n) & (n <= 21), F.rpad(digits, n, "0"))
+        .when((n > 0) & (n <= 21), F.concat(F.substr(digits, F.lit(1), n), F.lit("."), F.substr(digits, n + 1)))
+        .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), rest, F.lit("e"), F.when(n > 0, "+").otherwise("-"), F.abs(n - 1).cast("string")))
+    )
+    odd = F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), "Infinity")
+    return F.when(x.isNotNull(), F.concat(F.when((x < 0) & (k > 0), "-").otherwise(""), F.coalesce(odd, plain)))

@@ -20,14 +20,20 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("ord", "line"))
 
 
-def list_counters(items: DataFrame, document: list[str], order: str, level: str, start: int = 1, deepest: int = 9) -> DataFrame:
-    """``counter`` of each list item: levels count on their own and restart after a shallower item."""
+def list_counters(items: DataFrame, document: list[str], order: str, level: str, start: int | Column = 1, deepest: int | None = None) -> DataFrame:
+    """``counter`` of each list item: levels count on their own, from ``start`` (a column for starts of levels), and restart after a shallower item.
+
+    Levels are 0 to ``deepest`` - 1; the items' own deepest is looked up if it isn't given.
+    """
+    if deepest is None:
+        deepest = (items.agg(F.max(level)).collect()[0][0] or 0) + 1
+    start = start if isinstance(start, Column) else F.lit(start)
     w = Window.partitionBy(*document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     # How many shallower items an item has had: the group in which its level counts.
     groups = F.coalesce(*[F.when(F.col(level) == i, F.count_if(F.col(level) < i).over(w)) for i in range(deepest)], F.lit(0))
     grouped = items.withColumn("__group", groups)
     inner = Window.partitionBy(*document, level, "__group").orderBy(order)
-    return grouped.withColumn("counter", F.lit(start) + F.row_number().over(inner) - 1).drop("__group")
+    return grouped.withColumn("counter", start + F.row_number().over(inner) - 1).drop("__group")
 
 
 def auto_numbers(items: DataFrame, document: list[str], order: str, level: str, numbered: Column) -> DataFrame:
@@ -38,10 +44,18 @@ def auto_numbers(items: DataFrame, document: list[str], order: str, level: str,
     return marked.withColumn("number", F.when(F.col("__numbered"), F.row_number().over(inner))).drop("__island", "__numbered")
 
 
-def margin_gaps(items: DataFrame, document: list[str], order: str, before: Column, after: Column) -> DataFrame:
-    """``gap`` above a paragraph: the larger of the last one's space after and its own space before."""
+def margin_gaps(items: DataFrame, document: list[str], order: str, before: Column, after: Column, style: Column | None = None, contextual: Column | None = None) -> DataFrame:
+    """``gap`` above a paragraph: the larger of the last one's space after and its own space before.
+
+    Between paragraphs of one ``style``, those that are ``contextual`` give no space.
+    """
     w = Window.partitionBy(*document).orderBy(order)
-    return items.withColumn("gap", F.greatest(F.coalesce(F.lag(after).over(w), F.lit(0)), before))
+    above, below = F.coalesce(F.lag(after).over(w), F.lit(0)), before
+    if contextual is not None:
+        alike = style.eqNullSafe(F.lag(style).over(w)) & (F.row_number().over(w) > 1)
+        above = F.when(alike & F.coalesce(F.lag(contextual).over(w), F.lit(False)), 0).otherwise(above)
+        below = F.when(alike & contextual, 0).otherwise(below)
+    return items.withColumn("gap", F.greatest(above, below))
 
 
 def pages(items: DataFrame, document: list[str], order: str, breaks: Column) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.a1 import a1, column_letters
+from .joins import as_of
+
+#: Rows and columns of a tile in range joins.
+TILE = 256
 
 
 def as_cells(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -24,14 +28,14 @@ def as_cells(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     return df.select(*key, F.inline(cells))
 
 
-def numbered(df: DataFrame, order: list[str], sheet: list[str] | None = None) -> DataFrame:
-    """``row``: 1-based position in the sheet."""
-    return df.withColumn("row", F.row_number().over(Window.partitionBy(*(sheet or [F.lit(0)])).orderBy(*order)))
+def numbered(df: DataFrame, order: list[str], sheet: list[str]) -> DataFrame:
+    """``row``: 1-based position in the sheet. A sheet has 1,048,576 rows at most by its format, which bounds a window."""
+    return df.withColumn("row", F.row_number().over(Window.partitionBy(*sheet).orderBy(*order)))
 
 
 def first_rows(df: DataFrame, order: list[str], last: int) -> DataFrame:
     """Rows 1 to ``last`` of a table as a sheet, numbered: partitions hand on no more than that many rows each."""
-    return numbered(df.orderBy(*order).limit(last), order)
+    return df.orderBy(*order).limit(last).withColumn("row", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def cell_range(cells: DataFrame, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
@@ -60,11 +64,25 @@ def tsv(cells: DataFrame, top: int, left: int, bottom: int, right: int, sheet: l
     return sheets.select(*sheet, F.array_join(F.transform(F.sequence(F.lit(top), F.lit(bottom)), lambda r: F.coalesce(F.element_at("lines", r), F.lit(empty))), "\n").alias("tsv"))
 
 
-def merge_cover(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """``cover``: anchor, covered or plain, by joining cells to merged rectangles of their sheet."""
-    area = merges.select(F.explode(F.sequence("top", "bottom")).alias("row"), "top", "left", "right").select("row", F.explode(F.sequence("left", "right")).alias("col"), ((F.col("row") == F.col("top")) & (F.col("col") == F.col("left"))).alias("anchor"))
-    joined = cells.join(area, ["row", "col"], "left")
-    return joined.withColumn("cover", F.when(F.col("anchor"), "anchor").when(~F.col("anchor"), "covered").otherwise("plain")).drop("anchor")
+def _tiles(first: str, last: str) -> Column:
+    return F.sequence(F.floor(F.col(first) / TILE), F.floor(F.col(last) / TILE))
+
+
+def in_rectangles(cells: DataFrame, rectangles: DataFrame, sheet: list[str], how: str = "inner") -> DataFrame:
+    """Cells with the rectangles ``(top, left, bottom, right)`` of their sheet that hold them: an equi-join on tiles of ``TILE`` rows and columns, then the exact bounds."""
+    tiled = rectangles.withColumn("__tr", F.explode(_tiles("top", "bottom"))).withColumn("__tc", F.explode(_tiles("left", "right")))
+    placed = cells.withColumn("__tr", F.floor(F.col("row") / TILE)).withColumn("__tc", F.floor(F.col("col") / TILE)).alias("cell")
+    same = [F.col(f"cell.{n}") == F.col(f"box.{n}") for n in (*sheet, "__tr", "__tc")]
+    inside = F.col("cell.row").between(F.col("box.top"), F.col("box.bottom")) & F.col("cell.col").between(F.col("box.left"), F.col("box.right"))
+    found = placed.join(tiled.alias("box"), [*same, inside], how)
+    return found.select(*[F.col(f"cell.`{n}`") for n in cells.columns], *[F.col(f"box.`{n}`") for n in rectangles.columns if n not in sheet])
+
+
+def merge_cover(cells: DataFrame, merges: DataFrame, sheet: list[str]) -> DataFrame:
+    """``cover``: anchor, covered or plain, by the merged rectangles of the cells' sheet."""
+    found = in_rectangles(cells, merges.select(*sheet, "top", "left", "bottom", "right"), sheet, "left")
+    anchor = (F.col("row") == F.col("top")) & (F.col("col") == F.col("left"))
+    return found.withColumn("cover", F.when(anchor, "anchor").when(~anchor, "covered").otherwise("plain")).drop("top", "left", "bottom", "right")
 
 
 def offsets(sizes: DataFrame, order: list[str], size: Column, sheet: list[str]) -> DataFrame:
@@ -73,9 +91,11 @@ def offsets(sizes: DataFrame, order: list[str], size: Column, sheet: list[str])
     return sizes.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
 
 
-def hit_test(placed: DataFrame, size: Column, points: DataFrame) -> DataFrame:
-    """The item that each point ``(x)`` falls into."""
-    return points.join(F.broadcast(placed) if placed.storageLevel.useMemory else placed, (F.col("x") >= F.col("offset")) & (F.col("x") < F.col("offset") + size))
+def hit_test(placed: DataFrame, size: str, points: DataFrame, sheet: list[str]) -> DataFrame:
+    """The item of its sheet that each point ``(x)`` falls into: the last one that starts at or before it, if it reaches so far."""
+    items = placed.where(F.col(size) > 0)
+    found = as_of(points, items, sheet, "x", "offset", [c for c in placed.columns if c not in sheet])
+    return found.where(F.col("x") < F.col("offset") + F.col(size))
 
 
 def islands(rows: DataFrame, sheet: list[str], order: list[str], value: Column) -> DataFrame:

@@ -7,16 +7,16 @@ driver sees counts and single values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that may be sorted to take one of them.
 BRACKET = 100_000
 
 
-def kth_smallest(df: DataFrame, value: Column, k: int) -> float | None:
-    """The value with ``k`` values before it in ascending order; nulls don't count."""
-    values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
+def kth_smallest(df: DataFrame, value: Column, k: int):
+    """The value with ``k`` values before it in ascending order, in its own type; nulls don't count."""
+    values = df.select(value.alias("v")).where(F.col("v").isNotNull())
     total, low, high, below = values.count(), None, None, 0
     if not 0 <= k < total:
         return None
@@ -33,7 +33,9 @@ def kth_smallest(df: DataFrame, value: Column, k: int) -> float | None:
         if low == high:
             return low
     part = values if low is None else values.where(F.col("v").between(low, high))
-    return part.orderBy("v").limit(k - below + 1).agg(F.max("v")).collect()[0][0]
+    # What can't be narrowed has few distinct values: they are counted before they are put in order.
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v"))
+    return part.groupBy("v").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") > k - below).agg(F.min("v")).collect()[0][0]
 
 
 def nearest_percentile(df: DataFrame, value: Column, percent: float) -> float | None:

@@ -34,14 +34,18 @@ def in_group(x: Column, child_offset: Column, child_size: Column, offset: Column
     return offset + F.coalesce(F.try_divide((x - child_offset) * size, child_size), F.lit(0.0))
 
 
-def absolute_positions(shapes: DataFrame, groups: DataFrame, deepest: int = 8) -> DataFrame:
-    """Shapes' ``x`` and ``w`` moved up the tree of groups, one join a level of nesting; levels beyond are left as they are.
+def absolute_positions(shapes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Shapes' ``x`` and ``w`` moved up the tree of groups, one join a level of nesting, until no shape is in a group.
 
-    ``groups``: ``group, parent, off, ext, ch_off, ch_ext``.
+    ``groups``: ``group, parent, off, ext, ch_off, ch_ext``. Groups that hold each
+    other are no tree and an error.
     """
-    for level in range(deepest):
-        if level and not shapes.where(F.col("group").isNotNull()).limit(1).count():
+    deepest = groups.count()
+    for level in range(deepest + 1):
+        if shapes.where(F.col("group").isNotNull()).isEmpty():
             break
+        if level == deepest and not groups.join(shapes, "group", "left_semi").isEmpty():
+            raise ValueError("groups hold each other")
         up = shapes.join(groups, "group", "left")
         inside = F.col("off").isNotNull()
         shapes = up.select(

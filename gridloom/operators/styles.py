@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Styles that a chain may have; cyclic ones end here.
-DEEPEST = 12
-
 
 def lookup(rows: DataFrame, dimension: DataFrame, on: str, key: str, values: dict[str, Column]) -> DataFrame:
     """Left join of a dimension with a default for each looked-up value; Spark picks the join by size."""
@@ -16,16 +13,19 @@ def lookup(rows: DataFrame, dimension: DataFrame, on: str, key: str, values: dic
 
 
 def resolve_chain(spark: SparkSession, styles: DataFrame, style: str, parent: str, properties: list[str]) -> DataFrame:
-    """Each style's own or nearest inherited properties, by a recursive query with a depth guard."""
+    """Each style's own or nearest inherited properties, by a recursive query; a chain ends where a style comes again.
+
+    Chains beyond ``spark.sql.cteRecursionLevelLimit`` are an error, never cut.
+    """
     styles.select(F.col(style).alias("style"), F.col(parent).alias("parent"), *properties).createOrReplaceTempView("gridloom_styles")
     cols = ", ".join(f"s.{p}" for p in properties)
     nearest = ", ".join(f"min_by({p}, depth) filter (where {p} is not null) as {p}" for p in properties)
     return spark.sql(f"""
         with recursive chain as (
-          select style as leaf, style, parent, 0 as depth, {", ".join(properties)} from gridloom_styles
+          select style as leaf, style, parent, 0 as depth, array(style) as seen, {", ".join(properties)} from gridloom_styles
           union all
-          select c.leaf, s.style, s.parent, c.depth + 1, {cols}
-          from chain c join gridloom_styles s on c.parent = s.style where c.depth < {DEEPEST})
+          select c.leaf, s.style, s.parent, c.depth + 1, array_append(c.seen, s.style), {cols}
+          from chain c join gridloom_styles s on c.parent = s.style where not array_contains(c.seen, s.style))
         select leaf as {style}, cast(max(depth) as int) as depth, {nearest} from chain group by leaf""")
 
 
@@ -34,10 +34,10 @@ def first_set(*layers: tuple[str, Column]) -> tuple[Column, Column]:
     return F.coalesce(*[c for _, c in layers]), F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in layers])
 
 
-def inherit_edges(cells: DataFrame, own: str, neighbour: str, row_step: int, col_step: int) -> Column:
-    """Cells with an unset edge take the facing edge of the neighbour at an offset; the grid is sparse, so it is a join."""
-    other = cells.select((F.col("row") + row_step).alias("row"), (F.col("col") + col_step).alias("col"), F.col(neighbour).alias("__edge"))
-    return cells.join(other, ["row", "col"], "left").withColumn(own, F.coalesce(own, "__edge")).drop("__edge")
+def inherit_edges(cells: DataFrame, own: str, neighbour: str, row_step: int, col_step: int, sheet: list[str]) -> DataFrame:
+    """Cells with an unset edge take the facing edge of their sheet's neighbour at an offset; the grid is sparse, so it is a join."""
+    other = cells.select(*sheet, (F.col("row") + row_step).alias("row"), (F.col("col") + col_step).alias("col"), F.col(neighbour).alias("__edge"))
+    return cells.join(other, [*sheet, "row", "col"], "left").withColumn(own, F.coalesce(own, "__edge")).drop("__edge")
 
 
 def table_band(row: Column, first: int, last: int, header: int, totals: int) -> Column:

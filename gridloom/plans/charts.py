@@ -91,13 +91,13 @@ def chart_axis_nice(spark, sf_dir):
 
 
 @_r.query("""
-with p as (select event_type, hour(ts)::int as h, count(*) as n from events where user_id % 10 = 1 group by all), e as (select distinct event_type, unnest(range(24))::int as h from p)
-select e.event_type, e.h, p.n from e left join p on p.event_type = e.event_type and p.h = e.h
+with p as (select user_id, event_type, hour(ts)::int as h, count(*) as n from events group by all), e as (select distinct user_id, event_type, unnest(range(24))::int as h from p)
+select e.user_id, e.event_type, e.h, p.n from e left join p on p.user_id = e.user_id and p.event_type = e.event_type and p.h = e.h
 """)
 def chart_points_padded(spark, sf_dir):
-    """Points of one user group by hour; hours without a point are null."""
-    points = table(spark, sf_dir, "events").where("user_id % 10 = 1").groupBy("event_type", F.hour("ts").alias("h")).agg(F.count("*").alias("n"))
-    return charts.padded(points, ["event_type"], "h", "n", 24)
+    """Points of each user and event type by hour; hours without a point are null."""
+    points = table(spark, sf_dir, "events").groupBy("user_id", "event_type", F.hour("ts").alias("h")).agg(F.count("*").alias("n"))
+    return charts.padded(points, ["user_id", "event_type"], "h", "n", 24)
 
 
 @_r.query("""
@@ -141,12 +141,13 @@ def sparkline_axis(spark, sf_dir):
 
 
 @_r.query(f"""
-with p as ({_DAILY}), e as (select distinct user_id, (date '2024-01-01' + unnest(range(10))::int)::date as d from p), j as (select e.user_id, e.d, p.v from e left join p on p.user_id = e.user_id and p.d = e.d)
+with p as ({_DAILY}), e as (select user_id, unnest(generate_series(min(d), max(d), interval 1 day))::date as d from p group by user_id), j as (select e.user_id, e.d, p.v from e left join p on p.user_id = e.user_id and p.d = e.d)
 select user_id, d, v, count(*) filter (where v is null) over (partition by user_id order by d rows between unbounded preceding and current row) as segment, coalesce(v, 0) as zeroed from j
 """)
 def sparkline_gaps(spark, sf_dir):
+    """A line's days from its first to its last."""
     points = _daily(spark, sf_dir)
-    every = points.select("user_id").distinct().withColumn("d", F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-10')")))
+    every = points.groupBy("user_id").agg(F.sequence(F.min("d"), F.max("d")).alias("d")).withColumn("d", F.explode("d"))
     return charts.gap_segments(every.join(points, ["user_id", "d"], "left"), ["user_id"], ["d"], "v").select("user_id", "d", "v", "segment", "zeroed")
 
 

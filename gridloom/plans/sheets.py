@@ -21,7 +21,7 @@ select "row", col, v_text, v_num, chr(64 + col::int) || "row" as ref from c wher
 """)
 def grid_range(spark, sf_dir):
     """Range C9:B3 of a sheet made from a table; corners in any order."""
-    cells = grid.as_cells(grid.numbered(table(spark, sf_dir, "nation"), ["n_nationkey"]), ["row"], ["n_nationkey", "n_name", "n_regionkey"])
+    cells = grid.as_cells(grid.first_rows(table(spark, sf_dir, "nation"), ["n_nationkey"], 9), ["row"], ["n_nationkey", "n_name", "n_regionkey"])
     return grid.cell_range(cells, (9, 3), (3, 2)).select("row", "col", "v_text", "v_num", "ref")
 
 
@@ -55,22 +55,23 @@ def grid_search(spark, sf_dir):
 @_r.query("""select 'region' as sheet, string_agg(r_regionkey || chr(9) || r_name || chr(9), chr(10) order by r_regionkey) as tsv from region""")
 def grid_tsv(spark, sf_dir):
     """A1:C5 as copied text; the third column is empty."""
-    t = grid.numbered(table(spark, sf_dir, "region"), ["r_regionkey"])
+    t = grid.first_rows(table(spark, sf_dir, "region"), ["r_regionkey"], 5)
     cells = t.select(F.lit("region").alias("sheet"), "row", F.posexplode(F.array(F.col("r_regionkey").cast("string"), "r_name")).alias("c", "text")).select("sheet", "row", (F.col("c") + 1).alias("col"), "text")
     return grid.tsv(cells, 1, 1, 5, 3, ["sheet"])
 
 
 @_r.query("""
-with g as (select row_number() over (order by n_nationkey) as "row", n_name from nation),
-c as (select "row", unnest([1, 2, 3]) as col, n_name from g),
-m as (select * from (values (2, 1, 3, 3), (7, 2, 7, 3), (10, 1, 14, 1)) v("top", "left", bottom, "right"))
-select c."row"::int as "row", c.col, n_name, case when m."top" is null then 'plain' when c."row" = m."top" and c.col = m."left" then 'anchor' else 'covered' end as cover
-from c left join m on c."row" between m."top" and m.bottom and c.col between m."left" and m."right"
+with c as (select o_custkey % 7 as sheet, row_number() over (partition by o_custkey % 7 order by o_orderkey) as "row", unnest([1, 2, 3]) as col, o_orderkey from orders),
+m as (select * from (values (0, 2, 1, 3, 3), (1, 7, 2, 7, 3), (1, 10, 1, 14, 1), (3, 1, 2, 1048576, 2), (5, 200, 1, 700, 3)) v(sheet, "top", "left", bottom, "right"))
+select c.sheet::int as sheet, c."row"::int as "row", c.col, o_orderkey, case when m."top" is null then 'plain' when c."row" = m."top" and c.col = m."left" then 'anchor' else 'covered' end as cover
+from c left join m on m.sheet = c.sheet and c."row" between m."top" and m.bottom and c.col between m."left" and m."right"
 """)
 def grid_merge_cover(spark, sf_dir):
-    cells = grid.numbered(table(spark, sf_dir, "nation"), ["n_nationkey"]).select("row", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("col"), "n_name")
-    merges = spark.createDataFrame([(2, 1, 3, 3), (7, 2, 7, 3), (10, 1, 14, 1)], "top int, left int, bottom int, right int")
-    return grid.merge_cover(cells, merges).select("row", "col", "n_name", "cover")
+    """Cells of seven sheets under merged rectangles of some of them, a whole column among these."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).cast("int").alias("sheet"), "o_orderkey")
+    cells = grid.numbered(orders, ["o_orderkey"], ["sheet"]).select("sheet", "row", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("col"), "o_orderkey")
+    merges = spark.createDataFrame([(0, 2, 1, 3, 3), (1, 7, 2, 7, 3), (1, 10, 1, 14, 1), (3, 1, 2, 1048576, 2), (5, 200, 1, 700, 3)], "sheet int, top int, left int, bottom int, right int")
+    return grid.merge_cover(cells, merges, ["sheet"]).select("sheet", "row", "col", "o_orderkey", "cover")
 
 
 @_r.query("""
@@ -90,8 +91,8 @@ select p_brand, p_partkey, x from o, (values (0), (40), (333), (777)) v(x) where
 def grid_hit_test(spark, sf_dir):
     """The column of each brand's sheet under four positions."""
     placed = grid.offsets(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size"), ["p_partkey"], F.col("p_size"), ["p_brand"])
-    points = spark.createDataFrame([(0,), (40,), (333,), (777,)], "x int")
-    return grid.hit_test(placed, F.col("p_size"), F.broadcast(points)).select("p_brand", "p_partkey", "x")
+    points = placed.select("p_brand").distinct().withColumn("x", F.explode(F.array(*map(F.lit, (0, 40, 333, 777))).cast("array<long>")))
+    return grid.hit_test(placed, "p_size", points, ["p_brand"]).select("p_brand", "p_partkey", F.col("x").cast("int").alias("x"))
 
 
 @_r.query("""
@@ -243,26 +244,32 @@ def cell_effective_style(spark, sf_dir):
 
 
 @_r.query("""
-with c as (select n_regionkey::int as col, (row_number() over (partition by n_regionkey order by n_nationkey))::int as "row", n_name, case when n_nationkey % 3 = 0 then 'thick' end as top_, case when n_nationkey % 2 = 0 then 'thin' end as bottom_ from nation)
-select c."row", c.col, c.n_name, coalesce(c.top_, a.bottom_) as top_, c.bottom_ from c left join c a on a.col = c.col and a."row" = c."row" - 1
+with c as (select c_mktsegment as sheet, c_nationkey::int as col, (row_number() over (partition by c_mktsegment, c_nationkey order by c_custkey))::int as "row", c_custkey, case when c_custkey % 3 = 0 then 'thick' end as top_, case when c_custkey % 2 = 0 then 'thin' end as bottom_ from customer)
+select c.sheet, c."row", c.col, c.c_custkey, coalesce(c.top_, a.bottom_) as top_, c.bottom_ from c left join c a on a.sheet = c.sheet and a.col = c.col and a."row" = c."row" - 1
 """)
 def border_neighbours(spark, sf_dir):
-    cells = table(spark, sf_dir, "nation").select(
-        F.col("n_regionkey").alias("col"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("row"), "n_name",
-        F.when(F.col("n_nationkey") % 3 == 0, "thick").alias("top_"), F.when(F.col("n_nationkey") % 2 == 0, "thin").alias("bottom_"),
+    """A sheet for each market segment, a column for each nation."""
+    cells = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("sheet"), F.col("c_nationkey").cast("int").alias("col"), F.row_number().over(Window.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey")).alias("row"), "c_custkey",
+        F.when(F.col("c_custkey") % 3 == 0, "thick").alias("top_"), F.when(F.col("c_custkey") % 2 == 0, "thin").alias("bottom_"),
     )
-    return styles.inherit_edges(cells, "top_", "bottom_", 1, 0).select("row", "col", "n_name", "top_", "bottom_")
+    return styles.inherit_edges(cells, "top_", "bottom_", 1, 0, ["sheet"]).select("sheet", "row", "col", "c_custkey", "top_", "bottom_")
 
 
 @_r.query("""
-with recursive s(style, parent, bold, size) as (values ('base', null, false, 10.0), ('head', 'base', true, null), ('head1', 'head', null, 20.0), ('quote', 'base', null, null), ('loop', 'loop', null, 9.0)),
-c as (select style as leaf, style, parent, 0 as depth, bold, size from s union all select c.leaf, s.style, s.parent, depth + 1, s.bold, s.size from c join s on c.parent = s.style where depth < 12)
+with recursive s as (select 'n' || n_nationkey as style, case when n_nationkey = 24 then 'n23' when n_nationkey = 23 then 'n24' when n_nationkey > 0 then 'n' || (n_nationkey - 1) end as parent, case when n_nationkey % 4 = 0 then n_nationkey % 8 = 0 end as bold, case when n_nationkey % 9 = 0 then n_nationkey + 0.5 end as size from nation),
+c as (select style as leaf, style, parent, 0 as depth, [style] as seen, bold, size from s union all select c.leaf, s.style, s.parent, depth + 1, list_append(seen, s.style), s.bold, s.size from c join s on c.parent = s.style where not list_contains(seen, s.style))
 select leaf as style, max(depth)::int as depth, arg_min(bold, depth) filter (where bold is not null) as bold, arg_min(size, depth) filter (where size is not null)::double as size from c group by leaf
 """)
 def style_chain_recursive(spark, sf_dir):
-    """Nearest set property along ``basedOn``; the cyclic style ends at the depth guard."""
-    rows = [("base", None, False, 10.0), ("head", "base", True, None), ("head1", "head", None, 20.0), ("quote", "base", None, None), ("loop", "loop", None, 9.0)]
-    return styles.resolve_chain(spark, spark.createDataFrame(rows, "style string, parent string, bold boolean, size double"), "style", "parent", ["bold", "size"])
+    """Nearest set property along ``basedOn``: a chain of 23 styles, and two that are based on each other."""
+    n = F.col("n_nationkey")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    chain = table(spark, sf_dir, "nation").select(
+        name(n).alias("style"), F.when(n == 24, "n23").when(n == 23, "n24").when(n > 0, name(n - 1)).alias("parent"),
+        F.when(n % 4 == 0, n % 8 == 0).alias("bold"), F.when(n % 9 == 0, n + 0.5).cast("double").alias("size"),
+    )
+    return styles.resolve_chain(spark, chain, "style", "parent", ["bold", "size"])
 
 
 @_r.query("""

@@ -90,8 +90,8 @@ def read_packages(spark: SparkSession, path: str | DataFrame, glob: str, rows: C
             for file, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     found = [(file, None, *r) for r in rows(Package(content, most))]
-                except (PackageError, ElementTree.ParseError, KeyError) as e:
-                    found = [(file, str(e), *[None] * len(names))]
+                except Exception as e:  # whatever a broken file does, it costs its own row alone
+                    found = [(file, str(e) or type(e).__name__, *[None] * len(names))]
                 yield pd.DataFrame(found, columns=["file_path", "error", *names], dtype=object)
 
     return files.mapInPandas(work, f"file_path string, error string, {schema}")

@@ -1,8 +1,7 @@
 """The query tools on office files, over one file or a folder of millions: each returns a table with ``file_path``.
 
 Sheets are named, or given by their 0-based index; searches are case-insensitive
-substrings. A file that can't be read gives no rows here; the readers in
-``sources`` tell its error.
+substrings. A file that can't be read gives no rows here; ``unreadable`` lists them.
 """
 
 from __future__ import annotations
@@ -20,6 +19,13 @@ def _fine(df: DataFrame) -> DataFrame:
     return df.where("error is null").drop("error")
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """``file_path, error`` of the packages that can't be opened."""
+    kinds = (spreadsheets.sheets, wordprocessing.runs, presentations.slides)
+    found = [f(spark, path).where("error is not null").select("file_path", "error") for f in kinds]
+    return found[0].union(found[1]).union(found[2])
+
+
 def shown() -> Column:
     """A cell's value as text."""
     return F.coalesce(number_text(F.col("v_num")), "v_text", F.col("v_bool").cast("string"), "v_err", F.lit(""))

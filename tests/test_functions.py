@@ -150,3 +150,20 @@ def test_guides(spark):
 def test_kinds(spark):
     none, text_, flag = F.lit(None).cast("double"), F.lit("12x"), F.lit(True)
     assert values(spark, kinds.value(none, text_), kinds.n(none, flag), kinds.t(F.lit(None)), kinds.is_error(none, F.lit(None)), kinds.log10(F.lit(-1.0)), kinds.first_true((F.lit(False), F.lit(1)), (F.lit(True), F.lit(2)))) == [12, 1, "", True, None, 2]
+
+
+def test_number_text_and_large_numbers(spark):
+    rows = [(1e-12, "1e-12"), (1.5e-7, "1.5e-7"), (0.000001, "0.000001"), (123456789.125, "123456789.125"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.25e300, "1.25e+300"), (-0.5, "-0.5"), (0.0, "0"), (-7.0, "-7"), (0.1, "0.1"), (1200.0, "1200")]
+    got = spark.createDataFrame([(r[0],) for r in rows], "x double").select("x", numbers.number_text(F.col("x")).alias("t")).collect()
+    assert [r.t for r in got] == [r[1] for r in rows]
+    odd = spark.createDataFrame([(1e30,), (9.9999,), (None,), (0.005,)], "x double").select(formats.format_value(F.col("x"), "0.00").alias("f"), formats.format_value(F.col("x"), "0.00E+00").alias("e")).collect()
+    assert [r.f for r in odd] == ["1" + "0" * 30 + ".00", "10.00", None, "0.01"]
+    assert [r.e for r in odd] == ["1.00E+30", "1.00E+01", None, "5.00E-03"]
+
+
+def test_criteria_take_plain_digits(spark):
+    df = spark.createDataFrame([("1e5", 100000.0), ("nan", 1.0), ("5", 5.0)], "s string, n double")
+    count = lambda c: df.where(c).count()
+    assert count(criteria.matches(F.col("n"), "1e5", True)) == 0 and count(criteria.matches(F.col("s"), "1e5", False)) == 1
+    assert count(criteria.matches(F.col("n"), "nan", True)) == 0 and count(criteria.matches(F.col("n"), "1_0", True)) == 0
+    assert count(criteria.text_rule(F.col("s"), "between", "3", "9")) == 1 and count(criteria.text_rule(F.col("s"), "notBetween", "3", "9")) == 2

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import documents, grid, rules, styles
+from gridloom.operators import documents, grid, order_stats, rules, styles
 
 
 def test_icons(spark):
@@ -42,9 +42,24 @@ def test_list_counters_like_a_sequential_reader(spark):
 
 
 def test_merge_cover_counts(spark):
-    cells = spark.createDataFrame([(r, c) for r in range(1, 6) for c in range(1, 6)], "row int, col int")
-    merges = spark.createDataFrame([(2, 2, 3, 4)], "top int, left int, bottom int, right int")
-    assert {r.cover: r["count"] for r in grid.merge_cover(cells, merges).groupBy("cover").count().collect()} == {"anchor": 1, "covered": 5, "plain": 19}
+    cells = spark.createDataFrame([(s, r, c) for s in (0, 1) for r in range(1, 6) for c in range(1, 6)], "s int, row int, col int")
+    merges = spark.createDataFrame([(0, 2, 2, 3, 4)], "s int, top int, left int, bottom int, right int")
+    found = {(r.s, r.cover): r["count"] for r in grid.merge_cover(cells, merges, ["s"]).groupBy("s", "cover").count().collect()}
+    assert found == {(0, "anchor"): 1, (0, "covered"): 5, (0, "plain"): 19, (1, "plain"): 25}
+
+
+def test_edges_stay_on_their_sheet(spark):
+    cells = spark.createDataFrame([(0, 1, 1, None, "thin"), (0, 2, 1, None, None), (1, 2, 1, None, None)], "s int, row int, col int, top string, bottom string")
+    got = {(r.s, r.row): r.top for r in styles.inherit_edges(cells, "top", "bottom", 1, 0, ["s"]).collect()}
+    assert got == {(0, 1): None, (0, 2): "thin", (1, 2): None}
+
+
+def test_order_statistics_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "BRACKET", 20)
+    big = spark.range(1000).select((F.lit(2**60) + F.col("id")).alias("v"))
+    assert order_stats.kth_smallest(big, F.col("v"), 500) == 2**60 + 500
+    few = spark.range(5000).select((F.col("id") % 3).alias("v"))
+    assert [order_stats.kth_smallest(few, F.col("v"), k) for k in (0, 1666, 1667, 4999, 5000)] == [0, 0, 1, 2, None]
 
 
 def test_margins_and_bands(spark):
