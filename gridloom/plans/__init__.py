@@ -1,6 +1,7 @@
 """The registered queries and the SQL that they are checked against."""
 
-from . import charts, documents, general, looks, rules, sheets
+from . import charts, documents, general, looks, office, rules, sheets
 
-QUERIES = {n: f for m in (sheets, rules, charts, documents, looks, general) for n, f in m.QUERIES.items()}
-ORACLE_SQL = {n: s for m in (sheets, rules, charts, documents, looks, general) for n, s in m.ORACLE_SQL.items()}
+_modules = (sheets, rules, charts, documents, looks, general, office)
+QUERIES = {n: f for m in _modules for n, f in m.QUERIES.items()}
+ORACLE_SQL = {n: s for m in _modules for n, s in m.ORACLE_SQL.items()}

@@ -21,6 +21,7 @@ def _count(series, *names: str) -> int:
 def _points(package: Package):
     for part in sorted(n for n in package.names if "/charts/chart" in n and n.endswith(".xml")):
         root = package.xml(part)
+        yield from _extended(part, root)
         for plot in (e for area in below(root, "plotArea") for e in area if local(e).endswith("Chart")):
             grouping, direction = child(plot, "grouping"), child(plot, "barDir")
             for k, series in enumerate(e for e in plot if local(e) == "ser"):
@@ -39,6 +40,47 @@ def _points(package: Package):
                     )
 
 
+def _extended(part: str, root):
+    """Points of the extended kinds, whose data stand apart from their series."""
+    data = {d.get("id"): d for d in below(root, "data")}
+    for k, series in enumerate(below(root, "series")):
+        if not series.get("layoutId"):
+            continue
+        ref = child(series, "dataId")
+        held = data.get(attribute(ref, "val")) if ref is not None else None
+        dims = {d.get("type"): {int(p.get("idx")): p.text for p in below(d, "pt")} for d in held if local(d) in ("strDim", "numDim")} if held is not None else {}
+        name = next((t.text for t in below(series, "v")), None)
+        values = dims.get("val") or dims.get("size") or {}
+        for i in range(max([*values, *dims.get("cat", {})], default=-1) + 1):
+            try:
+                value = float(values[i])
+            except (KeyError, TypeError, ValueError):
+                value = None
+            yield part, series.get("layoutId"), None, None, k, k, name, i, dims.get("cat", {}).get(i), value
+
+
+def _axes(package: Package):
+    for part in sorted(n for n in package.names if "/charts/chart" in n and n.endswith(".xml")):
+        root = package.xml(part)
+        chart = next(below(root, "chart"), root)
+        yield part, "chart", None, _title(chart), None, None, None, None, False
+        for axis in (e for area in below(root, "plotArea") for e in area if local(e) in ("catAx", "valAx", "dateAx", "serAx")):
+            scaling, form = child(axis, "scaling"), child(axis, "numFmt")
+            number = lambda holder, n: float(attribute(child(holder, n), "val")) if holder is not None and child(holder, n) is not None else None
+            gone = child(axis, "delete")
+            yield part, local(axis), attribute(child(axis, "axId"), "val") if child(axis, "axId") is not None else None, _title(axis), attribute(form, "formatCode") if form is not None else None, number(scaling, "min"), number(scaling, "max"), number(axis, "majorUnit"), gone is not None and (attribute(gone, "val") or "1") in ("1", "true")
+
+
+def _title(holder) -> str | None:
+    title = child(holder, "title")
+    return "".join(t.text or "" for e in ("t", "v") for t in below(title, e)) or None if title is not None else None
+
+
+def axes(spark: SparkSession, path: str | DataFrame, glob: str = "*.{xlsx,pptx}") -> DataFrame:
+    """Titles, number formats, bounds and steps of each chart (``kind`` chart) and its axes."""
+    return read_packages(spark, path, glob, _axes, "part string, kind string, id string, title string, format_code string, low double, high double, step double, deleted boolean")
+
+
 def points(spark: SparkSession, path: str | DataFrame, glob: str = "*.{xlsx,pptx}") -> DataFrame:
     """A row for each series and point index, padded to the series' point count; missing values are null."""
     return read_packages(spark, path, glob, _points, "part string, kind string, direction string, grouping string, series int, display_order int, series_name string, idx int, category string, value double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packages import Package, PackageError, attribute, below, child, local, read_packages
@@ -47,6 +47,36 @@ def paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return read_packages(spark, path, "*.pptx", _texts, "slide int, shape int, name string, placeholder string, trow int, tcol int, ord int, level int, auto_number boolean, text string")
 
 
+def _runs(package: Package):
+    root = package.xml(DECK)
+    if root is None:
+        raise PackageError("no presentation")
+    relations = package.relations(DECK)
+    for n, s in enumerate(below(root, "sldId")):
+        part = relations.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None))
+        slide = package.xml(part) if part else None
+        for k, shape in enumerate(e for e in slide.iter() if local(e) in ("sp", "graphicFrame")) if slide is not None else ():
+            for i, p in enumerate(below(shape, "p")):
+                props = child(p, "pPr")
+                bullet = next((e for e in props if local(e) in ("buNone", "buChar", "buAutoNum", "buBlip")), None) if props is not None else None
+                mark = None if bullet is None else attribute(bullet, "char") or attribute(bullet, "type")
+                for j, r in enumerate(e for e in p if local(e) in ("r", "fld", "br")):
+                    own = child(r, "rPr")
+                    size, color = (attribute(own, "sz"), next(below(own, "srgbClr"), None)) if own is not None else (None, None)
+                    toggle = lambda a: None if own is None or attribute(own, a) is None else attribute(own, a) in ("1", "true")  # noqa: B023, E731
+                    yield n, k, i, j, local(r), attribute(r, "type"), (child(r, "t").text or "") if child(r, "t") is not None else "\n", local(bullet) if bullet is not None else None, mark, toggle("b"), toggle("i"), int(size) / 100 if size else None, attribute(color, "val") if color is not None else None
+
+
+def runs(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """A row a run of a slide's shapes with its paragraph's bullet; ``field`` is a field's type, such as ``slidenum``."""
+    return read_packages(spark, path, "*.pptx", _runs, "slide int, shape int, paragraph int, run int, kind string, field string, text string, bullet string, mark string, bold boolean, italic boolean, size double, color string")
+
+
+def field_text(runs_: DataFrame) -> DataFrame:
+    """``text`` of slide-number fields is the slide's 1-based number."""
+    return runs_.withColumn("text", F.when(F.col("field") == "slidenum", (F.col("slide") + 1).cast("string")).otherwise(F.col("text")))
+
+
 def titles(texts: DataFrame) -> DataFrame:
     """First title with a text on each slide; null without one."""
     title = F.col("placeholder").isin("title", "ctrTitle", "centeredTitle") & (F.trim("text") != "")
@@ -105,6 +135,50 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _styles(package: Package):
+    for part in sorted(n for n in package.names if n.startswith("ppt/slide") and n.endswith(".xml")):
+        for tree in below(package.xml(part), "spTree"):
+            for at, _, e in _tree(tree):
+                props = child(e, "spPr")
+                if props is None:
+                    continue
+                geometry, line = child(props, "prstGeom"), child(props, "ln")
+                yield part, at, attribute(geometry, "prst") if geometry is not None else "custom" if child(props, "custGeom") is not None else None, *_paint(props), *_paint(line), int(attribute(line, "w")) / 12700 if line is not None and attribute(line, "w") else None, next(below(props, "outerShdw"), None) is not None
+
+
+def _paint(holder) -> tuple[str | None, str | None]:
+    """Kind of a fill and its first colour."""
+    fill = next((e for e in holder if local(e) in ("noFill", "solidFill", "gradFill", "blipFill", "pattFill")), None) if holder is not None else None
+    color = next((e for e in fill.iter() if local(e) in ("srgbClr", "schemeClr")), None) if fill is not None else None
+    return local(fill).removesuffix("Fill") if fill is not None else None, attribute(color, "val") if color is not None else None
+
+
+def shape_styles(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Geometry, fill, line (width in points) and shadow of shapes."""
+    return read_packages(spark, path, "*.pptx", _styles, "part string, shape int, geometry string, fill string, fill_color string, line string, line_color string, line_width double, shadow boolean")
+
+
+def drawn(slides_: DataFrame, elements_: DataFrame) -> DataFrame:
+    """Shapes of each slide in the order that they are drawn: the layout's without placeholders first, then the slide's."""
+    found = elements_.where("error is null").drop("error")
+    own = slides_.where("error is null").select("file_path", "slide", "part").withColumn("source", F.lit(1)).join(found, ["file_path", "part"])
+    layout = slides_.where("error is null and layout is not null").select("file_path", "slide", F.col("layout").alias("part")).withColumn("source", F.lit(0)).join(found.where("placeholder is null"), ["file_path", "part"])
+    z = F.row_number().over(Window.partitionBy("file_path", "slide").orderBy("source", "shape")) - 1
+    return layout.unionByName(own).withColumn("z", z)
+
+
+def _diagrams(package: Package):
+    for part in sorted(n for n in package.names if n.startswith("ppt/diagrams/drawing") and n.endswith(".xml")):
+        digits = "".join(c for c in part.rpartition("/")[2] if c.isdigit())
+        for k, shape in enumerate(below(package.xml(part), "sp")):
+            yield int(digits or 0), k, "\n".join("".join(t.text or "" for t in below(p, "t")) for p in below(shape, "p"))
+
+
+def diagram_shapes(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Texts of the drawn form of diagrams; ``number`` pairs it with the data part of that number."""
+    return read_packages(spark, path, "*.pptx", _diagrams, "number int, shape int, text string")
+
+
 def inherited_positions(slides_: DataFrame, elements_: DataFrame) -> DataFrame:
     """Positions of the slides' placeholders: their own, else the layout's by index, else by type, else the master's by type."""
     box = ("x", "y", "w", "h")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.a1 import column_number, row_number
+from ..operators.grid import in_rectangles
 from .packages import Package, PackageError, below, child, local, read_packages
 
 WORKBOOK = "xl/workbook.xml"
@@ -51,6 +52,36 @@ def shared_strings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _strings, "idx int, text string")
 
 
+def _string_runs(package: Package):
+    root = package.xml("xl/sharedStrings.xml")
+    for i, item in enumerate(e for e in root if local(e) == "si") if root is not None else ():
+        for k, run in enumerate(e for e in item if local(e) in ("r", "t")):
+            props, text = child(run, "rPr"), run if local(run) == "t" else child(run, "t")
+            font = next((e for e in props if local(e) in ("rFont", "name")), None) if props is not None else None
+            size = child(props, "sz") if props is not None else None
+            yield i, k, text.text or "" if text is not None else "", *(_toggles(props)), font.get("val") if font is not None else None, float(size.get("val")) if size is not None else None, *_color(child(props, "color") if props is not None else None)
+
+
+def string_runs(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Runs of shared strings with their fonts; a plain string is one run."""
+    return read_packages(spark, path, "*.xlsx", _string_runs, f"idx int, run int, text string, bold boolean, italic boolean, underline boolean, strike boolean, font string, size double, {COLOR}")
+
+
+#: Columns of a colour: as it stands, or a theme's or the palette's, and lighter or darker by a tint.
+COLOR = "rgb string, theme int, indexed int, tint double"
+
+
+def _color(e) -> tuple:
+    if e is None:
+        return (None,) * 4
+    whole = lambda n: int(e.get(n)) if e.get(n) else None
+    return e.get("rgb"), whole("theme"), whole("indexed"), float(e.get("tint")) if e.get("tint") else None
+
+
+def _toggles(font) -> list[bool | None]:
+    return [None if font is None or (e := child(font, n)) is None else (e.get("val") or "1") not in ("0", "false", "none") for n in ("b", "i", "u", "strike")]
+
+
 def _formats(package: Package):
     root = package.xml("xl/styles.xml")
     if root is None:
@@ -209,16 +240,33 @@ def formulas(cells_: DataFrame) -> DataFrame:
 
 def _fonts(package: Package):
     root = package.xml("xl/styles.xml")
-    fonts = child(root, "fonts") if root is not None else None
-    for i, font in enumerate(fonts if fonts is not None else ()):
-        name, size, color = (child(font, n) for n in ("name", "sz", "color"))
-        toggles = [None if (e := child(font, n)) is None else (e.get("val") or "1") not in ("0", "false", "none") for n in ("b", "i", "u", "strike")]
-        yield i, name.get("val") if name is not None else None, float(size.get("val")) if size is not None else None, *toggles, color.get("rgb") if color is not None else None, int(color.get("theme")) if color is not None and color.get("theme") else None
+    if root is None:
+        return
+    plain, rules = child(root, "fonts"), child(root, "dxfs")
+    for differs, held in ((False, plain if plain is not None else ()), (True, [child(d, "font") for d in rules] if rules is not None else ())):
+        for i, font in enumerate(held):
+            if font is not None:
+                name, size, color = (child(font, n) for n in ("name", "sz", "color"))
+                yield differs, i, name.get("val") if name is not None else None, float(size.get("val")) if size is not None else None, *_toggles(font), *_color(color)
 
 
 def fonts(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """Toggles honour their values and are null where they are missing."""
-    return read_packages(spark, path, "*.xlsx", _fonts, "font_id int, name string, size double, bold boolean, italic boolean, underline boolean, strike boolean, rgb string, theme int")
+    """Fonts of cell formats and of rules (``differential``); toggles honour their values and are null where they are missing."""
+    return read_packages(spark, path, "*.xlsx", _fonts, f"differential boolean, font_id int, name string, size double, bold boolean, italic boolean, underline boolean, strike boolean, {COLOR}")
+
+
+def _default_font(package: Package):
+    root = package.xml("xl/styles.xml")
+    base = child(root, "cellStyleXfs") if root is not None else None
+    fonts_, at = (child(root, "fonts") if root is not None else None), int(base[0].get("fontId") or 0) if base is not None and len(base) else 0
+    if fonts_ is not None and at < len(fonts_):
+        name, size = child(fonts_[at], "name"), child(fonts_[at], "sz")
+        yield at, name.get("val") if name is not None else None, float(size.get("val")) if size is not None else None
+
+
+def default_font(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Font of the Normal style, which column widths count in."""
+    return read_packages(spark, path, "*.xlsx", _default_font, "font_id int, name string, size double")
 
 
 def _cell_formats(package: Package):
@@ -249,6 +297,21 @@ def fills(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _fills, "differential boolean, fill_id int, pattern string, foreground string, background string")
 
 
+def _gradients(package: Package):
+    root = package.xml("xl/styles.xml")
+    held = child(root, "fills") if root is not None else None
+    for i, fill in enumerate(held if held is not None else ()):
+        gradient = child(fill, "gradientFill")
+        stops = [(float(s.get("position") or 0), _color(child(s, "color"))) for s in gradient] if gradient is not None else []
+        for k, (at, color) in enumerate(sorted(stops, key=lambda s: s[0])):
+            yield i, gradient.get("type") or "linear", float(gradient.get("degree") or 0), k, at, *color
+
+
+def gradient_stops(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Stops of gradient fills in the order of their positions."""
+    return read_packages(spark, path, "*.xlsx", _gradients, f"fill_id int, kind string, degree double, ord int, position double, {COLOR}")
+
+
 def _borders(package: Package):
     root = package.xml("xl/styles.xml")
     holder = child(root, "borders") if root is not None else None
@@ -256,12 +319,12 @@ def _borders(package: Package):
         for edge in border:
             color = child(edge, "color")
             if edge.get("style"):
-                yield i, local(edge), edge.get("style"), color.get("rgb") if color is not None else None
+                yield i, local(edge), edge.get("style"), *_color(color)
 
 
 def borders(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """A row for each edge that has a style."""
-    return read_packages(spark, path, "*.xlsx", _borders, "border_id int, edge string, style string, rgb string")
+    return read_packages(spark, path, "*.xlsx", _borders, f"border_id int, edge string, style string, {COLOR}")
 
 
 def _related(package: Package, kind: str):
@@ -316,6 +379,55 @@ def sparklines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _sparklines, "sheet_idx int, line_group int, kind string, gaps string, values_ref string, ref string")
 
 
+def corners(reference: Column) -> Column:
+    """``sheet, top, left, bottom, right`` of a reference such as ``'A sheet'!$B$2:C9``; a null sheet is the reference's own."""
+    area = F.element_at(F.split(reference, "!"), -1)
+    first, last = F.substring_index(area, ":", 1), F.substring_index(area, ":", -1)
+    named = F.when(F.contains(reference, F.lit("!")), F.replace(F.regexp_replace(F.regexp_extract(reference, "^(.*)!", 1), "^'|'$", ""), F.lit("''"), F.lit("'")))
+    rows, cols = (row_number(first), row_number(last)), (column_number(first), column_number(last))
+    return F.struct(named.alias("sheet"), F.least(*rows).alias("top"), F.least(*cols).alias("left"), F.greatest(*rows).alias("bottom"), F.greatest(*cols).alias("right"))
+
+
+def sparkline_values(lines: DataFrame, sheets_: DataFrame, cells_: DataFrame) -> DataFrame:
+    """``file_path, sheet_idx, ref, row, col, v_num`` of every sparkline's values, by a range join into the sheet that it names."""
+    at = lines.where("error is null and values_ref is not null").select("file_path", "sheet_idx", F.col("ref").alias("line"), corners(F.col("values_ref")).alias("at"))
+    names = sheets_.where("error is null").select("file_path", F.col("sheet_idx").alias("of"), F.col("name").alias("named"))
+    joined = at.join(names, "file_path").where(F.when(F.col("at.sheet").isNull(), F.col("of") == F.col("sheet_idx")).otherwise(F.col("named") == F.col("at.sheet")))
+    boxes = joined.select("file_path", F.col("of"), F.col("sheet_idx").alias("line_sheet"), "line", "at.top", "at.left", "at.bottom", "at.right")
+    values = cells_.select("file_path", F.col("sheet_idx").alias("of"), "row", "col", "v_num")
+    return in_rectangles(values, boxes, ["file_path", "of"]).select("file_path", F.col("line_sheet").alias("sheet_idx"), F.col("line").alias("ref"), "row", "col", "v_num")
+
+
+def filter_headers(cells_: DataFrame, views_: DataFrame) -> DataFrame:
+    """Cells of the first row of their sheet's filter range: those with a filter button."""
+    at = views_.where("error is null and filter_ref is not null").select("file_path", "sheet_idx", corners(F.col("filter_ref")).alias("at"))
+    boxes = at.select("file_path", "sheet_idx", "at.top", "at.left", F.col("at.top").alias("bottom"), "at.right")
+    return in_rectangles(cells_, boxes, ["file_path", "sheet_idx"]).select(*cells_.columns)
+
+
+def hide_zeros(cells_: DataFrame, views_: DataFrame, text: str) -> DataFrame:
+    """Where a sheet doesn't show zeros, cells whose formatted ``text`` is 0 are empty."""
+    shown = views_.where("error is null").select("file_path", "sheet_idx", F.col("show_zeros").alias("__zeros"))
+    joined = cells_.join(shown, ["file_path", "sheet_idx"], "left")
+    return joined.withColumn(text, F.when(~F.coalesce("__zeros", F.lit(True)) & (F.col(text) == "0"), "").otherwise(F.col(text))).drop("__zeros")
+
+
+def _extension_rules(package: Package):
+    for i, _, part in _sheets(package):
+        root = package.xml(part) if part else None
+        for e in root.iter() if root is not None else ():
+            if local(e) == "conditionalFormatting" and child(e, "sqref") is not None:
+                for rule in (r for r in e if local(r) == "cfRule"):
+                    icons = [(c.get("iconSet"), int(c.get("iconId") or 0)) for c in below(rule, "cfIcon")]
+                    bar = next(below(rule, "dataBar"), None)
+                    yield i, rule.get("id"), child(e, "sqref").text, rule.get("type"), int(rule.get("priority") or 0), [f.text for f in below(rule, "f")], bar.get("gradient") not in ("0", "false") if bar is not None else None, [s for s, _ in icons], [k for _, k in icons]
+
+
+def extension_rules(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Rules of the extension blocks: ``id`` joins those that a plain rule refers to, the others stand for themselves."""
+    return read_packages(spark, path, "*.xlsx", _extension_rules, "sheet_idx int, id string, sqref string, type string, priority int, formulas array<string>, gradient boolean, icon_sets array<string>, icon_ids array<int>")
+
+
 def _views(package: Package):
     for i, _, part in _sheets(package):
         root = package.xml(part) if part else None
