@@ -9,8 +9,9 @@ the training calibrates the scores, and the threshold of the rejection is taken
 from the same rows.
 
 The training sample is bounded: the ``sample`` labelled rows of lowest hash, equal
-rows once, whole texts. Tasks count their n-grams (``BUCKETS`` counts a row at
-most), one task fits them, and the driver gets the model. Predictions read whole texts.
+rows once, whole texts. Tasks count their n-grams and pack the counts (``BUCKETS``
+a row at most), one task fits them, and the driver gets the model. Predictions
+read whole texts.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with
 score 0 and rejected; labels that are null are not learned; without any labelled
@@ -25,6 +26,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,17 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, total[ids]
 
 
+def packed(text: str) -> bytes:
+    ids, counts = features(text)
+    return zstandard.compress(np.diff(ids, prepend=0).astype(np.uint16).tobytes() + counts.astype(np.uint32).tobytes())
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.decompress(blob)
+    n = len(data) // 6
+    return np.cumsum(np.frombuffer(data, np.uint16, n), dtype=np.int64), np.frombuffer(data, np.uint32, n, 2 * n)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -91,13 +104,13 @@ class Model:
         return self.languages[best], float(p[best]), bool(p[best] < self.least)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model:
-    """``rows`` of (buckets, counts, language); a fifth is left out for the calibration."""
-    languages = sorted({g for *_, g in rows})
+def fit(rows: list[tuple[bytes, str]], seed: int = 7) -> Model:
+    """``rows`` of (packed features, language); a fifth is left out for the calibration."""
+    languages = sorted({g for _, g in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    label = np.array([languages.index(g) for *_, g in rows])
+    label = np.array([languages.index(g) for _, g in rows])
     k = len(languages)
     embed, out, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), np.zeros((WIDTH, k)), np.zeros(k)
     out += rng.normal(0, 0.1, out.shape)
@@ -106,7 +119,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model:
     steps, done = EPOCHS * max(1, len(used)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(used):
-            ids, counts, _ = rows[i]
+            ids, counts = unpacked(rows[i][0])
             share = (counts / counts.sum())[:, None]
             hidden = (embed[ids] * share).sum(0)
             z = hidden @ out + bias
@@ -120,7 +133,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model:
             embed[ids] -= rate * share * back * min(len(ids), 100)
             done += 1
     model = Model(languages, (embed @ out).astype(np.float32), bias, 1.0, 0.0)
-    z = np.array([model.averaged(*rows[i][:2]) for i in left]) if len(left) else np.zeros((0, k))
+    z = np.array([model.averaged(*unpacked(rows[i][0])) for i in left]) if len(left) else np.zeros((0, k))
     if len(left):
         loss = lambda t: -np.mean((z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True))[np.arange(len(left)), label[left]])
         model.temperature = float(min(np.geomspace(0.02, 500, 160), key=loss))
@@ -141,16 +154,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 
     def count(batches):
         for b in batches:
-            found = [features(t) for t in b["text"].to_pylist()]
-            yield {"key": b["key"], "ids": [x.astype(np.uint16).tobytes() for x, _ in found], "counts": [x.astype(np.uint32).tobytes() for _, x in found], "lang": b["lang"]}
+            yield {"key": b["key"], "features": [packed(t) for t in b["text"].to_pylist()], "lang": b["lang"]}
 
     def learn(batches):
-        rows = [(np.frombuffer(i, np.uint16), np.frombuffer(c, np.uint32), g) for b in batches for i, c, g in zip(*(b[n].to_pylist() for n in ("ids", "counts", "lang")), strict=True)]
+        rows = [row for b in batches for row in zip(b["features"].to_pylist(), b["lang"].to_pylist(), strict=True)]
         yield {"model": [pickle.dumps(fit(rows[:sample]))]}
 
     rows = labelled.where(F.col("key") <= chosen).dropDuplicates(["key", "lang"])
-    counted = map_columns(rows, count, "key long, ids binary, counts binary, lang string")
-    fitted = map_columns(counted.repartition(1).sortWithinPartitions("key", "lang").select("ids", "counts", "lang"), learn, "model binary")  # ``sample`` rows
+    counted = map_columns(rows, count, "key long, features binary, lang string")
+    fitted = map_columns(counted.repartition(1).sortWithinPartitions("key", "lang").select("features", "lang"), learn, "model binary")  # ``sample`` rows
     return pickle.loads(fitted.collect()[0][0])
 
 

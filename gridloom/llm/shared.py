@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch between JVM and Python; whole texts can be long.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Splits of a small input at least; those of a large one are of ``spark.sql.files.maxPartitionBytes``.
 LEAST_SPLITS = 32
 

@@ -22,7 +22,7 @@ def test_scores_are_calibrated_and_gibberish_is_rejected():
     rng = random.Random(1)
     stock = {"en": ["the", "of", "and", "that", "with"], "de": ["der", "und", "nicht", "ein", "auch"], "fr": ["les", "une", "dans", "qui", "pour"]}
     noisy = lambda g: " ".join(rng.choice(stock[g if rng.random() < 0.6 else rng.choice(list(stock))]) for _ in range(8))
-    rows = [(*language.features(noisy(g)), g) for g in stock for _ in range(300)]
+    rows = [(language.packed(noisy(g)), g) for g in stock for _ in range(300)]
     model = language.fit(rows)
     said = [(g, *model.predict(noisy(g))) for g in stock for _ in range(300)]
     right, confident = sum(g == p for g, p, *_ in said) / len(said), sum(s for *_, s, _ in said) / len(said)
@@ -44,7 +44,7 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_blocks_do_not_change_a_long_text():
-    model = language.fit([(*language.features("the of and to in"), "en"), (*language.features("der die das und"), "de")] * 10)
+    model = language.fit([(language.packed("the of and to in"), "en"), (language.packed("der die das und"), "de")] * 10)
     text = "the of and " * 20_000
     whole = language.buckets(language.encoded(text))
     direct = model.table.astype(float)[whole].sum(0) / len(whole) + model.bias
