@@ -22,6 +22,21 @@ def interpolate(a: Column, b: Column, t: Column) -> Column:
     return from_channels([F.floor(channel(a, i) + (channel(b, i) - channel(a, i)) * t + 0.5) for i in range(3)])
 
 
+def blended(front: Column, back: Column, share: Column) -> Column:
+    """``front`` over ``back`` with a share of coverage, clamped."""
+    return interpolate(back, front, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+
+
+def stripe(accent: Column) -> Column:
+    """Colour of a table's stripes: a fifth of the accent on white; without an accent, a light grey."""
+    return F.when(F.length(accent) >= 7, blended(accent, F.lit("#FFFFFF"), F.lit(0.2))).otherwise("#F2F2F2")
+
+
+def series_color(accents: Column, index: Column) -> Column:
+    """A series without a colour takes one of the six accents in turn."""
+    return F.try_element_at(accents, (index % 6 + 1).cast("int"))
+
+
 def scale_color(x: Column, stops: list[tuple[Column, str]]) -> Column:
     """Piecewise linear colour of a value between sorted (value, colour) stops, clamped at the ends."""
     pieces = []

@@ -9,20 +9,23 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import dates
+from . import dates, eras
 
 # Formats of the built-in ids.
 BUILTIN = {
     0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00",
     14: "m/d/yyyy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yyyy h:mm",
+    27: '[$-411]ge.m.d', 28: '[$-411]ggge"年"m"月"d"日"', 29: '[$-411]ggge"年"m"月"d"日"', 30: "m/d/yy", 31: 'yyyy"年"m"月"d"日"',
+    50: '[$-411]ge.m.d', 51: '[$-411]ggge"年"m"月"d"日"', 52: 'yyyy"年"m"月"', 53: 'm"月"d"日"', 54: '[$-411]ggge"年"m"月"d"日"',
+    55: 'yyyy"年"m"月"', 56: 'm"月"d"日"', 57: '[$-411]ge.m.d', 58: '[$-411]ggge"年"m"月"d"日"',
     37: "#,##0;(#,##0)", 38: "#,##0;(#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;(#,##0.00)", 49: "@",
 }
 
 _TOKEN = re.compile(r'"([^"]*)"|\\(.)|\[([^\]]*)\]|_.|\*.|([#0?]+(?:,[#0?]+)*(?:\.[#0?]+)?(?:E[+-]0+)?)|(%)|(@)|(.)', re.S)
-_DATE = re.compile(r'AM/PM|A/P|\[h+\]|\[m+\]|\[s+\]|y+|m+|d+|h+|s+|"[^"]*"|\\.|.', re.S | re.I)
+_DATE = re.compile(r'AM/PM|A/P|\[h+\]|\[m+\]|\[s+\]|\[[^\]]*\]|y+|m+|d+|h+|s+|g+|e+|aaaa?|"[^"]*"|\\.|.', re.S | re.I)
 
 
 def is_date(code: str) -> bool:
@@ -50,6 +53,69 @@ def format_value(x: Column, code: str) -> Column:
     return F.when(x == 0, _section(x, parts[2])).otherwise(out) if len(parts) > 2 else out
 
 
+def text_section(text: Column, code: str) -> Column:
+    """A text under a code's fourth section: ``@`` is the text, an empty section hides it; other codes leave it as it is."""
+    parts = sections(code)
+    if len(parts) < 4:
+        return text
+    pieces = [text if at else F.lit(quoted or escaped or digits or sign or other) for quoted, escaped, _, digits, sign, at, other in _TOKEN.findall(parts[3]) if at or quoted or escaped or digits or sign or other]
+    return F.concat(*pieces) if pieces else F.when(text.isNotNull(), "")
+
+
+def effective(rule: Column, style: Column, number_id: Column) -> Column:
+    """The code that holds for a cell: a rule's, else its style's, else that of a built-in id, else General."""
+    builtin = F.create_map(*[F.lit(x) for i, c in BUILTIN.items() for x in (i, c)])
+    return F.coalesce(rule, style, F.try_element_at(builtin, number_id), F.lit("General"))
+
+
+#: Distinct codes of a table; a workbook has far fewer.
+MOST_CODES = 5000
+
+
+def formatted(cells: DataFrame, code: str, num: str, text: str) -> DataFrame:
+    """``shown``: numbers and texts under the code of their cell. A code is compiled once; rows carry no format work but their own."""
+    codes = sorted(r[0] for r in cells.select(code).where(F.col(code).isNotNull()).distinct().limit(MOST_CODES + 1).collect())
+    if len(codes) > MOST_CODES:
+        raise ValueError(f"more than {MOST_CODES} format codes")
+    shown = F
+    for c in codes:
+        shown = shown.when(F.col(code) == c, F.when(F.col(num).isNotNull(), format_value(F.col(num), c)).otherwise(text_section(F.col(text), c)))
+    plain = F.coalesce(format_value(F.col(num), "General"), F.col(text))
+    return cells.withColumn("shown", shown.otherwise(plain) if codes else plain)
+
+
+def chart_value(x: Column, code: str | None) -> Column:
+    """A number on a chart: absolute under its section, with a minus where the code has no negative one; six decimals without a code."""
+    if not code:
+        trimmed = F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+        return F.when(x == F.floor(x), format_value(x, "General")).otherwise(trimmed)
+    if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code), re.I):
+        return chart_date(x, code)
+    parts = sections(code)
+    show = lambda i: _section(F.abs(x), parts[i]) if i < len(parts) else _section(F.abs(x), parts[0])
+    below = show(1) if len(parts) > 1 else F.concat(F.lit("-"), show(0))
+    return F.when(x > 0, show(0)).when(x < 0, below).otherwise(show(2))
+
+
+def chart_date(n: Column, code: str) -> Column:
+    """A serial on a chart's axis: all parts are numbers, ``m`` after hours is minutes, days before 60 are one later."""
+    day = dates.from_serial(F.when(n < 60, n + 1).otherwise(n))
+    seconds = (n - F.floor(n)) * 86400
+    part = {"h": F.floor(seconds / 3600), "min": F.floor(seconds % 3600 / 60), "s": F.floor(seconds % 60), "m": F.month(day), "d": F.day(day)}
+    pieces, hours = [], False
+    for quoted, escaped, bracket, run, other in re.findall(r'"([^"]*)"|\\(.)|(\[[^\]]*\])|(y+|m+|d+|h+|s+)|(.)', code, re.I | re.S):
+        kind = run[:1].lower()
+        if kind == "y":
+            pieces.append(F.date_format(day, "yyyy" if len(run) > 2 else "yy"))
+        elif kind:
+            c = part["min" if kind == "m" and hours else kind].cast("string")
+            pieces.append(F.lpad(c, 2, "0") if len(run) > 1 else c)
+            hours = kind == "h"
+        elif not bracket:
+            pieces.append(F.lit(quoted or escaped or other))
+    return F.concat(*pieces)
+
+
 def _section(x: Column, section: str) -> Column:
     pieces, percent = [], section.count("%") - len(re.findall(r'"[^"]*%[^"]*"', section))
     if percent:
@@ -113,6 +179,14 @@ def format_date(n: Column, code: str) -> Column:
             pieces.append(F.floor(n * 1440 + 1e-9).cast("string"))
         elif low.startswith("[s"):
             pieces.append(F.floor(n * 86400 + 0.5).cast("string"))
+        elif t[0] == "[":
+            continue
+        elif kind == "g" and low.strip("g") == "":
+            pieces.append(eras.era_name(day, min(len(t), 3)))
+        elif kind == "e" and low.strip("e") == "":
+            pieces.append(pad(eras.era_year(day), len(t)))
+        elif low in ("aaa", "aaaa"):
+            pieces.append(eras.weekday_name(day, len(t) == 4))
         elif kind == "m" and (before == "h" or after == "s"):
             pieces.append(pad(F.floor(seconds / 60) % 60, len(t)))
             before = "minute"

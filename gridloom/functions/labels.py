@@ -60,6 +60,11 @@ def thinned(index: Column, n: Column, most: int = 8) -> Column:
     return index % F.greatest(F.lit(1), F.ceil(n / most)) == 0
 
 
+def truncated(label: Column, rotated: bool = False) -> Column:
+    """A category's label: its first 12 characters, 10 on dense axes."""
+    return F.substring(F.coalesce(label.cast("string"), F.lit("")), 1, 10 if rotated else 12)
+
+
 def relative_path(folder: Column, target: Column) -> Column:
     """A relationship's target inside its package; ``..`` steps up, a leading slash starts at the root."""
     joined = F.when(F.startswith(target, F.lit("/")), F.substring(target, 2, 1 << 20)).otherwise(F.concat_ws("/", folder, target))

@@ -1,8 +1,14 @@
-"""The functions as SQL names, for use in ``spark.sql``; SQL bodies, no Python in the rows."""
+"""The functions as SQL names, for use in ``spark.sql``; scalar functions have SQL bodies, no Python in the rows."""
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from ..sources import spreadsheets, wordprocessing
+from ..sources.packages import Package
 
 _SQL = {
     "a1_row(ref string) returns int": "cast(nullif(regexp_extract(upper(replace(ref, '$', '')), '^[A-Z]{1,3}([0-9]+)$', 1), '') as int)",
@@ -10,11 +16,37 @@ _SQL = {
     "col_letter(n int) returns string": "concat(if(n > 702, char(65 + cast(floor((n - 703) / 676) as int) % 26), ''), if(n > 26, char(65 + cast(floor((n - 27) / 26) as int) % 26), ''), char(65 + (n - 1) % 26))",
     "excel_round(x double, d int) returns double": "floor(x * pow(10, d) + 0.5) / pow(10, d)",
     "excel_mod(a double, b double) returns double": "if(b <> 0, a - floor(try_divide(a, b)) * b, null)",
+    "js_number_text(x double) returns string": """case when x is null then null when isnan(x) then 'NaN' when abs(x) = double('infinity') then if(x < 0, '-Infinity', 'Infinity')
+      when x = floor(x) and abs(x) < 1e15 then cast(cast(x as bigint) as string)
+      when abs(x) >= 1e-3 and abs(x) < 1e7 then cast(x as string)
+      else concat(regexp_replace(substring_index(cast(x as string), 'E', 1), '[.]0$', ''), 'e', if(abs(x) >= 1, '+', ''), substring_index(cast(x as string), 'E', -1)) end""",
     "excel_divide(a double, b double) returns double": "coalesce(try_divide(a, b), 0)",
 }
 
 
+@udtf(returnType="sheet string, ref string, value string, formula string")
+class OfficeCells:
+    """Cells of a workbook's bytes, a row each: ``select * from files, lateral office_cells(content)``."""
+
+    def eval(self, content: bytes):
+        for _, sheet, ref, kind, raw, held, _, formula in spreadsheets._cells(Package(content)):
+            yield sheet, ref, held if kind in ("s", "inlineStr") else raw, formula
+
+
+@udtf(returnType="block int, text string")
+class OfficeText:
+    """Paragraphs of a document's bytes."""
+
+    def eval(self, content: bytes):
+        runs = (r for r in wordprocessing._runs(Package(content)) if r[9] == "text" and not r[12])
+        for (block, *_), held in groupby(runs, key=lambda r: r[:5]):
+            yield block, "".join(r[10] for r in held)
+
+
 def register(spark: SparkSession) -> list[str]:
+    """The names of the functions; ``office_cells`` and ``office_text`` are table functions."""
+    spark.udtf.register("office_cells", OfficeCells)
+    spark.udtf.register("office_text", OfficeText)
     for head, body in _SQL.items():
         spark.sql(f"create or replace temporary function {head} return {body}")
     return [h.partition("(")[0] for h in _SQL]

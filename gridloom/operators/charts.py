@@ -40,6 +40,37 @@ def share(points: DataFrame, chart: list[str], value: Column) -> DataFrame:
     return points.withColumn("share", F.coalesce(F.try_divide(F.abs(value), F.sum(F.abs(value)).over(Window.partitionBy(*chart))), F.lit(0.0)))
 
 
+def pie_angles(points: DataFrame, chart: list[str], order: list[str], value: Column) -> DataFrame:
+    """``start`` and ``stop`` of each slice in radians, clockwise from the top; a chart's slices go round once."""
+    shared = share(points, chart, value)
+    upto = Window.partitionBy(*chart).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum("share").over(upto) * 2 * F.pi() - F.pi() / 2
+    return shared.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("share") * 2 * F.pi())
+
+
+def combined(plots: DataFrame, chart: list[str], order: str) -> DataFrame:
+    """A row a chart of several plots: ``kind``, the first plot's; ``grouping``, that of the first plot that is no line; whether lines are ``mixed`` with others."""
+    line = F.col("kind") == "lineChart"
+    return plots.groupBy(*chart).agg(
+        F.min_by("kind", order).alias("kind"), F.coalesce(F.min_by(F.when(~line, F.coalesce("grouping", F.lit("clustered"))), F.when(~line, F.col(order))), F.lit("clustered")).alias("grouping"),
+        (F.bool_or(line) & F.bool_or(~line)).alias("mixed"),
+    )
+
+
+def custom_errors(points: DataFrame, value: Column, plus: Column, minus: Column) -> DataFrame:
+    """``low`` and ``high`` ends of error bars whose lengths are given; a missing length is none."""
+    return points.withColumn("low", value - F.coalesce(minus, F.lit(0.0))).withColumn("high", value + F.coalesce(plus, F.lit(0.0)))
+
+
+def sparkline_axis(points: DataFrame, line: list[str], group: list[str], value: str, low: Column, high: Column, kinds: tuple[Column, Column]) -> DataFrame:
+    """``axis_low`` and ``axis_high`` of each line: its own extent, its ``group``'s, or ``custom`` ends where they are given; 0 and 1 without a number."""
+    out = points
+    for name, f, kind, fixed, empty in (("axis_low", F.min, kinds[0], low, 0.0), ("axis_high", F.max, kinds[1], high, 1.0)):
+        own, whole = (F.coalesce(f(value).over(Window.partitionBy(*by)), F.lit(empty)) for by in (line, group))
+        out = out.withColumn(name, F.when((kind == "custom") & fixed.isNotNull(), fixed).when(kind == "group", whole).otherwise(own))
+    return out
+
+
 def nice_step(span: Column, steps: int = 5) -> Column:
     """1, 2, 5 or 10 times a power of ten."""
     raw = span / float(steps)

@@ -64,6 +64,13 @@ def pages(items: DataFrame, document: list[str], order: str, breaks: Column) ->
     return items.withColumn("page", F.count_if(breaks).over(w) + 1)
 
 
+def table_extent(cells: DataFrame, table: list[str], row: str, width: Column, height: Column, fixed: Column, room: float) -> DataFrame:
+    """``width`` and ``height`` of tables: columns' widths added up and shrunk to ``room``, rows as high as ``fixed`` says or their highest cell, 10 at least."""
+    columns = cells.groupBy(*table, "tcol").agg(F.max(width).alias("w")).groupBy(*table).agg(F.least(F.sum("w"), F.lit(float(room))).alias("width"))
+    rows = cells.groupBy(*table, row).agg(F.coalesce(F.max(fixed), F.greatest(F.lit(10.0), F.max(height))).alias("h"))
+    return columns.join(rows.groupBy(*table).agg(F.sum("h").alias("height")), table)
+
+
 def header_kind(page: Column, has_first: bool, has_even: bool) -> Column:
     """Header of a 1-based page: first, even or default."""
     return F.when((page == 1) & F.lit(has_first), "first").when((page % 2 == 0) & F.lit(has_even), "even").otherwise("default")

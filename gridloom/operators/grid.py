@@ -64,6 +64,14 @@ def tsv(cells: DataFrame, top: int, left: int, bottom: int, right: int, sheet: l
     return sheets.select(*sheet, F.array_join(F.transform(F.sequence(F.lit(top), F.lit(bottom)), lambda r: F.coalesce(F.element_at("lines", r), F.lit(empty))), "\n").alias("tsv"))
 
 
+def selection(mode: str, anchor: tuple[int, int], active: tuple[int, int], extent: tuple[int, int]) -> tuple[int, int, int, int]:
+    """Rectangle (top, left, bottom, right) of a selection of ``cells``, whole ``rows``, whole ``cols`` or ``all`` of a sheet with ``extent`` rows and columns."""
+    (r1, c1), (r2, c2), (rows, cols) = anchor, active, extent
+    top, bottom = (1, rows) if mode in ("cols", "all") else (min(r1, r2), max(r1, r2))
+    left, right = (1, cols) if mode in ("rows", "all") else (min(c1, c2), max(c1, c2))
+    return top, left, bottom, right
+
+
 def _tiles(first: str, last: str) -> Column:
     return F.sequence(F.floor(F.col(first) / TILE), F.floor(F.col(last) / TILE))
 

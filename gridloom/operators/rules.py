@@ -23,6 +23,23 @@ def icon_index(x: Column, thresholds: list[Column], reverse: bool = False) -> Co
     return F.lit(len(thresholds) - 1) - reached if reverse else reached
 
 
+def icon(x: Column, thresholds: list[Column], sets: list[tuple[str, int]] | None, default_set: str, reverse: bool = False) -> Column:
+    """``set:index`` of a value's icon; ``sets`` are custom icons by threshold, and ``NoIcons`` shows none."""
+    at = icon_index(x, thresholds, reverse)
+    if not sets:
+        return F.concat_ws(":", F.lit(default_set), at.cast("string"))
+    chosen = F.element_at(F.array(*[F.lit(None if s == "NoIcons" else f"{s}:{i}").cast("string") for s, i in sets]), at + 1)
+    return F.when(x.isNotNull(), chosen)
+
+
+def with_extensions(rules_: DataFrame, extensions: DataFrame, by: list[str]) -> DataFrame:
+    """Plain rules with what their extension says (``gradient``), and extension rules of their own after them."""
+    said = extensions.select(*by, F.col("id").alias("ext_id"), "gradient")
+    joined = rules_.join(said, [*by, "ext_id"], "left").withColumn("source", F.lit("plain"))
+    own = extensions.join(rules_.select(*by, F.col("ext_id").alias("id")), [*by, "id"], "left_anti").withColumn("source", F.lit("extension"))
+    return joined.unionByName(own.drop("id"), allowMissingColumns=True)
+
+
 def block_stats(df: DataFrame, block: list[str], value: Column) -> DataFrame:
     return df.groupBy(*block).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.count(value).alias("n"))
 

@@ -46,6 +46,20 @@ def table_band(row: Column, first: int, last: int, header: int, totals: int) ->
     return F.when(row < first + header, "header").when(row > last - totals, "totals").when(data % 2 == 1, "band2").otherwise("band1")
 
 
+def table_cell(own: Column, whole: Column, band: Column, row_end: Column, col_end: Column) -> Column:
+    """A property of a deck's table cell: its own, else of the first or last column, of the first or last row, of its band, of the whole table."""
+    return F.coalesce(own, col_end, row_end, band, whole)
+
+
+def table_parts(row: Column, col: Column, rows: Column, cols: Column, flags: dict[str, bool]) -> dict[str, Column]:
+    """Which parts of a table style a cell (0-based) is in, by the parts that are switched on: ``firstRow``, ``lastRow``, ``firstCol``, ``lastCol``, ``bandRow``."""
+    on = lambda n: F.lit(flags.get(n, False))
+    ends = F.when(on("firstRow") & (row == 0), "firstRow").when(on("lastRow") & (row == rows - 1), "lastRow")
+    sides = F.when(on("firstCol") & (col == 0), "firstCol").when(on("lastCol") & (col == cols - 1), "lastCol")
+    band = F.when(on("bandRow") & ends.isNull(), F.when((row - F.lit(int(flags.get("firstRow", False)))) % 2 == 0, "band1H").otherwise("band2H"))
+    return {"ends": ends, "sides": sides, "band": band}
+
+
 def merged_font(own: Column, rule: Column, table_bold: Column, names: tuple[str, ...] = ("bold", "italic", "underline", "strike")) -> list[Column]:
     """Toggles of a cell's font, a rule's and a table part's add up: each is set if any layer sets it."""
     set_ = lambda c: F.coalesce(c, F.lit(False))

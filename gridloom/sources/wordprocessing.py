@@ -154,6 +154,21 @@ def even_headers(spark: SparkSession, path: str) -> DataFrame:
     return read_packages(spark, path, "*.docx", read, "even boolean")
 
 
+def _tab_stops(package: Package):
+    root = package.xml(BODY)
+    body = child(root, "body") if root is not None else None
+    for n, block in enumerate(_inner(body) if body is not None else ()):
+        props = child(block, "pPr")
+        stops = [(int(attribute(t, "pos") or 0) / 20, attribute(t, "val"), attribute(t, "leader")) for t in below(props, "tab")] if props is not None else []
+        for k, stop in enumerate(sorted(stops, key=lambda s: s[0])):
+            yield n, k, *stop
+
+
+def tab_stops(spark: SparkSession, path: str) -> DataFrame:
+    """Tab stops of paragraphs by position, in points."""
+    return read_packages(spark, path, "*.docx", _tab_stops, "block int, ord int, position double, kind string, leader string")
+
+
 def _drawings(package: Package):
     root, targets = package.xml(BODY), package.relations(BODY)
     body = child(root, "body") if root is not None else None
@@ -162,9 +177,9 @@ def _drawings(package: Package):
             extent, name = child(held, "extent"), next((e.get("name") for e in below(held, "docPr")), None)
             rid = next((v for e in below(held, "blip") for a, v in e.attrib.items() if a.endswith("}embed")), None)
             size = [int(extent.get(a)) / 12700 if extent is not None else None for a in ("cx", "cy")]
-            yield n, local(held), name, *size, targets.get(rid)
+            yield n, local(held), name, *size, targets.get(rid), int(held.get("relativeHeight") or 0), held.get("behindDoc") in ("1", "true")
 
 
 def drawings(spark: SparkSession, path: str) -> DataFrame:
-    """Inline and anchored drawings, sizes in points."""
-    return read_packages(spark, path, "*.docx", _drawings, "block int, kind string, name string, width double, height double, target string")
+    """Inline and anchored drawings, sizes in points; ``z`` orders those that overlap."""
+    return read_packages(spark, path, "*.docx", _drawings, "block int, kind string, name string, width double, height double, target string, z long, behind boolean")
