@@ -16,31 +16,40 @@ _SQL = {
     "col_letter(n int) returns string": "concat(if(n > 702, char(65 + cast(floor((n - 703) / 676) as int) % 26), ''), if(n > 26, char(65 + cast(floor((n - 27) / 26) as int) % 26), ''), char(65 + (n - 1) % 26))",
     "excel_round(x double, d int) returns double": "floor(x * pow(10, d) + 0.5) / pow(10, d)",
     "excel_mod(a double, b double) returns double": "if(b <> 0, a - floor(try_divide(a, b)) * b, null)",
-    "js_number_text(x double) returns string": """case when x is null then null when isnan(x) then 'NaN' when abs(x) = double('infinity') then if(x < 0, '-Infinity', 'Infinity')
-      when x = floor(x) and abs(x) < 1e15 then cast(cast(x as bigint) as string)
-      when abs(x) >= 1e-3 and abs(x) < 1e7 then cast(x as string)
-      else concat(regexp_replace(substring_index(cast(x as string), 'E', 1), '[.]0$', ''), 'e', if(abs(x) >= 1, '+', ''), substring_index(cast(x as string), 'E', -1)) end""",
+    # Digits of a number without zeros at their ends, and the place of its point before or after their first.
+    "js_digits(x double) returns string": "regexp_replace(replace(substring_index(cast(abs(x) as string), 'E', 1), '.', ''), '^0+|0+$', '')",
+    "js_point(x double) returns int": "length(substring_index(substring_index(cast(abs(x) as string), 'E', 1), '.', 1)) + coalesce(try_cast(regexp_extract(cast(abs(x) as string), 'E(-?[0-9]+)$', 1) as int), 0) - length(regexp_extract(replace(substring_index(cast(abs(x) as string), 'E', 1), '.', ''), '^0*', 0))",
+    "js_number_text(x double) returns string": """case when x is null then null when isnan(x) then 'NaN' when x = 0 then '0' else concat(if(x < 0, '-', ''), case when abs(x) = double('infinity') then 'Infinity'
+      when js_point(x) between length(js_digits(x)) and 21 then rpad(js_digits(x), js_point(x), '0') when js_point(x) between 1 and 21 then concat(left(js_digits(x), js_point(x)), '.', substr(js_digits(x), js_point(x) + 1))
+      when js_point(x) between -5 and 0 then concat('0.', repeat('0', -js_point(x)), js_digits(x))
+      else concat(left(js_digits(x), 1), if(length(js_digits(x)) > 1, concat('.', substr(js_digits(x), 2)), ''), 'e', if(js_point(x) > 0, '+', '-'), cast(abs(js_point(x) - 1) as string)) end) end""",
     "excel_divide(a double, b double) returns double": "coalesce(try_divide(a, b), 0)",
 }
 
 
-@udtf(returnType="sheet string, ref string, value string, formula string")
+@udtf(returnType="sheet string, ref string, value string, formula string, error string")
 class OfficeCells:
-    """Cells of a workbook's bytes, a row each: ``select * from files, lateral office_cells(content)``."""
+    """Cells of a workbook's bytes, a row each: ``select * from files, lateral office_cells(content)``; a broken file is one row with its error."""
 
     def eval(self, content: bytes):
-        for _, sheet, ref, kind, raw, held, _, formula in spreadsheets._cells(Package(content)):
-            yield sheet, ref, held if kind in ("s", "inlineStr") else raw, formula
+        try:
+            for _, sheet, ref, kind, raw, held, _, formula in spreadsheets._cells(Package(content)):
+                yield sheet, ref, held if kind in ("s", "inlineStr") else raw, formula, None
+        except Exception as e:
+            yield None, None, None, None, str(e) or type(e).__name__
 
 
-@udtf(returnType="block int, text string")
+@udtf(returnType="block int, text string, error string")
 class OfficeText:
-    """Paragraphs of a document's bytes."""
+    """Paragraphs of a document's bytes; a broken file is one row with its error."""
 
     def eval(self, content: bytes):
-        runs = (r for r in wordprocessing._runs(Package(content)) if r[9] == "text" and not r[12])
-        for (block, *_), held in groupby(runs, key=lambda r: r[:5]):
-            yield block, "".join(r[10] for r in held)
+        try:
+            runs = (r for r in wordprocessing._runs(Package(content)) if r[9] == "text" and not r[12])
+            for (block, *_), held in groupby(runs, key=lambda r: r[:5]):
+                yield block, "".join(r[10] for r in held), None
+        except Exception as e:
+            yield None, None, str(e) or type(e).__name__
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -49,4 +58,4 @@ def register(spark: SparkSession) -> list[str]:
     spark.udtf.register("office_text", OfficeText)
     for head, body in _SQL.items():
         spark.sql(f"create or replace temporary function {head} return {body}")
-    return [h.partition("(")[0] for h in _SQL]
+    return [*(h.partition("(")[0] for h in _SQL), "office_cells", "office_text"]

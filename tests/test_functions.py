@@ -93,9 +93,22 @@ def test_labels(spark):
 
 
 def test_sql_names(spark):
-    assert len(register.register(spark)) == 6
+    assert {"a1_row", "a1_col", "col_letter", "excel_round", "excel_mod", "excel_divide", "js_number_text", "office_cells", "office_text"} <= set(register.register(spark))
     row = spark.sql("select a1_col('$AB$7') c, a1_row('ab7') r, col_letter(703) l, excel_round(-2.5D, 0) x, excel_mod(-7D, 3D) m, excel_divide(1D, 0D) d").collect()[0]
     assert tuple(row) == (28, 7, "AAA", -2.0, 2.0, 0.0)
+    shown = spark.createDataFrame([(x,) for x in (1e-12, 0.000001, -0.0001, 123456789.125, 1e20, 1e21, 0.0, -7.0, 1200.0, 1.25e300)], "x double").select(F.expr("js_number_text(x)").alias("sql"), numbers.number_text(F.col("x")).alias("column")).collect()
+    assert [r.sql for r in shown] == [r.column for r in shown]
+
+
+def test_table_functions(spark):
+    from .test_sources import DOCUMENT, WORKBOOK, package
+
+    register.register(spark)
+    spark.createDataFrame([("b", bytearray(package(WORKBOOK))), ("d", bytearray(package(DOCUMENT)))], "name string, content binary").createOrReplaceTempView("packages")
+    cells = spark.sql("select sheet, ref, value from packages, lateral office_cells(content) where name = 'b' and ref in ('A1', 'D1', 'B7')").collect()
+    assert sorted(map(tuple, cells)) == [("42", "B7", "7"), ("One", "A1", "plain"), ("One", "D1", "1.5")]
+    texts = spark.sql("select block, text from packages, lateral office_text(content) where name = 'd' and text <> ''").collect()
+    assert ("Hello new") in {r.text for r in texts}
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
