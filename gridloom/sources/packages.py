@@ -11,14 +11,31 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes that an entry may have inflated.
-MOST_ENTRY_BYTES = 512 << 20
+#: Bytes that an entry may have inflated; rows of a package that are held before they are handed on.
+MOST_ENTRY_BYTES, HELD = 512 << 20, 50_000
 
 
 class PackageError(ValueError):
     pass
 
 
+class _Bounded:
+    """An entry as it is inflated: no more than ``most`` bytes, and no entities."""
+
+    def __init__(self, held, path: str, most: int):
+        self.held, self.path, self.left, self.tail = held, path, most, b""
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.held.read(n)
+        self.left -= len(data)
+        if self.left < 0:
+            raise PackageError(f"{self.path} is too large")
+        if b"<!DOCTYPE" in (seen := self.tail + data) or b"<!ENTITY" in seen:
+            raise PackageError(f"{self.path} declares entities")
+        self.tail = seen[-9:]
+        return data
+
+
 class Package:
     def __init__(self, data: bytes, most: int = MOST_ENTRY_BYTES):
         try:
@@ -44,6 +61,22 @@ class Package:
             raise PackageError(f"{path} declares entities")
         return ElementTree.fromstring(data)
 
+    def elements(self, path: str, name: str) -> Iterator[ElementTree.Element]:
+        """Elements of a name, one after the other as they are read; each is gone when the next comes."""
+        if path not in self.names:
+            return
+        with self.zip.open(path) as f:
+            open_ = []
+            for event, e in ElementTree.iterparse(_Bounded(f, path, self.most), events=("start", "end")):
+                if event == "start":
+                    open_.append(e)
+                    continue
+                open_.pop()
+                if local(e) == name:
+                    yield e
+                    if open_:
+                        open_[-1].remove(e)
+
     def relations(self, part: str, external: bool = False) -> dict[str, str]:
         """Relationship id -> part path, inside the package only, or also ``external`` targets as they are."""
         folder, name = posixpath.split(part)
@@ -77,7 +110,10 @@ def below(element, name: str) -> Iterator:
 
 
 def read_packages(spark: SparkSession, path: str | DataFrame, glob: str, rows: Callable[[Package], Iterator[tuple]], schema: str, most: int = MOST_ENTRY_BYTES) -> DataFrame:
-    """``file_path``, ``error`` and the rows that ``rows`` yields for each package. A broken package is one row with its error.
+    """``file_path``, ``error`` and the rows that ``rows`` yields for each package.
+
+    A broken package is one row with its error; one of more than ``HELD`` rows, of
+    which some have been handed on when the fault shows, has that row last.
 
     ``path`` is a folder, or a table with the ``path`` and ``content`` of files.
     """
@@ -85,13 +121,22 @@ def read_packages(spark: SparkSession, path: str | DataFrame, glob: str, rows: C
     files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     files = files.select("path", "content")
 
+    def of(file: str, content: bytes) -> Iterator[list[tuple]]:
+        held, handed = [], False
+        try:
+            for r in rows(Package(content, most)):
+                held.append((file, None, *r))
+                if len(held) == HELD:
+                    yield held
+                    held, handed = [], True
+        except Exception as e:  # whatever a broken file does, it costs its own row alone
+            held = (held if handed else []) + [(file, str(e) or type(e).__name__, *[None] * len(names))]
+        yield held
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    found = [(file, None, *r) for r in rows(Package(content, most))]
-                except Exception as e:  # whatever a broken file does, it costs its own row alone
-                    found = [(file, str(e) or type(e).__name__, *[None] * len(names))]
-                yield pd.DataFrame(found, columns=["file_path", "error", *names], dtype=object)
+                for found in of(file, content):
+                    yield pd.DataFrame(found, columns=["file_path", "error", *names], dtype=object)
 
     return files.mapInPandas(work, f"file_path string, error string, {schema}")

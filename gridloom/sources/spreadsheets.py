@@ -30,8 +30,7 @@ def sheets(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 def _cells(package: Package):
     strings = dict(_strings(package))
     for i, name, part in _sheets(package):
-        root = package.xml(part) if part else None
-        for c in below(root, "c") if root is not None else ():
+        for c in (c for row in package.elements(part, "row") for c in row if local(c) == "c") if part else ():
             value, formula, inline = child(c, "v"), child(c, "f"), child(c, "is")
             raw, kind, text = value.text if value is not None else None, c.get("t"), None
             if kind == "s" and raw is not None:

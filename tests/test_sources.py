@@ -146,3 +146,28 @@ def test_relations_and_themes(spark):
     slots = F.array(*[F.lit(c) for c in ("dk1", "lt1", "dk2", "lt2", "a1", "a2")])
     got = spark.range(7).select(packages.theme_color(slots, F.col("id").cast("int")).alias("c")).collect()
     assert [r.c for r in got] == ["lt1", "dk1", "lt2", "dk2", "a1", "a2", None]
+
+
+def test_a_large_sheet_is_streamed(spark, monkeypatch):
+    from gridloom.sources import packages as source
+
+    rows = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c></row>' for r in range(1, 3001))
+    book = dict(WORKBOOK) | {"xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>"}
+    assert [e.get("r") for e in Package(package(book)).elements("xl/worksheets/sheet1.xml", "row")][-1] == "3000"
+    monkeypatch.setattr(source, "HELD", 1000)
+    broken = book | {"xl/worksheets/sheet2.xml": "<worksheet><sheetData><row>"}
+    early = dict(book) | {"xl/worksheets/sheet1.xml": "<worksheet><sheetData><row>"}
+    files = spark.createDataFrame([(n, bytearray(package(b))) for n, b in (("fine", book), ("late", broken), ("early", early))], "path string, content binary")
+    found = spreadsheets.read_packages(spark, files, "*", spreadsheets._cells, "sheet_idx int, sheet string, ref string, t string, raw string, held string, style_index int, formula string")
+    counts = {(r.file_path, r.broken): r["count"] for r in found.groupBy("file_path", F.col("error").isNotNull().alias("broken")).count().collect()}
+    assert counts == {("fine", False): 3001, ("late", False): 3000, ("late", True): 1, ("early", True): 1}
+    with pytest.raises(PackageError, match="entities"):
+        list(Package(package({"a": "<!DOCTYPE a [<!ENTITY b 'c'>]><a><row/></a>"})).elements("a", "row"))
+    with pytest.raises(PackageError, match="large"):
+        list(Package(package({"a": "<a>" + "<row/>" * 100_000 + "</a>"}), most=1000).elements("a", "row"))
+
+
+def test_any_fault_is_one_row(spark):
+    book = dict(WORKBOOK) | {"xl/worksheets/sheet2.xml": '<worksheet><cols><col min="x"/></cols></worksheet>'}
+    files = spark.createDataFrame([("odd", bytearray(package(book)))], "path string, content binary")
+    assert [r.error is not None for r in spreadsheets.dimensions(spark, files).collect()] == [True]
