@@ -12,6 +12,14 @@ def lookup(rows: DataFrame, dimension: DataFrame, on: str, key: str, values: dic
     return found.withColumns({n: F.coalesce(F.col(n), default) for n, default in values.items()}).drop("__key")
 
 
+def with_format(cells: DataFrame, formats: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """``values`` of the format that each cell's ``style_index`` names; where there is no such format, those of format 0."""
+    own = formats.select(*by, "style_index", *[F.col(v).alias(f"__own_{v}") for v in values], F.lit(True).alias("__there"))
+    zero = formats.where("style_index = 0").select(*by, *[F.col(v).alias(f"__zero_{v}") for v in values])
+    joined = cells.join(own, [*by, "style_index"], "left").join(zero, by, "left")
+    return joined.select(*cells.columns, *[F.when(F.col("__there"), F.col(f"__own_{v}")).otherwise(F.col(f"__zero_{v}")).alias(v) for v in values])
+
+
 def resolve_chain(spark: SparkSession, styles: DataFrame, style: str, parent: str, properties: list[str]) -> DataFrame:
     """Each style's own or nearest inherited properties, by a recursive query; a chain ends where a style comes again.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import colors, dates, formats, labels
+from ..functions import a1, colors, dates, formats, labels, numbers
 from ..functions.criteria import text_rule
 from ..functions.values import Value, compare
-from ..operators import charts, documents, grid, references, rules, styles
+from ..operators import charts, documents, grid, packages, references, rules, styles
+from ..sources.charts import with_categories
 from .registry import Registry, table
 
 _r = Registry()
@@ -289,3 +290,70 @@ def cf_text_between(spark, sf_dir):
     """Texts between two others, whatever their case; labels of a chart's axis."""
     t = F.col("p_type")
     return table(spark, sf_dir, "part").select("p_partkey", text_rule(t, "between", "E", "M").alias("inside"), text_rule(t, "notBetween", "E", "M").alias("outside"), labels.truncated(F.col("p_name")).alias("label"), labels.truncated(F.col("p_name"), True).alias("dense"))
+
+
+@_r.query("""
+select c_custkey, not coalesce(c_acctbal > 0, false) as negated, c_mktsegment = 'MACHINERY' as exact_, -c_acctbal as minus, case when c_custkey % 7 = 0 then 0 else c_acctbal / (c_custkey % 7) end as quotient, c_custkey % 100 + 1 as row_, (c_custkey % 30 + 1)::int as col_ from customer
+""")
+def fx_operators(spark, sf_dir):
+    """NOT, EXACT, unary minus, division by zero, ROW and COLUMN of a cell's reference."""
+    k, x = F.col("c_custkey"), F.col("c_acctbal")
+    ref = a1.a1(k % 100 + 1, (k % 30 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", (~Value.of(flag=x > 0).truth()).alias("negated"), (F.col("c_mktsegment") == "MACHINERY").alias("exact_"), F.negative(x).alias("minus"), numbers.divide(x, (k % 7).cast("double")).alias("quotient"),
+        a1.row_number(ref).cast("long").alias("row_"), a1.column_number(ref).alias("col_"),
+    )
+
+
+@_r.query(r"""
+select p_partkey, floor(p_retailprice + 0.5)::bigint as px, p_size / 20.0 as twips, p_size / 2.0 as half_points, p_size * 100 / 12700.0 as emu, case p_size % 4 when 0 then 'image/png' when 1 then 'image/jpeg' else 'application/octet-stream' end as media,
+  case p_size % 3 when 0 then 'justify' when 1 then 'center' else 'left' end as align, 'PAGE' as field, case p_size % 3 when 0 then null when 1 then false else true end as flag, case when p_size % 2 = 0 then 'It''s ' || p_size end as sheet from part
+""")
+def fx_units(spark, sf_dir):
+    """Pixels, points, media types, alignments, fields, toggles, sheets of references."""
+    n = F.col("p_size")
+    reference = F.when(n % 2 == 0, F.concat(F.lit("'It''s "), n.cast("string"), F.lit("'!$A$1:B2"))).otherwise("A1")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", a1.row_pixels(F.col("p_retailprice")).cast("long").alias("px"), a1.twips_to_points(n).alias("twips"), a1.half_points_to_points(n).alias("half_points"), a1.emu_to_points(n * 100).alias("emu"),
+        labels.media_type(F.when(n % 4 == 0, "a/b.PNG").when(n % 4 == 1, "x.jpeg").otherwise("x")).alias("media"), labels.alignment(F.when(n % 3 == 0, "both").when(n % 3 == 1, "center").otherwise("odd")).alias("align"),
+        labels.field_kind(F.lit("  page \\* MERGE")).alias("field"), labels.toggle(n % 3 > 0, F.when(n % 3 == 1, "off")).alias("flag"), a1.sheet_of(reference).alias("sheet"),
+    )
+
+
+@_r.query("""
+with r as (select o_custkey, o_orderkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1) % 6 as k, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // 6 as f from orders)
+select o_custkey, o_orderkey, (f + (k > 0)::int)::bigint as field, case k when 1 then 'code' when 3 then 'result' else 'body' end as part from r where k in (1, 3, 5)
+""")
+def doc_fields(spark, sf_dir):
+    """Complex fields: begin, code, separate, result, end, and a text after each."""
+    t = grid.numbered(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_orderkey"], ["o_custkey"]).withColumn("k", (F.col("row") - 1) % 6)
+    kind = F.when(F.col("k") == 0, "begin").when(F.col("k") == 2, "separate").when(F.col("k") == 4, "end").otherwise("text")
+    return documents.field_results(t.withColumn("kind", kind), ["o_custkey"], "row", "kind", "o_orderkey").select("o_custkey", "o_orderkey", F.col("field").cast("long").alias("field"), "part")
+
+
+@_r.query("""
+with p as (select p_brand as part, p_size % 3 as series, p_size as idx, case when p_size % 3 = 0 and p_size % 2 = 0 then 'c' || p_size when p_size % 5 = 0 then 'own' end as category from part group by all),
+f as (select part, idx, max(category) as first_ from p where series = 0 group by all)
+select p.part, p.series, p.idx, coalesce(p.category, f.first_, (p.idx + 1)::varchar) as category from p left join f on f.part = p.part and f.idx = p.idx
+""")
+def chart_categories(spark, sf_dir):
+    """Categories of a series, else of the chart's first, else 1, 2, ..."""
+    n = F.col("p_size")
+    points = table(spark, sf_dir, "part").select(F.lit("f").alias("file_path"), F.col("p_brand").alias("part"), (n % 3).alias("series"), n.alias("idx"), F.when((n % 3 == 0) & (n % 2 == 0), F.concat(F.lit("c"), n.cast("string"))).when(n % 5 == 0, "own").alias("category")).distinct()
+    return with_categories(points).select("part", "series", "idx", "category")
+
+
+@_r.query("select p_partkey, ([1, 0, 3, 2, 4, 5, 6, 7, 8, 9])[p_size % 10 + 1]::varchar as color from part")
+def lookup_theme_colors(spark, sf_dir):
+    """Theme indices of spreadsheets: the first four slots are swapped in pairs."""
+    slots = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i.cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", packages.theme_color(slots, F.col("p_size") % 10).alias("color"))
+
+
+@_r.query("select c_custkey, c_nationkey as book, case c_custkey % 5 when 1 then 'bold' when 2 then null else 'plain' || c_nationkey end as font from customer")
+def lookup_style_zero(spark, sf_dir):
+    """A style that its book doesn't have is style 0; one without a font has none."""
+    cells = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("book"), (F.col("c_custkey") % 5).cast("int").alias("style_index"))
+    books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("book"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("style_index"))
+    formats_ = books.withColumn("font", F.when(F.col("style_index") == 0, F.concat(F.lit("plain"), F.col("book").cast("string"))).when(F.col("style_index") == 1, "bold"))
+    return styles.with_format(cells, formats_, ["book"], ["font"]).select("c_custkey", "book", "font")

@@ -95,12 +95,20 @@ def _document(nation: str, rows: list[tuple[int, str, str]]) -> bytes:
     })
 
 
-def _deck(rows: list[tuple[int, str]]) -> bytes:
-    """A slide a nation; the presentation lists them by falling key."""
+def _deck(region: int, rows: list[tuple[int, str]]) -> bytes:
+    """A slide a nation, on a layout with a shape of its own; the presentation lists them by falling key. Even nations, even regions' layouts and the master have backgrounds."""
+    back = lambda color: f'<p:bg><p:bgPr><a:solidFill><a:srgbClr val="{color}"/></a:solidFill></p:bgPr></p:bg>'
+    frame = lambda x: f'<p:spPr><a:xfrm><a:off x="{x}" y="3"/><a:ext cx="500" cy="60"/></a:xfrm></p:spPr>'
+    place = lambda kind, x: f'<p:sp><p:nvSpPr><p:cNvPr name="{kind}"/><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr>{frame(x)}</p:sp>'
     parts = {"ppt/presentation.xml": f'<p:presentation xmlns:p="p" xmlns:r="{REL}"><p:sldIdLst>' + "".join(f'<p:sldId r:id="s{k}"/>' for k, _ in sorted(rows, reverse=True)) + "</p:sldIdLst></p:presentation>", "ppt/_rels/presentation.xml.rels": relations(*[(f"s{k}", f"slides/slide{k}.xml") for k, _ in rows])}
+    logo = f'<p:sp><p:nvSpPr><p:cNvPr name="Logo"/></p:nvSpPr>{frame(1)}</p:sp>'
+    parts["ppt/slideLayouts/slideLayout1.xml"] = f'<p:sldLayout xmlns:p="p" xmlns:a="a"><p:cSld>{back("BBBBBB") if region % 2 == 0 else ""}<p:spTree>{logo}{place("title", 11)}</p:spTree></p:cSld></p:sldLayout>'
+    parts["ppt/slideLayouts/_rels/slideLayout1.xml.rels"] = relations(("m", "../slideMasters/slideMaster1.xml"))
+    parts["ppt/slideMasters/slideMaster1.xml"] = f'<p:sldMaster xmlns:p="p" xmlns:a="a"><p:cSld>{back("AAAAAA")}<p:spTree>{place("title", 21)}{place("body", 22)}</p:spTree></p:cSld></p:sldMaster>'
     for k, name in rows:
+        parts[f"ppt/slides/_rels/slide{k}.xml.rels"] = relations(("l", "../slideLayouts/slideLayout1.xml"))
         parts[f"ppt/slides/slide{k}.xml"] = (
-            f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree><p:sp><p:nvSpPr><p:cNvPr name="Title"/><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{escape(name)}</a:t></a:r></a:p></p:txBody></p:sp>'
+            f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld>{back("CCCCCC") if k % 2 == 0 else ""}<p:spTree><p:sp><p:nvSpPr><p:cNvPr name="Title"/><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{escape(name)}</a:t></a:r></a:p></p:txBody></p:sp>'
             f'<p:sp><p:nvSpPr><p:cNvPr name="Body"/><p:nvPr><p:ph idx="1"/></p:nvPr></p:nvSpPr><p:spPr><a:xfrm><a:off x="{k * 100}" y="7"/><a:ext cx="900" cy="80"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>key</a:t></a:r></a:p><a:p><a:pPr lvl="1"><a:buAutoNum type="arabicPeriod"/></a:pPr><a:r><a:t>{k}</a:t></a:r></a:p></p:txBody></p:sp>'
             f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr name="Table"/></p:nvGraphicFramePr><a:tbl><a:tr><a:tc><a:p><a:r><a:t>square</a:t></a:r></a:p></a:tc><a:tc><a:p><a:r><a:t>{k * k}</a:t></a:r></a:p></a:tc></a:tr></a:tbl></p:graphicFrame></p:spTree></p:cSld></p:sld>'
         )
@@ -134,6 +142,6 @@ def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``r<key>.pptx`` of each region's nations."""
 
     def make(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [f"r{int(frame['n_regionkey'].iloc[0])}.pptx"], "content": [_deck(list(zip(frame["n_nationkey"].tolist(), frame["n_name"], strict=True)))]})
+        return pd.DataFrame({"path": [f"r{int(frame['n_regionkey'].iloc[0])}.pptx"], "content": [_deck(int(frame["n_regionkey"].iloc[0]), list(zip(frame["n_nationkey"].tolist(), frame["n_name"], strict=True)))]})
 
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(make, FILES)

@@ -281,8 +281,44 @@ def office_deck_runs(spark, sf_dir):
     return presentations.field_text(presentations.runs(spark, made.decks(spark, sf_dir)).where(_fine)).select("file_path", "slide", "text", "bullet", "mark")
 
 
-@_r.query(_DECKS + "select file_path, slide, (row_number() over (partition by file_path, slide order by shape) - 1)::int as z, shape::int as shape, 1 as source from s, (values (0), (1), (2)) v(shape)")
+@_r.query(_DECKS + "select file_path, slide, z::int as z, shape::int as shape, source::int as source, nm as name from s, (values (0, 0, 0, 'Logo'), (1, 0, 1, 'Title'), (2, 1, 1, 'Body'), (3, 2, 1, 'Table')) v(z, shape, source, nm)")
 def office_drawn(spark, sf_dir):
     """Shapes in the order that they are drawn."""
     decks = made.decks(spark, sf_dir)
-    return presentations.drawn(presentations.slides(spark, decks), presentations.elements(spark, decks)).select("file_path", "slide", "z", "shape", "source")
+    return presentations.drawn(presentations.slides(spark, decks), presentations.elements(spark, decks)).select("file_path", "slide", "z", "shape", "source", "name")
+
+
+@_r.query(_DECKS + "select file_path, slide, case when n_nationkey % 2 = 0 then 'CCCCCC' when n_regionkey % 2 = 0 then 'BBBBBB' else 'AAAAAA' end as color, case when n_nationkey % 2 = 0 then 'slide' when n_regionkey % 2 = 0 then 'layout' else 'master' end as source from s")
+def office_backgrounds(spark, sf_dir):
+    """Background of the slide, else of its layout, else of the master."""
+    decks = made.decks(spark, sf_dir)
+    return presentations.slide_backgrounds(presentations.slides(spark, decks), presentations.backgrounds(spark, decks)).select("file_path", "slide", "color", "source")
+
+
+@_r.query(_DECKS + "select file_path, slide, p as placeholder, case p when 'title' then 11 else n_nationkey * 100 end::bigint as x, case p when 'title' then 500 else 900 end::bigint as w from s, (values ('title'), ('body')) v(p)")
+def office_inherited_positions(spark, sf_dir):
+    """Places of the slides' placeholders, their own or their layout's."""
+    decks = made.decks(spark, sf_dir)
+    return presentations.inherited_positions(presentations.slides(spark, decks), presentations.elements(spark, decks)).select("file_path", "slide", "placeholder", "x", "w")
+
+
+@_r.query(_ROWS + "select 'n0.xlsx' as file_path, 'customers,segments' as available where false union all select file_path, 'customers,segments' from b")
+def office_missing_sheet(spark, sf_dir):
+    """Books without the asked sheet, and what they have."""
+    found = tools.xlsx_missing_sheet(spark, made.workbooks(spark, sf_dir), "no such sheet")
+    return found.select("file_path", F.array_join("available", ",").alias("available"))
+
+
+@_r.query(_ROWS + "select file_path, 'D' || r as ref, regexp_replace(c_acctbal::varchar, '\\.0$', '') as text from c")
+def office_cell_texts(spark, sf_dir):
+    """Texts of number cells, in their shortest digits."""
+    return spreadsheets.cells(spark, made.workbooks(spark, sf_dir)).where("sheet_idx = 0 and col = 4 and row > 1").select("file_path", "ref", tools.shown().alias("text"))
+
+
+@_r.query(_ROWS + "select file_path, i as id, t as part from b, (values ('r1', 'xl/worksheets/sheet1.xml'), ('r2', 'xl/worksheets/sheet2.xml')) v(i, t)")
+def office_targets(spark, sf_dir):
+    """Parts that a workbook's relationships lead to."""
+    found = parts.relations(spark, made.workbooks(spark, sf_dir)).where(f"{_fine} and part = 'xl/workbook.xml'").select("file_path", "id", "target")
+    asked = found.select("file_path", "id", F.lit("xl").alias("folder"))
+    raw = found.withColumn("target", F.regexp_replace("target", "^xl/", ""))
+    return lookups.targets(asked, raw, ["file_path"], "id", "folder").select("file_path", "id", "part")

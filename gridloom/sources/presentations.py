@@ -167,6 +167,30 @@ def drawn(slides_: DataFrame, elements_: DataFrame) -> DataFrame:
     return layout.unionByName(own).withColumn("z", z)
 
 
+def _backgrounds(package: Package):
+    for part in sorted(n for n in package.names if n.startswith("ppt/slide") and n.endswith(".xml")):
+        held = next(below(package.xml(part), "bg"), None)
+        props = next((e for e in held if local(e) in ("bgPr", "bgRef")), None) if held is not None else None
+        if props is not None:
+            yield part, *(_paint(props) if local(props) == "bgPr" else ("reference", next((attribute(c, "val") for c in props), None)))
+
+
+def backgrounds(spark: SparkSession, path: str) -> DataFrame:
+    """Fills of the slides, layouts and masters that have a background."""
+    return read_packages(spark, path, "*.pptx", _backgrounds, "part string, fill string, color string")
+
+
+def slide_backgrounds(slides_: DataFrame, backgrounds_: DataFrame) -> DataFrame:
+    """``fill, color, source`` of each slide: its own background, else the layout's, else the master's."""
+    out = slides_.where("error is null")
+    held = backgrounds_.where("error is null")
+    for source, part in (("slide", "part"), ("layout", "layout"), ("master", "master")):
+        found = held.select("file_path", F.col("part").alias(part), F.struct("fill", "color", F.lit(source).alias("source")).alias(f"__{source}"))
+        out = out.join(found, ["file_path", part], "left")
+    first = F.coalesce("__slide", "__layout", "__master")
+    return out.select("file_path", "slide", first["fill"].alias("fill"), first["color"].alias("color"), first["source"].alias("source"))
+
+
 def _diagrams(package: Package):
     for part in sorted(n for n in package.names if n.startswith("ppt/diagrams/drawing") and n.endswith(".xml")):
         digits = "".join(c for c in part.rpartition("/")[2] if c.isdigit())

@@ -50,6 +50,14 @@ def xlsx_get_sheet_names(spark: SparkSession, path: str) -> DataFrame:
     return xlsx_parse(spark, path).select("file_path", "sheet_idx", "name")
 
 
+def xlsx_missing_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """Files that lack a sheet, with the ``available`` ones in order."""
+    sheets = xlsx_parse(spark, path)
+    held = F.array_sort(F.collect_list(F.struct("sheet_idx", "name")))
+    found = sheets.groupBy("file_path").agg(F.transform(held, lambda s: s["name"]).alias("available"), F.bool_or(spreadsheets.is_sheet(sheet, "name")).alias("__there"))
+    return found.where(~F.col("__there")).drop("__there")
+
+
 def xlsx_get_sheet_dimensions(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """``max_row, max_col, max_col_letter``; zeros for a sheet without cells."""
     chosen = spreadsheets.resolve_sheet(xlsx_parse(spark, path), sheet).select("file_path", "sheet_idx", F.col("name").alias("sheet"))
