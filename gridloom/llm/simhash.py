@@ -274,7 +274,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col:
     prints, rooted = _candidates(fingerprints(docs, size, LANES, False, id_col, text_col), lambda n: similarity_grid(n, similarity))
     order = _order()
     sets = stage(prints.join(rooted.select("point", "root"), "point").groupBy("root", "shingles").agg(F.min(order).alias("least")), "sets")
-    several = sets.groupBy("root").count().where("count > 1").select("root", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks"))
+    # Written first: the join's sides then come straight from shuffles, and Spark can split a hot group.
+    several = stage(sets.groupBy("root").count().where("count > 1").select("root", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")), "several")
     asked = sets.join(several, "root").select("root", "shingles", "blocks", F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
@@ -304,7 +305,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col:
     edges = map_columns(rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high"), verify, "a long, b long")
     heads = components(edges).select(F.col("node").alias("shingles"), F.col("root").alias("head"))
     linked = sets.join(heads, "shingles", "left").select("shingles", "least", F.coalesce("head", "shingles").alias("head"))
-    firsts = linked.groupBy("head").agg(F.min("least").alias("__first"))
+    linked = stage(linked, "linked")
+    firsts = stage(linked.groupBy("head").agg(F.min("least").alias("__first")), "firsts")
     classes = linked.join(firsts, "head").select("shingles", "__first")
     return prints.join(classes, "shingles").select("doc_id", "text_hash", F.col("__first.doc_id").alias("component_id"), (order == F.col("__first")).alias("first"))
 
@@ -363,7 +365,7 @@ def _candidates(found: DataFrame, grid_for) -> tuple[DataFrame, DataFrame]:
 def _linked(found: DataFrame, grid_for) -> DataFrame:
     prints, rooted = _candidates(found, grid_for)
     names, order = [n for n in prints.columns if n.startswith("fp")], _order()
-    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    firsts = stage(rooted.groupBy("root").agg(F.min("least").alias("first")), "firsts")
     classes = rooted.join(firsts, "root").select("point", F.col("first").alias("__first"))
     return prints.join(classes, "point").select("doc_id", "text_hash", *names, F.col("__first.doc_id").alias("component_id"), (order == F.col("__first")).alias("first"))
 
