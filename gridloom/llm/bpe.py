@@ -14,9 +14,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; it starts anew beyond that, with the same results.
 REMEMBERED = 400_000
@@ -109,9 +111,7 @@ class SentenceTokenizer:
         self.size = self.inner.get_piece_size()
         pieces = map(self.inner.id_to_piece, range(self.size))
         plain = self.inner.normalize(PROBES) == SPACE + PROBES.replace(" ", SPACE)
-        self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.by_word = plain and all(SPACE not in p.lstrip(SPACE) for p in pieces)
-        self._ids: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.inner.encode(texts, num_threads=1) if texts else []
@@ -120,21 +120,29 @@ class SentenceTokenizer:
         return [len(x) for x in self.ids(texts)]
 
     def ids(self, texts: list[str], kind=np.uint16) -> list[np.ndarray]:
-        out, known = [], self._ids
-        for at in range(0, len(texts), 64):
-            words = [self._words(t) for t in texts[at : at + 64]]
-            seen = set().union(*words)
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list(seen.difference(known))
-            found = self.encode(new)
-            flat = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()
-            stops = [self.dtype.itemsize * n for n in accumulate(map(len, found), initial=0)]
-            known.update(zip(new, map(flat.__getitem__, map(slice, stops, stops[1:])), strict=True))
-            out += [np.frombuffer(b"".join(map(known.__getitem__, w)), self.dtype).astype(kind, copy=False) for w in words]
-        return out
-
-    def _words(self, text: str) -> list[str]:
-        """What is encoded on its own: the words behind single spaces, or the text."""
-        apart = self.by_word and "  " not in text and SPACE not in text and text[:1] != " " and text[-1:] != " "
-        return text.split(" ") if apart else [text]
+        """Each distinct word of the texts is encoded once."""
+        apart = [i for i, t in enumerate(texts) if self._apart(t)]
+        out = dict(zip(apart, self._by_word([texts[i] for i in apart], kind), strict=True))
+        rest = [i for i in range(len(texts)) if i not in out]
+        for at in range(0, len(rest), 64):
+            some = rest[at : at + 64]
+            out |= zip(some, (np.array(x, kind) for x in self.encode([texts[i] for i in some])), strict=True)
+        return [out[i] for i in range(len(texts))]
+
+    def _by_word(self, texts: list[str], kind) -> list[np.ndarray]:
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        found, at = self.encode(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), kind, int(sizes.sum()))
+        first, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        stops = np.cumsum(many)
+        taken = ids[np.arange(len(at) and stops[-1]) + np.repeat(first - stops + many, many)]
+        ends = np.r_[0, stops][split.offsets.to_numpy()]
+        return np.split(taken, ends[1:-1])
+
+    def _apart(self, text: str) -> bool:
+        """Whether the words behind single spaces make up the text."""
+        return self.by_word and "  " not in text and SPACE not in text and text[:1] != " " and text[-1:] != " "

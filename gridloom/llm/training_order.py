@@ -36,6 +36,8 @@ from . import bpe
 from .shared import file_system, map_columns, settle, stage, stage_path, texts, write_whole
 
 LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
+#: Texts that are tokenised together: words that recur among them are encoded once.
+TOGETHER = 4000
 #: Records in a batch, of which those of one shard travel together.
 GATHERED = 8000
 
@@ -94,7 +96,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_token: int, length: int = L
             yield rows([(np.concatenate(open_), open_ids)])
 
     asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_columns(asked, work, f"split int, number long, n_tokens int, doc_ids array<{kind}>, ids binary")
+    return map_columns(asked, work, f"split int, number long, n_tokens int, doc_ids array<{kind}>, ids binary", TOGETHER)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, end_token: int, length: int = LENGTH, key: bytes = b"order", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -139,7 +141,7 @@ def gathered(rows: DataFrame, per_shard: int) -> DataFrame:
             yield {
                 "shard": [int(slots[part[0]]) // per_shard for part in parts], "slots": [slots[part] for part in parts],
                 "n_tokens": pick(b["n_tokens"].to_pylist()), "doc_ids": pick(b["doc_ids"].to_pylist()),
-                "blob": [zstandard.compress(b"".join(ids[i] for i in part.tolist())) for part in parts],
+                "blob": [zstandard.compress(b"".join(ids[i] for i in part.tolist()), 1) for part in parts],
             }
 
     return map_columns(rows, work, f"shard long, slots array<long>, n_tokens array<int>, doc_ids array<{kind}>, blob binary", GATHERED)
