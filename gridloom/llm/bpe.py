@@ -137,9 +137,12 @@ class SentenceTokenizer:
         found, at = self.encode(coded.dictionary.to_pylist()), coded.indices.to_numpy()
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), kind, int(sizes.sum()))
-        first, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        many = sizes[at]
         stops = np.cumsum(many)
-        taken = ids[np.arange(len(at) and stops[-1]) + np.repeat(first - stops + many, many)]
+        # Each word's ids stand where its first does; the others follow.
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - stops + many, many)
+        place += np.arange(len(place))
+        taken = ids[place]
         ends = np.r_[0, stops][split.offsets.to_numpy()]
         return np.split(taken, ends[1:-1])
 

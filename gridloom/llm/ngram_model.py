@@ -37,10 +37,10 @@ BASE, BITS, PROBES = 1.5, 8, 4
 #: Weight of the lower order, in words.
 KAPPA = 8.0
 #: Tokens that are counted together; bytes of text that a slice stands for.
-CHUNK, SLICE = 4_000_000, 16 << 20
+CHUNK, SLICE = 1_500_000, 8 << 20
 #: The end token; no word is a line feed.
 END = xxhash.xxh64_intdigest(b"\n")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _CHUNK_BITS = 20
 _G = np.uint64(0x9E3779B97F4A7C15)
 #: n-grams of two words are kept by 48 bits, so that sorted differences fit 32 bits.

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers; it starts anew beyond that, with the same results.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: What is stripped from a word's ends before it is hashed; a word of nothing else hashes to 0.
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»¿¡„“”‘’…–—"
 
