@@ -1,4 +1,4 @@
-"""Queries over packages made of the test tables: every reader and query tool against SQL over the tables themselves."""
+"""Queries over packages made of the test tables: most readers and query tools against SQL over the tables themselves."""
 
 from __future__ import annotations
 
