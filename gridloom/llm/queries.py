@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixture, ngram_model, repeats, secrets, simhash, spotsigs, token_counts, training_order
+from . import decontaminate, language, mixture, ngram_model, repeats, secrets, simhash, spotsigs, token_counts, training_order, vector_codes
 from .shared import crc_remainder, documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -93,11 +93,58 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(embeddings(spark, sf_dir))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_sql() -> str:
+    """The rounds as one query: parts as rows, each round's codebooks from the one before."""
+    rounds = []
+    for k in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""
+near{k} as materialized (
+  select vec_id, p.part, p.x, arg_min(b.entry, (list_sum(list_transform(list_zip(p.x, b.y), z -> (z[1] - z[2]) * (z[1] - z[2])))::hugeint * 16 + b.entry)) as entry,
+         (min(list_sum(list_transform(list_zip(p.x, b.y), z -> (z[1] - z[2]) * (z[1] - z[2])))::hugeint * 16 + b.entry) // 16)::bigint as distance
+  from pieces p join book{k} b on p.part = b.part group by all)""")
+        if k < vector_codes.ROUNDS:
+            rounds.append(f"""
+book{k + 1} as materialized (
+  select b.part, b.entry, coalesce(m.y, b.y) as y
+  from book{k} b left join (
+    select part, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by at) as y
+    from (select part, entry, at, sum(v)::hugeint as s, count(*)::hugeint as n
+          from (select part, entry, unnest(x) as v, unnest(range(len(x))) as at from near{k}) group by all)
+    group by all) m on b.part = m.part and b.entry = m.entry)""")
+    last = vector_codes.ROUNDS
+    return f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, x -> floor(4096 * x::double)::bigint) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+pieces as materialized (
+  select vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] as x from kept, range(8) t(part)),
+book0 as materialized (
+  select part, entry, x as y from pieces join (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept) using (vec_id) where entry < 16),
+{",".join(rounds)},
+coded as (
+  select vec_id, string_agg(format('{{:02x}}', entry), '' order by part) as code, sum(distance)::bigint as error from near{last} group by vec_id),
+named as (
+  select sha256(string_agg(array_to_string(y, ','), ',' order by part, entry)) as codebooks_sha256 from book{last})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join kept using (vec_id), named
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repeated_strings, op2_token_counts, op3_benchmark_leaks, op4_source_mixture, op5_secret_scan,
         op6_simhash_groups, op7_training_order, op8_model_scores, op9_spot_signatures, op10_language,
+        op11_vector_codes,
     )
 }
-ORACLE_SQL = {"op4_source_mixture": OP4_SQL}
+ORACLE_SQL = {"op4_source_mixture": OP4_SQL, "op11_vector_codes": _op11_sql()}
