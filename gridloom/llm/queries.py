@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixture, ngram_model, repeats, secrets, simhash, spotsigs, token_counts, training_order, vector_codes
+from . import decontaminate, language, mixture, neighbours, ngram_model, repeats, secrets, simhash, spotsigs, token_counts, training_order, vector_codes
 from .shared import crc_remainder, documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -108,23 +108,23 @@ def _op11_sql() -> str:
     for k in range(vector_codes.ROUNDS + 1):
         rounds.append(f"""
 near{k} as materialized (
-  select vec_id, p.part, p.x, arg_min(b.entry, (list_sum(list_transform(list_zip(p.x, b.y), z -> (z[1] - z[2]) * (z[1] - z[2])))::hugeint * 16 + b.entry)) as entry,
-         (min(list_sum(list_transform(list_zip(p.x, b.y), z -> (z[1] - z[2]) * (z[1] - z[2])))::hugeint * 16 + b.entry) // 16)::bigint as distance
+  select vec_id, p.part, p.x, arg_min(b.entry, (list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.x, b.y)])::hugeint * 16 + b.entry)) as entry,
+         (min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.x, b.y)])::hugeint * 16 + b.entry) // 16)::bigint as distance
   from pieces p join book{k} b on p.part = b.part group by all)""")
         if k < vector_codes.ROUNDS:
             rounds.append(f"""
 book{k + 1} as materialized (
   select b.part, b.entry, coalesce(m.y, b.y) as y
   from book{k} b left join (
-    select part, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by at) as y
-    from (select part, entry, at, sum(v)::hugeint as s, count(*)::hugeint as n
-          from (select part, entry, unnest(x) as v, unnest(range(len(x))) as at from near{k}) group by all)
+    select part, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by place) as y
+    from (select part, entry, place, sum(v)::hugeint as s, count(*)::hugeint as n
+          from (select part, entry, unnest(x) as v, unnest(range(len(x))) as place from near{k}) group by all)
     group by all) m on b.part = m.part and b.entry = m.entry)""")
     last = vector_codes.ROUNDS
     return f"""
 with kept as (
-  select vec_id, label, list_transform(embedding, x -> floor(4096 * x::double)::bigint) as v
-  from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, label, [floor(4096 * x::double)::bigint for x in embedding] as v
+  from embeddings where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 pieces as materialized (
   select vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] as x from kept, range(8) t(part)),
 book0 as materialized (
@@ -139,12 +139,28 @@ from coded join kept using (vec_id), named
 """
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
+
+
+OP12_SQL = """
+with kept as (
+  select vec_id, [x::double for x in embedding] as v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x != 0]) > 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v) as score
+  from kept q join kept c on q.vec_id != c.vec_id where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify rank <= 20
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repeated_strings, op2_token_counts, op3_benchmark_leaks, op4_source_mixture, op5_secret_scan,
         op6_simhash_groups, op7_training_order, op8_model_scores, op9_spot_signatures, op10_language,
-        op11_vector_codes,
+        op11_vector_codes, op12_nearest_neighbours,
     )
 }
-ORACLE_SQL = {"op4_source_mixture": OP4_SQL, "op11_vector_codes": _op11_sql()}
+ORACLE_SQL = {"op4_source_mixture": OP4_SQL, "op11_vector_codes": _op11_sql(), "op12_nearest_neighbours": OP12_SQL}
