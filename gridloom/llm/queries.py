@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixture, neighbours, ngram_model, repeats, secrets, simhash, spotsigs, token_counts, training_order, vector_codes
+from . import collocations, decontaminate, language, mixture, neighbours, ngram_model, repeats, secrets, simhash, spotsigs, token_counts, training_order, vector_codes
 from .shared import crc_remainder, documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -155,12 +155,49 @@ from scored qualify rank <= 20
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+with pieces as materialized (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+        from documents)),
+f1 as materialized (select lang, p, count(*)::hugeint as f from (select lang, unnest(w) as p from pieces) group by all),
+f2 as materialized (
+  select lang, x, y, count(*)::hugeint as f from (select lang, w[i] as x, w[i + 1] as y from (select lang, w, unnest(range(1, len(w))) as i from pieces)) group by all having count(*) >= 10),
+f3 as materialized (
+  select lang, x, y, z, count(*)::hugeint as f
+  from (select lang, w[i] as x, w[i + 1] as y, w[i + 2] as z from (select lang, w, unnest(range(1, len(w) - 1)) as i from pieces)) group by all having count(*) >= 10),
+longer as (select lang, x, y, max(f) as f from (select lang, x, y, f from f3 union all select lang, y, z, f from f3) group by all),
+two as (
+  select f2.lang, f2.x || ' ' || f2.y as phrase, f2.f as a, l.f as l, r.f as r, 1000000 * f2.f * f2.f // (l.f * r.f) as score
+  from f2 join f1 l on l.lang = f2.lang and l.p = f2.x join f1 r on r.lang = f2.lang and r.p = f2.y
+  left join longer g on g.lang = f2.lang and g.x = f2.x and g.y = f2.y
+  where g.f is null or 100 * g.f < 50 * f2.f),
+cuts as (
+  select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z as phrase, f3.f as a, 1 as k, l.f as l, r.f as r
+  from f3 join f1 l on l.lang = f3.lang and l.p = f3.x join f2 r on r.lang = f3.lang and r.x = f3.y and r.y = f3.z
+  union all
+  select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, 2, l.f, r.f
+  from f3 join f2 l on l.lang = f3.lang and l.x = f3.x and l.y = f3.y join f1 r on r.lang = f3.lang and r.p = f3.z),
+three as (
+  select lang, phrase, a, l, r, 1000000 * a * a // (l * r) as score
+  from cuts qualify row_number() over (partition by lang, phrase order by 1000000 * a * a // (l * r), k) = 1),
+sizes as (select lang, sum(f)::bigint as n from f1 group by lang)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from (from two union all from three) join sizes using (lang) qualify rank <= 2000
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repeated_strings, op2_token_counts, op3_benchmark_leaks, op4_source_mixture, op5_secret_scan,
         op6_simhash_groups, op7_training_order, op8_model_scores, op9_spot_signatures, op10_language,
-        op11_vector_codes, op12_nearest_neighbours,
+        op11_vector_codes, op12_nearest_neighbours, op13_collocations,
     )
 }
-ORACLE_SQL = {"op4_source_mixture": OP4_SQL, "op11_vector_codes": _op11_sql(), "op12_nearest_neighbours": OP12_SQL}
+ORACLE_SQL = {"op4_source_mixture": OP4_SQL, "op11_vector_codes": _op11_sql(), "op12_nearest_neighbours": OP12_SQL, "op13_collocations": OP13_SQL}
