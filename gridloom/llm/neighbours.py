@@ -59,9 +59,13 @@ def entries(kept: DataFrame, id_column: str, column: str, k: int) -> DataFrame:
     return first.groupBy("v").agg(F.sort_array(F.collect_list("i")).alias("ids"))
 
 
-def cells(kept: DataFrame, column: str) -> np.ndarray:
-    """Centres of a k-means over a bounded sample."""
-    rows = kept.select(column, F.xxhash64(column).alias("h")).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).collect()
+def cells(kept: DataFrame, column: str, count: int) -> np.ndarray:
+    """Centres of a k-means over a bounded sample; a threshold of the hash keeps what tasks send in proportion to it."""
+    h = F.xxhash64(column)
+    share = min(1 << 30, (1 << 30) * 2 * SAMPLE // count + 1)
+    rows = kept.select(column, h.alias("h")).where(F.pmod(h, F.lit(1 << 30)) < share).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).collect()
+    if not rows:  # few different vectors, none below the threshold
+        rows = kept.select(column).limit(1).collect()
     x = np.array([r[0] for r in rows], dtype=np.float64)
     centres = x[:CELLS].copy()
     for _ in range(ROUNDS):
@@ -249,7 +253,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, id_column: str = "vec_id", co
     asked = kept.where(is_query)
     count, questions = kept.count(), asked.count()
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    centres = cells(kept, column)
+    centres = cells(kept, column, count)
     parts = max(1, min(4 * least, count // BLOCK), count // (16 * BLOCK))
     root = build(kept, centres, k, id_column, column, parts)
     tasks = max(1, min(2 * least, questions // 32), questions // CHUNK)
