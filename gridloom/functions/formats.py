@@ -1,8 +1,10 @@
-"""Number and date formats: a format code becomes one Column expression when the plan is made.
+"""Number and date formats.
 
-The code's sections, digits and literals are read once on the driver; rows never
-see the code. Sections are positive;negative;zero;text, and the negative section
-gets the absolute value.
+A code that is known when the plan is made becomes one Column expression: its
+sections, digits and literals are read once on the driver, and rows never see it.
+Codes that are data are compiled by :mod:`.format_codes`, each distinct one once, with
+the same results. Sections are positive;negative;zero;text, and the negative
+section gets the absolute value.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import dates, eras
+from . import dates, eras, format_codes
 
 # Formats of the built-in ids.
 BUILTIN = {
@@ -24,22 +26,23 @@ BUILTIN = {
     37: "#,##0;(#,##0)", 38: "#,##0;(#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;(#,##0.00)", 49: "@",
 }
 
-_TOKEN = re.compile(r'"([^"]*)"|\\(.)|\[([^\]]*)\]|_.|\*.|([#0?]+(?:,[#0?]+)*(?:\.[#0?]+)?(?:E[+-]0+)?)|(%)|(@)|(.)', re.S)
-_DATE = re.compile(r'AM/PM|A/P|\[h+\]|\[m+\]|\[s+\]|\[[^\]]*\]|y+|m+|d+|h+|s+|g+|e+|aaaa?|"[^"]*"|\\.|.', re.S | re.I)
+_TOKEN = re.compile(r'"([^"]*)"?|\\(.)|\[([^\]]*)\]?|_.|\*.|(General)|([#0?.,]+)|(%)|(@)|(E[+-]0*)|(.)', re.S | re.I)
+_DATE = re.compile(format_codes.DATE)
 
 
 def is_date(code: str) -> bool:
-    plain = re.sub(r'"[^"]*"|\\.', "", code)
-    return bool(re.search(r"[yd]|aaa|\[h+\]", plain, re.I)) or bool(re.search(r"h+:m+|AM/PM", plain, re.I))
+    """Elapsed parts, years, days, weekdays, halves of a day, or times; what is quoted, escaped or in brackets otherwise doesn't count."""
+    plain = re.sub(format_codes.PLAIN, "", code, flags=re.S)
+    return bool(re.search(r"\[(h+|m+|s+)\]", code, re.I) or re.search(r"[yd]|aaa|AM/PM|A/P|h+:m+|m+:s+", plain, re.I))
 
 
 def sections(code: str) -> list[str]:
-    return re.findall(r'((?:"[^"]*"|\\.|[^;])*)(?:;|$)', code)[: code.count(";") + 1]
+    return re.split(format_codes.BETWEEN, code)
 
 
 def format_value(x: Column, code: str) -> Column:
-    """A number under a format code."""
-    if code == "General":
+    """A number under a format code; a minus that no section gives is left out before zeros."""
+    if code.strip().lower() == "general":
         from .numbers import number_text
 
         return number_text(x)
@@ -48,7 +51,8 @@ def format_value(x: Column, code: str) -> Column:
     parts = sections(code)
     positive = _section(F.abs(x), parts[0])
     if len(parts) == 1:
-        return F.concat(F.when(x < 0, "-").otherwise(""), positive)
+        nothing = ~positive.rlike("[1-9]") if any(m[3] or m[4] for m in _TOKEN.findall(code)) else F.lit(False)
+        return F.concat(F.when((x < 0) & ~nothing, "-").otherwise(""), positive)
     out = F.when(x < 0, _section(F.abs(x), parts[1])).otherwise(positive)
     return F.when(x == 0, _section(x, parts[2])).otherwise(out) if len(parts) > 2 else out
 
@@ -58,7 +62,7 @@ def text_section(text: Column, code: str) -> Column:
     parts = sections(code)
     if len(parts) < 4:
         return text
-    pieces = [text if at else F.lit(quoted or escaped or digits or sign or other) for quoted, escaped, _, digits, sign, at, other in _TOKEN.findall(parts[3]) if at or quoted or escaped or digits or sign or other]
+    pieces = [text if m[6] else F.lit("".join(m)) for m in _TOKEN.findall(parts[3]) if "".join(m) and not m[2]]
     return F.concat(*pieces) if pieces else F.when(text.isNotNull(), "")
 
 
@@ -68,20 +72,13 @@ def effective(rule: Column, style: Column, number_id: Column) -> Column:
     return F.coalesce(rule, style, F.try_element_at(builtin, number_id), F.lit("General"))
 
 
-#: Distinct codes of a table; a workbook has far fewer.
-MOST_CODES = 5000
-
-
 def formatted(cells: DataFrame, code: str, num: str, text: str) -> DataFrame:
-    """``shown``: numbers and texts under the code of their cell. A code is compiled once; rows carry no format work but their own."""
-    codes = sorted(r[0] for r in cells.select(code).where(F.col(code).isNotNull()).distinct().limit(MOST_CODES + 1).collect())
-    if len(codes) > MOST_CODES:
-        raise ValueError(f"more than {MOST_CODES} format codes")
-    shown = F
-    for c in codes:
-        shown = shown.when(F.col(code) == c, F.when(F.col(num).isNotNull(), format_value(F.col(num), c)).otherwise(text_section(F.col(text), c)))
-    plain = F.coalesce(format_value(F.col(num), "General"), F.col(text))
-    return cells.withColumn("shown", shown.otherwise(plain) if codes else plain)
+    """``shown``: numbers and texts under the code of their cell. Each distinct code is compiled once and joined to its cells."""
+    held = cells.withColumns({"__code": F.col(code), "__num": F.col(num).cast("double"), "__text": F.col(text)})
+    specs = held.select("__code").where("__code is not null").distinct().select(F.col("__code").alias("__of"), F.expr(format_codes.compiled("__code")).alias("__spec"))
+    joined = held.join(specs, F.col("__code") == F.col("__of"), "left")
+    shown = F.coalesce(F.expr(format_codes.shown("__num", "__spec")), F.expr(format_codes.shown_text("__text", "__spec")))
+    return joined.select(*[F.col(c) for c in cells.columns], shown.alias("shown"))
 
 
 def chart_value(x: Column, code: str | None) -> Column:
@@ -117,31 +114,52 @@ def chart_date(n: Column, code: str) -> Column:
 
 
 def _section(x: Column, section: str) -> Column:
-    pieces, percent = [], section.count("%") - len(re.findall(r'"[^"]*%[^"]*"', section))
+    tokens = _TOKEN.findall(section)
+    percent = sum(bool(m[5]) for m in tokens)
     if percent:
         x = x * float(100**percent)
-    for quoted, escaped, bracket, digits, sign, at, other in _TOKEN.findall(section):
+    spec, exponent = "".join(m[4] for m in tokens), next((m[7] for m in tokens if m[7]), "")
+    pieces, done = [], False
+    for quoted, escaped, bracket, general, digits, sign, at, power, other in tokens:
         if digits:
-            pieces.append(_digits(x, digits))
+            if not done:
+                pieces.append(_digits(x, spec, exponent))
+            done = True
+        elif general:
+            pieces.append(format_value(x, "General"))
+        elif power:
+            pieces.append(_exponent(x, spec, exponent))
         elif bracket.startswith("$"):
             pieces.append(F.lit(bracket[1:].split("-")[0]))
-        else:
+        elif not bracket:
             literal = quoted or escaped or sign or at or other
             if literal:
                 pieces.append(F.lit(literal))
     return F.concat(*pieces) if pieces else F.lit("")
 
 
-def _digits(x: Column, spec: str) -> Column:
-    body, _, exponent = spec.partition("E")
-    whole, _, fraction = body.partition(".")
-    least = max(1, whole.count("0")) if "0" in whole else 1
+def _split(spec: str) -> tuple[str, int]:
+    """What stands before the point, and the digits after it."""
+    whole, _, fraction = spec.partition(".")
+    return whole, len(re.match(r"[0#?]*", fraction)[0])
+
+
+def _power(x: Column, decimals: int) -> Column:
+    power = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")
+    return power + F.when(F.round(x / F.pow(F.lit(10.0), power), decimals) >= 10, 1).otherwise(0)
+
+
+def _digits(x: Column, spec: str, exponent: str) -> Column:
+    whole, decimals = _split(spec)
     if exponent:
-        power = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")
-        power = power + F.when(F.round(x / F.pow(F.lit(10.0), power), len(fraction)) >= 10, 1).otherwise(0)
-        sign = F.when(power < 0, "-").otherwise("+" if exponent[0] == "+" else "")
-        return F.concat(_fixed(x / F.pow(F.lit(10.0), power), len(fraction), least, False), F.lit("E"), sign, F.lpad(F.abs(power).cast("string"), len(exponent) - 1, "0"))
-    return _fixed(x, len(fraction), least, "," in whole)
+        return _fixed(x / F.pow(F.lit(10.0), _power(x, decimals)), decimals, 1, False)
+    return _fixed(x, decimals, max(1, whole.count("0")), "," in spec and bool(re.search("[#0]", spec)))
+
+
+def _exponent(x: Column, spec: str, exponent: str) -> Column:
+    power = _power(x, _split(spec)[1])
+    digits = F.abs(power).cast("string")
+    return F.concat(F.lit("E"), F.when(power < 0, "-").otherwise("+" if exponent[1] == "+" else ""), F.lpad(digits, F.greatest(F.length(digits), F.lit(len(exponent) - 2)), F.lit("0")))
 
 
 def _fixed(x: Column, decimals: int, least: int, thousands: bool) -> Column:
@@ -157,50 +175,74 @@ def _fixed(x: Column, decimals: int, least: int, thousands: bool) -> Column:
 
 
 def format_date(n: Column, code: str) -> Column:
-    """A serial under a date code; ``m`` next to hours or seconds is minutes."""
-    tokens = _DATE.findall(code)
-    day = dates.from_serial(n)
-    seconds = F.floor((n - F.floor(n)) * 86400 + 0.5).cast("long")
-    half = any(t.upper() in ("AM/PM", "A/P") for t in tokens)
-    hour = F.floor(seconds / 3600) % 24
-    shown = F.when(hour % 12 == 0, 12).otherwise(hour % 12) if half else hour
-    pad = lambda c, width: F.lpad(c.cast("string"), width, "0") if width > 1 else c.cast("string")
-    pieces, before = [], ""
-    for i, t in enumerate(tokens):
-        low, kind = t.lower(), t[0].lower()
-        after = next((u[0].lower() for u in tokens[i + 1 :] if u[0].lower() in "ymdhs"), "")
-        if low in ("am/pm", "a/p"):
+    """A serial under a date code. All parts come from the same milliseconds, so a time never rounds into another day.
+
+    ``m`` after hours, or right before ``:s``, is minutes. Elapsed hours, minutes and seconds count on beyond a day.
+    """
+    tokens = [m[0] for m in _DATE.finditer(sections(code)[0])]
+    signs = [_sign(t) for t in tokens]
+    ms = F.round(n.cast("double") * 86_400_000.0).cast("long")
+    day = F.date_add(F.lit(dates.EPOCH).cast("date"), F.floor(ms / 86_400_000).cast("int"))
+    left, total = F.pmod(ms, F.lit(86_400_000)), F.floor(F.abs(ms) / 1000)
+    seconds = F.floor(left / 1000)
+    half = "p" in signs
+    hour = F.floor(seconds / 3600)
+    clock = F.when(hour % 12 == 0, 12).otherwise(hour % 12) if half else hour
+
+    def pad(c: Column, width: int) -> Column:
+        digits = c.cast("string")
+        return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")) if width > 1 else digits
+
+    pieces, after_hour = [], False
+    for i, (t, sign) in enumerate(zip(tokens, signs, strict=True)):
+        width = len(t)
+        if sign == "m" and (after_hour or re.match("b*:b*s", "".join(signs[i + 1 :]), re.I)):
+            pieces.append(pad(F.floor(seconds / 60) % 60, min(width, 2)))
+        elif sign == "m":
+            name = F.date_format(day, {3: "MMM"}.get(width, "MMMM"))
+            pieces.append(pad(F.month(day), width) if width < 3 else F.substring(name, 1, 1) if width > 4 else name)
+        elif sign == "y":
+            pieces.append(pad(F.year(day), 4) if width > 2 else F.right(F.year(day).cast("string"), F.lit(2)))
+        elif sign == "d":
+            pieces.append(pad(F.day(day), width) if width < 3 else F.date_format(day, "EEE" if width == 3 else "EEEE"))
+        elif sign in "hs":
+            pieces.append(pad(clock if sign == "h" else seconds % 60, min(width, 2)))
+        elif sign == "f":
+            pieces.append(F.substring(F.rpad(F.concat(F.lit("."), F.lpad((left % 1000).cast("string"), 3, "0")), max(4, width), "0"), 1, width))
+        elif sign in "HMS":
+            pieces.append(F.concat(F.when(n < 0, "-").otherwise(""), pad(F.floor(total / {"H": 3600, "M": 60, "S": 1}[sign]), width - 2)))
+        elif sign == "p":
             am, pm = t.split("/")
             pieces.append(F.when(hour < 12, am).otherwise(pm))
-        elif low.startswith("[h"):
-            pieces.append(F.floor(n * 24 + 1e-9).cast("string"))
-            before = "h"
-        elif low.startswith("[m"):
-            pieces.append(F.floor(n * 1440 + 1e-9).cast("string"))
-        elif low.startswith("[s"):
-            pieces.append(F.floor(n * 86400 + 0.5).cast("string"))
-        elif t[0] == "[":
-            continue
-        elif kind == "g" and low.strip("g") == "":
-            pieces.append(eras.era_name(day, min(len(t), 3)))
-        elif kind == "e" and low.strip("e") == "":
-            pieces.append(pad(eras.era_year(day), len(t)))
-        elif low in ("aaa", "aaaa"):
-            pieces.append(eras.weekday_name(day, len(t) == 4))
-        elif kind == "m" and (before == "h" or after == "s"):
-            pieces.append(pad(F.floor(seconds / 60) % 60, len(t)))
-            before = "minute"
-        elif kind in "ymd" and low.strip(kind) == "":
-            pattern = {"y": "yyyy" if len(t) > 2 else "yy", "m": {1: "M", 2: "MM", 3: "MMM", 5: "MMM"}.get(len(t), "MMMM"), "d": {1: "d", 2: "dd", 3: "EEE"}.get(len(t), "EEEE")}[kind]
-            piece = F.date_format(day, pattern)
-            pieces.append(F.substring(piece, 1, 1) if (kind, len(t)) == ("m", 5) else piece)
-            before = kind
-        elif kind == "h":
-            pieces.append(pad(shown, len(t)))
-            before = "h"
-        elif kind == "s" and low.strip("s") == "":
-            pieces.append(pad(seconds % 60, len(t)))
-            before = "s"
+        elif sign == "g":
+            pieces.append(eras.era_name(day, min(width, 3)))
+        elif sign == "e":
+            pieces.append(pad(eras.era_year(day), min(width, 2)))
+        elif sign == "w":
+            pieces.append(eras.weekday_name(day, width == 4))
+        elif sign == "b":
+            pieces.append(F.lit(t[2:-1].split("-")[0] if t.startswith("[$") else ""))
         else:
-            pieces.append(F.lit(t.strip('"') if t[0] == '"' else t.removeprefix("\\")))
+            pieces.append(F.lit(t.strip('"') if t[0] == '"' else t.removeprefix("\\") or t))
+        after_hour = sign in "hH" or (after_hour and sign in ":.b")
     return F.concat(*pieces)
+
+
+def _sign(token: str) -> str:
+    """What a piece of a date code is, by one sign; as in :mod:`.format_codes`."""
+    low = token.lower()
+    if re.fullmatch(r"\[(h+|m+|s+)\]", low):
+        return low[1].upper()
+    if low[0] in "[" or (low[0] in "_*" and len(low) > 1):
+        return "b"
+    if low in ("am/pm", "a/p"):
+        return "p"
+    if low in ("aaa", "aaaa"):
+        return "w"
+    if low[0] in "ymdhsg":
+        return low[0]
+    if low[0] in "er":
+        return "e"
+    if re.fullmatch(r"\.0+", low):
+        return "f"
+    return ":" if low == ":" else "." if low in ("-", "/", ".", " ") else "L"

@@ -9,6 +9,7 @@ from pyspark.sql.functions import udtf
 
 from ..sources import spreadsheets, wordprocessing
 from ..sources.packages import Package
+from . import format_codes
 
 _SQL = {
     "a1_row(ref string) returns int": "cast(nullif(regexp_extract(upper(replace(ref, '$', '')), '^[A-Z]{1,3}([0-9]+)$', 1), '') as int)",
@@ -24,6 +25,8 @@ _SQL = {
       when js_point(x) between -5 and 0 then concat('0.', repeat('0', -js_point(x)), js_digits(x))
       else concat(left(js_digits(x), 1), if(length(js_digits(x)) > 1, concat('.', substr(js_digits(x), 2)), ''), 'e', if(js_point(x) > 0, '+', '-'), cast(abs(js_point(x) - 1) as string)) end) end""",
     "excel_divide(a double, b double) returns double": "coalesce(try_divide(a, b), 0)",
+    "excel_format(x double, code string) returns string": format_codes.sql_body("x", "code"),
+    "excel_format_text(x string, code string) returns string": f"transform(array(named_struct('x', x, 'spec', {format_codes.compiled('code')})), v -> {format_codes.shown_text('v.x', 'v.spec')})[0]",
 }
 
 
