@@ -146,7 +146,7 @@ with c as (select c_custkey, c_acctbal as x, abs(c_acctbal)::decimal(38,12) as a
 d as (select *, case when floor(a + 0.5) > 0 then s else '' end as s0, case when floor(a * 10 + 0.5) > 0 then s else '' end as s1, format('{:,}', floor(a + 0.5)::bigint) as w, floor(a + 0.5)::bigint::varchar as p,
   format('{:,.2f}', round(a, 2)::double) as w2, printf('%.1f', round(a, 1)) as p1, printf('%.2f', round(a, 2)) as p2, format('{:,.1f}', round(a, 1)::double) as w1, regexp_replace(a::double::varchar, '\.0$', '') as g from c)
 select c_custkey, case k when 0 then s || w when 1 then s || 'USD ' || w2 when 2 then s1 || '€ ' || p1 when 3 then case when x < 0 then '(' || w2 || ')' else w2 end when 4 then case when x < 0 then p || ' low' else p1 || 'k+' end
-  when 5 then case when x < 0 then '(' || floor(a * 100 + 0.5)::bigint || '%)' else floor(a * 100 + 0.5)::bigint || '%' end when 6 then s0 || 'a;b ' || p when 7 then s || g when 8 then s0 || lpad(p, greatest(5, len(p)), '0')
+  when 5 then case when x < 0 then '(' || floor(a * 100 + 0.5)::bigint || '%)' else floor(a * 100 + 0.5)::bigint || '%' end when 6 then s0 || 'a;b ' || p when 7 then s || g when 8 then s0 || lpad(p, greatest(5, len(p))::int, '0')
   when 9 then case when x < 0 then '' else w || ' pcs' end when 10 then s0 || p when 11 then s1 || '~' || p1 when 12 then s1 || w1 when 13 then s || p2 else s || g end as shown from d
 """)
 def fmt_bracket_codes(spark, sf_dir):
@@ -163,8 +163,8 @@ _TIME_CODES = ["[h]:mm", "[mm]:ss", "[s]", "[hh]:mm:ss", '[Red]d" d" h:mm', "mm:
 @_r.query(r"""
 with o as (select o_orderkey, o_orderkey % 12 as k, o_orderkey % 5000 * 86400 + o_orderkey * 977 % 86400 as total from orders),
 p as (select *, total // 86400 as days, total % 86400 as sec, date '1899-12-30' + (total // 86400)::int as day from o),
-q as (select *, lpad((sec // 60 % 60)::varchar, 2, '0') as mm, lpad((sec % 60)::varchar, 2, '0') as ss, sec // 3600 as h, lpad((total // 3600)::varchar, greatest(2, len((total // 3600)::varchar)), '0') as hh from p)
-select o_orderkey, case k when 0 then total // 3600 || ':' || mm when 1 then lpad((total // 60)::varchar, greatest(2, len((total // 60)::varchar)), '0') || ':' || ss when 2 then total::varchar when 3 then hh || ':' || mm || ':' || ss
+q as (select *, lpad((sec // 60 % 60)::varchar, 2, '0') as mm, lpad((sec % 60)::varchar, 2, '0') as ss, sec // 3600 as h, lpad((total // 3600)::varchar, greatest(2, len((total // 3600)::varchar))::int, '0') as hh from p)
+select o_orderkey, case k when 0 then total // 3600 || ':' || mm when 1 then lpad((total // 60)::varchar, greatest(2, len((total // 60)::varchar))::int, '0') || ':' || ss when 2 then total::varchar when 3 then hh || ':' || mm || ':' || ss
   when 4 then day(day) || ' d ' || h || ':' || mm when 5 then mm || ':' || ss when 6 then strftime(day, '%-d-%b-%Y') when 7 then lpad((case when h % 12 = 0 then 12 else h % 12 end)::varchar, 2, '0') || ':' || mm || ':' || ss || case when h < 12 then ' AM' else ' PM' end
   when 8 then month(day) || '/' || day(day) || ' ' || h || ':' || sec // 60 % 60 when 9 then (total // 3600)::varchar when 10 then strftime(day, '%A, %B %-d') else strftime(day, '%y.%m.%d') end as shown from q
 """)
