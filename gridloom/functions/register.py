@@ -7,7 +7,7 @@ from itertools import groupby
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ..sources import spreadsheets, wordprocessing
+from ..sources import sheet_parts, wordprocessing
 from ..sources.packages import Package
 from . import format_codes
 
@@ -36,7 +36,7 @@ class OfficeCells:
 
     def eval(self, content: bytes):
         try:
-            for _, sheet, ref, kind, raw, held, _, formula in spreadsheets._cells(Package(content)):
+            for _, _, sheet, ref, kind, raw, held, _, formula, _ in sheet_parts.tagged(Package(content), ("cell",)):
                 yield sheet, ref, held if kind in ("s", "inlineStr") else raw, formula, None
         except Exception as e:
             yield None, None, None, None, str(e) or type(e).__name__

@@ -6,6 +6,7 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -37,9 +38,9 @@ class _Bounded:
 
 
 class Package:
-    def __init__(self, data: bytes, most: int = MOST_ENTRY_BYTES):
+    def __init__(self, data: bytes | BinaryIO, most: int = MOST_ENTRY_BYTES):
         try:
-            self.zip = zipfile.ZipFile(io.BytesIO(data))
+            self.zip = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, (bytes, bytearray, memoryview)) else data)
         except zipfile.BadZipFile as e:
             raise PackageError(f"not a package: {e}") from e
         self.most, self.names = most, set(self.zip.namelist())
@@ -61,10 +62,11 @@ class Package:
             raise PackageError(f"{path} declares entities")
         return ElementTree.fromstring(data)
 
-    def elements(self, path: str, name: str) -> Iterator[ElementTree.Element]:
-        """Elements of a name, one after the other as they are read; each is gone when the next comes."""
+    def elements(self, path: str, name: str | set[str]) -> Iterator[ElementTree.Element]:
+        """Elements of a name, or of some names, one after the other as they are read; each is gone when the next comes."""
         if path not in self.names:
             return
+        names = {name} if isinstance(name, str) else name
         with self.zip.open(path) as f:
             open_ = []
             for event, e in ElementTree.iterparse(_Bounded(f, path, self.most), events=("start", "end")):
@@ -72,10 +74,12 @@ class Package:
                     open_.append(e)
                     continue
                 open_.pop()
-                if local(e) == name:
+                if local(e) in names:
                     yield e
                     if open_:
                         open_[-1].remove(e)
+                elif len(open_) == 1:  # a part's own child that nobody asked for
+                    open_[0].remove(e)
 
     def relations(self, part: str, external: bool = False) -> dict[str, str]:
         """Relationship id -> part path, inside the package only, or also ``external`` targets as they are."""

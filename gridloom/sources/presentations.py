@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,19 @@ from .packages import Package, PackageError, attribute, below, child, local, rea
 DECK = "ppt/presentation.xml"
 
 
-def _texts(package: Package):
+def slide_parts(package: Package) -> Iterator[tuple[int, str | None]]:
+    """Slides in presentation order, and their parts."""
     root = package.xml(DECK)
     if root is None:
         raise PackageError("no presentation")
     relations = package.relations(DECK)
     for n, s in enumerate(below(root, "sldId")):
-        part = relations.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None))
-        slide = package.xml(part) if part else None
+        yield n, relations.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None))
+
+
+def _texts(package: Package, only: int | None = None):
+    for n, part in slide_parts(package):
+        slide = package.xml(part) if part and only in (None, n) else None
         if slide is None:
             continue
         shapes = (e for e in slide.iter() if local(e) in ("sp", "graphicFrame"))
@@ -48,12 +55,7 @@ def paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _runs(package: Package):
-    root = package.xml(DECK)
-    if root is None:
-        raise PackageError("no presentation")
-    relations = package.relations(DECK)
-    for n, s in enumerate(below(root, "sldId")):
-        part = relations.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None))
+    for n, part in slide_parts(package):
         slide = package.xml(part) if part else None
         for k, shape in enumerate(e for e in slide.iter() if local(e) in ("sp", "graphicFrame")) if slide is not None else ():
             for i, p in enumerate(below(shape, "p")):
@@ -84,12 +86,7 @@ def titles(texts: DataFrame) -> DataFrame:
 
 
 def _slides(package: Package):
-    root = package.xml(DECK)
-    if root is None:
-        raise PackageError("no presentation")
-    targets = package.relations(DECK)
-    for n, s in enumerate(below(root, "sldId")):
-        part = targets.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None))
+    for n, part in slide_parts(package):
         layout = next((t for t in package.relations(part).values() if "/slideLayouts/" in t), None) if part else None
         master = next((t for t in package.relations(layout).values() if "/slideMasters/" in t), None) if layout else None
         yield n, part, layout, master

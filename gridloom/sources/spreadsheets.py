@@ -7,48 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.a1 import column_number, row_number
 from ..operators.grid import in_rectangles
-from .packages import Package, PackageError, below, child, local, read_packages
-
-WORKBOOK = "xl/workbook.xml"
-
-
-def _sheets(package: Package):
-    root = package.xml(WORKBOOK)
-    if root is None:
-        raise PackageError("no workbook")
-    relations = package.relations(WORKBOOK)
-    for i, s in enumerate(below(root, "sheet")):
-        rid = next((v for k, v in s.attrib.items() if k.endswith("}id")), None)
-        yield i, s.get("name"), relations.get(rid)
-
+from .packages import Package, below, child, local, read_packages
+from .sheet_parts import WORKBOOK, listed, of_kind, sheet_parts, strings
 
 def sheets(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """``file_path, error, sheet_idx, name, part``."""
-    return read_packages(spark, path, "*.xlsx", _sheets, "sheet_idx int, name string, part string")
-
-
-def _cells(package: Package):
-    strings = dict(_strings(package))
-    for i, name, part in _sheets(package):
-        for c in (c for row in package.elements(part, "row") for c in row if local(c) == "c") if part else ():
-            value, formula, inline = child(c, "v"), child(c, "f"), child(c, "is")
-            raw, kind, text = value.text if value is not None else None, c.get("t"), None
-            if kind == "s" and raw is not None:
-                text = strings.get(int(raw), "") if raw.isdigit() else ""
-            elif inline is not None:
-                text = "".join(t.text or "" for t in below(inline, "t"))
-            yield i, name, c.get("r"), kind, raw, text, int(c.get("s") or 0), formula.text if formula is not None else None
-
-
-def _strings(package: Package):
-    root = package.xml("xl/sharedStrings.xml")
-    for i, item in enumerate(e for e in root if local(e) == "si") if root is not None else ():
-        phonetic = {id(t) for r in below(item, "rPh") for t in below(r, "t")}
-        yield i, "".join(t.text or "" for t in below(item, "t") if id(t) not in phonetic)
+    return read_packages(spark, path, "*.xlsx", listed, "sheet_idx int, name string, part string")
 
 
 def shared_strings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    return read_packages(spark, path, "*.xlsx", _strings, "idx int, text string")
+    return read_packages(spark, path, "*.xlsx", strings, "idx int, text string")
 
 
 def _string_runs(package: Package):
@@ -103,7 +71,12 @@ def cells(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     A file's shared strings are looked up where the file is read, so cells don't
     move; a missing string is empty.
     """
-    raw = read_packages(spark, path, "*.xlsx", _cells, "sheet_idx int, sheet string, ref string, t string, raw string, held string, style_index int, formula string").where("error is null and ref is not null")
+    return typed(sheet_parts(spark, path, ("cell",)))
+
+
+def typed(parts: DataFrame) -> DataFrame:
+    """Cells of tagged rows, with their values by type."""
+    raw = parts.where("kind = 'cell' and error is null and ref is not null")
     number = F.expr("try_cast(raw as double)")
     kind = (
         F.when(F.col("t") == "inlineStr", "text")
@@ -125,15 +98,8 @@ def cells(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     )
 
 
-def _merges(package: Package):
-    for i, _, part in _sheets(package):
-        root = package.xml(part) if part else None
-        for m in below(root, "mergeCell") if root is not None else ():
-            yield i, m.get("ref")
-
-
 def merges(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    return read_packages(spark, path, "*.xlsx", _merges, "sheet_idx int, ref string")
+    return of_kind(sheet_parts(spark, path, ("merge",)), "merge")
 
 
 def _names(package: Package):
@@ -147,20 +113,9 @@ def defined_names(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _names, "name string, local_sheet int, formula string")
 
 
-def _dims(package: Package):
-    for i, _, part in _sheets(package):
-        root = package.xml(part) if part else None
-        for c in below(root, "col") if root is not None else ():
-            for n in range(int(c.get("min")), int(c.get("max")) + 1):
-                yield i, "col", n, float(c.get("width")) if c.get("width") else None, c.get("hidden") in ("1", "true")
-        for r in below(root, "row") if root is not None else ():
-            if r.get("ht") or r.get("hidden"):
-                yield i, "row", int(r.get("r")), float(r.get("ht")) if r.get("ht") else None, r.get("hidden") in ("1", "true")
-
-
 def dimensions(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Sizes and visibility of rows and columns: ``sheet_idx, axis, index, size, hidden``."""
-    return read_packages(spark, path, "*.xlsx", _dims, "sheet_idx int, axis string, index int, size double, hidden boolean")
+    return of_kind(sheet_parts(spark, path, ("dim",)), "dim")
 
 
 def visible(cells: DataFrame, dims: DataFrame) -> DataFrame:
@@ -172,44 +127,17 @@ def visible(cells: DataFrame, dims: DataFrame) -> DataFrame:
     return cells
 
 
-def _rules(package: Package):
-    for i, _, part in _sheets(package):
-        root = package.xml(part) if part else None
-        for b, block in enumerate(below(root, "conditionalFormatting") if root is not None else ()):
-            for r, rule in enumerate(e for e in block if local(e) == "cfRule"):
-                stops = [(v.get("type"), v.get("val")) for v in below(rule, "cfvo")]
-                colors = [c.get("rgb") for c in below(rule, "color")]
-                yield (
-                    i, b, r, block.get("sqref"), rule.get("type"), int(rule.get("priority") or 0), rule.get("operator"), [f.text for f in rule if local(f) == "formula"], int(rule.get("dxfId")) if rule.get("dxfId") else None,
-                    rule.get("stopIfTrue") in ("1", "true"), int(rule.get("rank")) if rule.get("rank") else None, rule.get("percent") in ("1", "true"), rule.get("bottom") in ("1", "true"),
-                    [t for t, _ in stops], [v for _, v in stops], colors,
-                )
-
-
 def format_rules(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    return read_packages(
-        spark, path, "*.xlsx", _rules,
-        "sheet_idx int, cf_idx int, rule_idx int, sqref string, type string, priority int, operator string, formulas array<string>, dxf_id int, stop_if_true boolean, rank int, percent boolean, bottom boolean, stop_types array<string>, stop_values array<string>, colors array<string>",
-    )
-
-
-def _links(package: Package):
-    for i, _, part in _sheets(package):
-        root = package.xml(part) if part else None
-        if root is None:
-            continue
-        relations = package.relations(part, external=True)
-        for h in below(root, "hyperlink"):
-            yield i, h.get("ref").split(":")[0], relations.get(next((v for k, v in h.attrib.items() if k.endswith("}id")), None), h.get("location"))
+    return of_kind(sheet_parts(spark, path, ("rule",)), "rule")
 
 
 def hyperlinks(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """First cell of each link and its target."""
-    return read_packages(spark, path, "*.xlsx", _links, "sheet_idx int, ref string, target string")
+    return of_kind(sheet_parts(spark, path, ("link",)), "link")
 
 
 def _tables(package: Package):
-    for i, _, part in _sheets(package):
+    for i, _, part in listed(package):
         for target in package.relations(part).values() if part else ():
             root = package.xml(target) if "/tables/" in target else None
             if root is not None:
@@ -328,7 +256,7 @@ def borders(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 def _related(package: Package, kind: str):
     """(sheet, part, root) of the parts that sheets refer to, by a piece of their path."""
-    for i, _, part in _sheets(package):
+    for i, _, part in listed(package):
         for target in package.relations(part).values() if part else ():
             root = package.xml(target) if kind in target else None
             if root is not None:
@@ -364,18 +292,9 @@ def anchors(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _anchors, "sheet_idx int, ord int, kind string, name string, from_row int, from_col int, to_row int, to_col int, target string")
 
 
-def _sparklines(package: Package):
-    for i, _, part in _sheets(package):
-        root = package.xml(part) if part else None
-        for g, group in enumerate(below(root, "sparklineGroup") if root is not None else ()):
-            for line in below(group, "sparkline"):
-                values, place = child(line, "f"), child(line, "sqref")
-                yield i, g, group.get("type") or "line", group.get("displayEmptyCellsAs") or "gap", values.text if values is not None else None, place.text if place is not None else None
-
-
 def sparklines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """``values_ref`` may name another sheet; its numbers are a range join into ``cells``."""
-    return read_packages(spark, path, "*.xlsx", _sparklines, "sheet_idx int, line_group int, kind string, gaps string, values_ref string, ref string")
+    return of_kind(sheet_parts(spark, path, ("sparkline",)), "sparkline")
 
 
 def corners(reference: Column) -> Column:
@@ -411,35 +330,14 @@ def hide_zeros(cells_: DataFrame, views_: DataFrame, text: str) -> DataFrame:
     return joined.withColumn(text, F.when(~F.coalesce("__zeros", F.lit(True)) & (F.col(text) == "0"), "").otherwise(F.col(text))).drop("__zeros")
 
 
-def _extension_rules(package: Package):
-    for i, _, part in _sheets(package):
-        root = package.xml(part) if part else None
-        for e in root.iter() if root is not None else ():
-            if local(e) == "conditionalFormatting" and child(e, "sqref") is not None:
-                for rule in (r for r in e if local(r) == "cfRule"):
-                    icons = [(c.get("iconSet"), int(c.get("iconId") or 0)) for c in below(rule, "cfIcon")]
-                    bar = next(below(rule, "dataBar"), None)
-                    yield i, rule.get("id"), child(e, "sqref").text, rule.get("type"), int(rule.get("priority") or 0), [f.text for f in below(rule, "f")], bar.get("gradient") not in ("0", "false") if bar is not None else None, [s for s, _ in icons], [k for _, k in icons]
-
-
 def extension_rules(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Rules of the extension blocks: ``id`` joins those that a plain rule refers to, the others stand for themselves."""
-    return read_packages(spark, path, "*.xlsx", _extension_rules, "sheet_idx int, id string, sqref string, type string, priority int, formulas array<string>, gradient boolean, icon_sets array<string>, icon_ids array<int>")
-
-
-def _views(package: Package):
-    for i, _, part in _sheets(package):
-        root = package.xml(part) if part else None
-        if root is None:
-            continue
-        view, pane, filtered = (next(below(root, n), None) for n in ("sheetView", "pane", "autoFilter"))
-        frozen = [int(float(pane.get(n) or 0)) if pane is not None and pane.get("state") in ("frozen", "frozenSplit") else 0 for n in ("ySplit", "xSplit")]
-        yield i, *frozen, view is None or view.get("showZeros") not in ("0", "false"), view is None or view.get("showGridLines") not in ("0", "false"), filtered.get("ref") if filtered is not None else None
+    return of_kind(sheet_parts(spark, path, ("extension",)), "extension")
 
 
 def views(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Frozen rows and columns, shown zeros and grid lines, the filter's range."""
-    return read_packages(spark, path, "*.xlsx", _views, "sheet_idx int, frozen_rows int, frozen_cols int, show_zeros boolean, grid_lines boolean, filter_ref string")
+    return of_kind(sheet_parts(spark, path, ("view",)), "view")
 
 
 def _pivot_items(package: Package):

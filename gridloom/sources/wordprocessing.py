@@ -74,12 +74,12 @@ def _paragraph_runs(p, block, table, row, col, part):
         yield block, table, row, col, part, 0, style, list_, level, "text", "", None, None, False
 
 
+RUNS = "block int, tbl int, trow int, tcol int, part int, run int, style string, list_id int, level int, kind string, text string, bold boolean, vanish boolean, page_break boolean"
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """A row a run: ``block`` is the body ordinal, ``tbl``, ``trow``, ``tcol`` and ``part`` place it in a table."""
-    return read_packages(
-        spark, path, "*.docx", _runs,
-        "block int, tbl int, trow int, tcol int, part int, run int, style string, list_id int, level int, kind string, text string, bold boolean, vanish boolean, page_break boolean",
-    )
+    return read_packages(spark, path, "*.docx", _runs, RUNS)
 
 
 def _styles(package: Package):

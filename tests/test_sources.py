@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import documents, packages
 from gridloom.sources import charts, presentations, spreadsheets, wordprocessing
+from gridloom.sources import sheet_parts
 from gridloom.sources.packages import Package, PackageError
 from gridloom.streaming import arrivals
 
@@ -158,7 +159,7 @@ def test_a_large_sheet_is_streamed(spark, monkeypatch):
     broken = book | {"xl/worksheets/sheet2.xml": "<worksheet><sheetData><row>"}
     early = dict(book) | {"xl/worksheets/sheet1.xml": "<worksheet><sheetData><row>"}
     files = spark.createDataFrame([(n, bytearray(package(b))) for n, b in (("fine", book), ("late", broken), ("early", early))], "path string, content binary")
-    found = spreadsheets.read_packages(spark, files, "*", spreadsheets._cells, "sheet_idx int, sheet string, ref string, t string, raw string, held string, style_index int, formula string")
+    found = spreadsheets.read_packages(spark, files, "*", lambda p: sheet_parts.tagged(p, ("cell",)), sheet_parts.TAGGED)
     counts = {(r.file_path, r.broken): r["count"] for r in found.groupBy("file_path", F.col("error").isNotNull().alias("broken")).count().collect()}
     assert counts == {("fine", False): 3001, ("late", False): 3000, ("late", True): 1, ("early", True): 1}
     with pytest.raises(PackageError, match="entities"):
