@@ -51,23 +51,35 @@ def tint(color: Column, amount: float) -> Column:
     return relight(color, lambda light: light * (1.0 + amount) if amount < 0 else light * (1.0 - amount) + amount)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def relight(color: Column, change: Callable[[Column], Column]) -> Column:
     """The colour with another lightness, its hue and saturation as they are."""
-    r, g, b = [channel(color, i) / 255.0 for i in range(3)]
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    light, span = (high + low) / 2, high - low
-    new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), change(light)))
-    saturation = F.when(span == 0, 0.0).when(light <= 0.5, F.try_divide(span, high + low)).otherwise(F.try_divide(span, 2.0 - high - low))
-    sixth = F.when(span == 0, 0.0).when(high == r, F.try_divide(g - b, span)).when(high == g, 2.0 + F.try_divide(b - r, span)).otherwise(4.0 + F.try_divide(r - g, span))
-    hue = F.pmod(F.coalesce(sixth, F.lit(0.0)) / 6.0, F.lit(1.0))
-    m2 = F.when(new <= 0.5, new * (1.0 + saturation)).otherwise(new + saturation - new * saturation)
-    m1 = 2.0 * new - m2
-
-    def part(h):
-        h = F.pmod(h, F.lit(1.0))
-        return F.when(h < 1 / 6, m1 + (m2 - m1) * h * 6.0).when(h < 0.5, m2).when(h < 2 / 3, m1 + (m2 - m1) * (2 / 3 - h) * 6.0).otherwise(m1)
-
-    return from_channels([F.floor(part(hue + d) * 255.0 + 0.5) for d in (1 / 3, 0.0, -1 / 3)])
+    channels = F.struct(*[(channel(color, i) / 255.0).alias(n) for i, n in enumerate("rgb")])
+
+    def ends(c: Column) -> Column:
+        high, low = F.greatest(c.r, c.g, c.b), F.least(c.r, c.g, c.b)
+        return F.struct(c.r.alias("r"), c.g.alias("g"), c.b.alias("b"), high.alias("high"), ((high + low) / 2).alias("light"), (high - low).alias("span"))
+
+    def cone(c: Column) -> Column:
+        saturation = F.when(c.span == 0, 0.0).when(c.light <= 0.5, F.try_divide(c.span, c.light * 2)).otherwise(F.try_divide(c.span, 2.0 - c.light * 2))
+        sixth = F.when(c.span == 0, 0.0).when(c.high == c.r, F.try_divide(c.g - c.b, c.span)).when(c.high == c.g, 2.0 + F.try_divide(c.b - c.r, c.span)).otherwise(4.0 + F.try_divide(c.r - c.g, c.span))
+        return F.struct(saturation.alias("s"), F.pmod(F.coalesce(sixth, F.lit(0.0)) / 6.0, F.lit(1.0)).alias("hue"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), change(c.light))).alias("new"))
+
+    def bounds(c: Column) -> Column:
+        m2 = F.when(c.new <= 0.5, c.new * (1.0 + c.s)).otherwise(c.new + c.s - c.new * c.s)
+        return F.struct(c.hue.alias("hue"), m2.alias("m2"), (2.0 * c.new - m2).alias("m1"))
+
+    def shown(c: Column) -> Column:
+        def part(h: Column) -> Column:
+            return F.when(h < 1 / 6, c.m1 + (c.m2 - c.m1) * h * 6.0).when(h < 0.5, c.m2).when(h < 2 / 3, c.m1 + (c.m2 - c.m1) * (2 / 3 - h) * 6.0).otherwise(c.m1)
+
+        return from_channels([F.floor(_let(F.pmod(c.hue + d, F.lit(1.0)), part) * 255.0 + 0.5) for d in (1 / 3, 0.0, -1 / 3)])
+
+    return _let(channels, lambda c: _let(ends(c), lambda e: _let(cone(e), lambda k: _let(bounds(k), shown))))
 
 
 def light_modulated(color: Column, share: Column) -> Column:

@@ -115,6 +115,58 @@ def _deck(region: int, rows: list[tuple[int, str]]) -> bytes:
     return package(parts)
 
 
+#: Built-in styles of the made tables: in the first accent with bands, and shades of the second.
+TABLE_STYLES = ("{5C22544A-7EE6-4342-B048-85BDC9FD1C3A}", "{37CE84F3-28C3-443E-9E96-99CF82512B78}")
+
+
+def _table_deck(region: int, nations: list[int]) -> bytes:
+    """A slide a nation with a table of four rows and three columns, whose spans, switches and fills follow from the nation's key, and a theme that follows from the region's."""
+    accents = (40 + region * 10, 100 + region * 20, 200), (200 - region * 9, 50 + region * 11, 70)
+    theme = '<a:theme xmlns:a="a"><a:themeElements><a:clrScheme><a:dk1><a:srgbClr val="101010"/></a:dk1><a:lt1><a:srgbClr val="FEFEFE"/></a:lt1>' + "".join(f'<a:accent{i}><a:srgbClr val="{r:02X}{g:02X}{b:02X}"/></a:accent{i}>' for i, (r, g, b) in enumerate(accents, 1)) + "</a:clrScheme></a:themeElements></a:theme>"
+    parts = {"ppt/presentation.xml": f'<p:presentation xmlns:p="p" xmlns:r="{REL}"><p:sldIdLst>' + "".join(f'<p:sldId r:id="s{k}"/>' for k in nations) + "</p:sldIdLst></p:presentation>", "ppt/_rels/presentation.xml.rels": relations(*[(f"s{k}", f"slides/slide{k}.xml") for k in nations]), "ppt/theme/theme1.xml": theme}
+    for k in nations:
+        span = {(0, 0): ' gridSpan="3"' * (k % 2 == 0), (1, 0): ' rowSpan="2"' * (k % 3 == 0), (3, 1): ' gridSpan="2" rowSpan="5"' * (k % 5 == 0)}
+        gone = {(0, 1): ' hMerge="1"' * (k % 2 == 0), (0, 2): ' hMerge="1"' * (k % 2 == 0), (2, 0): ' vMerge="1"' * (k % 3 == 0), (3, 2): ' hMerge="1"' * (k % 5 == 0)}
+        cell = lambda r, c: f'<a:tc{span.get((r, c), "")}{gone.get((r, c), "")}><a:txBody><a:p><a:r><a:t>{k * 100 + r * 10 + c}</a:t></a:r></a:p></a:txBody>' + (f'<a:tcPr><a:solidFill><a:srgbClr val="AB{k:02X}CD"/></a:solidFill></a:tcPr>' if (r, c) == (2, 2) and k % 6 == 0 else "") + "</a:tc>"  # noqa: B023, E731
+        rows = "".join(f'<a:tr h="{10 * (r + 1)}">' + "".join(cell(r, c) for c in range(3)) + "</a:tr>" for r in range(4))
+        on = f' firstRow="{int(k % 4 != 1)}" bandRow="{int(k % 4 != 2)}" firstCol="{int(k % 4 == 3)}" lastRow="{int(k % 7 == 0)}"'
+        parts[f"ppt/slides/slide{k}.xml"] = f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree><p:graphicFrame><a:tbl><a:tblPr{on}><a:tableStyleId>{TABLE_STYLES[region % 2]}</a:tableStyleId></a:tblPr><a:tblGrid>' + "".join(f'<a:gridCol w="{100 * c + k}"/>' for c in (1, 2, 3)) + f"</a:tblGrid>{rows}</a:tbl></p:graphicFrame></p:spTree></p:cSld></p:sld>"
+    return package(parts)
+
+
+def table_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``r<key>.pptx`` of each region: tables with spans and styles."""
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        region = int(frame["n_regionkey"].iloc[0])
+        return pd.DataFrame({"path": [f"r{region}.pptx"], "content": [_table_deck(region, sorted(frame["n_nationkey"].tolist()))]})
+
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(make, FILES)
+
+
+def _table_book(rows: list[tuple[int, float]]) -> bytes:
+    """Keys, balances and doubles under a table of them all, over which a second one with its own header and totals lies from the third row on."""
+    last = len(rows) + 1
+    lines = "".join(f'<row r="{r}"><c r="A{r}"><v>{k}</v></c><c r="B{r}"><v>{b!r}</v></c><c r="C{r}"><v>{b * 2!r}</v></c></row>' for r, (k, b) in enumerate(rows, 2))
+    named = lambda ref, more, style, on: f'<table displayName="{style}" ref="{ref}"{more}><tableStyleInfo name="{style}" {on}/></table>'
+    return package({
+        "xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="s" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": relations(("r1", "worksheets/sheet1.xml")),
+        "xl/worksheets/sheet1.xml": f'<worksheet><sheetData><row r="1"><c r="A1" t="str"><v>key</v></c></row>{lines}</sheetData></worksheet>', "xl/worksheets/_rels/sheet1.xml.rels": relations(("a", "../tables/table1.xml"), ("b", "../tables/table2.xml")),
+        "xl/tables/table1.xml": named(f"A1:C{last}", "", "Wide", 'showRowStripes="1" showLastColumn="1"'), "xl/tables/table2.xml": named(f"B3:C{last - 1}", ' totalsRowCount="1"', "TableStyleMedium12", 'showFirstColumn="1"'),
+        "xl/styles.xml": '<styleSheet><tableStyles><tableStyle name="Wide"><tableStyleElement type="wholeTable" dxfId="4"/><tableStyleElement type="headerRow" dxfId="2"/><tableStyleElement type="secondRowStripe" dxfId="7"/></tableStyle></tableStyles></styleSheet>',
+    })
+
+
+def table_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n<key>.xlsx`` of each nation's customers under two tables."""
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c_custkey")
+        return pd.DataFrame({"path": [f"n{int(frame['c_nationkey'].iloc[0])}.xlsx"], "content": [_table_book(list(zip(frame["c_custkey"].tolist(), frame["c_acctbal"].astype(float).tolist(), strict=True)))]})
+
+    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal").groupBy("c_nationkey").applyInPandas(make, FILES)
+
+
 def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n<key>.xlsx`` of each nation's customers, and one file that is no package."""
 

@@ -109,7 +109,7 @@ def office_links(spark, sf_dir):
 
 @_r.query(_ROWS + "select file_path, 0 as sheet_idx, 'T' || c_nationkey as name, 'A1:E' || last as ref, 1 as header_rows, 0 as totals_rows, 'S' as style, true as row_stripes, 'key,name' as columns from b")
 def office_tables(spark, sf_dir):
-    return spreadsheets.tables(spark, made.workbooks(spark, sf_dir)).where(_fine).drop("error").withColumn("columns", F.array_join("columns", ","))
+    return spreadsheets.tables(spark, made.workbooks(spark, sf_dir)).where(_fine).select("file_path", "sheet_idx", "name", "ref", "header_rows", "totals_rows", "style", "row_stripes", F.array_join("columns", ",").alias("columns"))
 
 
 @_r.query(_ROWS + "select file_path, 'B' || r as ref, case c_custkey % 2 when 0 then 'even' else 'odd' end as author, 'note ' || c_custkey as text from c where c_custkey % 6 = 0")

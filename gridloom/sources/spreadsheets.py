@@ -138,18 +138,33 @@ def hyperlinks(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 def _tables(package: Package):
     for i, _, part in listed(package):
-        for target in package.relations(part).values() if part else ():
+        for n, target in enumerate(package.relations(part).values() if part else ()):
             root = package.xml(target) if "/tables/" in target else None
             if root is not None:
                 style = child(root, "tableStyleInfo")
+                on = lambda a: style is not None and style.get(a) in ("1", "true")  # noqa: B023, E731
                 yield (
                     i, root.get("displayName") or root.get("name"), root.get("ref"), int(root.get("headerRowCount") or 1), int(root.get("totalsRowCount") or 0),
-                    style.get("name") if style is not None else None, style is not None and style.get("showRowStripes") == "1", [c.get("name") for c in below(root, "tableColumn")],
+                    style.get("name") if style is not None else None, on("showRowStripes"), [c.get("name") for c in below(root, "tableColumn")], n, on("showFirstColumn"), on("showLastColumn"),
+                    [int(c.get("dataDxfId")) if c.get("dataDxfId") else None for c in below(root, "tableColumn")],
                 )
 
 
 def tables(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    return read_packages(spark, path, "*.xlsx", _tables, "sheet_idx int, name string, ref string, header_rows int, totals_rows int, style string, row_stripes boolean, columns array<string>")
+    """Tables of the sheets; ``ord`` is their order in the sheet, of which the later holds where two overlap."""
+    return read_packages(spark, path, "*.xlsx", _tables, "sheet_idx int, name string, ref string, header_rows int, totals_rows int, style string, row_stripes boolean, columns array<string>, ord int, first_column boolean, last_column boolean, data_dxf_ids array<int>")
+
+
+def _table_styles(package: Package):
+    root = package.xml("xl/styles.xml")
+    for style in below(root, "tableStyle") if root is not None else ():
+        for e in below(style, "tableStyleElement"):
+            yield style.get("name"), e.get("type"), int(e.get("dxfId")) if e.get("dxfId") else None
+
+
+def table_styles(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Elements of the table styles that a workbook defines, and their differential formats."""
+    return read_packages(spark, path, "*.xlsx", _table_styles, "name string, element string, dxf_id int")
 
 
 def resolve_sheet(sheets_: DataFrame, identifier: str) -> DataFrame:

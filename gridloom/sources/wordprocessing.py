@@ -82,6 +82,26 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     return read_packages(spark, path, "*.docx", _runs, RUNS)
 
 
+def _table_cells(package: Package):
+    root = package.xml(BODY)
+    if root is None:
+        raise PackageError("no document")
+    for n, table in enumerate(b for b in _inner(child(root, "body")) if local(b) == "tbl"):
+        for r, row in enumerate(e for e in _inner(table) if local(e) == "tr"):
+            outer = child(row, "trPr")
+            skip = child(outer, "gridBefore") if outer is not None else None
+            for c, cell in enumerate(e for e in _inner(row) if local(e) == "tc"):
+                props = child(cell, "tcPr")
+                span, merge = (child(props, n) if props is not None else None for n in ("gridSpan", "vMerge"))
+                text = "\n".join("".join(t.text or "" for t in below(p, "t")) for p in below(cell, "p"))
+                yield n, r, c, int(attribute(skip, "val")) if skip is not None else 0, int(attribute(span, "val") or 1) if span is not None else 1, (attribute(merge, "val") or "continue") if merge is not None else None, text
+
+
+def table_cells(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Cells of a body's tables with their spans; a merge without a value goes on with the cell above."""
+    return read_packages(spark, path, "*.docx", _table_cells, "tbl int, row int, ord int, skipped int, span int, merge string, text string")
+
+
 def _styles(package: Package):
     root = package.xml("word/styles.xml")
     for s in below(root, "style") if root is not None else ():
