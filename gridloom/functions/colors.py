@@ -100,13 +100,15 @@ def shaded(color: Column, share: Column) -> Column:
 def linear_tinted(color: Column, share: Column) -> Column:
     """``tint``: a step of ``share`` toward white in linear light."""
 
-    def moved(c: Column) -> Column:
+    def linear(c: Column) -> Column:
         x = c / 255.0
-        linear = F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4)))
-        to = linear + (1.0 - linear) * share
-        return F.when(to <= 0.0031308, to * 12.92).otherwise(1.055 * F.pow(to, F.lit(1 / 2.4)) - 0.055)
+        return F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4)))
 
-    return from_channels([F.floor(moved(channel(color, i)) * 255.0 + 0.5) for i in range(3)])
+    def moved(x: Column) -> Column:
+        to = x + (1.0 - x) * share
+        return _let(to, lambda t: F.when(t <= 0.0031308, t * 12.92).otherwise(1.055 * F.pow(t, F.lit(1 / 2.4)) - 0.055))
+
+    return from_channels([F.floor(_let(linear(channel(color, i)), moved) * 255.0 + 0.5) for i in range(3)])
 
 
 #: Changes by the names that colour definitions give them.

@@ -12,27 +12,28 @@ from .grid import in_rectangles
 def placed(cells: DataFrame, by: list[str]) -> DataFrame:
     """Deck cells with their rectangle of the grid (0-based, ``top, left, bottom, right``), position and size; cells under another's span are left out.
 
-    Spans that reach beyond the table end with it. Of two spans over one cell the
-    one that begins first in reading order holds it. A cell that says that it is
-    merged is no cell of its own, nor is one that lies in a rectangle that began before.
+    Spans that reach beyond the table end with it. A cell that says that it is
+    merged is no cell of its own, nor is one that lies in a rectangle that began
+    before it in reading order. A table's sizes and spans are gathered once, a row a
+    table, and joined to its cells.
     """
-    ends = {"bottom": F.least(F.col("row") + F.greatest("row_span", F.lit(1)), F.col("rows")) - 1, "right": F.least(F.col("col") + F.greatest("grid_span", F.lit(1)), F.greatest("cols", F.col("col") + 1)) - 1}
-    own = cells.where("not h_merge and not v_merge").withColumns({"top": F.col("row"), "left": F.col("col"), **ends})
-    wide = own.where("bottom > top or right > left").select(*by, "top", "left", "bottom", "right")
-    under = in_rectangles(own.select(*by, "row", "col"), wide, by).where((F.col("row") > F.col("top")) | ((F.col("row") == F.col("top")) & (F.col("col") > F.col("left"))))
-    held = own.join(under.select(*by, "row", "col").distinct(), [*by, "row", "col"], "left_anti")
-    for axis, size, start, last in (("row", "height", "y", "bottom"), ("col", "width", "x", "right")):
-        edges = _edges(cells, by, axis, size)
-        held = held.join(edges.select(*by, axis, F.col("__start").alias(start)), [*by, axis])
-        held = held.join(edges.select(*by, F.col(axis).alias(last), F.col("__end").alias(f"__{last}")), [*by, last])
-    return held.select(*cells.columns, "top", "left", "bottom", "right", "x", "y", (F.col("__right") - F.col("x")).alias("w"), (F.col("__bottom") - F.col("y")).alias("h"))
-
-
-def _edges(cells: DataFrame, by: list[str], axis: str, size: str) -> DataFrame:
-    """Start and end of each row or column of a table."""
-    sizes = cells.groupBy(*by, axis).agg(F.max(size).alias("__size"))
-    end = F.sum("__size").over(Window.partitionBy(*by).orderBy(axis))
-    return sizes.select(*by, axis, (end - F.col("__size")).alias("__start"), end.alias("__end"))
+    merged = F.col("h_merge") | F.col("v_merge")
+    box = F.struct(
+        F.col("row").alias("top"), F.col("col").alias("left"),
+        (F.least(F.col("row") + F.greatest("row_span", F.lit(1)), F.col("rows")) - 1).alias("bottom"), (F.least(F.col("col") + F.greatest("grid_span", F.lit(1)), F.greatest("cols", F.col("col") + 1)) - 1).alias("right"),
+    )
+    held = cells.withColumn("__box", box)
+    wide = ~merged & ((F.col("__box.bottom") > F.col("row")) | (F.col("__box.right") > F.col("col")))
+    whole = held.groupBy(*by).agg(
+        F.collect_list(F.when(wide, F.col("__box"))).alias("__wide"), F.map_from_entries(F.collect_set(F.struct("row", "height"))).alias("__heights"),
+        F.map_from_entries(F.collect_set(F.struct("col", "width"))).alias("__widths"),
+    )
+    inside = lambda w: F.col("row").between(w["top"], w["bottom"]) & F.col("col").between(w["left"], w["right"]) & (F.struct(w["top"], w["left"]) < F.struct("row", "col"))
+    shown = held.where(~merged).join(whole, by).where(~F.exists("__wide", inside))
+    ahead = lambda sizes, n: F.aggregate(F.map_values(F.map_filter(sizes, lambda k, _: k < n)), F.lit(0).cast("long"), lambda a, x: a + x)
+    x, y = ahead("__widths", F.col("__box.left")), ahead("__heights", F.col("__box.top"))
+    right, bottom = ahead("__widths", F.col("__box.right") + 1), ahead("__heights", F.col("__box.bottom") + 1)
+    return shown.select(*cells.columns, "__box.*", x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h"))
 
 
 def word_placed(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -65,8 +66,9 @@ def cell_fills(cells: DataFrame, themes: DataFrame, own_styles: DataFrame) -> Da
     built_in = spark.createDataFrame(table_styles.catalogue(), table_styles.CATALOGUE).select("style", "part", "slot", F.lit(None).cast("string").alias("rgb"), "change", "percent")
     named = mine.unionByName(used.join(mine.select("file_path", "style").distinct(), ["file_path", "style"], "left_anti").join(built_in, "style"))
     plain = F.coalesce(F.concat(F.lit("#"), F.upper("rgb")), table_styles.themed(F.col("theme"), F.col("slot")))
-    colored = named.join(theme, "file_path", "left").select("file_path", "style", "part", "change", "percent", plain.alias("plain"))
-    colored = colored.select("file_path", "style", "part", table_styles.changed(F.col("plain"), F.col("change"), F.col("percent")).alias("color"))
+    # a row a part, by an aggregate: its colour is a column that the changes below can use many times
+    colored = named.join(theme, "file_path", "left").groupBy("file_path", "style", "part").agg(F.first(plain).alias("plain"), F.first("change").alias("change"), F.first("percent").alias("percent"))
+    colored = colored.withColumn("color", table_styles.changed(F.col("plain"), F.col("change"), F.col("percent")))
     parts = colored.groupBy("file_path", "style").agg(F.map_from_entries(F.collect_list(F.struct("part", "color"))).alias("parts"))
     joined = cells.join(parts, ["file_path", "style"], "left").join(theme, "file_path", "left")
     part = lambda n: F.try_element_at("parts", F.lit(n))
