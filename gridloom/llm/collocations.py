@@ -38,6 +38,8 @@ from .shared import map_columns, stage
 LEAST, COVERED, TOP, MILLION = 10, 50, 2000, 1_000_000
 #: Occurrences of a pivot in one group.
 SPLIT = 1 << 20
+#: Parts of a language that are ranked by themselves before what is left of them meets.
+RANKERS = 64
 #: Texts that make a chunk.
 CHUNK_TEXTS = 6000
 #: Fixed: capitals, what ends a piece, and the other gap between words. 0xFF is no byte of UTF-8.
@@ -182,7 +184,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     found = scored(phrases, vocab, covered)
     order = [F.col("score").desc(), F.col("a").desc()]
     if top is not None:  # ties stay until the phrases are spelt out
-        found = found.withColumn("at", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("at") <= top)
+        for part in (["lang", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(RANKERS))], ["lang"]):
+            found = found.withColumn("at", F.rank().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("at") <= top)
     found = stage(found.select("lang", "w1", "w2", "w3", "a", "l", "r", "score"), "scored-phrases")
     for w in ("w1", "w2", "w3"):
         found = found.join(vocab.select(F.col("id").alias(w), F.col("word").alias(f"{w}_word")), w, "left" if w == "w3" else "inner")
