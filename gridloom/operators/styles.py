@@ -25,16 +25,16 @@ def resolve_chain(spark: SparkSession, styles: DataFrame, style: str, parent: st
 
     Chains beyond ``spark.sql.cteRecursionLevelLimit`` are an error, never cut.
     """
-    styles.select(F.col(style).alias("style"), F.col(parent).alias("parent"), *properties).createOrReplaceTempView("gridloom_styles")
+    own = styles.select(F.col(style).alias("style"), F.col(parent).alias("parent"), *properties)
     cols = ", ".join(f"s.{p}" for p in properties)
     nearest = ", ".join(f"min_by({p}, depth) filter (where {p} is not null) as {p}" for p in properties)
     return spark.sql(f"""
         with recursive chain as (
-          select style as leaf, style, parent, 0 as depth, array(style) as seen, {", ".join(properties)} from gridloom_styles
+          select style as leaf, style, parent, 0 as depth, array(style) as seen, {", ".join(properties)} from {{own}}
           union all
           select c.leaf, s.style, s.parent, c.depth + 1, array_append(c.seen, s.style), {cols}
-          from chain c join gridloom_styles s on c.parent = s.style where not array_contains(c.seen, s.style))
-        select leaf as {style}, cast(max(depth) as int) as depth, {nearest} from chain group by leaf""")
+          from chain c join {{own}} s on c.parent = s.style where not array_contains(c.seen, s.style))
+        select leaf as {style}, cast(max(depth) as int) as depth, {nearest} from chain group by leaf""", own=own)
 
 
 def first_set(*layers: tuple[str, Column]) -> tuple[Column, Column]:

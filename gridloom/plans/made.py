@@ -137,13 +137,71 @@ def _table_deck(region: int, nations: list[int]) -> bytes:
 def table_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``r<key>.pptx`` of each region: tables with spans and styles."""
 
+    return _by_region(spark, sf_dir, _table_deck)
+
+
+def _deck_of(slides: dict[int, str], more: dict[str, str]) -> bytes:
+    """A deck of slides by falling key, each on the one layout of the one master that ``more`` has."""
+    keys = sorted(slides, reverse=True)
+    parts = {"ppt/presentation.xml": f'<p:presentation xmlns:p="p" xmlns:r="{REL}"><p:sldIdLst>' + "".join(f'<p:sldId r:id="s{k}"/>' for k in keys) + "</p:sldIdLst></p:presentation>", "ppt/_rels/presentation.xml.rels": relations(*[(f"s{k}", f"slides/slide{k}.xml") for k in keys])}
+    parts["ppt/slideLayouts/_rels/slideLayout1.xml.rels"] = relations(("m", "../slideMasters/slideMaster1.xml"))
+    for k, tree in slides.items():
+        parts[f"ppt/slides/_rels/slide{k}.xml.rels"] = relations(("l", "../slideLayouts/slideLayout1.xml"))
+        parts[f"ppt/slides/slide{k}.xml"] = f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree>{tree}</p:spTree></p:cSld></p:sld>'
+    return package(parts | more)
+
+
+def _text_deck(region: int, nations: list[int]) -> bytes:
+    """Placeholders with and without index and type, whose texts inherit from the layout, the master and its text styles."""
+    place = lambda ph, level="", x=None: f'<p:sp><p:nvSpPr><p:nvPr><p:ph {ph}/></p:nvPr></p:nvSpPr><p:spPr>{"" if x is None else f"""<a:xfrm><a:off x="{x}" y="3"/><a:ext cx="500" cy="60"/></a:xfrm>"""}</p:spPr><p:txBody><a:bodyPr/><a:lstStyle>{level}</a:lstStyle></p:txBody></p:sp>'
+    level = lambda more="", run="", inner="": f"<a:lvl1pPr {more}><a:defRPr {run}>{inner}</a:defRPr></a:lvl1pPr>"
+    paint = lambda kind, value: f'<a:solidFill><a:{kind} val="{value}"/></a:solidFill>'
+    layout = place('type="title"', level('algn="ctr"'), 11) + place('idx="1"', level("", f'b="1" sz="{2000 + 100 * region}"'), 12) + place('type="ftr" idx="11"', level("", 'sz="900"'), 13) + place('type="dt"', level("", "", paint("srgbClr", "112233")), 14)
+    master = place('type="title"', level("", 'sz="4400"'), 21) + place('type="body"', level('algn="r"', "", paint("schemeClr", f"accent{region % 3 + 1}")), 22)
+    styles = f'<p:txStyles><p:titleStyle>{level("", "i=" + chr(34) + "1" + chr(34))}</p:titleStyle><p:bodyStyle>{level("", "sz=" + chr(34) + "1800" + chr(34))}</p:bodyStyle><p:otherStyle>{level("", f"sz={chr(34)}{1000 + 100 * region}{chr(34)}")}</p:otherStyle></p:txStyles>'
+
+    def shape(n: int, ph: str, k: int) -> str:
+        own = f' sz="{(k + 10) * 100}"' if k % 3 == 0 else ""
+        return f'<p:sp><p:nvSpPr><p:nvPr><p:ph {ph}/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:rPr{own}/><a:t>{k}-{n}</a:t></a:r></a:p></p:txBody></p:sp>'
+
+    slides = {k: "".join(shape(n, ph, k) for n, ph in enumerate(('type="title"', 'idx="1"', "", 'type="ftr"', 'type="sldNum" idx="11"', 'type="dt"'))) for k in nations}
+    return _deck_of(slides, {
+        "ppt/slideLayouts/slideLayout1.xml": f'<p:sldLayout xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree>{layout}</p:spTree></p:cSld></p:sldLayout>',
+        "ppt/slideMasters/slideMaster1.xml": f'<p:sldMaster xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree>{master}</p:spTree></p:cSld>{styles}</p:sldMaster>',
+    })
+
+
+def _group_deck(region: int, nations: list[int]) -> bytes:
+    """Shapes in a group, and in a group within it, that is moved, scaled, turned and mirrored by the nation's key; and a shape outside."""
+    frame = lambda tag, at, size, inner=None, more="": f'<p:{tag}><a:xfrm{more}><a:off x="{at[0]}" y="{at[1]}"/><a:ext cx="{size[0]}" cy="{size[1]}"/>' + ("" if inner is None else '<a:chOff x="{}" y="{}"/><a:chExt cx="{}" cy="{}"/>'.format(*inner)) + f"</a:xfrm></p:{tag}>"
+    slides = {}
+    for k in nations:
+        a, b, free = frame("spPr", (20, 10), (40, 20)), frame("spPr", (20, 15), (10, 6), None, ' rot="1800000"'), frame("spPr", (k, 1), (7, 8))
+        inner = frame("grpSpPr", (100, 50), (80, 40), (10, 10, 40, 20), f' flipV="{int(k % 3 == 0)}"')
+        outer = frame("grpSpPr", (k * 10, 6), (400, 200), (0, 0, 200, 100), f' rot="{k % 4 * 5400000}" flipH="{int(k % 2)}"')
+        slides[k] = f"<p:grpSp>{outer}<p:sp>{a}</p:sp><p:grpSp>{inner}<p:sp>{b}</p:sp></p:grpSp></p:grpSp><p:sp>{free}</p:sp>"
+    empty = '<p:{0} xmlns:p="p"><p:cSld><p:spTree/></p:cSld></p:{0}>'
+    return _deck_of(slides, {"ppt/slideLayouts/slideLayout1.xml": empty.format("sldLayout"), "ppt/slideMasters/slideMaster1.xml": empty.format("sldMaster")})
+
+
+def _by_region(spark: SparkSession, sf_dir: str, write) -> DataFrame:
     def make(frame: pd.DataFrame) -> pd.DataFrame:
         region = int(frame["n_regionkey"].iloc[0])
-        return pd.DataFrame({"path": [f"r{region}.pptx"], "content": [_table_deck(region, sorted(frame["n_nationkey"].tolist()))]})
+        return pd.DataFrame({"path": [f"r{region}.pptx"], "content": [write(region, sorted(frame["n_nationkey"].tolist()))]})
 
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(make, FILES)
 
 
+def text_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``r<key>.pptx`` of each region: inherited texts."""
+    return _by_region(spark, sf_dir, _text_deck)
+
+
+def group_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``r<key>.pptx`` of each region: grouped shapes."""
+    return _by_region(spark, sf_dir, _group_deck)
+
+
 def _table_book(rows: list[tuple[int, float]]) -> bytes:
     """Keys, balances and doubles under a table of them all, over which a second one with its own header and totals lies from the third row on."""
     last = len(rows) + 1

@@ -109,6 +109,31 @@ def child(element, name: str):
     return next((e for e in element if local(e) == name), None)
 
 
+def frame(element) -> tuple:
+    """Place of a drawn element: ``x, y, w, h``, a group's own space, degrees of its turn, and whether it is mirrored; nulls where it says nothing."""
+    holder = next((c for c in element if local(c) in ("spPr", "grpSpPr")), element)
+    held = child(holder, "xfrm")
+    if held is None:
+        return (None,) * 11
+    lengths = [int(attribute(c, a)) if (c := child(held, tag)) is not None else None for tag, a in (("off", "x"), ("off", "y"), ("ext", "cx"), ("ext", "cy"), ("chOff", "x"), ("chOff", "y"), ("chExt", "cx"), ("chExt", "cy"))]
+    return *lengths, int(attribute(held, "rot") or 0) / 60000, *(attribute(held, a) in ("1", "true") for a in ("flipH", "flipV"))
+
+
+#: Columns of :func:`frame`.
+FRAME = "x long, y long, w long, h long, ch_x long, ch_y long, ch_w long, ch_h long, rot double, flip_h boolean, flip_v boolean"
+
+
+def shape_tree(element, group=None, count=None) -> Iterator[tuple]:
+    """(ordinal, ordinal of the group, element) of drawn elements, groups before what they hold."""
+    count = count if count is not None else iter(range(1 << 30))
+    for e in element:
+        if local(e) in ("sp", "pic", "cxnSp", "graphicFrame", "grpSp", "wsp", "wgp"):
+            at = next(count)
+            yield at, group, e
+            if local(e) in ("grpSp", "wgp"):
+                yield from shape_tree(e, at, count)
+
+
 def below(element, name: str) -> Iterator:
     return (e for e in element.iter() if local(e) == name)
 

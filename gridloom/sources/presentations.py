@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .packages import Package, PackageError, attribute, below, child, local, read_packages
+from ..operators.slides import BOX, absolute_boxes
+from .packages import FRAME, Package, PackageError, attribute, below, child, frame, local, read_packages, shape_tree
 
 DECK = "ppt/presentation.xml"
 
@@ -66,12 +67,12 @@ def _runs(package: Package):
                     own = child(r, "rPr")
                     size, color = (attribute(own, "sz"), next(below(own, "srgbClr"), None)) if own is not None else (None, None)
                     toggle = lambda a: None if own is None or attribute(own, a) is None else attribute(own, a) in ("1", "true")  # noqa: B023, E731
-                    yield n, k, i, j, local(r), attribute(r, "type"), (child(r, "t").text or "") if child(r, "t") is not None else "\n", local(bullet) if bullet is not None else None, mark, toggle("b"), toggle("i"), int(size) / 100 if size else None, attribute(color, "val") if color is not None else None
+                    yield n, k, i, j, local(r), attribute(r, "type"), (child(r, "t").text or "") if child(r, "t") is not None else "\n", local(bullet) if bullet is not None else None, mark, toggle("b"), toggle("i"), int(size) / 100 if size else None, attribute(color, "val") if color is not None else None, attribute(props, "algn") if props is not None else None
 
 
 def runs(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """A row a run of a slide's shapes with its paragraph's bullet; ``field`` is a field's type, such as ``slidenum``."""
-    return read_packages(spark, path, "*.pptx", _runs, "slide int, shape int, paragraph int, run int, kind string, field string, text string, bullet string, mark string, bold boolean, italic boolean, size double, color string")
+    return read_packages(spark, path, "*.pptx", _runs, "slide int, shape int, paragraph int, run int, kind string, field string, text string, bullet string, mark string, bold boolean, italic boolean, size double, color string, align string")
 
 
 def field_text(runs_: DataFrame) -> DataFrame:
@@ -97,45 +98,31 @@ def slides(spark: SparkSession, path: str) -> DataFrame:
     return read_packages(spark, path, "*.pptx", _slides, "slide int, part string, layout string, master string")
 
 
-def _tree(element, group=None, count=None):
-    """(ordinal, ordinal of the group, element) of a shape tree, groups before what they hold."""
-    count = count if count is not None else iter(range(1 << 30))
-    for e in element:
-        if local(e) in ("sp", "pic", "cxnSp", "graphicFrame", "grpSp"):
-            at = next(count)
-            yield at, group, e
-            if local(e) == "grpSp":
-                yield from _tree(e, at, count)
-
-
 def _elements(package: Package):
     for part in sorted(n for n in package.names if n.startswith("ppt/slide") and n.endswith(".xml")):
         root, targets = package.xml(part), package.relations(part)
         for tree in below(root, "spTree"):
-            for at, group, e in _tree(tree):
+            for at, group, e in shape_tree(tree):
                 own = next((c for c in e if local(c) in ("nvSpPr", "nvPicPr", "nvCxnSpPr", "nvGraphicFramePr", "nvGrpSpPr")), None)
                 name = next((attribute(c, "name") for c in below(own, "cNvPr")), None) if own is not None else None
                 place = next(below(own, "ph"), None) if own is not None else None
-                holder = next((c for c in e if local(c) in ("spPr", "grpSpPr")), e)
-                frame = child(holder, "xfrm")
-                box = [int(attribute(c, a)) if frame is not None and (c := child(frame, tag)) is not None else None for tag, a in (("off", "x"), ("off", "y"), ("ext", "cx"), ("ext", "cy"), ("chOff", "x"), ("chOff", "y"), ("chExt", "cx"), ("chExt", "cy"))]
                 rid = next((v for b in below(e, "blip") for a, v in b.attrib.items() if a.endswith("}embed")), None) if local(e) == "pic" else None
                 kind = (attribute(place, "type") or "body") if place is not None else None
-                yield part, at, group, local(e), name, kind, int(attribute(place, "idx") or 0) if place is not None else None, *box, targets.get(rid)
+                yield part, at, group, local(e), name, kind, int(attribute(place, "idx")) if place is not None and attribute(place, "idx") else None, *frame(e), targets.get(rid)
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """Shapes, pictures, connectors, frames and groups of slides, layouts and masters; lengths in English metric units."""
     return read_packages(
         spark, path, "*.pptx", _elements,
-        "part string, shape int, group int, kind string, name string, placeholder string, idx int, x long, y long, w long, h long, ch_x long, ch_y long, ch_w long, ch_h long, target string",
+        f"part string, shape int, group int, kind string, name string, placeholder string, idx int, {FRAME}, target string",
     )
 
 
 def _styles(package: Package):
     for part in sorted(n for n in package.names if n.startswith("ppt/slide") and n.endswith(".xml")):
         for tree in below(package.xml(part), "spTree"):
-            for at, _, e in _tree(tree):
+            for at, _, e in shape_tree(tree):
                 props = child(e, "spPr")
                 if props is None:
                     continue
@@ -201,14 +188,22 @@ def diagram_shapes(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 
 def inherited_positions(slides_: DataFrame, elements_: DataFrame) -> DataFrame:
-    """Positions of the slides' placeholders: their own, else the layout's by index, else by type, else the master's by type."""
+    """Positions of the slides' placeholders: their own, else the layout's by index, else by type, else the master's by type. One without an index looks up none."""
     box = ("x", "y", "w", "h")
-    own = slides_.where("error is null").join(elements_.where("error is null and placeholder is not null"), ["file_path", "part"])
+    places = elements_.where("error is null and placeholder is not null")
+    own = slides_.where("error is null").join(places, ["file_path", "part"])
 
     def layer(tag: str, by: str):
-        held = elements_.where("error is null and placeholder is not null and x is not null").groupBy("file_path", "part", by).agg(F.min_by(F.struct(*box), "shape").alias(tag))
+        held = places.where(F.col("x").isNotNull() & F.col(by).isNotNull()).groupBy("file_path", "part", by).agg(F.min_by(F.struct(*box), "shape").alias(tag))
         return held.withColumnRenamed("part", "layout" if tag != "__master" else "master")
 
     found = own.join(layer("__idx", "idx"), ["file_path", "layout", "idx"], "left").join(layer("__type", "placeholder"), ["file_path", "layout", "placeholder"], "left").join(layer("__master", "placeholder"), ["file_path", "master", "placeholder"], "left")
     first = F.coalesce(F.when(F.col("x").isNotNull(), F.struct(*box)), "__idx", "__type", "__master")
     return found.select("file_path", "slide", "shape", "placeholder", "idx", *[first[b].alias(b) for b in box])
+
+
+def absolute_elements(elements_: DataFrame) -> DataFrame:
+    """Elements with their place on the slide, moved out of the groups that hold them."""
+    found = elements_.where("error is null")
+    groups = found.where("kind = 'grpSp'").select("file_path", "part", F.col("shape").alias("group"), F.col("group").alias("parent"), *BOX, "ch_x", "ch_y", "ch_w", "ch_h")
+    return absolute_boxes(found, groups, ["file_path", "part"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.a1 import column_number, row_number
 from ..operators.grid import in_rectangles
-from .packages import Package, below, child, local, read_packages
+from .packages import FRAME, Package, below, child, frame, local, read_packages, shape_tree
 from .sheet_parts import WORKBOOK, listed, of_kind, sheet_parts, strings
 
 def sheets(spark: SparkSession, path: str | DataFrame) -> DataFrame:
@@ -312,6 +312,19 @@ def sparklines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return of_kind(sheet_parts(spark, path, ("sparkline",)), "sparkline")
 
 
+def _drawn(package: Package):
+    for i, _, root in _related(package, "/drawings/drawing"):
+        for k, anchor in enumerate(e for e in root if local(e).endswith("Anchor")):
+            for at, group, e in shape_tree(anchor):
+                name = next((c.get("name") for c in below(e, "cNvPr")), None)
+                yield i, k, at, group, local(e), name, *frame(e)
+
+
+def drawn_shapes(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Shapes of drawings with what groups hold; ``anchor`` is the ordinal of :func:`anchors`."""
+    return read_packages(spark, path, "*.xlsx", _drawn, f"sheet_idx int, anchor int, shape int, group int, kind string, name string, {FRAME}")
+
+
 def corners(reference: Column) -> Column:
     """``sheet, top, left, bottom, right`` of a reference such as ``'A sheet'!$B$2:C9``; a null sheet is the reference's own."""
     area = F.element_at(F.split(reference, "!"), -1)
