@@ -215,16 +215,36 @@ def _table_book(rows: list[tuple[int, float]]) -> bytes:
     })
 
 
-def table_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n<key>.xlsx`` of each nation's customers under two tables."""
+def _rule_book(rows: list[tuple[int, float]]) -> bytes:
+    """Keys, balances and thresholds under four rules of relative, mixed and fixed references; the block of the second has two ranges."""
+    last = len(rows) + 1
+    lines = "".join(f'<row r="{r}"><c r="A{r}"><v>{k}</v></c><c r="B{r}"><v>{b!r}</v></c><c r="C{r}"><v>{k * 10}</v></c></row>' for r, (k, b) in enumerate(rows, 2))
+    rule = lambda sqref, formula, priority, more="": f'<conditionalFormatting sqref="{sqref}"><cfRule type="expression" priority="{priority}" dxfId="{priority}"{more}><formula>{escape(formula)}</formula></cfRule></conditionalFormatting>'
+    found = rule(f"A2:A{last}", "$B2>0", 3) + rule(f"B2:B{last} C3:C{last}", "B2>C2", 2, ' stopIfTrue="1"') + rule(f"B2:C{last}", "$C$1<=C2", 1) + rule(f"A2:C{last}", "A3<>A2", 4)
+    return package({
+        "xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="s" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": relations(("r1", "worksheets/sheet1.xml")),
+        "xl/worksheets/sheet1.xml": f'<worksheet><sheetData><row r="1"><c r="C1"><v>500</v></c></row>{lines}</sheetData>{found}</worksheet>',
+    })
+
 
+def rule_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n<key>.xlsx`` of each nation's customers under rules with references."""
+    return _by_nation(spark, sf_dir, _rule_book)
+
+
+def _by_nation(spark: SparkSession, sf_dir: str, write) -> DataFrame:
     def make(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("c_custkey")
-        return pd.DataFrame({"path": [f"n{int(frame['c_nationkey'].iloc[0])}.xlsx"], "content": [_table_book(list(zip(frame["c_custkey"].tolist(), frame["c_acctbal"].astype(float).tolist(), strict=True)))]})
+        return pd.DataFrame({"path": [f"n{int(frame['c_nationkey'].iloc[0])}.xlsx"], "content": [write(list(zip(frame["c_custkey"].tolist(), frame["c_acctbal"].astype(float).tolist(), strict=True)))]})
 
     return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal").groupBy("c_nationkey").applyInPandas(make, FILES)
 
 
+def table_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n<key>.xlsx`` of each nation's customers under two tables."""
+    return _by_nation(spark, sf_dir, _table_book)
+
+
 def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n<key>.xlsx`` of each nation's customers, and one file that is no package."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tables
+from ..operators import anchored, tables
 from ..sources import deck_tables, parts, spreadsheets
 from . import made
 from .registry import Registry
@@ -83,3 +83,26 @@ def office_table_overlay(spark, sf_dir):
     laid = tables.overlay(spreadsheets.cells(spark, files).select("file_path", "sheet_idx", "row", "col"), spreadsheets.tables(spark, files).where("error is null"), ["file_path", "sheet_idx"])
     named = tables.style_formats(laid, spreadsheets.table_styles(spark, files)).withColumn("accent", tables.accent_slot(F.col("table_style")))
     return named.select("file_path", "row", "col", "table", "part", "is_first_col", "is_last_col", "accent", "dxf_id")
+
+
+@_r.query("""
+with c as (select *, 'n' || c_nationkey || '.xlsx' as file_path, (row_number() over (partition by c_nationkey order by c_custkey) + 1)::int as r from customer),
+cells as (select file_path, r as "row", col::int as col, case col when 1 then c_custkey::double when 2 then c_acctbal else c_custkey * 10.0 end as v from c, range(1, 4) t(col) union all select distinct file_path, 1, 3, 500.0 from c),
+near as (select c.*, coalesce(b.v, 0) as b, coalesce(nxt.v, 0) as nxt, coalesce(down.v, 0) as down, coalesce(one.v, 0) as one from cells c left join cells b on b.file_path = c.file_path and b."row" = c."row" and b.col = 2
+  left join cells nxt on nxt.file_path = c.file_path and nxt."row" = c."row" and nxt.col = c.col + 1 left join cells down on down.file_path = c.file_path and down."row" = c."row" + 1 and down.col = c.col
+  left join cells one on one.file_path = c.file_path and one."row" = c."row" and one.col = c.col + 1),
+matched as (
+  select file_path, "row", col, 3 as priority, false as stops from near where col = 1 and "row" > 1 and b > 0
+  union all select file_path, "row", col, 2, true from near where (col = 2 and "row" > 1 or col = 3 and "row" > 2) and v > nxt
+  union all select file_path, "row", col, 1, false from near where col in (2, 3) and "row" > 1 and 500 <= one
+  union all select file_path, "row", col, 4, false from near where "row" > 1 and down <> v),
+kept as (select *, min(case when stops then priority end) over (partition by file_path, "row", col) as stop from matched)
+select file_path, "row", col, priority, (row_number() over (partition by file_path, "row", col order by priority))::int as at from kept where stop is null or priority <= stop
+""")
+def office_anchored_rules(spark, sf_dir):
+    """Rules of books whose references move with the cell."""
+    files = made.rule_books(spark, sf_dir)
+    rules = spreadsheets.format_rules(spark, files).where("error is null and type = 'expression'").withColumn("formula", F.get("formulas", F.lit(0)))
+    by = ["file_path", "sheet_idx"]
+    found = anchored.matches(spreadsheets.cells(spark, files), rules.select(*by, "cf_idx", "rule_idx", "sqref", "formula", "priority", "stop_if_true"), by, ["cf_idx", "rule_idx"])
+    return anchored.applied(found, by).select("file_path", "row", "col", "priority", "at")
