@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import documents, grid
+from ..operators import documents, grid, pagination
 from .registry import Registry, table
 
 _r = Registry()
@@ -123,3 +123,30 @@ def lookup_defined_names(spark, sf_dir):
     names = spark.createDataFrame([("f", "A", None, "Sheet1!$A$1", 0), ("f", "b", None, "first", 1), ("f", "B", None, "later", 2), ("f", "b", 0, "own", 3)], "file_path string, name string, local_sheet int, formula string, ord int")
     sheets = spark.createDataFrame([("f", 0), ("f", 1)], "file_path string, sheet_idx int")
     return names_of_sheet(names, sheets, ["file_path"]).select("sheet_idx", "name", "formula")
+
+
+@_r.query(f"""
+with recursive l as ({_LINES}),
+b as (select doc_id, ord::int as ord, case when line = '' then 'break' when ord % 7 = 6 then 'table' else 'paragraph' end as kind, 12.0 * (len(line) // 60 + 1) as height, (ord % 3) * 5.0 as before, (ord % 4) * 6.0 as after, ord % 5 = 1 as keep_next, ord % 11 = 10 as break_before, ord % 2 as style, ord % 3 = 1 as contextual from l),
+n as (select *, case kind when 'paragraph' then height + before + after when 'table' then height else 0 end as full_ from b),
+w as (select *, case when keep_next then coalesce(lead(full_) over (partition by doc_id order by ord), 0) else 0 end as next_ from n),
+f(doc_id, ord, page, y, last, style, para, held) as (
+  select doc_id, -1, 1, 0.0::double, 0.0::double, -1, false, 0 from w group by doc_id
+  union all
+  select doc_id, ord, page + turn, case kind when 'break' then 0 else case when turn = 1 then 0 else top end + high + space end, space, case when kind = 'paragraph' then style else -1 end, kind = 'paragraph', case when kind = 'break' then 0 when turn = 1 then 1 else held + 1 end
+  from (select *, case when kind = 'break' then 1 when opens and held > 0 then 1 when kind = 'paragraph' and held > 0 and not opens and top > 0 and top + high + next_ > 200 then 1 when kind = 'table' and held > 0 and top + high > 200 then 1 else 0 end as turn
+    from (select *, y0 - case when kind = 'paragraph' then least(last0, lead_) else 0 end as top, case when kind = 'paragraph' then lead_ + height else height end as high, case when kind = 'paragraph' then after else 0 end as space
+      from (select w.*, f.page, f.held, kind = 'paragraph' and break_before as opens, case when kind = 'paragraph' and break_before then 0 else f.y end as y0, case when kind = 'paragraph' and break_before then 0 else f.last end as last0,
+          case when kind = 'paragraph' and not (f.para and not break_before and contextual and f.style = w.style) then before else 0 end as lead_
+        from f join w on w.doc_id = f.doc_id and w.ord = f.ord + 1))))
+select doc_id, ord, page from f where ord >= 0
+""")
+def page_overflow(spark, sf_dir):
+    """Pages of paragraphs, tables and breaks with heights and spaces."""
+    line, ord_ = F.col("line"), F.col("ord")
+    lines = documents.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    blocks = lines.select(
+        "doc_id", "ord", F.when(line == "", "break").when(ord_ % 7 == 6, "table").otherwise("paragraph").alias("kind"), (12.0 * (F.floor(F.char_length(line) / 60) + 1)).alias("height"), ((ord_ % 3) * 5.0).alias("before"), ((ord_ % 4) * 6.0).alias("after"),
+        (ord_ % 5 == 1).alias("keep_next"), ((ord_ % 11 == 10) & (line != "") & (ord_ % 7 != 6)).alias("break_before"), (ord_ % 2).alias("style"), (ord_ % 3 == 1).alias("contextual"),
+    )
+    return pagination.paginate(blocks, ["doc_id"], "ord", F.lit(200)).select("doc_id", "ord", "page")
