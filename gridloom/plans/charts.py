@@ -193,9 +193,13 @@ def chart_label_thinning(spark, sf_dir):
 
 
 @_r.query("""
-select * from (values ('barChart', 'bar', 'stacked', 'bar-stacked'), ('barChart', 'col', 'clustered', 'column-plain'), ('lineChart', null, 'percentStacked', 'line-percent'), ('areaChart', null, 'standard', 'area-plain'), ('pieChart', null, null, 'pie')) v(kind, direction, grouping, name)
+with o as (select o_orderkey, (['barChart', 'lineChart', 'areaChart', 'pieChart'])[o_orderkey % 4 + 1] as kind, case o_orderkey % 3 when 0 then 'bar' when 1 then 'col' end as direction, (['stacked', 'percentStacked', 'clustered', 'standard'])[o_orderkey // 4 % 4 + 1] as grouping_ from orders),
+g as (select *, case grouping_ when 'stacked' then 'stacked' when 'percentStacked' then 'percent' else 'plain' end as how from o)
+select o_orderkey, case kind when 'barChart' then case when direction = 'bar' then 'bar-' else 'column-' end || how when 'lineChart' then 'line-' || how when 'areaChart' then 'area-' || how else 'pie' end as name from g
 """)
 def chart_kinds(spark, sf_dir):
-    rows = [("barChart", "bar", "stacked"), ("barChart", "col", "clustered"), ("lineChart", None, "percentStacked"), ("areaChart", None, "standard"), ("pieChart", None, None)]
-    t = spark.createDataFrame(rows, "kind string, direction string, grouping string")
-    return t.withColumn("name", charts.chart_kind(F.col("kind"), F.col("direction"), F.col("grouping")))
+    """Names of charts by type, direction and grouping."""
+    k = F.col("o_orderkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    kind, grouping = pick(["barChart", "lineChart", "areaChart", "pieChart"], k % 4), pick(["stacked", "percentStacked", "clustered", "standard"], F.floor(k / 4) % 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", charts.chart_kind(kind, pick(["bar", "col", None], k % 3), grouping).alias("name"))

@@ -88,13 +88,17 @@ def page_explicit_breaks(spark, sf_dir):
 
 
 @_r.query("""
-select * from (values (1, 'I', 'a', 'a'), (4, 'IV', 'd', 'd'), (9, 'IX', 'i', 'i'), (27, 'XXVII', 'aa', 'aa'), (28, 'XXVIII', 'bb', 'ab'), (53, 'LIII', 'aaa', 'ba'), (1994, 'MCMXCIV', null, 'bxr'), (4000, '4000', null, 'ewv')) v(n, roman, doubled, letters)
+with p as (select p_partkey, (p_partkey * 7 % 4500 + 1)::int as n from part)
+select p_partkey, n, case when n < 4000 then (['', 'M', 'MM', 'MMM'])[n // 1000 + 1] || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[n // 100 % 10 + 1] || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[n // 10 % 10 + 1]
+    || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[n % 10 + 1] else n::varchar end as roman,
+  repeat(chr(97 + (n - 1) % 26), (n - 1) // 26 + 1) as doubled, case when n > 702 then chr(97 + (n - 703) // 676 % 26) else '' end || case when n > 26 then chr(97 + (n - 27) // 26 % 26) else '' end || chr(97 + (n - 1) % 26) as letters from p
 """)
 def list_number_styles(spark, sf_dir):
+    """Numbers of parts as list markers."""
     from ..functions.labels import letters, roman
 
     n = F.col("n")
-    return spark.createDataFrame([(1,), (4,), (9,), (27,), (28,), (53,), (1994,), (4000,)], "n int").select("n", roman(n).alias("roman"), F.when(n < 100, letters(n)).alias("doubled"), letters(n, repeat=False).alias("letters"))
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7 % 4500 + 1).cast("int").alias("n")).select("p_partkey", "n", roman(n).alias("roman"), letters(n).alias("doubled"), letters(n, repeat=False).alias("letters"))
 
 
 @_r.query("""
@@ -115,14 +119,18 @@ def shape_group_positions(spark, sf_dir):
 
 
 @_r.query("""
-select * from (values (0, 'a', 'Sheet1!$A$1'), (0, 'b', 'own'), (1, 'a', 'Sheet1!$A$1'), (1, 'b', 'later')) v(sheet_idx, name, formula)
+with names as (select n_regionkey, n_nationkey as ord, case when n_nationkey % 2 = 0 then 'Name' else 'NAME' end || n_nationkey % 3 as name, case when n_nationkey % 4 = 0 then n_nationkey % 2 when n_nationkey % 5 = 0 then 1 end as local_sheet, n_name as formula from nation)
+select n_regionkey, sheet_idx::int as sheet_idx, lower(name) as name, arg_max(formula, ord) as formula from names join range(2) s(sheet_idx) on local_sheet is null or local_sheet = sheet_idx group by all
 """)
 def lookup_defined_names(spark, sf_dir):
+    """Names that each of two sheets of a region sees; later ones hold."""
     from ..operators.packages import names_of_sheet
 
-    names = spark.createDataFrame([("f", "A", None, "Sheet1!$A$1", 0), ("f", "b", None, "first", 1), ("f", "B", None, "later", 2), ("f", "b", 0, "own", 3)], "file_path string, name string, local_sheet int, formula string, ord int")
-    sheets = spark.createDataFrame([("f", 0), ("f", 1)], "file_path string, sheet_idx int")
-    return names_of_sheet(names, sheets, ["file_path"]).select("sheet_idx", "name", "formula")
+    k = F.col("n_nationkey")
+    local = F.when(k % 4 == 0, k % 2).when(k % 5 == 0, 1).cast("int")
+    names = table(spark, sf_dir, "nation").select("n_regionkey", F.concat(F.when(k % 2 == 0, "Name").otherwise("NAME"), (k % 3).cast("string")).alias("name"), local.alias("local_sheet"), F.col("n_name").alias("formula"), k.alias("ord"))
+    sheets = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.explode(F.array(F.lit(0), F.lit(1))).alias("sheet_idx"))
+    return names_of_sheet(names, sheets, ["n_regionkey"]).select("n_regionkey", "sheet_idx", "name", "formula")
 
 
 @_r.query(f"""

@@ -273,16 +273,17 @@ def style_chain_recursive(spark, sf_dir):
 
 
 @_r.query("""
-select * from (values ('title', 1, 'layout-idx'), ('body', 2, 'layout-type'), ('obj', 7, 'master'), ('dt', 9, 'none')) v(kind, idx, source)
+select n_nationkey, coalesce(a.r_name, b.r_name, c.r_name, 'none') as source from nation left join region a on a.r_regionkey * 2 = n_nationkey % 10
+  left join region b on b.r_regionkey = 1 and n_nationkey % 4 = 1 left join region c on c.r_regionkey in (1, 2) and n_nationkey % 4 = c.r_regionkey
 """)
 def placeholder_coalesce(spark, sf_dir):
-    """Inherited placeholder by index, then by type, then from the master."""
-    slide = spark.createDataFrame([("title", 1), ("body", 2), ("obj", 7), ("dt", 9)], "kind string, idx int")
-    layout_idx = spark.createDataFrame([(1, "layout-idx")], "idx int, by_idx string")
-    layout_type = spark.createDataFrame([("body", "layout-type")], "kind string, by_type string")
-    master = spark.createDataFrame([("obj", "master"), ("body", "master")], "kind string, by_master string")
-    joined = slide.join(layout_idx, "idx", "left").join(layout_type, "kind", "left").join(master, "kind", "left")
-    return joined.select("kind", "idx", F.coalesce("by_idx", "by_type", "by_master", F.lit("none")).alias("source"))
+    """A nation's region by number, else by kind, else by another layer's kind."""
+    region, k = table(spark, sf_dir, "region"), F.col("r_regionkey")
+    asked = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 10).alias("idx"), (F.col("n_nationkey") % 4).alias("kind"))
+    layers = [region.select((k * 2).alias("idx"), F.col("r_name").alias("by_idx")), region.where(k == 1).select(k.alias("kind"), F.col("r_name").alias("by_type")), region.where(k.isin(1, 2)).select(k.alias("kind"), F.col("r_name").alias("by_master"))]
+    joined = asked.join(layers[0], "idx", "left").join(layers[1], "kind", "left").join(layers[2], "kind", "left")
+    first, _ = styles.first_set(("idx", F.col("by_idx")), ("type", F.col("by_type")), ("master", F.col("by_master")))
+    return joined.select("n_nationkey", F.coalesce(first, F.lit("none")).alias("source"))
 
 
 @_r.query(r"""
