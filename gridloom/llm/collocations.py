@@ -190,7 +190,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     for w in ("w1", "w2", "w3"):
         found = found.join(vocab.select(F.col("id").alias(w), F.col("word").alias(f"{w}_word")), w, "left" if w == "w3" else "inner")
     spelt = found.withColumn("phrase", F.concat_ws(" ", "w1_word", "w2_word", "w3_word"))
-    ranked = spelt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long"))
-    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
+    ranked = spelt.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")))
+    ranked = (ranked if top is None else ranked.where(F.col("at") <= top)).withColumn("rank", F.col("at").cast("long"))
     sizes = told.groupBy("lang").agg(F.sum("total").alias("n"))
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
