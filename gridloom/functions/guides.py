@@ -34,6 +34,9 @@ _OPERATORS = {
     "sat2": lambda x, y, z: x * F.sin(F.atan2(z, y)),
 }
 
+#: Arguments of the operators that have fewer than three.
+ARGUMENTS = {"val": 1, "abs": 1, "sqrt": 1, "min": 2, "max": 2, "sin": 2, "cos": 2, "tan": 2, "at2": 2}
+
 
 def built_in(width: Column, height: Column) -> dict[str, Column]:
     """Names that every shape has: sides, centres, fractions of its sides, parts of the circle."""

@@ -184,6 +184,24 @@ def _group_deck(region: int, nations: list[int]) -> bytes:
     return _deck_of(slides, {"ppt/slideLayouts/slideLayout1.xml": empty.format("sldLayout"), "ppt/slideMasters/slideMaster1.xml": empty.format("sldMaster")})
 
 
+def _shape_deck(region: int, nations: list[int]) -> bytes:
+    """A custom shape a nation: a corner that a guide cuts, an arc, a curve, and a second outline in the shape's own size."""
+    slides = {}
+    for k in nations:
+        pt = lambda *xy: "".join(f'<a:pt x="{x}" y="{y}"/>' for x, y in xy)
+        first = f'<a:path w="200" h="100"><a:moveTo>{pt((k, 0))}</a:moveTo><a:lnTo>{pt(("cut", 50))}</a:lnTo><a:arcTo wR="20" hR="10" stAng="cd4" swAng="cd2"/><a:arcTo wR="k" hR="k" stAng="0" swAng="5400000"/><a:cubicBezTo>{pt((1, 1), (2, 2), (150, "k"))}</a:cubicBezTo><a:close/></a:path>'
+        second = f'<a:path><a:moveTo>{pt(("l", "vc"))}</a:moveTo><a:lnTo>{pt(("r", "b"))}</a:lnTo></a:path>'
+        guides = f'<a:avLst><a:gd name="k" fmla="val {k}"/></a:avLst><a:gdLst><a:gd name="half" fmla="*/ w 1 2"/><a:gd name="cut" fmla="+- half 0 k"/></a:gdLst>'
+        slides[k] = f'<p:sp><p:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{100 + 2 * k}" cy="60"/></a:xfrm><a:custGeom>{guides}<a:pathLst>{first}{second}</a:pathLst></a:custGeom></p:spPr></p:sp>'
+    empty = '<p:{0} xmlns:p="p"><p:cSld><p:spTree/></p:cSld></p:{0}>'
+    return _deck_of(slides, {"ppt/slideLayouts/slideLayout1.xml": empty.format("sldLayout"), "ppt/slideMasters/slideMaster1.xml": empty.format("sldMaster")})
+
+
+def shape_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``r<key>.pptx`` of each region: custom shapes."""
+    return _by_region(spark, sf_dir, _shape_deck)
+
+
 def _by_region(spark: SparkSession, sf_dir: str, write) -> DataFrame:
     def make(frame: pd.DataFrame) -> pd.DataFrame:
         region = int(frame["n_regionkey"].iloc[0])

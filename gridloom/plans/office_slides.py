@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import slides
+from pyspark.sql import functions as F
+
+from ..operators import geometry, slides
 from ..sources import placeholders, presentations
 from . import made
 from .registry import Registry
@@ -57,3 +59,18 @@ def office_group_positions(spark, sf_dir):
     decks = made.group_decks(spark, sf_dir)
     placed = presentations.absolute_elements(presentations.elements(spark, decks)).where("kind = 'sp'")
     return placed.join(presentations.slides(spark, decks).where("error is null").select("file_path", "part", "slide"), ["file_path", "part"]).select("file_path", "slide", "shape", "x", "y", "w", "h", "rot", "flip_h", "flip_v")
+
+
+@_r.query(f"""
+with {_SLIDES}, v as (select *, (50 + k)::double - k as cut from s),
+p as (select file_path, slide, 0 as path, ord, case ord when 0 then k when 1 then cut when 2 then cut when 3 then cut - k when 4 then 150 else k end / 200.0 as x, case ord when 0 then 0 when 1 then 50 when 2 then 30 when 3 then 30 + k when 4 then k else 0 end / 100.0 as y from v, range(6) t(ord)
+  union all select file_path, slide, 1, ord, ord::double, case ord when 0 then 0.5 else 1 end from v, range(2) t(ord))
+select file_path, slide, path::int as path, ord::int as ord, round(x, 9)::double as x, round(y, 9)::double as y from p
+""")
+def office_shape_points(spark, sf_dir):
+    """Points of custom shapes, in shares of their size."""
+    decks = made.shape_decks(spark, sf_dir)
+    shapes = presentations.elements(spark, decks).where("error is null").select("file_path", "part", "shape", "w", "h")
+    points = geometry.path_points(shapes, presentations.shape_paths(spark, decks).where("error is null"), ["file_path", "part", "shape"])
+    listed = presentations.slides(spark, decks).where("error is null").select("file_path", "part", "slide")
+    return points.join(listed, ["file_path", "part"]).select("file_path", "slide", "path", "ord", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))

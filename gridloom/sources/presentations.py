@@ -142,6 +142,30 @@ def shape_styles(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.pptx", _styles, "part string, shape int, geometry string, fill string, fill_color string, line string, line_color string, line_width double, shadow boolean")
 
 
+def _paths(package: Package):
+    for part in sorted(n for n in package.names if n.startswith("ppt/slide") and n.endswith(".xml")):
+        for tree in below(package.xml(part), "spTree"):
+            for at, _, e in shape_tree(tree):
+                props = child(e, "spPr")
+                custom = child(props, "custGeom") if props is not None else None
+                if custom is None:
+                    continue
+                for name in ("avLst", "gdLst"):
+                    held = child(custom, name)
+                    yield from ((part, at, "guide", None, k, attribute(g, "name"), (attribute(g, "fmla") or "").split(), None, None) for k, g in enumerate(held if held is not None else ()))
+                paths = child(custom, "pathLst")
+                for p, path in enumerate(paths if paths is not None else ()):
+                    size = [int(attribute(path, a)) if attribute(path, a) else None for a in "wh"]
+                    for k, c in enumerate(path):
+                        args = [attribute(c, a) or "0" for a in ("wR", "hR", "stAng", "swAng")] if local(c) == "arcTo" else [attribute(q, a) for q in c for a in ("x", "y")]
+                        yield part, at, "command", p, k, local(c), args, *size
+
+
+def shape_paths(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Custom geometry: guides (``name`` and the words of their formula) and path commands (``name`` and the numbers or guides that they name), in order."""
+    return read_packages(spark, path, "*.pptx", _paths, "part string, shape int, kind string, path int, ord int, name string, args array<string>, path_w long, path_h long")
+
+
 def drawn(slides_: DataFrame, elements_: DataFrame) -> DataFrame:
     """Shapes of each slide in the order that they are drawn: the layout's without placeholders first, then the slide's."""
     found = elements_.where("error is null").drop("error")

@@ -12,17 +12,22 @@ def event_stream(spark: SparkSession, path: str, schema, late: str = "1 hour") -
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def _time(events: DataFrame):
+    """The time column; as it is if it is a timestamp, as any expression around it would lose its watermark."""
+    return F.col("ts") if dict(events.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp")
+
+
 def tumbling(events: DataFrame, width: str) -> DataFrame:
-    w = F.window(F.col("ts").cast("timestamp"), width)
+    w = F.window(_time(events), width)
     return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sliding(events: DataFrame, width: str, step: str) -> DataFrame:
-    return events.groupBy(F.window(F.col("ts").cast("timestamp"), width, step).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return events.groupBy(F.window(_time(events), width, step).alias("w"), "event_type").agg(F.count("*").alias("n"))
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
-    return events.groupBy(F.session_window(F.col("ts").cast("timestamp"), gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.groupBy(F.session_window(_time(events), gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def once(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
