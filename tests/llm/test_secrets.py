@@ -107,3 +107,24 @@ def test_few_keys_among_much_text(spark):
     found = secrets.find_secrets(spark.createDataFrame(rows, DOCS)).collect()
     hits = [rows[r.doc_id][1][int(s.split(":")[1]) : int(s.split(":")[2])] for r in found for s in r.spans.split(",") if s.startswith("random")]
     assert len(set(keys) & set(hits)) >= 19 and len(set(hits) - set(keys)) <= 1
+
+
+def test_base32_keys_and_encoded_text():
+    import base64
+
+    rng, upper = random.Random(12), string.ascii_uppercase + "234567"
+    strong = lambda xs, least: sum((secrets.evidence(x) or ("", 0.0))[1] >= least for x in xs) / len(xs)
+    for n, part in ((32, 0.85), (40, 0.9), (52, 0.95)):
+        assert strong(["".join(rng.choice(upper) for _ in range(n)) for _ in range(600)], 4) >= part, n
+    text = joined_words(rng, 2000)
+    for way in (base64.b64encode, base64.urlsafe_b64encode, base64.b32encode):
+        assert strong([way(f"{a} {b}"[: rng.randrange(24, 60)].encode()).decode() for a, b in zip(text, text[1:])], 1) < 0.01
+    written = []
+    for x in text:  # capitals with numbers in them
+        y = re.sub("[_-]", "", x.upper())
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(y))
+            y = y[:at] + "".join(rng.choice("234567") for _ in range(rng.randrange(1, 4))) + y[at:]
+        written.append(y)
+    for level in (1, 2, 3):
+        assert strong(written, level) <= 10**-level
