@@ -67,10 +67,11 @@ class Benchmark:
         self.most = 1 + math.log(1 + total)
         self.bags = [dict(zip(r[2], r[3], strict=True)) for r in rows]
         self.weight = {h: 1 + math.log((1 + total) / (1 + n)) for r in rows for h, n in zip(r[2], r[4], strict=True)}
-        self.by_shingle: dict[int, list[int]] = {}
-        for k, b in enumerate(self.bags):
+        #: Lengths of the items that have a shingle, each once: what a hit costs doesn't grow with the items that share it.
+        self.lengths_with: dict[int, set[int]] = {}
+        for n, b in zip(self.lengths, self.bags, strict=True):
             for h in b:
-                self.by_shingle.setdefault(h, []).append(k)
+                self.lengths_with.setdefault(h, set()).add(n)
         #: Sizes of shingles (items shorter than one have their own), the shingles of each size in order, and their weights.
         gates: dict[int, list[int]] = {}
         for n, b in zip(self.lengths, self.bags, strict=True):
@@ -132,8 +133,8 @@ class Benchmark:
         """Windows of the length of each item hit that hold the hit and can reach the similarity."""
         starts: dict[int, set[int]] = {}
         for p in np.flatnonzero(hit).tolist():
-            for k in self.by_shingle[int(h[p])]:
-                length = min(self.lengths[k], n_words)
+            for item_words in self.lengths_with[int(h[p])]:
+                length = min(item_words, n_words)
                 first, last = max(0, p - max(0, length - n)), min(p, n_words - length)
                 starts.setdefault(length, set()).update(range(first, last + 1))
         known, unknown = np.r_[0, np.cumsum(weights)], np.r_[0, np.cumsum(~hit)]

@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -37,7 +37,9 @@ ANCHORS = (
 )
 CHAIN = 2
 #: Range buckets of ids at most; each is sorted and streamed, so its size bounds no memory.
-MOST_BUCKETS = 4096
+MOST_BUCKETS = 16_384
+#: Ids in the sample of other ids than numbers, a range, from which its cuts are taken.
+SAMPLED = 32
 _LEAST_ID = -(1 << 63)
 _anchors = np.sort(np.array([xxhash.xxh64_intdigest(w) | 1 for w in ANCHORS], np.uint64))
 
@@ -79,12 +81,14 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The first row of each range is also sent to the range before it (``halo``);
     that of the first range, to the last. Texts are shuffled once.
     """
-    key = F.coalesce(_long(docs, id_col), F.lit(_LEAST_ID))
+    numeric = isinstance(docs.schema[id_col].dataType, NumericType)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID)) if numeric else F.col(id_col).cast("string")
     ids = docs.select(key.alias("k"), F.col(id_col).alias("id"))
     n = min(MOST_BUCKETS, file_count(docs))
-    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n + 100)).collect()[0][0] or []
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]).cast("array<long>")
-    bucket = lambda k: F.size(F.filter(bounds, lambda c: c < k))
+    cuts = (ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n + 100)).collect()[0][0] or []) if numeric else _text_cuts(ids, n)
+    kind = "long" if numeric else "string"
+    bounds = F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts))]).cast(f"array<{kind}>")
+    bucket = lambda k: F.when(k.isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c < k)))
     heads = ids.withColumn("bucket", bucket(F.col("k"))).groupBy("bucket").agg(F.max("id").alias("head"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("bucket"))  # a row for each range: at most MOST_BUCKETS
     whole = Window.partitionBy(F.lit(0))
@@ -99,12 +103,18 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return dealt.sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")), docs.schema[id_col].dataType.simpleString()
 
 
-def _long(docs: DataFrame, id_col: str) -> Column:
-    """Never falls as the id rises."""
-    if isinstance(docs.schema[id_col].dataType, NumericType):
-        return F.col(id_col).cast("long")
-    first = F.hex(F.substring(F.col(id_col).cast("string").cast("binary"), 1, 7))
-    return F.conv(F.rpad(first, 14, "0"), 16, 10).cast("long")
+def _text_cuts(ids: DataFrame, n: int) -> list[str]:
+    """Quantiles of ids that are no numbers, by whole ids: of a hash sample of the different ids, each with the rows that have it, ``SAMPLED`` a range."""
+    total = ids.agg(F.approx_count_distinct("k")).collect()[0][0] or 1
+    share = min(1 << 30, (1 << 30) * SAMPLED * n // total + 1)
+    found = ids.where(F.col("k").isNotNull() & (F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share)).groupBy("k").count().collect()
+    held = sorted((r["k"].encode(), r["count"]) for r in found)
+    rows, cuts, seen = sum(c for _, c in held), [], 0
+    for k, c in held:
+        if seen * n // max(1, rows) < (seen + c) * n // max(1, rows):
+            cuts.append(k.decode())
+        seen += c
+    return cuts[:-1]
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

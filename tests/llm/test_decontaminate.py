@@ -135,3 +135,18 @@ def test_recall_at_the_similarity():
             tried += 1
             found += bool(block.search("before " + " ".join(last) + " after it", 0.8))
     assert tried > 100 and found / tried >= 0.97
+
+
+def test_a_shared_opening_costs_no_more_with_more_items():
+    rng = random.Random(2)
+    opening = [f"o{i}" for i in range(8)]
+    made = []
+    for count in (200, 2000):
+        rows = []
+        for k in range(count):
+            words = decontaminate.word_hashes(" ".join(opening + [f"w{rng.randrange(10**6)}" for _ in range(20 + k % 5)]))
+            h, n = np.unique(decontaminate.shingles(words, decontaminate.SHINGLE), return_counts=True)
+            rows.append((k, len(words), h.tolist(), n.tolist(), [1] * len(h)))
+        held = decontaminate.Benchmark(rows, count)
+        made.append(max(len(x) for x in held.lengths_with.values()))
+    assert made == [5, 5]  # steps of a hit on the opening: lengths, not items

@@ -99,3 +99,16 @@ def test_ids_of_other_types(spark):
             third = len(a.text) // 3
             assert got[a.doc_id] == hashlib.sha256((a.text[: len(a.text) - third] + b.text[:third]).encode()).hexdigest()
         assert len(got) >= 50
+
+
+def test_ids_of_one_prefix_are_dealt_over_many_tasks(spark):
+    rows = spark.range(20_000).selectExpr("concat('document-', lpad(id, 8, '0')) as doc_id", "concat('the w', id, ' x') as text").union(spark.createDataFrame([(None, "no id"), ("document-00000007", "the same id")], "doc_id string, text string")).repartition(16)
+    dealt, _ = spotsigs.followed(rows)
+    sizes = sorted(r["count"] for r in dealt.groupBy("bucket").count().collect())
+    assert len(sizes) >= 12 and sizes[-1] < 4 * 20_000 / len(sizes)
+    got = {r.doc_id: r for r in spotsigs.compare_edited(rows).collect()}
+    text = lambda i: f"the w{i} x"
+    for i in (1, 5000, 12345, 19999):
+        t, follower = text(i), text(i - 1)
+        third = len(t) // 3
+        assert got[f"document-{i:08}"].edited_sha256 == hashlib.sha256((t[: len(t) - third] + follower[:third]).encode()).hexdigest()
