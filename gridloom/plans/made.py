@@ -233,6 +233,27 @@ def _table_book(rows: list[tuple[int, float]]) -> bytes:
     })
 
 
+def _chart_book(region: int, nations: list[int]) -> bytes:
+    """A chart of a region's nations: bars of their keys and of doubles, and a line, in another order than they stand, with labels of every kind."""
+    def cache(tag: str, values: list, kind: str = "num") -> str:
+        points = "".join(f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>' for i, v in enumerate(values) if v is not None)
+        return f'<c:{tag}><c:{kind}Ref><c:{kind}Cache><c:ptCount val="{len(values)}"/>{points}</c:{kind}Cache></c:{kind}Ref></c:{tag}>'
+
+    names = cache("cat", [f"N{k}" for k in nations], "str")
+    series = lambda order, name, values, more="": f'<c:ser><c:order val="{order}"/>{cache("tx", [name], "str")}{more}{names}{cache("val", values)}</c:ser>'
+    own = '<c:dLbl><c:idx val="0"/><c:delete val="1"/></c:dLbl><c:dLbl><c:idx val="1"/><c:tx><c:rich><a:p><a:r><a:t>p</a:t></a:r><a:fld type="CELLRANGE"><a:t>x</a:t></a:fld><a:r><a:t>s</a:t></a:r></a:p></c:rich></c:tx><c:dLblPos val="t"/></c:dLbl>'
+    cells = '<c:extLst><c:ext><c15:datalabelsRange><c15:dlblRangeCache>' + "".join(f'<c:pt idx="{i}"><c:v>c{k}</c:v></c:pt>' for i, k in enumerate(nations)) + "</c15:dlblRangeCache></c15:datalabelsRange></c:ext></c:extLst>"
+    first = series(2, "keys", nations, f'<c:dLbls>{own}<c:dLblPos val="ctr"/><c:showVal val="1"/><c:showCatName val="1"/></c:dLbls>{cells}')
+    second = series(0, "twice", [None if k % 4 == 0 else -2 * k for k in nations], '<c:dLbls><c:numFmt formatCode="#,##0.0;[Red](#,##0.0)"/><c:showVal val="1"/><c:showSerName val="1"/></c:dLbls>')
+    chart = f'<c:chartSpace xmlns:c="c" xmlns:a="a" xmlns:c15="c15"><c:chart><c:plotArea><c:barChart><c:barDir val="col"/><c:grouping val="stacked"/>{first}{second}</c:barChart><c:lineChart>{series(1, "line", [k / 8 for k in nations])}</c:lineChart></c:plotArea></c:chart></c:chartSpace>'
+    return package({"xl/workbook.xml": "<workbook><sheets/></workbook>", "xl/charts/chart1.xml": chart})
+
+
+def chart_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``r<key>.pptx`` of each region, with a chart part as both kinds of packages have it."""
+    return _by_region(spark, sf_dir, _chart_book)
+
+
 def _rule_book(rows: list[tuple[int, float]]) -> bytes:
     """Keys, balances and thresholds under four rules of relative, mixed and fixed references; the block of the second has two ranges."""
     last = len(rows) + 1
