@@ -74,10 +74,10 @@ def matches(cells: DataFrame, rules: DataFrame, by: list[str], key: list[str]) -
 
 
 def _looked_up(rows: DataFrame, values: DataFrame, by: list[str], name: str) -> DataFrame:
-    """The value of the cell ``__at`` of each row's sheet; rows without one are kept apart from the join."""
-    asks = rows.where("__at is not null").withColumns({"__r": F.col("__at.row"), "__c": F.col("__at.col")}).drop("__at")
-    rest = rows.where("__at is null").drop("__at")
-    return asks.join(values, [*by, "__r", "__c"], "left").drop("__r", "__c").withColumnRenamed("__v", name).unionByName(rest, allowMissingColumns=True)
+    """The value of the cell ``__at`` of each row's sheet; rows without one ask for cells above the sheet, which are spread and not there."""
+    nowhere = -1 - F.pmod(F.xxhash64(*[c for c in ("row", "col") if c in rows.columns] or [F.lit(0)]), F.lit(1009)).cast("int")
+    asks = rows.withColumns({"__r": F.coalesce("__at.row", nowhere), "__c": F.coalesce("__at.col", F.lit(0))}).drop("__at")
+    return asks.join(values, [*by, "__r", "__c"], "left").drop("__r", "__c").withColumnRenamed("__v", name)
 
 
 def _operand(side: str) -> Value:

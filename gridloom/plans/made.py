@@ -263,6 +263,7 @@ def _rule_book(rows: list[tuple[int, float]]) -> bytes:
     return package({
         "xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="s" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": relations(("r1", "worksheets/sheet1.xml")),
         "xl/worksheets/sheet1.xml": f'<worksheet><sheetData><row r="1"><c r="C1"><v>500</v></c></row>{lines}</sheetData>{found}</worksheet>',
+        "xl/styles.xml": "<styleSheet><dxfs><dxf/>" + "".join(f'<dxf><numFmt numFmtId="{170 + i}" formatCode="[Red]0.{"0" * i}"/><border><bottom style="thin"><color rgb="FF{len(rows):06X}"/></bottom><top/></border></dxf>' for i in (1, 2, 3)) + "<dxf/></dxfs></styleSheet>",
     })
 
 

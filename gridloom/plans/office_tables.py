@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..operators import anchored, tables
 from ..sources import deck_tables, parts, spreadsheets
 from . import made
@@ -85,8 +86,7 @@ def office_table_overlay(spark, sf_dir):
     return named.select("file_path", "row", "col", "table", "part", "is_first_col", "is_last_col", "accent", "dxf_id")
 
 
-@_r.query("""
-with c as (select *, 'n' || c_nationkey || '.xlsx' as file_path, (row_number() over (partition by c_nationkey order by c_custkey) + 1)::int as r from customer),
+_MATCHED = """with c as (select *, 'n' || c_nationkey || '.xlsx' as file_path, (row_number() over (partition by c_nationkey order by c_custkey) + 1)::int as r from customer),
 cells as (select file_path, r as "row", col::int as col, case col when 1 then c_custkey::double when 2 then c_acctbal else c_custkey * 10.0 end as v from c, range(1, 4) t(col) union all select distinct file_path, 1, 3, 500.0 from c),
 near as (select c.*, coalesce(b.v, 0) as b, coalesce(nxt.v, 0) as nxt, coalesce(down.v, 0) as down, coalesce(one.v, 0) as one from cells c left join cells b on b.file_path = c.file_path and b."row" = c."row" and b.col = 2
   left join cells nxt on nxt.file_path = c.file_path and nxt."row" = c."row" and nxt.col = c.col + 1 left join cells down on down.file_path = c.file_path and down."row" = c."row" + 1 and down.col = c.col
@@ -95,14 +95,41 @@ matched as (
   select file_path, "row", col, 3 as priority, false as stops from near where col = 1 and "row" > 1 and b > 0
   union all select file_path, "row", col, 2, true from near where (col = 2 and "row" > 1 or col = 3 and "row" > 2) and v > nxt
   union all select file_path, "row", col, 1, false from near where col in (2, 3) and "row" > 1 and 500 <= one
-  union all select file_path, "row", col, 4, false from near where "row" > 1 and down <> v),
+  union all select file_path, "row", col, 4, false from near where "row" > 1 and down <> v),"""
+
+
+@_r.query(f"""
+{_MATCHED}
 kept as (select *, min(case when stops then priority end) over (partition by file_path, "row", col) as stop from matched)
 select file_path, "row", col, priority, (row_number() over (partition by file_path, "row", col order by priority))::int as at from kept where stop is null or priority <= stop
 """)
 def office_anchored_rules(spark, sf_dir):
     """Rules of books whose references move with the cell."""
-    files = made.rule_books(spark, sf_dir)
+    return _applied(spark, made.rule_books(spark, sf_dir)).select("file_path", "row", "col", "priority", "at")
+
+
+def _applied(spark, files):
     rules = spreadsheets.format_rules(spark, files).where("error is null and type = 'expression'").withColumn("formula", F.get("formulas", F.lit(0)))
     by = ["file_path", "sheet_idx"]
-    found = anchored.matches(spreadsheets.cells(spark, files), rules.select(*by, "cf_idx", "rule_idx", "sqref", "formula", "priority", "stop_if_true"), by, ["cf_idx", "rule_idx"])
-    return anchored.applied(found, by).select("file_path", "row", "col", "priority", "at")
+    rules = rules.select(*by, "cf_idx", "rule_idx", "dxf_id", "sqref", "formula", "priority", "stop_if_true")
+    return anchored.applied(anchored.matches(spreadsheets.cells(spark, files), rules, by, ["cf_idx", "rule_idx", "dxf_id"]), by)
+
+
+@_r.query(f"""
+{_MATCHED}
+kept as (select *, min(case when stops then priority end) over (partition by file_path, "row", col) as stop from matched),
+first_ as (select file_path, "row", col, min(priority) as p from kept where (stop is null or priority <= stop) and priority < 4 group by all)
+select c.file_path, c."row", c.col, case f.p when 1 then printf('%.1f', round(c.v::decimal(38,12), 1)) when 2 then printf('%.2f', round(c.v::decimal(38,12), 2)) when 3 then printf('%.3f', round(c.v::decimal(38,12), 3)) else regexp_replace(c.v::varchar, '\\.0$', '') end as shown,
+  case when f.p is not null then 'FF' || lpad(printf('%X', count(*) filter (where c.col = 1) over (partition by c.file_path)), 6, '0') end as bottom
+from cells c left join first_ f on f.file_path = c.file_path and f."row" = c."row" and f.col = c.col
+""")
+def office_rule_formats(spark, sf_dir):
+    """Cells as the number format of the first rule that has one shows them, and the edge that it draws."""
+    files = made.rule_books(spark, sf_dir)
+    codes = spreadsheets.rule_formats(spark, files).where("error is null").select("file_path", "dxf_id", "format_code")
+    edges = spreadsheets.rule_borders(spark, files).where("error is null and edge = 'bottom'").select("file_path", "dxf_id", F.col("rgb").alias("bottom"))
+    at = ["file_path", "sheet_idx", "row", "col"]
+    said = _applied(spark, files).join(codes, ["file_path", "dxf_id"]).join(edges, ["file_path", "dxf_id"], "left")
+    first = said.groupBy(*at).agg(F.min_by("format_code", "priority").alias("code"), F.min_by("bottom", "priority").alias("bottom"))
+    cells = spreadsheets.cells(spark, files).select(*at, "v_num", "v_text").join(first, at, "left")
+    return formats.formatted(cells, "code", "v_num", "v_text").select("file_path", "row", "col", "shown", "bottom")

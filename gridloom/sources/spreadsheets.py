@@ -269,6 +269,30 @@ def borders(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return read_packages(spark, path, "*.xlsx", _borders, f"border_id int, edge string, style string, {COLOR}")
 
 
+def _rule_edges(package: Package):
+    for i, dxf in enumerate(_rules_of_styles(package)):
+        for edge in (e for b in dxf if local(b) == "border" for e in b):
+            if edge.get("style"):
+                yield i, local(edge), edge.get("style"), *_color(child(edge, "color"))
+
+
+def _rules_of_styles(package: Package):
+    root = package.xml("xl/styles.xml")
+    held = child(root, "dxfs") if root is not None else None
+    return (e for e in held if local(e) == "dxf") if held is not None else ()
+
+
+def rule_borders(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """A row for each edge that a differential format draws."""
+    return read_packages(spark, path, "*.xlsx", _rule_edges, f"dxf_id int, edge string, style string, {COLOR}")
+
+
+def rule_formats(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Number formats of differential formats."""
+    rows = lambda package: ((i, int(f.get("numFmtId") or 0), f.get("formatCode")) for i, dxf in enumerate(_rules_of_styles(package)) for f in dxf if local(f) == "numFmt")
+    return read_packages(spark, path, "*.xlsx", rows, "dxf_id int, num_fmt_id int, format_code string")
+
+
 def _related(package: Package, kind: str):
     """(sheet, part, root) of the parts that sheets refer to, by a piece of their path."""
     for i, _, part in listed(package):
