@@ -142,9 +142,9 @@ _NUMBER_CODES = [
 
 
 @_r.query(r"""
-with c as (select c_custkey, c_acctbal as x, abs(c_acctbal)::decimal(38,12) as a, case when c_acctbal < 0 then '-' else '' end as s, c_custkey % 15 as k from customer),
+with c as (select c_custkey, c_acctbal as x, abs(c_acctbal)::varchar::decimal(38,12) as a, case when c_acctbal < 0 then '-' else '' end as s, c_custkey % 15 as k from customer),
 d as (select *, case when floor(a + 0.5) > 0 then s else '' end as s0, case when floor(a * 10 + 0.5) > 0 then s else '' end as s1, format('{:,}', floor(a + 0.5)::bigint) as w, floor(a + 0.5)::bigint::varchar as p,
-  format('{:,.2f}', round(a, 2)::double) as w2, printf('%.1f', round(a, 1)) as p1, printf('%.2f', round(a, 2)) as p2, format('{:,.1f}', round(a, 1)::double) as w1, regexp_replace(a::double::varchar, '\.0$', '') as g from c)
+  format('{:,.2f}', round(a, 2)::double) as w2, printf('%.1f', round(a, 1)) as p1, printf('%.2f', round(a, 2)) as p2, format('{:,.1f}', round(a, 1)::double) as w1, regexp_replace(abs(x)::varchar, '\.0$', '') as g from c)
 select c_custkey, case k when 0 then s || w when 1 then s || 'USD ' || w2 when 2 then s1 || '€ ' || p1 when 3 then case when x < 0 then '(' || w2 || ')' else w2 end when 4 then case when x < 0 then p || ' low' else p1 || 'k+' end
   when 5 then case when x < 0 then '(' || floor(a * 100 + 0.5)::bigint || '%)' else floor(a * 100 + 0.5)::bigint || '%' end when 6 then s0 || 'a;b ' || p when 7 then s || g when 8 then s0 || lpad(p, greatest(5, len(p))::int, '0')
   when 9 then case when x < 0 then '' else w || ' pcs' end when 10 then s0 || p when 11 then s1 || '~' || p1 when 12 then s1 || w1 when 13 then s || p2 else s || g end as shown from d

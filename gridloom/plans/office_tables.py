@@ -119,7 +119,7 @@ def _applied(spark, files):
 {_MATCHED}
 kept as (select *, min(case when stops then priority end) over (partition by file_path, "row", col) as stop from matched),
 first_ as (select file_path, "row", col, min(priority) as p from kept where (stop is null or priority <= stop) and priority < 4 group by all)
-select c.file_path, c."row", c.col, case f.p when 1 then printf('%.1f', round(c.v::decimal(38,12), 1)) when 2 then printf('%.2f', round(c.v::decimal(38,12), 2)) when 3 then printf('%.3f', round(c.v::decimal(38,12), 3)) else regexp_replace(c.v::varchar, '\\.0$', '') end as shown,
+select c.file_path, c."row", c.col, case f.p when 1 then printf('%.1f', round(c.v::varchar::decimal(38,12), 1)) when 2 then printf('%.2f', round(c.v::varchar::decimal(38,12), 2)) when 3 then printf('%.3f', round(c.v::varchar::decimal(38,12), 3)) else regexp_replace(c.v::varchar, '\\.0$', '') end as shown,
   case when f.p is not null then 'FF' || lpad(printf('%X', count(*) filter (where c.col = 1) over (partition by c.file_path)), 6, '0') end as bottom
 from cells c left join first_ f on f.file_path = c.file_path and f."row" = c."row" and f.col = c.col
 """)
