@@ -130,8 +130,8 @@ select c_custkey, w::varchar as f1, case when x < 0 then '-' else '' end || prin
 """)
 def fmt_builtin_numbers(spark, sf_dir):
     x = F.col("c_acctbal")
-    found = [formats.format_value(x, formats.BUILTIN[i]).alias(f"f{i}") for i in (2, 3, 4, 9, 10, 37, 39)]
-    return table(spark, sf_dir, "customer").select("c_custkey", formats.format_value(F.abs(x), formats.BUILTIN[1]).alias("f1"), *found)
+    found = [formats.builtin_value(x, i).alias(f"f{i}") for i in (2, 3, 4, 9, 10, 37, 39)]
+    return table(spark, sf_dir, "customer").select("c_custkey", formats.builtin_value(F.abs(x), 1).alias("f1"), *found)
 
 
 #: Codes with colours, conditions, currencies, padding, fill, quoted semicolons, empty sections.
