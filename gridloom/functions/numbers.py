@@ -55,7 +55,7 @@ def natural_log(x: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """The shortest digits that give the number back, plain from 1e-7 to 1e21 and with an exponent beyond."""
+    """The shortest digits that give the number back, plain from 1e-7 to 1e21 and with an exponent beyond; a negative zero keeps its sign."""
     shown = F.abs(x.cast("double")).cast("string")  # such as 12.5, 1.25E-9
     mantissa, exponent = F.substring_index(shown, "E", 1), F.coalesce(F.regexp_extract(shown, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
     whole = F.substring_index(mantissa, ".", 1)
@@ -71,4 +71,4 @@ def number_text(x: Column) -> Column:
         .otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), rest, F.lit("e"), F.when(n > 0, "+").otherwise("-"), F.abs(n - 1).cast("string")))
     )
     odd = F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), "Infinity")
-    return F.when(x.isNotNull(), F.concat(F.when((x < 0) & (k > 0), "-").otherwise(""), F.coalesce(odd, plain)))
+    return F.when(x.isNotNull(), F.concat(F.when((x < 0) | (x.cast("double").cast("string") == "-0.0"), "-").otherwise(""), F.coalesce(odd, plain)))

@@ -376,10 +376,10 @@ def filter_headers(cells_: DataFrame, views_: DataFrame) -> DataFrame:
 
 
 def hide_zeros(cells_: DataFrame, views_: DataFrame, text: str) -> DataFrame:
-    """Where a sheet doesn't show zeros, cells whose formatted ``text`` is 0 are empty."""
+    """Where a sheet doesn't show zeros, cells whose formatted ``text`` is 0, of either sign, are empty."""
     shown = views_.where("error is null").select("file_path", "sheet_idx", F.col("show_zeros").alias("__zeros"))
     joined = cells_.join(shown, ["file_path", "sheet_idx"], "left")
-    return joined.withColumn(text, F.when(~F.coalesce("__zeros", F.lit(True)) & (F.col(text) == "0"), "").otherwise(F.col(text))).drop("__zeros")
+    return joined.withColumn(text, F.when(~F.coalesce("__zeros", F.lit(True)) & F.col(text).isin("0", "-0"), "").otherwise(F.col(text))).drop("__zeros")
 
 
 def extension_rules(spark: SparkSession, path: str | DataFrame) -> DataFrame:
