@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tracemalloc
 import zipfile
 
 import pytest
@@ -172,3 +173,30 @@ def test_any_fault_is_one_row(spark):
     book = dict(WORKBOOK) | {"xl/worksheets/sheet2.xml": '<worksheet><cols><col min="x"/></cols></worksheet>'}
     files = spark.createDataFrame([("odd", bytearray(package(book)))], "path string, content binary")
     assert [r.error is not None for r in spreadsheets.dimensions(spark, files).collect()] == [True]
+
+
+def test_what_nobody_asked_for_is_gone_as_it_ends(spark):
+    """Views of a sheet and the blocks of a body don't hold what has been read before them."""
+    book = {"s.xml": "<worksheet><sheetData>" + "<row><c><v>1</v></c></row>" * 60_000 + '</sheetData><autoFilter ref="A1:B2"/></worksheet>'}
+    body = {wordprocessing.BODY: '<document xmlns:w="w"><body>' + "<p><r><t>x</t></r></p>" * 60_000 + "</body></document>"}
+    for parts, read in ((book, lambda p: p.elements("s.xml", {"sheetViews", "autoFilter"})), (body, wordprocessing._runs)):
+        held = Package(package(parts))
+        tracemalloc.start()
+        n = sum(1 for _ in read(held))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n in (1, 60_000) and most < 4 << 20
+
+
+def test_blocks_of_a_body_as_they_are_read(spark):
+    text = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    body = text(0) + f"<w:sdt><w:sdtPr>{text('no')}</w:sdtPr><w:sdtContent>{text(1)}<w:sdt><w:sdtContent>{text(2)}</w:sdtContent><w:sdtContent>{text('no')}</w:sdtContent></w:sdt></w:sdtContent></w:sdt>" + f"<w:del>{text('no')}</w:del><w:ins>{text(3)}</w:ins>"
+    body += f"<w:tbl><w:tr><w:tc>{text(4)}<w:tbl><w:tr><w:tc>{text('no')}</w:tc></w:tr></w:tbl></w:tc></w:tr></w:tbl><w:p><w:pPr><w:sectPr><w:sectPrChange><w:sectPr/></w:sectPrChange></w:sectPr></w:pPr></w:p><w:sectPr/>"
+    read = lambda xml: Package(package({wordprocessing.BODY: xml}))
+    held = read(f'<w:document xmlns:w="w"><w:background>{text("no")}</w:background><w:body>{body}</w:body><w:body>{text("no")}</w:body></w:document>')
+    assert [(r[0], r[1], r[10]) for r in wordprocessing._runs(held)] == [(0, None, "0"), (1, None, "1"), (2, None, "2"), (3, None, "3"), (4, 0, "4"), (5, None, "")]
+    assert [r[6] for r in wordprocessing._table_cells(held)] == ["4\nno"]
+    assert len(list(wordprocessing._sections(held))) == 3
+    for broken in ('<w:document xmlns:w="w"/>', "<w:document>"):
+        with pytest.raises(Exception):
+            list(wordprocessing._runs(read(broken)))
