@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.a1 import column_number, row_number
 from ..operators.grid import in_rectangles
 from .packages import FRAME, Package, below, child, frame, local, read_packages, shape_tree
-from .sheet_parts import WORKBOOK, listed, of_kind, sheet_parts, strings
+from .sheet_parts import STRINGS, WORKBOOK, listed, of_kind, sheet_parts, strings
 
 def sheets(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """``file_path, error, sheet_idx, name, part``."""
@@ -20,8 +20,7 @@ def shared_strings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 
 def _string_runs(package: Package):
-    root = package.xml("xl/sharedStrings.xml")
-    for i, item in enumerate(e for e in root if local(e) == "si") if root is not None else ():
+    for i, item in enumerate(package.elements(STRINGS, "si")):
         for k, run in enumerate(e for e in item if local(e) in ("r", "t")):
             props, text = child(run, "rPr"), run if local(run) == "t" else child(run, "t")
             font = next((e for e in props if local(e) in ("rFont", "name")), None) if props is not None else None
@@ -294,18 +293,17 @@ def rule_formats(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 
 def _related(package: Package, kind: str):
-    """(sheet, part, root) of the parts that sheets refer to, by a piece of their path."""
+    """(sheet, sheet's part, part) of the parts that sheets refer to, by a piece of their path."""
     for i, _, part in listed(package):
         for target in package.relations(part).values() if part else ():
-            root = package.xml(target) if kind in target else None
-            if root is not None:
-                yield i, target, root
+            if kind in target and target in package.names:
+                yield i, part, target
 
 
 def _comments(package: Package):
-    for i, _, root in _related(package, "comments"):
-        authors = [a.text for a in below(root, "author")]
-        for c in below(root, "comment"):
+    for i, _, target in _related(package, "comments"):
+        authors = [a.text for a in package.elements(target, "author")]
+        for c in package.elements(target, "comment"):
             author = int(c.get("authorId") or 0)
             yield i, c.get("ref"), authors[author] if author < len(authors) else None, "".join(t.text or "" for t in below(c, "t"))
 
@@ -315,9 +313,9 @@ def comments(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 
 def _anchors(package: Package):
-    for i, part, root in _related(package, "/drawings/drawing"):
+    for i, _, part in _related(package, "/drawings/drawing"):
         targets = package.relations(part)
-        for k, anchor in enumerate(e for e in root if local(e).endswith("Anchor")):
+        for k, anchor in enumerate(e for e in package.xml(part) if local(e).endswith("Anchor")):
             ends = [[int(x.text) if (x := child(end, n)) is not None else None for n in ("row", "col")] if (end := child(anchor, tag)) is not None else [None, None] for tag in ("from", "to")]
             held = next((e for e in anchor if local(e) in ("pic", "graphicFrame", "sp", "grpSp", "cxnSp")), None)
             if held is not None:
@@ -337,8 +335,8 @@ def sparklines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
 
 def _drawn(package: Package):
-    for i, _, root in _related(package, "/drawings/drawing"):
-        for k, anchor in enumerate(e for e in root if local(e).endswith("Anchor")):
+    for i, _, part in _related(package, "/drawings/drawing"):
+        for k, anchor in enumerate(e for e in package.xml(part) if local(e).endswith("Anchor")):
             for at, group, e in shape_tree(anchor):
                 name = next((c.get("name") for c in below(e, "cNvPr")), None)
                 yield i, k, at, group, local(e), name, *frame(e)
