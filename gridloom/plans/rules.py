@@ -141,10 +141,10 @@ select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice
 from lineitem l join s using (l_returnflag)
 """)
 def cf_block_bars(spark, sf_dir):
-    """Blocks have their own thresholds, joined back by block."""
+    """Blocks have their own thresholds, joined back by block; a flag has three values, so the thresholds go to the rows and no block gathers in a task."""
     t = table(spark, sf_dir, "lineitem")
     stats = rules.block_stats(t, ["l_returnflag"], F.col("l_quantity"))
-    return t.join(stats, "l_returnflag").select(
+    return t.join(F.broadcast(stats), "l_returnflag").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         F.round(rules.bar_ratio(F.col("l_quantity"), F.col("low"), F.col("high")), 6).alias("bar_ratio"), (F.col("l_quantity") > F.col("mean")).alias("above"),
     )

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gridloom import plans
 from gridloom.operators import documents, grid, order_stats, rules, styles
 
 
@@ -72,3 +73,14 @@ def test_margins_and_bands(spark):
 def test_tsv_fills_gaps(spark):
     cells = spark.createDataFrame([("s", 1, 1, "a"), ("s", 3, 2, "b")], "sheet string, row int, col int, text string")
     assert grid.tsv(cells, 1, 1, 3, 2, ["sheet"]).collect()[0].tsv == "a\t\n\t\n\tb"
+
+
+def test_rows_of_a_block_do_not_gather(spark, tmp_path):
+    spark.range(300).selectExpr("id as l_orderkey", "1 as l_linenumber", "id as l_partkey", "id as l_suppkey", "1.0d as l_extendedprice", "cast(id as double) as l_quantity", "'N' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = plans.QUERIES["cf_block_bars"](spark, str(tmp_path))
+        assert df.count() == 300 and "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
