@@ -46,8 +46,21 @@ _COMPARE = {
 }
 
 
+def _plain(v: Value) -> Column:
+    return F.coalesce(number_text(v.num), v.flag.cast("string"), v.text, F.lit(""))
+
+
 def compare(a: Value, operator: str, b: Value) -> Column:
     """Numbers first; texts, case-sensitive, where one side is a text that is no number."""
-    plain = lambda v: F.coalesce(number_text(v.num), v.flag.cast("string"), v.text, F.lit(""))
     how = _COMPARE[operator]
-    return F.when(a.numeric() & b.numeric(), how(a.number(), b.number())).otherwise(how(plain(a), plain(b)))
+    return F.when(a.numeric() & b.numeric(), how(a.number(), b.number())).otherwise(how(_plain(a), _plain(b)))
+
+
+def compared(a: Value, operator: Column, b: Value) -> Column:
+    """:func:`compare` by an operator that is data; null for one that isn't known. Each side is put into text in one place, however many operators there are."""
+    sign = lambda x, y: F.when(x < y, -1).when(x == y, 0).otherwise(1)
+    texts = F.transform(F.array(F.struct(_plain(a).alias("a"), _plain(b).alias("b"))), lambda p: sign(p["a"], p["b"]))
+    order = F.when(a.numeric() & b.numeric(), sign(a.number(), b.number())).otherwise(F.get(texts, F.lit(0)))
+    meant = {"=": [0], "<>": [-1, 1], "<": [-1], ">": [1], "<=": [-1, 0], ">=": [0, 1]}
+    signs = F.create_map(*[x for name, held in meant.items() for x in (F.lit(name), F.array(*map(F.lit, held)))])
+    return F.array_contains(F.try_element_at(signs, operator), order)

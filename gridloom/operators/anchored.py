@@ -13,19 +13,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import a1
-from ..functions.values import _COMPARE, Value, compare
-from .grid import in_rectangles
+from ..functions.values import Value, compared
+from .grid import in_any
 
 _REFERENCE = r"\$?[A-Za-z]{1,3}\$?[0-9]+"
 _OPERAND = rf'({_REFERENCE}|"[^"]*"|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)'
+_FIXED = r"^\$[A-Za-z]{1,3}\$[0-9]+$"
 COMPARISON = rf"^\s*=?\s*{_OPERAND}\s*(<=|>=|<>|=|<|>)\s*{_OPERAND}\s*$"
 
 
 def target(reference: Column, row: Column, col: Column, anchor_row: Column, anchor_col: Column) -> Column:
     """Cell (``row, col``) that a reference of the anchor's formula means for the cell at ``row, col``; null outside the sheet."""
-    plain_row, plain_col = a1.row_number(reference), a1.column_number(reference)
-    at_row = F.when(reference.rlike(r"\$[0-9]"), plain_row).otherwise(plain_row + row - anchor_row)
-    at_col = F.when(reference.rlike(r"^\$"), plain_col).otherwise(plain_col + col - anchor_col)
+    return _at(_moves(reference, anchor_row, anchor_col), row, col)
+
+
+def _moves(reference: Column, anchor_row: Column, anchor_col: Column) -> Column:
+    """What a reference means, apart from the cell: a row and a column, and how many times (once or not at all) the cell's own are added."""
+    rows, cols = F.when(reference.rlike(r"\$[0-9]"), 0).otherwise(1), F.when(reference.rlike(r"^\$"), 0).otherwise(1)
+    row, col = a1.row_number(reference) - rows * anchor_row, a1.column_number(reference) - cols * anchor_col
+    return F.when(row.isNotNull() & col.isNotNull(), F.struct(row.alias("row"), rows.alias("rows"), col.alias("col"), cols.alias("cols")))
+
+
+def _at(moves: Column, row: Column, col: Column) -> Column:
+    at_row, at_col = moves["row"] + moves["rows"] * row, moves["col"] + moves["cols"] * col
     return F.when((at_row >= 1) & at_col.between(1, a1.MOST_COLUMNS), F.struct(at_row.alias("row"), at_col.alias("col")))
 
 
@@ -37,8 +47,8 @@ def blocks(rules: DataFrame) -> DataFrame:
 
 
 def covered(cells: DataFrame, rules: DataFrame, by: list[str], key: list[str]) -> DataFrame:
-    """Cells (``row, col``) with the rules whose block they are in, once a rule."""
-    return in_rectangles(cells.select(*by, "row", "col"), blocks(rules), by).drop("top", "left", "bottom", "right").dropDuplicates([*by, *key, "row", "col"])
+    """Cells (``row, col``) with the rules whose block they are in, once a rule; of the rules all columns but their ``sqref``."""
+    return in_any(cells.select(*by, "row", "col"), blocks(rules).drop("sqref"), by, key)
 
 
 def targets(cells: DataFrame, rules: DataFrame, by: list[str], key: list[str]) -> DataFrame:
@@ -55,42 +65,42 @@ def matches(cells: DataFrame, rules: DataFrame, by: list[str], key: list[str]) -
     whole block are looked up once a rule, all others by one equi-join a side.
     """
     read = lambda i: F.regexp_extract("formula", COMPARISON, i)
-    known = rules.withColumns({"__left": read(1), "__op": read(2), "__right": read(3)}).where("__op <> ''")
+    known = rules.withColumns({"__left": read(1), "__op": read(2), "__right": read(3)}).where("__op <> ''").drop("formula")
     values = cells.select(*by, F.col("row").alias("__r"), F.col("col").alias("__c"), F.struct("v_num", "v_text", "v_bool").alias("__v"))
-    for side in ("left", "right"):
-        operand = F.col(f"__{side}")
-        fixed = F.when(operand.rlike(rf"^\$[A-Za-z]{{1,3}}\$[0-9]+$"), F.struct(a1.row_number(operand).alias("row"), a1.column_number(operand).alias("col")))
-        known = _looked_up(known.withColumn("__at", fixed), values, by, f"__{side}_fixed")
-    found = covered(cells, known, by, key)
-    for side in ("left", "right"):
-        operand = F.col(f"__{side}")
-        moves = operand.rlike(rf"^{_REFERENCE}$") & ~operand.rlike(r"^\$[A-Za-z]{1,3}\$[0-9]+$")
-        found = _looked_up(found.withColumn("__at", F.when(moves, target(operand, F.col("row"), F.col("col"), F.col("anchor_row"), F.col("anchor_col")))), values, by, f"__{side}_moved")
-    left, right = _operand("left"), _operand("right")
-    holds = F.lit(False)
-    for operator in _COMPARE:
-        holds = F.when(F.col("__op") == operator, compare(left, operator, right)).otherwise(holds)
-    return found.where(holds).select(*by, *key, "priority", "stop_if_true", "row", "col")
+    for side in ("__left", "__right"):
+        operand = F.col(side)
+        fixed = F.when(operand.rlike(_FIXED), F.struct(a1.row_number(operand).alias("row"), a1.column_number(operand).alias("col")))
+        known = _looked_up(known.withColumns({"__at": fixed, f"{side}_is": _written(operand)}), values, by, f"{side}_is")
+    boxes = blocks(known).drop("sqref")
+    for side in ("__left", "__right"):
+        operand = F.col(side)
+        boxes = boxes.withColumn(side, F.when(operand.rlike(rf"^{_REFERENCE}$") & ~operand.rlike(_FIXED), _moves(operand, F.col("anchor_row"), F.col("anchor_col"))))
+    found = in_any(cells.select(*by, "row", "col"), boxes.drop("anchor_row", "anchor_col"), by, key)
+    for side in ("__left", "__right"):
+        found = _looked_up(found.withColumn("__at", _at(F.col(side), F.col("row"), F.col("col"))).drop(side), values, by, f"{side}_is")
+    left, right = (Value(*(F.col(f"{side}_is")[c] for c in ("v_num", "v_text", "v_bool"))) for side in ("__left", "__right"))
+    return found.where(compared(left, F.col("__op"), right)).select(*by, *key, "priority", "stop_if_true", "row", "col")
+
+
+def _written(operand: Column) -> Column:
+    """An operand that is a number or a text in quotes, as the value of a cell."""
+    text = F.when(operand.startswith('"'), F.regexp_replace(operand, '^"|"$', ""))
+    return F.struct(operand.try_cast("double").alias("v_num"), text.alias("v_text"), F.lit(None).cast("boolean").alias("v_bool"))
 
 
 def _looked_up(rows: DataFrame, values: DataFrame, by: list[str], name: str) -> DataFrame:
-    """The value of the cell ``__at`` of each row's sheet; rows without one ask for cells above the sheet, which are spread and not there."""
+    """``name`` becomes the value of the cell ``__at`` of each row's sheet, where there is one; rows without one ask for cells above the sheet, which are spread and not there.
+
+    Cells are never broadcast, however small Spark takes the packages to be that they come from; all lookups share one shuffle of them.
+    """
     nowhere = -1 - F.pmod(F.xxhash64(*[c for c in ("row", "col") if c in rows.columns] or [F.lit(0)]), F.lit(1009)).cast("int")
     asks = rows.withColumns({"__r": F.coalesce("__at.row", nowhere), "__c": F.coalesce("__at.col", F.lit(0))}).drop("__at")
-    return asks.join(values, [*by, "__r", "__c"], "left").drop("__r", "__c").withColumnRenamed("__v", name)
-
-
-def _operand(side: str) -> Value:
-    """What an operand is worth: a cell's value, a text in quotes, or a number."""
-    written, cell = F.col(f"__{side}"), F.coalesce(f"__{side}_moved", f"__{side}_fixed")
-    return Value(
-        F.coalesce(cell["v_num"], written.try_cast("double")), F.coalesce(cell["v_text"], F.when(written.startswith('"'), F.regexp_replace(written, '^"|"$', ""))), cell["v_bool"],
-    )
+    return asks.join(values.hint("merge"), [*by, "__r", "__c"], "left").withColumn(name, F.coalesce("__v", name)).drop("__r", "__c", "__v")
 
 
 def applied(matched: DataFrame, by: list[str]) -> DataFrame:
     """Matches that count: those of a cell up to the first, by priority, that stops; ``at`` is their place among them."""
-    cell = Window.partitionBy(*by, "row", "col")
-    stop = F.min(F.when(F.col("stop_if_true"), F.col("priority"))).over(cell)
+    cell = Window.partitionBy(*by, "row", "col").orderBy("priority")  # one order for both, so rows are sorted once
+    stop = F.min(F.when(F.col("stop_if_true"), F.col("priority"))).over(cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     kept = matched.withColumn("__stop", stop).where(F.col("__stop").isNull() | (F.col("priority") <= F.col("__stop"))).drop("__stop")
-    return kept.withColumn("at", F.row_number().over(cell.orderBy("priority")))
+    return kept.withColumn("at", F.row_number().over(cell))

@@ -86,6 +86,24 @@ def in_rectangles(cells: DataFrame, rectangles: DataFrame, sheet: list[str], how
     return found.select(*[F.col(f"cell.`{n}`") for n in cells.columns], *[F.col(f"box.`{n}`") for n in rectangles.columns if n not in sheet])
 
 
+def in_any(cells: DataFrame, rectangles: DataFrame, sheet: list[str], key: list[str]) -> DataFrame:
+    """Cells with each ``key`` of their sheet that has them in one of its rectangles, once a key; cells that are there twice count once.
+
+    A key comes to a tile once, with all its rectangles there, and cells are told
+    apart in the order in which they meet it: what the join makes needs no second look.
+    Neither side is broadcast: sizes guessed from packed files tell nothing of the cells in them.
+    """
+    box, tile = ["top", "left", "bottom", "right"], [*sheet, "__tr", "__tc"]
+    own = [c for c in rectangles.columns if c not in (*sheet, *key, *box)]
+    tiled = rectangles.withColumn("__tr", F.explode(_tiles("top", "bottom"))).withColumn("__tc", F.explode(_tiles("left", "right")))
+    held = tiled.groupBy(*tile, *key).agg(F.any_value(F.struct(*own)).alias("__own"), F.collect_set(F.struct(*box)).alias("__boxes"))
+    placed = cells.withColumn("__tr", F.floor(F.col("row") / TILE)).withColumn("__tc", F.floor(F.col("col") / TILE))
+    again = F.row_number().over(Window.partitionBy(*tile, "row", "col").orderBy("row"))
+    found = placed.repartition(*tile).withColumn("__again", again).where("__again = 1").drop("__again").join(held.hint("merge"), tile)
+    inside = F.exists("__boxes", lambda b: F.col("row").between(b["top"], b["bottom"]) & F.col("col").between(b["left"], b["right"]))
+    return found.where(inside).select(*cells.columns, *key, *[F.col("__own")[c].alias(c) for c in own])
+
+
 def merge_cover(cells: DataFrame, merges: DataFrame, sheet: list[str]) -> DataFrame:
     """``cover``: anchor, covered or plain, by the merged rectangles of the cells' sheet."""
     found = in_rectangles(cells, merges.select(*sheet, "top", "left", "bottom", "right"), sheet, "left")
