@@ -105,14 +105,18 @@ select file_path, "row", col, priority, (row_number() over (partition by file_pa
 """)
 def office_anchored_rules(spark, sf_dir):
     """Rules of books whose references move with the cell."""
-    return _applied(spark, made.rule_books(spark, sf_dir)).select("file_path", "row", "col", "priority", "at")
+    files = made.rule_books(spark, sf_dir)
+    return _applied(spark, files, _rules(spark, files), ["cf_idx", "rule_idx", "dxf_id"]).select("file_path", "row", "col", "priority", "at")
 
 
-def _applied(spark, files):
+def _rules(spark, files):
     rules = spreadsheets.format_rules(spark, files).where("error is null and type = 'expression'").withColumn("formula", F.get("formulas", F.lit(0)))
+    return rules.select("file_path", "sheet_idx", "cf_idx", "rule_idx", "dxf_id", "sqref", "formula", "priority", "stop_if_true")
+
+
+def _applied(spark, files, rules, key):
     by = ["file_path", "sheet_idx"]
-    rules = rules.select(*by, "cf_idx", "rule_idx", "dxf_id", "sqref", "formula", "priority", "stop_if_true")
-    return anchored.applied(anchored.matches(spreadsheets.cells(spark, files), rules, by, ["cf_idx", "rule_idx", "dxf_id"]), by)
+    return anchored.applied(anchored.matches(spreadsheets.cells(spark, files), rules, by, key), by)
 
 
 @_r.query(f"""
@@ -127,9 +131,10 @@ def office_rule_formats(spark, sf_dir):
     """Cells as the number format of the first rule that has one shows them, and the edge that it draws."""
     files = made.rule_books(spark, sf_dir)
     codes = spreadsheets.rule_formats(spark, files).where("error is null").select("file_path", "dxf_id", "format_code")
-    edges = spreadsheets.rule_borders(spark, files).where("error is null and edge = 'bottom'").select("file_path", "dxf_id", F.col("rgb").alias("bottom"))
+    edges = spreadsheets.rule_borders(spark, files).where("error is null and edge = 'bottom'").select("file_path", "dxf_id", F.col("rgb").alias("line"))
     at = ["file_path", "sheet_idx", "row", "col"]
-    said = _applied(spark, files).join(codes, ["file_path", "dxf_id"]).join(edges, ["file_path", "dxf_id"], "left")
-    first = said.groupBy(*at).agg(F.min_by("format_code", "priority").alias("code"), F.min_by("bottom", "priority").alias("bottom"))
-    cells = spreadsheets.cells(spark, files).select(*at, "v_num", "v_text").join(first, at, "left")
-    return formats.formatted(cells, "code", "v_num", "v_text").select("file_path", "row", "col", "shown", "bottom")
+    rules = _rules(spark, files).join(codes, ["file_path", "dxf_id"], "left").join(edges, ["file_path", "dxf_id"], "left")  # few rows; cells of a rule are many
+    said = _applied(spark, files, rules, ["cf_idx", "rule_idx", "format_code", "line"]).where("format_code is not null")
+    first = said.groupBy(*at).agg(F.min_by("format_code", "priority").alias("code"), F.min_by("line", "priority").alias("bottom"))
+    cells = spreadsheets.cells(spark, files).select(*at, "v_num", "v_text").join(first.hint("merge"), at, "left")
+    return formats.formatted(cells, "code", "v_num", "v_text", codes.select(F.col("format_code").alias("code"))).select("file_path", "row", "col", "shown", "bottom")

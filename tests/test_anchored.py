@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from gridloom import plans
 from gridloom.operators import anchored, grid
 
 CELLS = "f string, row int, col int, v_num double, v_text string, v_bool boolean"
@@ -56,3 +57,8 @@ def test_every_operator(spark, formula, rows):
     cells = spark.createDataFrame([("a", 1, 1, 10.0, None, None), ("a", 2, 1, None, "b", None), ("a", 3, 1, None, "c", None), ("a", 4, 1, None, None, True), ("a", 1, 2, None, "b", None)], CELLS)
     rules = spark.createDataFrame([("a", 1, "A1:A4", formula, 1, False)], RULES)
     assert sorted(r.row for r in anchored.matches(cells, rules, ["f"], ["rule"]).collect()) == rows
+
+
+def test_formats_of_rules_are_looked_up_once_a_rule(spark, wide_broadcasts):
+    plan = plans.QUERIES["office_rule_formats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [min(") == 1  # the codes to compile come from the rules, not from all cells again
